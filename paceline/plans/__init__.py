@@ -1,0 +1,5 @@
+"""Runs: timed queries, the standard workload and custom workloads."""
+
+from paceline.plans.runner import CustomRun, StandardRun, custom_run, run_queries, standard_run, time_df
+
+__all__ = ["CustomRun", "StandardRun", "custom_run", "run_queries", "standard_run", "time_df"]

@@ -1,0 +1,270 @@
+"""Run and time queries, the standard workload, and workloads described by a file.
+
+A connection is a place to keep tables: a Spark file format (parquet, orc, csv, json) with a database of
+its own in the session catalog. Connections run one after another, so that each is timed alone, and the
+failure of one becomes a result row. What passes through the driver is the workload description and one
+row per measurement, never table rows.
+"""
+
+from __future__ import annotations
+
+import datetime as dt
+import time
+import uuid
+from collections.abc import Callable
+from typing import NamedTuple
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from paceline.errors import error_text
+from paceline.functions import round2
+from paceline.operators.measures import import_metrics
+from paceline.operators.storage import table_stats
+from paceline.schemas import LOAD, METRIC, METRIC_COLUMNS, ORDERS, QUERY_TIMING, RESULT, TABLE_STATS, USERS
+from paceline.sources.config import Config, missing_files, resolve_text
+from paceline.sources.csv import csv_dialect_of, read_csv
+from paceline.sources.generate import gen_orders, gen_users
+from paceline.sources.tables import append, apply_ddl, drop_table, load_to_threshold, trial_load
+
+SPARK_FORMATS = ("parquet", "orc", "csv", "json")
+
+# Settings of the standard workload: fixed values.
+READ_RUNS = 50
+THRESHOLD_RUNS = 5
+LOAD_TRIALS = 50
+JOIN_BOUND = 50.0
+TOTAL_BOUND = 10.0
+
+# The standard tables and queries, in Spark SQL: fixed names, columns and clauses.
+STANDARD_DDL = [
+    "DROP TABLE IF EXISTS benchmark_orders",
+    "DROP TABLE IF EXISTS benchmark_users",
+    "CREATE TABLE benchmark_users (id BIGINT, name VARCHAR(100), email VARCHAR(100),"
+    " created_at TIMESTAMP DEFAULT CURRENT_TIMESTAMP()) USING {format}",
+    "CREATE TABLE benchmark_orders (id BIGINT, user_id BIGINT, amount DECIMAL(10,2), order_date DATE) USING {format}",
+]
+STANDARD_QUERIES = {
+    "read": "SELECT * FROM benchmark_users",
+    "join": "SELECT u.name, o.amount, o.order_date FROM benchmark_users u JOIN benchmark_orders o"
+    " ON u.id = o.user_id WHERE o.amount > :bound LIMIT 100",
+    "aggregate": "SELECT u.name, SUM(o.amount) AS total_spent, COUNT(o.id) AS order_count"
+    " FROM benchmark_users u JOIN benchmark_orders o ON u.id = o.user_id"
+    " GROUP BY u.id, u.name HAVING SUM(o.amount) > :bound",
+}
+
+
+def _elapsed_ms(work: Callable[[], object]) -> float:
+    start = time.perf_counter()
+    work()
+    return (time.perf_counter() - start) * 1000
+
+
+def drain(df: DataFrame) -> None:
+    """Compute every row and column and throw them away."""
+    df.write.format("noop").mode("overwrite").save()
+
+
+def time_df(df: DataFrame, runs: int) -> float:
+    """Mean milliseconds of draining a DataFrame ``runs`` times. Cached data stays cached."""
+    return _elapsed_ms(lambda: [drain(df) for _ in range(runs)]) / runs
+
+
+def run_queries(
+    spark: SparkSession,
+    queries: DataFrame,
+    dialect: str = "spark",
+    runs: int = READ_RUNS,
+    connection: str = "spark",
+    args: dict | None = None,
+    most: int = 10_000,
+) -> DataFrame:
+    """Run each query's text for a dialect ``runs`` times and report QUERY_TIMING rows.
+
+    ``queries`` are those of a workload file. A query that fails, or has no text for the dialect, gives an
+    error row with 0 ms and the next one runs. ``args`` are named parameters for the texts. The texts go
+    to ``spark.sql`` unchanged; more than ``most`` of them are refused.
+    """
+    chosen = resolve_text(queries, dialect).orderBy("position", "name").limit(most + 1).collect()
+    if len(chosen) > most:
+        raise ValueError(f"more than {most} queries in one run")
+    rows = []
+    for place, query in enumerate(chosen):
+        ms, error = 0.0, query["error_message"]
+        if error is None:
+            try:
+                ms = time_df(spark.sql(query["sql_text"], args=args), runs)
+            except Exception as failure:  # a failed query is a result row
+                error = error_text(failure)
+        rows.append((connection, place, query["name"], query["category"], round(ms, 2), error is None, error))
+    return spark.createDataFrame(rows, QUERY_TIMING)
+
+
+class _Place(NamedTuple):
+    """A connection's own session and database."""
+
+    session: SparkSession
+    database: str
+
+
+def _open(spark: SparkSession, db_type: str) -> _Place:
+    if db_type.lower() not in SPARK_FORMATS:
+        raise ValueError(f"Unsupported database type: {db_type}")
+    session = spark.newSession()
+    database = f"paceline_{uuid.uuid4().hex}"
+    session.sql(f"CREATE DATABASE {database}")
+    session.catalog.setCurrentDatabase(database)
+    return _Place(session, database)
+
+
+def _close(place: _Place) -> None:
+    place.session.sql(f"DROP DATABASE {place.database} CASCADE")
+
+
+def _stats(spark: SparkSession, tables: list[str], connection: str) -> list[tuple]:
+    stats = table_stats(spark, {t: t for t in tables}).withColumn("connection_name", F.lit(connection))
+    return [tuple(row) for row in stats.select(*TABLE_STATS.names).collect()]
+
+
+class StandardRun(NamedTuple):
+    """Reports of a standard run: METRIC and TABLE_STATS rows."""
+
+    metrics: DataFrame
+    stats: DataFrame
+
+
+def standard_run(
+    spark: SparkSession,
+    connections: list[tuple[str, str]],
+    rows: int = 1000,
+    order_date: dt.date | None = None,
+    runs: int = READ_RUNS,
+) -> StandardRun:
+    """Create, fill, read, join, aggregate and measure the standard tables on each (name, type) connection.
+
+    Rows are inserted by Spark jobs only; the single-insert metrics, which time one-row statements, are NULL.
+    """
+    day = order_date or dt.date.today()
+    metrics, stats = [], []
+    for position, (name, db_type) in enumerate(connections):
+        place, values, error = None, dict.fromkeys(METRIC_COLUMNS), None
+        try:
+            start = time.perf_counter()
+            place = _open(spark, db_type)
+            session = place.session
+            values["connection_time_ms"] = (time.perf_counter() - start) * 1000
+            ddl = [s.format(format=db_type.lower()) for s in STANDARD_DDL]
+            values["schema_creation_time_ms"] = _elapsed_ms(lambda s=session, d=ddl: apply_ddl(s, d))
+
+            def insert(s=session) -> None:
+                users = gen_users(s, rows).withColumn("created_at", F.current_timestamp())
+                append(users.select(*USERS.names), "benchmark_users")
+                append(gen_orders(s, rows, day).select(*ORDERS.names), "benchmark_orders")
+
+            ms = values["batch_insertion_time_ms"] = _elapsed_ms(insert)
+            values["batch_insertion_rate"] = 2 * rows / (ms / 1000) if ms > 0 else 0.0
+            values["read_time_ms"] = time_df(session.sql(STANDARD_QUERIES["read"]), runs)
+            for query, bound in (("join", JOIN_BOUND), ("aggregate", TOTAL_BOUND)):
+                values[f"{query}_time_ms"] = time_df(session.sql(STANDARD_QUERIES[query], args={"bound": bound}), 1)
+            stats += _stats(session, ["benchmark_users", "benchmark_orders"], name)
+        except Exception as failure:  # a failed connection is a result row
+            error, values = error_text(failure), dict.fromkeys(METRIC_COLUMNS)
+        finally:
+            if place:
+                _close(place)
+        measured = [None if v is None else float(v) for v in values.values()]
+        metrics.append((name, db_type, position, error is None, *measured, error))
+    raw = spark.createDataFrame(metrics, METRIC)
+    rounded = raw.select(*[round2(c).alias(c) if c in METRIC_COLUMNS else F.col(c) for c in METRIC.names])
+    return StandardRun(rounded, spark.createDataFrame(stats, TABLE_STATS))
+
+
+class CustomRun(NamedTuple):
+    """Reports of a custom run: RESULT, LOAD, QUERY_TIMING and TABLE_STATS rows and the import totals."""
+
+    results: DataFrame
+    loads: DataFrame
+    timings: DataFrame
+    stats: DataFrame
+    imports: DataFrame
+
+
+def _check_files(spark: SparkSession, tables: DataFrame, files: dict[str, str]) -> None:
+    given = spark.createDataFrame([(name,) for name in files], "csv_file_name string")
+    missing = missing_files(tables, given).orderBy("table_name").collect()
+    if missing:
+        raise ValueError("; ".join(row["error"] for row in missing))
+
+
+def _load(place: _Place, connection, table, path: str, dialect: str, threshold: int, trials: int, multiline: bool):
+    """Create one table and load it; its LOAD row."""
+    session, name = place.session, table["table_name"]
+    ddl = (table["schemas"] or {}).get(connection["db_type"].lower())
+    if not ddl:
+        raise ValueError(f"No schema for table {name} and database type: {connection['db_type']}")
+
+    def create() -> None:
+        drop_table(session, name)
+        apply_ddl(session, [ddl])
+
+    def read() -> DataFrame:
+        return read_csv(session, path, session.table(name).schema, dialect, multiline)
+
+    labels = dict(csv_file=table["csv_file_name"], connection=connection["name"], position=table["position"])
+    create()
+    if threshold == 0:
+        load = trial_load(session, read, name, name, trials=trials, prepare=create, **labels)
+    else:
+        load = load_to_threshold(session, read, name, name, threshold, **labels)
+    return tuple(load.first())
+
+
+def custom_run(
+    spark: SparkSession,
+    config: Config,
+    files: dict[str, str],
+    threshold: int = 0,
+    trials: int = LOAD_TRIALS,
+    runs: int | None = None,
+    multiline: bool = False,
+) -> CustomRun:
+    """Run a workload file: create its tables, load their CSV files, run its queries, measure, drop.
+
+    ``files`` maps the CSV file names of the workload to paths; a missing one stops the run before it
+    starts. Tables and queries pick their text by the connection's type. With ``threshold`` 0 every table
+    is loaded ``trials`` times and the mean time reported; otherwise it is loaded once with as many copies
+    as reach the threshold. ``runs`` defaults to 50 runs per query, or 5 with a threshold.
+    """
+    _check_files(spark, config.tables, files)
+    runs = runs or (READ_RUNS if threshold == 0 else THRESHOLD_RUNS)
+    tables = config.tables.orderBy("position").collect()
+    no_queries = config.queries.isEmpty()
+    results, loads, timings, stats = [], [], [], []
+    for connection in config.connections.orderBy("position").collect():
+        name, db_type, place, error = connection["name"], connection["db_type"], None, None
+        try:
+            if no_queries:
+                raise ValueError(f"No queries configuration found for database type: {db_type}")
+            dialect = csv_dialect_of(db_type)
+            place = _open(spark, db_type)
+            loaded = [
+                _load(place, connection, t, files[t["csv_file_name"]], dialect, threshold, trials, multiline)
+                for t in tables
+            ]
+            timed = run_queries(place.session, config.queries, db_type, runs, name).collect()
+            measured = _stats(place.session, [t["table_name"] for t in tables], name)
+            loads, timings, stats = loads + loaded, timings + [tuple(t) for t in timed], stats + measured
+        except Exception as failure:  # a failed connection is a result row
+            error = error_text(failure)
+        finally:
+            if place:
+                _close(place)
+        results.append((name, db_type, connection["position"], error is None, error))
+    load_rows = spark.createDataFrame(loads, LOAD)
+    return CustomRun(
+        results=spark.createDataFrame(results, RESULT),
+        loads=load_rows,
+        timings=spark.createDataFrame(timings, QUERY_TIMING),
+        stats=spark.createDataFrame(stats, TABLE_STATS),
+        imports=import_metrics(load_rows),
+    )
