@@ -51,21 +51,14 @@ def table_stats(spark: SparkSession, tables: dict[str, str], fmt: str = "parquet
     )
     total = _union(files).groupBy("table_name").agg(F.sum("length").alias("total_size_bytes"))
     names = spark.createDataFrame(list(enumerate(tables)), "position int, table_name string")
-    sizes = names.join(data, "table_name", "left").join(total, "table_name", "left")
-    zero = F.lit(0).cast("bigint")
-    sizes = sizes.select("table_name", *[F.coalesce(c, zero).alias(c) for c in ["data_size_bytes", "total_size_bytes"]])
-    return footprint(names, data.select("table_name", "row_count"), sizes)
+    joined = names.join(data, "table_name", "left").join(total, "table_name", "left")
+    return _statistics(joined.na.fill(0, ["data_size_bytes", "total_size_bytes"]), names.columns)
 
 
-def footprint(tables: DataFrame, counts: DataFrame, sizes: DataFrame, key: str = "table_name") -> DataFrame:
-    """Statistics rows for every listed table from its row count and its sizes.
-
-    A table without a count has 0 rows. One the catalog does not list keeps its name, with NULL sizes.
-    """
-    joined = tables.join(counts, key, "left").join(sizes, key, "left")
+def _statistics(joined: DataFrame, labels: list[str]) -> DataFrame:
     rows = F.coalesce(F.col("row_count"), F.lit(0).cast("bigint"))
     return joined.select(
-        *[c for c in tables.columns],
+        *labels,
         rows.alias("row_count"),
         "data_size_bytes",
         "total_size_bytes",
@@ -74,6 +67,14 @@ def footprint(tables: DataFrame, counts: DataFrame, sizes: DataFrame, key: str =
     )
 
 
+def footprint(tables: DataFrame, counts: DataFrame, sizes: DataFrame, key: str = "table_name") -> DataFrame:
+    """Statistics rows for every listed table from its row count and its sizes.
+
+    A table without a count has 0 rows. One the catalog does not list keeps its name, with NULL sizes.
+    """
+    return _statistics(tables.join(counts, key, "left").join(sizes, key, "left"), tables.columns)
+
+
 def sum_segments(catalog: DataFrame, schema: str | None = None, table: str | None = None) -> DataFrame:
     """Data, index and total bytes of each listed table, optionally of one schema or one table."""
     if schema is not None:
