@@ -11,6 +11,7 @@ from typing import NamedTuple
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
 
 def pk_violations(df: DataFrame, key: list[str]) -> DataFrame:
@@ -54,18 +55,41 @@ def cascade_delete(parent: DataFrame, child: DataFrame, where: Column, pk: str,
     return Cascade(parent.where(~hit), child.join(gone, F.col(fk) == F.col("_pk"), "left_anti"))
 
 
+# Text that can be a number: sign, digits with at most one point, exponent, blanks around it.
+NUMBER = r"^\s*[+-]?(\d+\.?\d*|\.\d+)([eE][+-]?\d+)?\s*$"
+
+
+def _misfit(df: DataFrame, column: str, kind: str) -> Column:
+    """Whether a value has no place in a type.
+
+    A failing cast raises and catches an error inside Spark, which is slow for many bad rows. So decimals
+    are first compared with the type's limit as doubles, and only values near the limit are cast.
+    """
+    kind, c = kind.strip().lower(), F.col(column)
+    if length := re.fullmatch(r"varchar2?\((\d+)\)", kind):
+        return F.length(c) > int(length[1])
+    digits = re.fullmatch(r"(?:decimal|numeric|number)\((\d+),\s*(\d+)\)", kind)
+    if not digits:
+        return c.isNotNull() & c.try_cast(kind).isNull()
+    precision, scale = int(digits[1]), int(digits[2])
+    is_text = isinstance(df.schema[column].dataType, StringType)
+    size = F.abs(F.when(c.rlike(NUMBER), c.cast("double")) if is_text else c.cast("double"))
+    limit = 10.0 ** (precision - scale)
+    return c.isNotNull() & (
+        F.when(size.isNull() | (size > limit * 1.01), True)
+        .when(size < limit * 0.99, False)
+        .otherwise(c.try_cast(f"decimal({precision},{scale})").isNull())
+    )
+
+
 def type_violations(df: DataFrame, limits: dict[str, str]) -> DataFrame:
     """Rows with a value that does not fit, e.g. ``{"name": "varchar(100)", "amount": "decimal(10,2)"}``.
 
-    The column ``violations`` names them, separated by commas. Any type other than varchar is tested by
-    casting to it: too many digits before the point or text that is no number does not fit.
+    The column ``violations`` names them, separated by commas. Text does not fit a varchar it is too long
+    for; a number does not fit a decimal with too few digits before the point, nor does text that is no
+    number. Digits beyond the scale are rounded and fit. Other types are tested by casting.
     """
-    broken = []
-    for column, kind in limits.items():
-        length = re.fullmatch(r"varchar2?\((\d+)\)", kind.strip().lower())
-        c = F.col(column)
-        misfit = F.length(c) > int(length[1]) if length else c.isNotNull() & c.try_cast(kind).isNull()
-        broken.append(F.when(misfit, F.lit(column)))
+    broken = [F.when(_misfit(df, column, kind), F.lit(column)) for column, kind in limits.items()]
     return df.withColumn("violations", F.concat_ws(",", *broken)).where(F.col("violations") != "")
 
 
