@@ -1,0 +1,214 @@
+"""Query shapes and timed runs."""
+
+from __future__ import annotations
+
+import datetime as dt
+import json
+from decimal import Decimal
+
+import pytest
+from pyspark.sql import functions as F
+
+from paceline.operators.queries import q_aggregate, q_count, q_filter, q_join, q_read
+from paceline.plans import custom_run, run_queries, standard_run, time_df
+from paceline.schemas import METRIC, METRIC_COLUMNS, QUERY_TIMING, TABLE_STATS
+from paceline.sources import read_config
+from tests.conftest import as_list, as_set
+
+DAY = dt.date(2024, 1, 1)
+USERS = "id long, name string"
+ORDERS = "id long, user_id long, amount decimal(10,2), order_date date"
+
+
+def money(text):
+    return Decimal(text)
+
+
+@pytest.fixture
+def shop(rows):
+    users = rows([(1, "ann"), (2, "bob"), (3, "ann"), (4, "eve")], USERS)
+    orders = rows(
+        [
+            (1, 1, money("50.00"), DAY),
+            (2, 1, money("50.01"), DAY),
+            (3, 2, money("10.00"), DAY),
+            (4, 3, money("100.00"), DAY),
+            (5, 3, money("0.01"), DAY),
+            (6, 9, money("999.00"), DAY),
+            (7, None, money("999.00"), DAY),
+        ],
+        ORDERS,
+    )
+    return users, orders
+
+
+def test_join_bound_is_strict(shop):
+    assert as_set(q_join(*shop, 50.0)) == {("ann", money("50.01"), DAY), ("ann", money("100.00"), DAY)}
+    assert as_list(q_join(*shop, 0, limit=2, order_by=["id"])) == [
+        ("ann", money("50.00"), DAY),
+        ("ann", money("50.01"), DAY),
+    ]
+
+
+def test_equal_names_stay_apart(shop):
+    assert as_list(q_aggregate(*shop, 10.0)) == [("ann", money("100.01"), 2)] * 2
+    assert as_set(q_aggregate(*shop, 9.99)) == {("ann", money("100.01"), 2), ("bob", money("10.00"), 1)}
+
+
+def test_users_listed_twice_count_twice_as_in_a_plain_join(rows, shop):
+    users = shop[0].union(rows([(1, "ann"), (2, "rob")], USERS))
+    plain = (
+        users.join(shop[1].withColumnRenamed("id", "oid"), F.col("id") == F.col("user_id"))
+        .groupBy("id", "name")
+        .agg(F.sum("amount").alias("total_spent"), F.count("oid").alias("order_count"))
+        .where("total_spent > 1")
+    )
+    assert sorted(as_list(q_aggregate(users, shop[1], 1))) == sorted(as_list(plain.drop("id")))
+
+
+def test_a_user_with_a_third_of_all_orders(spark):
+    n = 300_000
+    orders = spark.range(n).select(
+        "id",
+        F.when(F.col("id") % 3 == 0, 1).otherwise(F.col("id") % 1000).alias("user_id"),
+        F.lit("1.25").cast("decimal(10,2)").alias("amount"),
+        F.lit(DAY).alias("order_date"),
+    )
+    users = spark.range(1000).select("id", F.format_string("u%d", "id").alias("name"))
+    found = {r.name: (r.total_spent, r.order_count) for r in q_aggregate(users, orders, 0).collect()}
+    counts = [0] * 1000
+    for i in range(n):
+        counts[1 if i % 3 == 0 else i % 1000] += 1
+    assert found == {f"u{u}": (c * money("1.25"), c) for u, c in enumerate(counts) if c}
+
+
+def test_scan_count_filter(shop):
+    orders = shop[1]
+    assert as_set(q_read(orders)) == as_set(orders)
+    assert as_list(q_count(orders)) == [(7,)]
+    assert as_list(q_count(orders.limit(0))) == [(0,)]
+    assert q_filter(orders, "amount", 100).count() == 2
+
+
+def test_aggregate_shuffles_orders_once(spark, shop):
+    users, orders = shop
+    plan = q_aggregate(F.broadcast(users), orders, 1)._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange hashpartitioning") == 1
+
+
+def test_time_df(spark):
+    assert time_df(spark.range(10), 3) > 0
+
+
+def test_queries_run_on_after_a_failure(spark, shop):
+    shop[1].createOrReplaceTempView("shop_orders")
+    queries = spark.createDataFrame(
+        [
+            (0, "count", "AGG", {"spark": "SELECT count(*) FROM shop_orders WHERE amount > :bound", "orc": "x"}),
+            (1, "broken", None, {"spark": "SELEKT 1"}),
+            (2, "missing", "SELECT", {"orc": "SELECT 1"}),
+            (3, "fails", "SELECT", {"spark": "SELECT raise_error('no luck')"}),
+            (4, "last", "SELECT", {"spark": "SELECT * FROM shop_orders;"}),
+        ],
+        "position int, name string, category string, queries_by_db map<string,string>",
+    )
+    report = run_queries(spark, queries, "SPARK", runs=2, connection="c", args={"bound": 10})
+    assert report.schema == QUERY_TIMING
+    found = report.orderBy("position").collect()
+    assert [r.query_name for r in found] == ["count", "broken", "missing", "fails", "last"]
+    assert [r.success for r in found] == [True, False, False, False, True]
+    assert [r.execution_time_ms > 0 for r in found] == [True, False, False, False, True]
+    assert found[0].error_message is None and found[0].category == "AGG"
+    assert "PARSE_SYNTAX_ERROR" in found[1].error_message
+    assert found[2].error_message == "No queries configuration found for database type: SPARK"
+    assert "no luck" in found[3].error_message
+    with pytest.raises(ValueError, match="more than 4"):
+        run_queries(spark, queries, "spark", runs=1, most=4)
+
+
+def test_standard_run(spark):
+    before = {d.name for d in spark.catalog.listDatabases()}
+    run = standard_run(spark, [("p", "parquet"), ("m", "mysql"), ("o", "ORC")], rows=500, order_date=DAY, runs=2)
+    assert run.metrics.schema.names == METRIC.names
+    found = run.metrics.orderBy("position").collect()
+    assert [(r.connection_name, r.db_type, r.success) for r in found] == [
+        ("p", "parquet", True),
+        ("m", "mysql", False),
+        ("o", "ORC", True),
+    ]
+    assert found[1].error == "Unsupported database type: mysql"
+    assert all(found[1][c] is None for c in METRIC_COLUMNS)
+    for row in (found[0], found[2]):
+        for column in METRIC_COLUMNS:
+            assert row[column] is None if "single" in column else row[column] > 0
+    assert run.stats.schema == TABLE_STATS
+    assert {(r.connection_name, r.table_name, r.row_count) for r in run.stats.collect()} == {
+        (c, t, 500) for c in "po" for t in ["benchmark_users", "benchmark_orders"]
+    }
+    assert {d.name for d in spark.catalog.listDatabases()} == before
+
+
+def workload(tmp_path, connections):
+    ddl = "CREATE TABLE employee (id INT, name VARCHAR(50), salary DECIMAL(10,2))"
+    config = {
+        "connectionDetails": [{"name": n, "dbType": t, "url": "u", "password": "secret"} for n, t in connections],
+        "tables": [
+            {"tableName": "employee", "csvFileName": "employee.csv", "schemas": {"parquet": ddl, "orc": ddl + " USING orc"}}
+        ],
+        "queries": [
+            {
+                "name": "Select High Earners",
+                "category": "SELECT",
+                "queriesByDb": {t: "SELECT * FROM employee WHERE salary > 50000" for t in ["parquet", "orc"]},
+            },
+            {"name": "Only parquet", "queriesByDb": {"parquet": "SELECT count(*) FROM employee"}},
+        ],
+    }
+    path = tmp_path / "config.json"
+    path.write_text(json.dumps(config))
+    return str(path)
+
+
+@pytest.mark.parametrize("threshold,rows", [(0, 3), (100, 102)])
+def test_custom_run(spark, tmp_path, threshold, rows):
+    (tmp_path / "employee.csv").write_text('id,name,salary\n1,"b, a",60000.50\n2,c,\n3,d,1000\n')
+    config = read_config(spark, workload(tmp_path, [("p", "parquet"), ("c", "csv"), ("x", "oraclesql"), ("o", "orc")]))
+    files = {"employee.csv": str(tmp_path / "employee.csv")}
+    run = custom_run(spark, config, files, threshold=threshold, trials=2, runs=1)
+    results = run.results.orderBy("position").collect()
+    assert [(r.connection_name, r.success) for r in results] == [("p", True), ("c", False), ("x", False), ("o", True)]
+    assert results[1].error == "No schema for table employee and database type: csv"
+    assert results[2].error == "CSV import is not supported for database type: oraclesql"
+    loads = {(r.connection_name, r.table_name, r.rows_loaded, r.success) for r in run.loads.collect()}
+    assert loads == {("p", "employee", rows, True), ("o", "employee", rows, True)}
+    timings = {(r.connection_name, r.query_name, r.category, r.success) for r in run.timings.collect()}
+    assert timings == {
+        ("p", "Select High Earners", "SELECT", True),
+        ("p", "Only parquet", None, True),
+        ("o", "Select High Earners", "SELECT", True),
+        ("o", "Only parquet", None, False),
+    }
+    assert {(r.connection_name, r.row_count) for r in run.stats.collect()} == {("p", rows), ("o", rows)}
+    assert {(r.connection_name, r.tables_imported, r.total_rows_loaded) for r in run.imports.collect()} == {
+        ("p", 1, rows),
+        ("o", 1, rows),
+    }
+    for frame in run:
+        assert "secret" not in str(frame.collect())
+
+
+def test_custom_run_with_a_bad_file_still_reports(spark, tmp_path):
+    (tmp_path / "employee.csv").write_text("id,name,salary\nx,a,1\n")
+    config = read_config(spark, workload(tmp_path, [("p", "parquet")]))
+    run = custom_run(spark, config, {"employee.csv": str(tmp_path / "employee.csv")}, trials=2, runs=1)
+    load = run.loads.first()
+    assert (load.rows_loaded, load.success) == (0, False) and 'For input string: "x"' in load.error_message
+    assert run.results.first().success
+    stats = run.stats.first()
+    assert (stats.table_name, stats.row_count, stats.data_size_bytes, stats.bytes_per_row) == ("employee", 0, 0, 0.0)
+
+
+def test_custom_run_names_missing_files(spark, tmp_path):
+    config = read_config(spark, workload(tmp_path, [("p", "parquet")]))
+    with pytest.raises(ValueError, match="employee.csv not uploaded"):
+        custom_run(spark, config, {"other.csv": "x"})
