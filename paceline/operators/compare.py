@@ -84,30 +84,38 @@ def category_of(timings: DataFrame) -> DataFrame:
     Rows become one per (query, category) first, so the sort that picking a text needs is a small one.
     """
     seen = timings.groupBy("query_name", "category").agg(F.min("position").alias("position"))
-    first = F.nullif(F.min_by("category", "position"), F.lit(""))
-    return seen.groupBy("query_name").agg(F.coalesce(first, F.lit(NO_CATEGORY)).alias("category"))
+    first = F.min_by("category", "position")
+    return seen.groupBy("query_name").agg(_category(first).alias("category"))
+
+
+def _category(c: Column | str) -> Column:
+    return F.coalesce(F.nullif(c, F.lit("")), F.lit(NO_CATEGORY))
 
 
 def _quoted(name: str) -> Column:
     return F.col(f"`{name.replace('`', '``')}`")
 
 
-def _first_cells(df: DataFrame, name: str, connections: list[str], values: dict[str, Column]) -> DataFrame:
-    """One row per name with the first row's values of each connection, as ``<index>_<value>`` columns."""
-    cells = (
-        df.where(F.col("connection_name").isin(connections))
-        .groupBy(name, "connection_name")
-        .agg(
-            F.min("position").alias("position"),
-            *[F.min_by(column, "position").alias(label) for label, column in values.items()],
-        )
+def _first_cells(
+    df: DataFrame, name: str, connections: list[str], values: dict[str, Column], text: str | None = None
+) -> DataFrame:
+    """One row per name with the first row's values of each connection, as ``<index>_<value>`` columns.
+
+    ``text`` names a text column whose first value per name is wanted as well; rows are kept apart by it
+    in the first step, so that only the few rows of the second are sorted to find it.
+    """
+    chosen = df.where(F.col("connection_name").isin(connections))
+    cells = chosen.groupBy(name, "connection_name", *([text] if text else [])).agg(
+        F.min("position").alias("position"),
+        *[F.min_by(column, "position").alias(label) for label, column in values.items()],
     )
     wide = [
-        F.max(F.when(F.col("connection_name") == connection, F.col(label))).alias(f"{i}_{label}")
+        F.min_by(label, F.when(F.col("connection_name") == connection, F.col("position"))).alias(f"{i}_{label}")
         for i, connection in enumerate(connections)
         for label in values
     ]
-    return cells.groupBy(name).agg(F.min("position").alias("position"), *wide)
+    first_text = [F.min_by(text, "position").alias(text)] if text else []
+    return cells.groupBy(name).agg(F.min("position").alias("position"), *first_text, *wide)
 
 
 def _pivot(df: DataFrame, name: str, ms: str, connections: list[str]) -> DataFrame:
@@ -134,32 +142,34 @@ def _ms_text(ms: Column) -> Column:
     return F.concat(round2(ms).cast("decimal(18,2)").cast("string"), F.lit(" ms"))
 
 
-def _grid(df: DataFrame, name: str, ms: str, connections: list[str], rows: str | None) -> DataFrame:
+def _grid(
+    df: DataFrame, name: str, ms: str, connections: list[str], rows: str | None = None, text: str | None = None
+) -> DataFrame:
     values = {"ok": F.col("success"), "ms": F.col(ms)}
     if rows:
         values["rows"] = F.col(rows)
-    wide = _first_cells(df, name, connections, values)
+    wide = _first_cells(df, name, connections, values, text)
 
     def cell(i: int) -> Column:
-        text = _ms_text(_quoted(f"{i}_ms"))
+        shown = _ms_text(_quoted(f"{i}_ms"))
         if rows:
-            text = F.concat(text, F.lit(" ("), F.format_number(_quoted(f"{i}_rows"), 0), F.lit(" rows)"))
+            shown = F.concat(shown, F.lit(" ("), F.format_number(_quoted(f"{i}_rows"), 0), F.lit(" rows)"))
         ok = _quoted(f"{i}_ok")
-        return F.when(ok, text).when(~ok, F.lit("Error")).otherwise(F.lit("-"))
+        return F.when(ok, shown).when(~ok, F.lit("Error")).otherwise(F.lit("-"))
 
-    return wide.select(name, "position", *[cell(i).alias(c) for i, c in enumerate(connections)])
+    labels = [name, "position", *([text] if text else [])]
+    return wide.select(*labels, *[cell(i).alias(c) for i, c in enumerate(connections)])
 
 
 def load_grid(loads: DataFrame, connections: list[str]) -> DataFrame:
     """Load time and rows of each table on each connection as text; ``Error`` if failed, ``-`` if missing."""
-    return _grid(loads, "table_name", "load_time_ms", connections, "rows_loaded")
+    return _grid(loads, "table_name", "load_time_ms", connections, rows="rows_loaded")
 
 
 def query_grid(timings: DataFrame, connections: list[str]) -> DataFrame:
     """Category of each query and its time on each connection as text."""
-    cells = _grid(timings, "query_name", "execution_time_ms", connections, None)
-    chosen = timings.where(F.col("connection_name").isin(connections))
-    return cells.join(category_of(chosen), "query_name")
+    grid = _grid(timings, "query_name", "execution_time_ms", connections, text="category")
+    return grid.withColumn("category", _category("category"))
 
 
 def stats_grid(stats: DataFrame, connections: list[str]) -> DataFrame:

@@ -109,7 +109,7 @@ def segment_sizes(segments: DataFrame, indexes: DataFrame, tables: DataFrame) ->
         F.sum(F.when(F.col("segment_type") == "TABLE", F.col("bytes"))).alias("_table_bytes"),
         F.sum("bytes").alias("_bytes"),
     )
-    own = tables.select("table_name", F.upper("table_name").alias("_upper")).distinct()
+    own = tables.select("table_name", F.upper("table_name").alias("_upper"))
     members = own.select("table_name", F.col("_upper").alias("segment_name")).union(
         own.join(
             indexes.select(F.col("table_name").alias("_upper"), F.col("index_name").alias("segment_name")), "_upper"

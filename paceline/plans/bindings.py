@@ -53,16 +53,12 @@ def money_orders(spark: SparkSession, sf_dir: str) -> DataFrame:
     return orders(spark, sf_dir).withColumn("amount", F.col("amount").cast("decimal(10,2)"))
 
 
-def timings(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Events as query timings: the event type is the connection, the user the query.
-
-    Values beyond the timeout failed, and a failed query took 0 ms. Clicks carry no category.
-    """
+def _timings(spark: SparkSession, sf_dir: str, connection, query_name) -> DataFrame:
     ok = F.col("value") <= TIMEOUT_MS
     return table(spark, sf_dir, "events").select(
-        F.col("event_type").alias("connection_name"),
+        connection.alias("connection_name"),
         F.col("event_id").alias("position"),
-        _number("query_", "user_id").alias("query_name"),
+        query_name.alias("query_name"),
         F.when(F.col("event_type") == "click", "").otherwise(F.col("event_type")).alias("category"),
         F.when(ok, F.col("value")).otherwise(0.0).alias("execution_time_ms"),
         ok.alias("success"),
@@ -70,9 +66,10 @@ def timings(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-TIMINGS_SQL = f"""
-timings AS (
-  SELECT event_type AS connection_name, event_id AS position, 'query_' || user_id AS query_name,
+def _timings_sql(name: str, connection: str, query_name: str) -> str:
+    return f"""
+{name} AS (
+  SELECT {connection} AS connection_name, event_id AS position, {query_name} AS query_name,
     CASE WHEN event_type = 'click' THEN '' ELSE event_type END AS category,
     CASE WHEN value <= {TIMEOUT_MS} THEN value ELSE 0 END AS execution_time_ms,
     value <= {TIMEOUT_MS} AS success,
@@ -80,26 +77,23 @@ timings AS (
   FROM events)"""
 
 
+def timings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Events as query timings: the event type is the connection, the user the query.
+
+    Values beyond the timeout failed, and a failed query took 0 ms. Clicks carry no category.
+    """
+    return _timings(spark, sf_dir, F.col("event_type"), _number("query_", "user_id"))
+
+
+TIMINGS_SQL = _timings_sql("timings", "event_type", "'query_' || user_id")
+
+
 def user_timings(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The same timings with a connection per user, so that connections grow with the data."""
-    return (
-        timings(spark, sf_dir)
-        .withColumnRenamed("connection_name", "event_type")
-        .withColumn("connection_name", F.regexp_replace("query_name", "^query_", "conn_"))
-        .withColumnRenamed("query_name", "_user")
-        .withColumnRenamed("event_type", "query_name")
-        .drop("_user")
-    )
+    return _timings(spark, sf_dir, _number("conn_", "user_id"), F.col("event_type"))
 
 
-USER_TIMINGS_SQL = (
-    TIMINGS_SQL
-    + """,
-user_timings AS (
-  SELECT replace(query_name, 'query_', 'conn_') AS connection_name, position, connection_name AS query_name,
-    category, execution_time_ms, success, error_message
-  FROM timings)"""
-)
+USER_TIMINGS_SQL = _timings_sql("user_timings", "'conn_' || user_id", "event_type")
 
 
 def _loads(spark: SparkSession, sf_dir: str, connection, table_name) -> DataFrame:

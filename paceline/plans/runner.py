@@ -21,11 +21,11 @@ from paceline.errors import error_text
 from paceline.functions import round2
 from paceline.operators.measures import import_metrics
 from paceline.operators.storage import table_stats
-from paceline.schemas import LOAD, METRIC, METRIC_COLUMNS, ORDERS, QUERY_TIMING, RESULT, TABLE_STATS, USERS
+from paceline.schemas import LOAD, METRIC, METRIC_COLUMNS, QUERY_TIMING, RESULT, TABLE_STATS
 from paceline.sources.config import Config, missing_files, resolve_text
 from paceline.sources.csv import csv_dialect_of, read_csv
 from paceline.sources.generate import gen_orders, gen_users
-from paceline.sources.tables import append, apply_ddl, drop_table, load_to_threshold, trial_load
+from paceline.sources.tables import apply_ddl, drop_table, load_to_threshold, trial_load
 
 SPARK_FORMATS = ("parquet", "orc", "csv", "json")
 
@@ -36,22 +36,42 @@ LOAD_TRIALS = 50
 JOIN_BOUND = 50.0
 TOTAL_BOUND = 10.0
 
-# The standard tables and queries, in Spark SQL: fixed names, columns and clauses.
-STANDARD_DDL = [
-    "DROP TABLE IF EXISTS benchmark_orders",
-    "DROP TABLE IF EXISTS benchmark_users",
-    "CREATE TABLE benchmark_users (id BIGINT, name VARCHAR(100), email VARCHAR(100),"
-    " created_at TIMESTAMP DEFAULT CURRENT_TIMESTAMP()) USING {format}",
-    "CREATE TABLE benchmark_orders (id BIGINT, user_id BIGINT, amount DECIMAL(10,2), order_date DATE) USING {format}",
-]
-STANDARD_QUERIES = {
-    "read": "SELECT * FROM benchmark_users",
-    "join": "SELECT u.name, o.amount, o.order_date FROM benchmark_users u JOIN benchmark_orders o"
-    " ON u.id = o.user_id WHERE o.amount > :bound LIMIT 100",
-    "aggregate": "SELECT u.name, SUM(o.amount) AS total_spent, COUNT(o.id) AS order_count"
-    " FROM benchmark_users u JOIN benchmark_orders o ON u.id = o.user_id"
-    " GROUP BY u.id, u.name HAVING SUM(o.amount) > :bound",
-}
+
+class QuerySet(NamedTuple):
+    """What a standard run executes on one type of connection; ``?`` stands for the bound."""
+
+    schema: list[str]
+    read: str
+    join: str
+    aggregate: str
+
+
+def standard_queries(fmt: str) -> QuerySet:
+    """The standard tables and queries for tables of a file format: fixed names, columns and clauses."""
+    return QuerySet(
+        schema=[
+            "DROP TABLE IF EXISTS benchmark_orders",
+            "DROP TABLE IF EXISTS benchmark_users",
+            "CREATE TABLE benchmark_users (id BIGINT, name VARCHAR(100), email VARCHAR(100),"
+            f" created_at TIMESTAMP DEFAULT CURRENT_TIMESTAMP()) USING {fmt}",
+            "CREATE TABLE benchmark_orders (id BIGINT, user_id BIGINT, amount DECIMAL(10,2), order_date DATE)"
+            f" USING {fmt}",
+        ],
+        read="SELECT * FROM benchmark_users",
+        join="SELECT u.name, o.amount, o.order_date FROM benchmark_users u JOIN benchmark_orders o"
+        " ON u.id = o.user_id WHERE o.amount > ? LIMIT 100",
+        aggregate="SELECT u.name, SUM(o.amount) AS total_spent, COUNT(o.id) AS order_count"
+        " FROM benchmark_users u JOIN benchmark_orders o ON u.id = o.user_id"
+        " GROUP BY u.id, u.name HAVING SUM(o.amount) > ?",
+    )
+
+
+def read_query_sets(spark: SparkSession, path: str) -> dict[str, QuerySet]:
+    """Read query sets by dialect from a JSON file ``{dialect: {schema: [..], read, join, aggregate}}``."""
+    one = "struct<schema:array<string>,read:string,join:string,aggregate:string>"
+    docs = spark.read.text(path, wholetext=True)
+    sets = docs.select(F.explode(F.from_json("value", f"map<string,{one}>", {"mode": "FAILFAST"})))
+    return {r["key"].lower(): QuerySet(**r["value"].asDict()) for r in sets.limit(1000).collect()}
 
 
 def _elapsed_ms(work: Callable[[], object]) -> float:
@@ -133,47 +153,70 @@ class StandardRun(NamedTuple):
     stats: DataFrame
 
 
+def _query_set(db_type: str, query_sets: dict[str, QuerySet] | None) -> QuerySet:
+    dialect = db_type.lower()
+    if query_sets is None and dialect in SPARK_FORMATS:
+        return standard_queries(dialect)
+    if query_sets is None or dialect not in query_sets:
+        raise ValueError(f"No queries configuration found for database type: {db_type}")
+    return query_sets[dialect]
+
+
+def _insert(spark: SparkSession, rows: int, day: dt.date) -> None:
+    """Fill the standard tables, one job each. Columns are named, so created_at gets its default."""
+    users, orders = gen_users(spark, rows), gen_orders(spark, rows, day)
+    spark.sql("INSERT INTO benchmark_users (id, name, email) SELECT id, name, email FROM {users}", users=users)
+    spark.sql(
+        "INSERT INTO benchmark_orders (id, user_id, amount, order_date)"
+        " SELECT id, user_id, amount, order_date FROM {orders}",
+        orders=orders,
+    )
+
+
+def _measure(place: _Place, queries: QuerySet, rows: int, day: dt.date, runs: int) -> dict[str, float]:
+    """Metrics of one connection, in the order in which they are taken."""
+    session = place.session
+    values = {
+        "schema_creation_time_ms": _elapsed_ms(lambda: apply_ddl(session, queries.schema)),
+        "batch_insertion_time_ms": _elapsed_ms(lambda: _insert(session, rows, day)),
+        "read_time_ms": time_df(session.sql(queries.read), runs),
+        "join_time_ms": time_df(session.sql(queries.join, args=[JOIN_BOUND]), 1),
+        "aggregate_time_ms": time_df(session.sql(queries.aggregate, args=[TOTAL_BOUND]), 1),
+    }
+    ms = values["batch_insertion_time_ms"]
+    return values | {"batch_insertion_rate": 2 * rows / (ms / 1000) if ms > 0 else 0.0}
+
+
 def standard_run(
     spark: SparkSession,
     connections: list[tuple[str, str]],
     rows: int = 1000,
     order_date: dt.date | None = None,
     runs: int = READ_RUNS,
+    query_sets: dict[str, QuerySet] | None = None,
 ) -> StandardRun:
     """Create, fill, read, join, aggregate and measure the standard tables on each (name, type) connection.
 
-    Rows are inserted by Spark jobs only; the single-insert metrics, which time one-row statements, are NULL.
+    ``query_sets`` replaces the standard queries by those of a file. Rows are inserted by Spark jobs only;
+    the single-insert metrics, which time one-row statements, are NULL.
     """
     day = order_date or dt.date.today()
     metrics, stats = [], []
     for position, (name, db_type) in enumerate(connections):
-        place, values, error = None, dict.fromkeys(METRIC_COLUMNS), None
+        place, values, error = None, {}, None
         try:
+            queries = _query_set(db_type, query_sets)
             start = time.perf_counter()
             place = _open(spark, db_type)
-            session = place.session
-            values["connection_time_ms"] = (time.perf_counter() - start) * 1000
-            ddl = [s.format(format=db_type.lower()) for s in STANDARD_DDL]
-            values["schema_creation_time_ms"] = _elapsed_ms(lambda s=session, d=ddl: apply_ddl(s, d))
-
-            def insert(s=session) -> None:
-                users = gen_users(s, rows).withColumn("created_at", F.current_timestamp())
-                append(users.select(*USERS.names), "benchmark_users")
-                append(gen_orders(s, rows, day).select(*ORDERS.names), "benchmark_orders")
-
-            ms = values["batch_insertion_time_ms"] = _elapsed_ms(insert)
-            values["batch_insertion_rate"] = 2 * rows / (ms / 1000) if ms > 0 else 0.0
-            values["read_time_ms"] = time_df(session.sql(STANDARD_QUERIES["read"]), runs)
-            for query, bound in (("join", JOIN_BOUND), ("aggregate", TOTAL_BOUND)):
-                values[f"{query}_time_ms"] = time_df(session.sql(STANDARD_QUERIES[query], args={"bound": bound}), 1)
-            stats += _stats(session, ["benchmark_users", "benchmark_orders"], name)
+            opened = (time.perf_counter() - start) * 1000
+            values = {"connection_time_ms": opened} | _measure(place, queries, rows, day, runs)
+            stats += _stats(place.session, ["benchmark_users", "benchmark_orders"], name)
         except Exception as failure:  # a failed connection is a result row
-            error, values = error_text(failure), dict.fromkeys(METRIC_COLUMNS)
+            error, values = error_text(failure), {}
         finally:
             if place:
                 _close(place)
-        measured = [None if v is None else float(v) for v in values.values()]
-        metrics.append((name, db_type, position, error is None, *measured, error))
+        metrics.append((name, db_type, position, error is None, *[values.get(c) for c in METRIC_COLUMNS], error))
     raw = spark.createDataFrame(metrics, METRIC)
     rounded = raw.select(*[round2(c).alias(c) if c in METRIC_COLUMNS else F.col(c) for c in METRIC.names])
     return StandardRun(rounded, spark.createDataFrame(stats, TABLE_STATS))

@@ -9,10 +9,21 @@ from decimal import Decimal
 import pytest
 from pyspark.sql import functions as F
 
+from paceline.operators.measures import CUSTOM_LEADERS
 from paceline.operators.queries import q_aggregate, q_count, q_filter, q_join, q_read
-from paceline.plans import custom_run, run_queries, standard_run, time_df
+from paceline.plans import (
+    custom_report,
+    custom_run,
+    read_query_sets,
+    run_queries,
+    runner,
+    standard_queries,
+    standard_report,
+    standard_run,
+    time_df,
+)
 from paceline.schemas import METRIC, METRIC_COLUMNS, QUERY_TIMING, TABLE_STATS
-from paceline.sources import read_config
+from paceline.sources import apply_ddl, drop_table, read_config
 from tests.conftest import as_list, as_set
 
 DAY = dt.date(2024, 1, 1)
@@ -136,7 +147,7 @@ def test_standard_run(spark):
         ("m", "mysql", False),
         ("o", "ORC", True),
     ]
-    assert found[1].error == "Unsupported database type: mysql"
+    assert found[1].error == "No queries configuration found for database type: mysql"
     assert all(found[1][c] is None for c in METRIC_COLUMNS)
     for row in (found[0], found[2]):
         for column in METRIC_COLUMNS:
@@ -212,3 +223,55 @@ def test_custom_run_names_missing_files(spark, tmp_path):
     config = read_config(spark, workload(tmp_path, [("p", "parquet")]))
     with pytest.raises(ValueError, match="employee.csv not uploaded"):
         custom_run(spark, config, {"other.csv": "x"})
+
+
+def test_standard_run_with_query_sets_from_a_file(spark, tmp_path):
+    own = standard_queries("parquet")._asdict() | {"read": "SELECT id FROM benchmark_users", "insertUser": "unused"}
+    (tmp_path / "sets.json").write_text(json.dumps({"Parquet": own, "json": {**own, "join": "SELEKT"}}, indent=1))
+    sets = read_query_sets(spark, str(tmp_path / "sets.json"))
+    assert sorted(sets) == ["json", "parquet"] and sets["parquet"].read == "SELECT id FROM benchmark_users"
+    run = standard_run(spark, [("p", "PARQUET"), ("o", "orc"), ("j", "json")], 60, DAY, runs=1, query_sets=sets)
+    found = run.metrics.orderBy("position").collect()
+    assert [r.success for r in found] == [True, False, False]
+    assert found[1].error == "No queries configuration found for database type: orc"
+    assert "PARSE_SYNTAX_ERROR" in found[2].error
+    report = standard_report(run)
+    assert {r.connection_name for r in report["failures"].collect()} == {"o", "j"}
+    assert {r.metric for r in report["leaders"].collect()} == {"connection_time_ms", "batch_insertion_rate", "read_time_ms"}
+    assert report["comparison"].count() == 3 and report["chart"].count() == 1
+    grid = report["statistics"].where("statistic = 'Row Count'").select("p", "o", "j")
+    assert as_list(grid) == [("60", "-", "-"), ("60", "-", "-")]
+
+
+def test_standard_tables_hold_the_generated_rows(spark):
+    queries = standard_queries("parquet")
+    apply_ddl(spark, queries.schema)
+    try:
+        runner._insert(spark, 1000, DAY)
+        assert spark.table("benchmark_users").where("created_at is null").count() == 0
+        assert spark.sql(queries.read).count() == 1000
+        assert spark.sql(queries.join, args=[50.0]).count() == 100
+        assert spark.sql(queries.join.replace("LIMIT 100", ""), args=[50.0]).count() == 959
+        assert spark.sql(queries.aggregate, args=[10.0]).count() == 999
+    finally:
+        drop_table(spark, "benchmark_users")
+        drop_table(spark, "benchmark_orders")
+
+
+def test_custom_report(spark, tmp_path):
+    (tmp_path / "employee.csv").write_text("id,name,salary\n1,b,60000.50\n")
+    config = read_config(spark, workload(tmp_path, [("p", "parquet"), ("x", "db2"), ("o", "orc")]))
+    run = custom_run(spark, config, {"employee.csv": str(tmp_path / "employee.csv")}, threshold=5, runs=1)
+    report = {name: frame.collect() for name, frame in custom_report(run).items()}
+    assert {r.metric for r in report["leaders"]} == set(CUSTOM_LEADERS)
+    assert {r.metric: (r.p, r.x, r.o) for r in report["imports"]}["Total Rows Loaded"] == ("5", "-", "5")
+    assert report["loads"][0].p.endswith("(5 rows)") and report["loads"][0].x == "-"
+    assert [(r.query_name, r.category, r.x, r.o == "Error") for r in report["queries"]] == [
+        ("Select High Earners", "SELECT", "-", False),
+        ("Only parquet", "QUERY", "-", True),
+    ]
+    assert [r.connection_name for r in report["import_chart"]] == ["p", "o"]
+    assert set(report["load_chart"][0].asDict()) == {"table_name", "position", "p", "o"}
+    assert report["query_chart"][1].o == 0.0
+    assert [(r.connection_name, r.error) for r in report["failures"]] == [("x", "Unsupported database type: db2")]
+    assert len(report["statistics"]) == 5
