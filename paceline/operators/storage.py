@@ -67,7 +67,7 @@ def _statistics(joined: DataFrame, labels: list[str]) -> DataFrame:
     )
 
 
-def footprint(tables: DataFrame, counts: DataFrame, sizes: DataFrame, key: str = "table_name") -> DataFrame:
+def footprint(tables: DataFrame, counts: DataFrame, sizes: DataFrame, key: str | list[str] = "table_name") -> DataFrame:
     """Statistics rows for every listed table from its row count and its sizes.
 
     A table without a count has 0 rows. One the catalog does not list keeps its name, with NULL sizes.

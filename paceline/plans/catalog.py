@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 from paceline.functions import bytes_per_row, db_name, latency, rate, round2, size_mb
 from paceline.operators import compare, constraints, measures, queries, storage
 from paceline.plans import bindings as b
-from paceline.plans.runner import run_queries
+from paceline.plans.runner import run_queries, time_df
 from paceline.schemas import ORDERS, USERS
 from paceline.session import scratch_path
 from paceline.sources import (
@@ -278,6 +278,13 @@ def s14_ddl_load_drop(spark, sf_dir):
     return spark.read.parquet(path).select("id", "name", "email", created_on)
 
 
+@query("SELECT 'lineitem' AS query_name, count(*) AS row_count, true AS timed FROM lineitem")
+def s16_time_df(spark, sf_dir):
+    lines = b.table(spark, sf_dir, "lineitem")
+    timed = F.lit(time_df(lines, runs=2) > 0)
+    return queries.q_count(lines).select(F.lit("lineitem").alias("query_name"), "row_count", timed.alias("timed"))
+
+
 # --- integrity -----------------------------------------------------------------------------------
 
 

@@ -47,13 +47,16 @@ def write_sorted(df: DataFrame, path: str, keys: list[str], fmt: str = "parquet"
     """Write files that are sorted by ``keys`` inside and cover one key range each.
 
     Parquet keeps the smallest and largest value per row group, so a filter on the leading keys skips
-    most of the data. A key that many rows share would make one huge range; the random last column of
-    the range split spreads such rows over several files.
+    most of the data. A key that many rows share would make one huge range, so rows of one key are split
+    further by the partition they come from and by their hash. Both stay the same when a lost task is
+    repeated, which a random number would not: rows could then be lost or doubled.
     """
-    spread = df.withColumn("_spread", F.rand(seed=7))
-    by = [*keys, "_spread"]
+    hashed = [c for c in df.columns if "map<" not in df.schema[c].dataType.simpleString()]
+    spread = df.withColumn("_from", F.spark_partition_id()).withColumn("_hash", F.xxhash64(*hashed))
+    by = [*keys, "_from", "_hash"]
     ranged = spread.repartitionByRange(files, *by) if files else spread.repartitionByRange(*by)
-    ranged.sortWithinPartitions(*keys).drop("_spread").write.mode("errorifexists").format(fmt).save(path)
+    rows = ranged.sortWithinPartitions(*keys).drop("_from", "_hash")
+    rows.write.mode("errorifexists").format(fmt).save(path)
 
 
 def _load_row(connection: str, position: int, table: str, csv_file: str | None, rows, ms, error) -> tuple:

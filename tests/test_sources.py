@@ -20,6 +20,7 @@ from paceline.sources import (
     read_csv,
     read_jdbc,
     resolve_text,
+    write_jdbc,
 )
 from paceline.sources.jdbc import jdbc_options
 from tests.conftest import as_list, as_set
@@ -202,3 +203,66 @@ def test_jdbc_needs_a_table_or_a_query_and_a_driver(spark):
     with pytest.raises(Exception) as failure:
         read_jdbc(spark, connection, table="t")
     assert "com.mysql.cj.jdbc.Driver" in error_text(failure.value)
+
+
+class Recorder:
+    """Stands for a DataFrame writer or reader and keeps what it was told."""
+
+    def __init__(self, ends=None):
+        self.told, self.ends, self.loads = {}, ends, 0
+
+    write = read = property(lambda self: self)
+
+    def format(self, name):
+        return self.option("format", name)
+
+    def mode(self, name):
+        return self.option("mode", name)
+
+    def option(self, key, value):
+        self.told[key] = value
+        return self
+
+    def options(self, **values):
+        self.told.update(values)
+        return self
+
+    def save(self):
+        self.told["saved"] = True
+
+    def load(self):
+        self.loads += 1
+        return self
+
+    def first(self):
+        return self.ends
+
+
+def test_jdbc_write_is_batched_and_bounds_its_connections():
+    frame = Recorder()
+    write_jdbc(frame, jdbc_options("mariadb", "jdbc:mariadb://h/db"), "t", batch_size=500, max_connections=9)
+    assert frame.told == {
+        "format": "jdbc",
+        "mode": "append",
+        "url": "jdbc:mariadb://h/db",
+        "driver": "org.mariadb.jdbc.Driver",
+        "dbtable": "t",
+        "batchsize": 500,
+        "numPartitions": 9,
+        "saved": True,
+    }
+
+
+def test_jdbc_read_is_partitioned_by_looked_up_bounds():
+    connection = jdbc_options("duckdb", "jdbc:duckdb:x")
+    session = Recorder(ends=(3, 90))
+    read_jdbc(session, connection, query="SELECT * FROM t", partition_column="id", partitions=4)
+    told = session.told
+    assert session.loads == 2 and told["dbtable"] == "(SELECT * FROM t) q"
+    assert (told["partitionColumn"], told["lowerBound"], told["upperBound"], told["numPartitions"]) == ("id", "3", "90", 4)
+    empty = Recorder(ends=(None, None))
+    read_jdbc(empty, connection, table="t", partition_column="id", partitions=4)
+    assert "lowerBound" not in empty.told and empty.told["dbtable"] == "t"
+    given = Recorder()
+    read_jdbc(given, connection, table="t", partition_column="id", bounds=(0, 10), partitions=2)
+    assert given.loads == 1 and given.told["upperBound"] == "10"

@@ -187,3 +187,19 @@ def test_sorted_layout_spreads_a_hot_key(spark, tmp_path):
     for name in (f for f in os.listdir(path) if f.endswith(".parquet")):
         keys = [r.k for r in spark.read.parquet(f"{path}/{name}").collect()]
         assert keys == sorted(keys)
+
+
+def test_sorted_layout_spreads_copies_of_one_row(spark, tmp_path):
+    df = spark.range(60_000, numPartitions=12).select(F.when(F.col("id") % 3 == 0, F.col("id")).otherwise(7).alias("k"))
+    path = str(tmp_path / "sorted")
+    write_sorted(df, path, ["k"], files=6)
+    back = spark.read.parquet(path)
+    assert back.groupBy("k").count().exceptAll(df.groupBy("k").count()).isEmpty() and back.count() == 60_000
+    sizes = back.groupBy(F.input_file_name()).count().collect()
+    assert max(r["count"] for r in sizes) < 20_000
+
+
+def test_sorted_layout_of_a_map_column(spark, tmp_path):
+    df = spark.range(50).select((50 - F.col("id")).alias("k"), F.create_map(F.lit("a"), F.col("id")).alias("m"))
+    write_sorted(df, str(tmp_path / "sorted"), ["k"], files=2)
+    assert [r.k for r in spark.read.parquet(str(tmp_path / "sorted")).orderBy("k").collect()] == list(range(1, 51))
