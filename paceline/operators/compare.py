@@ -13,32 +13,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from paceline.functions import round2
-from paceline.schemas import METRIC_COLUMNS
-
-# Shown when a custom workload failed without a message of its own.
-NO_MESSAGE = "Check table import or queries failure above."
-# Category of a query that has none.
-NO_CATEGORY = "QUERY"
-
-# Metrics drawn for a standard comparison.
-CHARTED = [
-    "connection_time_ms",
-    "schema_creation_time_ms",
-    "batch_insertion_rate",
-    "single_insert_rate",
-    "read_time_ms",
-    "join_time_ms",
-    "aggregate_time_ms",
-]
-
-# Statistic rows of the statistics grid, in report order: label, column, unit.
-STATISTICS = [
-    ("Row Count", "row_count", ""),
-    ("Data Size (Bytes)", "data_size_bytes", " Bytes"),
-    ("Total Size (Bytes)", "total_size_bytes", " Bytes"),
-    ("Total Size (MB)", "total_size_mb", " MB"),
-    ("Avg Bytes / Row", "bytes_per_row", " Bytes"),
-]
+from paceline.values import CHARTED, IMPORT_TOTALS, METRIC_COLUMNS, NO_CATEGORY, NO_MESSAGE, STATISTICS
 
 
 def union_results(results: list[DataFrame]) -> DataFrame:
@@ -242,20 +217,19 @@ def chart_imports(results: DataFrame, imports: DataFrame) -> DataFrame:
 
 def import_grid(results: DataFrame, imports: DataFrame, connections: list[str]) -> DataFrame:
     """The four import totals (rows) of each connection (columns) as text; ``-`` where it failed."""
-    texts = {
-        "Total Rows Loaded": F.format_number("total_rows_loaded", 0),
-        "Total Import Time (ms)": _ms_text(F.col("total_import_time_ms")),
-        "Average Table Import (ms)": _ms_text(F.col("average_table_import_time_ms")),
-        "CSV Import Rate (rows/s)": F.concat(
-            F.format_number(F.col("csv_import_rate").cast("decimal(18,2)"), 2), F.lit(" rows/s")
-        ),
-    }
+    def text(column: str, unit: str) -> Column:
+        if column == "total_rows_loaded":
+            return F.format_number(column, 0)
+        if unit == " ms":
+            return _ms_text(F.col(column))
+        return F.concat(F.format_number(F.col(column).cast("decimal(18,2)"), 2), F.lit(unit))
+
     long = (
         successful(results)
         .join(imports, "connection_name")
         .where(F.col("connection_name").isin(connections))
-        .select("connection_name", *[text.alias(label) for label, text in texts.items()])
-        .unpivot(["connection_name"], list(texts), "metric", "text")
+        .select("connection_name", *[text(column, unit).alias(label) for label, column, unit in IMPORT_TOTALS])
+        .unpivot(["connection_name"], [label for label, _, _ in IMPORT_TOTALS], "metric", "text")
     )
     cells = long.groupBy("metric").pivot("connection_name", connections).agg(F.first("text"))
     return cells.na.fill("-")

@@ -10,22 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from paceline.functions import exact_sum, rate, round2
-
-# Which metric leads a standard comparison and whether a lower value is better.
-STANDARD_LEADERS = {
-    "connection_time_ms": True,
-    "batch_insertion_rate": False,
-    "avg_single_insert_latency": True,
-    "read_time_ms": True,
-}
-
-# The same for a custom workload.
-CUSTOM_LEADERS = {
-    "total_import_time_ms": True,
-    "csv_import_rate": False,
-    "average_table_import_time_ms": True,
-    "avg_query_time_ms": True,
-}
+from paceline.values import CUSTOM_LEADERS, STANDARD_LEADERS
 
 
 def mean_runs(runs: DataFrame, keys: list[str], ms: str = "execution_time_ms") -> DataFrame:

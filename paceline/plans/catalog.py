@@ -35,6 +35,7 @@ from paceline.sources import (
     trial_summary,
     write_sorted,
 )
+from paceline.values import CHARTED, CUSTOM_LEADERS, METRIC_COLUMNS, NO_MESSAGE, STANDARD_LEADERS, STATISTICS
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -584,14 +585,15 @@ def t05_active_parts_size(spark, sf_dir):
 
 
 @query(
-    f"""WITH {b.SEGMENTS_SQL}
-    SELECT w.table_name,
-      CAST(coalesce(sum(s.bytes) FILTER (WHERE s.segment_name = upper(w.table_name) AND s.segment_type = 'TABLE'), 0)
+    f"""WITH {b.SEGMENTS_SQL},
+    members AS (
+      SELECT table_name, upper(table_name) AS segment_name FROM wanted
+      UNION SELECT w.table_name, i.index_name FROM wanted w JOIN indexes i ON i.table_name = upper(w.table_name))
+    SELECT m.table_name,
+      CAST(coalesce(sum(s.bytes) FILTER (WHERE s.segment_name = upper(m.table_name) AND s.segment_type = 'TABLE'), 0)
         AS BIGINT) AS data_size_bytes,
       CAST(coalesce(sum(s.bytes), 0) AS BIGINT) AS total_size_bytes
-    FROM wanted w LEFT JOIN segments s ON s.segment_name = upper(w.table_name) OR s.segment_name IN (
-      SELECT index_name FROM indexes i WHERE i.table_name = upper(w.table_name))
-    GROUP BY w.table_name"""
+    FROM members m LEFT JOIN segments s USING (segment_name) GROUP BY m.table_name"""
 )
 def t06_segment_sizes(spark, sf_dir):
     return storage.segment_sizes(
@@ -704,7 +706,7 @@ def _leaders_sql(source: str, metrics: dict[str, bool], condition: str = "true")
     return " UNION ALL ".join(_leader_sql(source, m, lower, condition) for m, lower in metrics.items())
 
 
-@query(f"WITH {b.METRICS_SQL} {_leaders_sql('metrics', measures.STANDARD_LEADERS, 'success')}")
+@query(f"WITH {b.METRICS_SQL} {_leaders_sql('metrics', STANDARD_LEADERS, 'success')}")
 def m07_standard_leaders(spark, sf_dir):
     return measures.standard_leaders(b.metrics(spark, sf_dir))
 
@@ -739,19 +741,19 @@ def _custom_leaders(spark, sf_dir, strict: bool) -> DataFrame:
     return found.withColumn("value", F.floor(F.col("value") * 1000 + 0.5) / 1000)
 
 
-@query(f"{CUSTOM_ROWS_SQL} {_leaders_sql('strict_rows', measures.CUSTOM_LEADERS)}")
+@query(f"{CUSTOM_ROWS_SQL} {_leaders_sql('strict_rows', CUSTOM_LEADERS)}")
 def m08_custom_leaders(spark, sf_dir):
     return _custom_leaders(spark, sf_dir, strict=True)
 
 
-@query(f"{CUSTOM_ROWS_SQL} {_leaders_sql('custom_rows', measures.CUSTOM_LEADERS)}")
+@query(f"{CUSTOM_ROWS_SQL} {_leaders_sql('custom_rows', CUSTOM_LEADERS)}")
 def m08_custom_leaders_not_strict(spark, sf_dir):
     return _custom_leaders(spark, sf_dir, strict=False)
 
 
 @query(
     f"""WITH {b.METRICS_SQL}
-    SELECT connection_name, db_type, position, {", ".join(f"coalesce({c}, 0) AS {c}" for c in compare.CHARTED)}
+    SELECT connection_name, db_type, position, {", ".join(f"coalesce({c}, 0) AS {c}" for c in CHARTED)}
     FROM metrics WHERE success"""
 )
 def m09_chart_overall(spark, sf_dir):
@@ -847,7 +849,7 @@ def _stat_cell_sql(column: str, unit: str) -> str:
             for c in ["A", "N", "R"]
         )
         + " FROM stats GROUP BY table_name"
-        for line, (label, column, unit) in enumerate(compare.STATISTICS)
+        for line, (label, column, unit) in enumerate(STATISTICS)
     )
 )
 def m13_stats_grid(spark, sf_dir):
@@ -874,7 +876,7 @@ def m16_failures(spark, sf_dir):
 
 
 @query(
-    f"""WITH {b.RESULTS_SQL} SELECT connection_name, coalesce(error, '{compare.NO_MESSAGE}') AS error FROM results
+    f"""WITH {b.RESULTS_SQL} SELECT connection_name, coalesce(error, '{NO_MESSAGE}') AS error FROM results
     WHERE NOT success OR error IS NOT NULL"""
 )
 def m16_failures_custom(spark, sf_dir):
@@ -899,7 +901,7 @@ def _metric_text_sql(column: str) -> str:
 @query(
     f"""WITH {b.METRICS_SQL}
     SELECT connection_name, db_type, position, CASE WHEN success THEN 'OK' ELSE 'Error' END AS status,
-      {", ".join(_metric_text_sql(c) for c in compare.METRIC_COLUMNS)}
+      {", ".join(_metric_text_sql(c) for c in METRIC_COLUMNS)}
     FROM metrics"""
 )
 def m18_comparison(spark, sf_dir):

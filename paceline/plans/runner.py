@@ -21,21 +21,28 @@ from paceline.errors import error_text
 from paceline.functions import round2
 from paceline.operators.measures import import_metrics
 from paceline.operators.storage import table_stats
-from paceline.schemas import LOAD, METRIC, METRIC_COLUMNS, QUERY_TIMING, RESULT, TABLE_STATS
+from paceline.schemas import LOAD, METRIC, QUERY_TIMING, RESULT, TABLE_STATS
 from paceline.sources.config import Config, missing_files, resolve_text
 from paceline.sources.csv import csv_dialect_of, read_csv
 from paceline.sources.generate import gen_orders, gen_users
 from paceline.sources.tables import apply_ddl, drop_table, load_to_threshold, trial_load
+from paceline.values import (
+    JOIN_BOUND,
+    LOAD_TRIALS,
+    METRIC_COLUMNS,
+    NO_QUERIES,
+    READ_RUNS,
+    STANDARD_AGGREGATE,
+    STANDARD_JOIN,
+    STANDARD_READ,
+    STANDARD_SCHEMA,
+    THRESHOLD_RUNS,
+    TOTAL_BOUND,
+    UNSUPPORTED,
+)
 
 SPARK_FORMATS = ("parquet", "orc", "csv", "json")
 
-# Settings of the standard workload: fixed values.
-READ_RUNS = 50
-THRESHOLD_RUNS = 5
-LOAD_TRIALS = 50
-JOIN_BOUND = 50.0
-TOTAL_BOUND = 10.0
-
 
 class QuerySet(NamedTuple):
     """What a standard run executes on one type of connection; ``?`` stands for the bound."""
@@ -47,23 +54,9 @@ class QuerySet(NamedTuple):
 
 
 def standard_queries(fmt: str) -> QuerySet:
-    """The standard tables and queries for tables of a file format: fixed names, columns and clauses."""
-    return QuerySet(
-        schema=[
-            "DROP TABLE IF EXISTS benchmark_orders",
-            "DROP TABLE IF EXISTS benchmark_users",
-            "CREATE TABLE benchmark_users (id BIGINT, name VARCHAR(100), email VARCHAR(100),"
-            f" created_at TIMESTAMP DEFAULT CURRENT_TIMESTAMP()) USING {fmt}",
-            "CREATE TABLE benchmark_orders (id BIGINT, user_id BIGINT, amount DECIMAL(10,2), order_date DATE)"
-            f" USING {fmt}",
-        ],
-        read="SELECT * FROM benchmark_users",
-        join="SELECT u.name, o.amount, o.order_date FROM benchmark_users u JOIN benchmark_orders o"
-        " ON u.id = o.user_id WHERE o.amount > ? LIMIT 100",
-        aggregate="SELECT u.name, SUM(o.amount) AS total_spent, COUNT(o.id) AS order_count"
-        " FROM benchmark_users u JOIN benchmark_orders o ON u.id = o.user_id"
-        " GROUP BY u.id, u.name HAVING SUM(o.amount) > ?",
-    )
+    """The standard tables and queries for tables of a file format."""
+    schema = [statement.format(fmt=fmt) for statement in STANDARD_SCHEMA]
+    return QuerySet(schema, STANDARD_READ, STANDARD_JOIN, STANDARD_AGGREGATE)
 
 
 def read_query_sets(spark: SparkSession, path: str) -> dict[str, QuerySet]:
@@ -129,7 +122,7 @@ class _Place(NamedTuple):
 
 def _open(spark: SparkSession, db_type: str) -> _Place:
     if db_type.lower() not in SPARK_FORMATS:
-        raise ValueError(f"Unsupported database type: {db_type}")
+        raise ValueError(UNSUPPORTED + db_type)
     session = spark.newSession()
     database = f"paceline_{uuid.uuid4().hex}"
     session.sql(f"CREATE DATABASE {database}")
@@ -158,7 +151,7 @@ def _query_set(db_type: str, query_sets: dict[str, QuerySet] | None) -> QuerySet
     if query_sets is None and dialect in SPARK_FORMATS:
         return standard_queries(dialect)
     if query_sets is None or dialect not in query_sets:
-        raise ValueError(f"No queries configuration found for database type: {db_type}")
+        raise ValueError(NO_QUERIES + db_type)
     return query_sets[dialect]
 
 
@@ -287,7 +280,7 @@ def custom_run(
         name, db_type, place, error = connection["name"], connection["db_type"], None, None
         try:
             if no_queries:
-                raise ValueError(f"No queries configuration found for database type: {db_type}")
+                raise ValueError(NO_QUERIES + db_type)
             dialect = csv_dialect_of(db_type)
             place = _open(spark, db_type)
             loaded = [

@@ -21,6 +21,8 @@ from pyspark.sql.types import (
     TimestampType,
 )
 
+from paceline.values import METRIC_COLUMNS
+
 
 def _struct(**columns) -> StructType:
     return StructType([StructField(name, kind) for name, kind in columns.items()])
@@ -30,20 +32,6 @@ USERS = _struct(id=LongType(), name=StringType(), email=StringType(), created_at
 
 ORDERS = _struct(id=LongType(), user_id=LongType(), amount=DecimalType(10, 2), order_date=DateType())
 
-# Columns of METRIC that hold a measurement, in report order.
-METRIC_COLUMNS = [
-    "connection_time_ms",
-    "schema_creation_time_ms",
-    "total_single_insert_time_ms",
-    "avg_single_insert_latency",
-    "single_insert_rate",
-    "batch_insertion_time_ms",
-    "batch_insertion_rate",
-    "read_time_ms",
-    "join_time_ms",
-    "aggregate_time_ms",
-]
-
 METRIC = _struct(
     connection_name=StringType(),
     db_type=StringType(),

@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from paceline.schemas import CONFIG
+from paceline.values import NO_QUERIES, NOT_UPLOADED
 
 
 class Config(NamedTuple):
@@ -53,7 +54,7 @@ def missing_files(tables: DataFrame, files: DataFrame) -> DataFrame:
     return tables.join(files, "csv_file_name", "left_anti").select(
         "table_name",
         "csv_file_name",
-        F.concat(F.col("csv_file_name"), F.lit(" not uploaded")).alias("error"),
+        F.concat(F.col("csv_file_name"), F.lit(NOT_UPLOADED)).alias("error"),
     )
 
 
@@ -64,7 +65,7 @@ def text_for(texts: Column | str, dialect: str) -> Column:
 
 def resolve_text(queries: DataFrame, dialect: str) -> DataFrame:
     """Pick each query's SQL for one dialect; a query without one gets an error text instead."""
-    missing = F.lit(f"No queries configuration found for database type: {dialect}")
+    missing = F.lit(NO_QUERIES + dialect)
     sql = text_for("queries_by_db", dialect)
     return queries.select(
         "position",

@@ -6,15 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
-# How each database reads CSV: fixed values. Oracle SQL has no bulk CSV load.
-CSV_DIALECTS = {
-    "mysql": "raw",
-    "postgresql": "quoted",
-    "mariadb": "raw",
-    "clickhouse": "named",
-    "oraclesql": None,
-    "duckdb": "quoted",
-}
+from paceline.values import CSV_DIALECTS
 
 # A text no file holds, so that only a truly empty field (,,) is NULL and "" stays an empty string.
 NO_TEXT = "\x01"

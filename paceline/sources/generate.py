@@ -10,6 +10,8 @@ import datetime as dt
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from paceline.values import EMAIL_END, EMAIL_START, FIRST_AMOUNT, USER_NAME_END, USER_NAME_START
+
 ROWS_PER_TASK = 5_000_000
 
 
@@ -27,8 +29,8 @@ def gen_users(spark: SparkSession, n: int) -> DataFrame:
     i = F.col("id").cast("string")
     return _range(spark, n).select(
         (F.col("id") + 1).alias("id"),
-        F.concat(F.lit("BenchUser_"), i, F.lit("1")).alias("name"),
-        F.concat(F.lit("user_"), (F.col("id") + 1).cast("string"), F.lit("@benchmark.com")).alias("email"),
+        F.concat(F.lit(USER_NAME_START), i, F.lit(USER_NAME_END)).alias("name"),
+        F.concat(F.lit(EMAIL_START), (F.col("id") + 1).cast("string"), F.lit(EMAIL_END)).alias("email"),
     )
 
 
@@ -43,6 +45,6 @@ def gen_orders(
     return _range(spark, n).select(
         (F.col("id") + 1).alias("id"),
         (F.col("id") + 1).alias("user_id"),
-        (F.col("id") + 10).cast(amount_type).alias("amount"),
+        (F.col("id") + FIRST_AMOUNT).cast(amount_type).alias("amount"),
         F.lit(order_date).cast("date").alias("order_date"),
     )

@@ -4,22 +4,14 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-# Driver class of each database type: fixed values.
-JDBC_DRIVERS = {
-    "mysql": "com.mysql.cj.jdbc.Driver",
-    "postgresql": "org.postgresql.Driver",
-    "mariadb": "org.mariadb.jdbc.Driver",
-    "clickhouse": "com.clickhouse.jdbc.ClickHouseDriver",
-    "oraclesql": "oracle.jdbc.OracleDriver",
-    "duckdb": "org.duckdb.DuckDBDriver",
-}
+from paceline.values import JDBC_DRIVERS, UNSUPPORTED
 
 
 def jdbc_options(db_type: str, url: str, username: str | None = None, password: str | None = None) -> dict:
     """Options of a connection. The driver jar must be on the class path of the session."""
     driver = JDBC_DRIVERS.get(db_type.lower())
     if driver is None:
-        raise ValueError(f"Unsupported database type: {db_type}")
+        raise ValueError(UNSUPPORTED + db_type)
     options = {"url": url, "driver": driver}
     if username is not None:
         options["user"] = username

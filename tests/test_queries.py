@@ -9,7 +9,6 @@ from decimal import Decimal
 import pytest
 from pyspark.sql import functions as F
 
-from paceline.operators.measures import CUSTOM_LEADERS
 from paceline.operators.queries import q_aggregate, q_count, q_filter, q_join, q_read
 from paceline.plans import (
     custom_report,
@@ -22,8 +21,9 @@ from paceline.plans import (
     standard_run,
     time_df,
 )
-from paceline.schemas import METRIC, METRIC_COLUMNS, QUERY_TIMING, TABLE_STATS
+from paceline.schemas import METRIC, QUERY_TIMING, TABLE_STATS
 from paceline.sources import apply_ddl, drop_table, read_config
+from paceline.values import CUSTOM_LEADERS, METRIC_COLUMNS
 from tests.conftest import as_list, as_set
 
 DAY = dt.date(2024, 1, 1)

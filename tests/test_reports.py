@@ -13,7 +13,8 @@ from pyspark.sql import functions as F
 
 from paceline.functions import bytes_per_row, db_name, exact_sum, latency, rate, round2, size_mb
 from paceline.operators import compare, measures, storage
-from paceline.schemas import LOAD, METRIC, METRIC_COLUMNS, QUERY_TIMING, RESULT, TABLE_STATS
+from paceline.schemas import LOAD, METRIC, QUERY_TIMING, RESULT, TABLE_STATS
+from paceline.values import CHARTED, METRIC_COLUMNS, NO_MESSAGE
 from tests.conftest import as_list, as_set
 
 FEW = settings(max_examples=10, deadline=None, suppress_health_check=[HealthCheck.function_scoped_fixture])
@@ -296,9 +297,9 @@ def test_failures(rows):
     assert as_set(compare.failures(results)) == {("b", "down"), ("c", None), ("e", None)}
     assert as_set(compare.failures(results, custom=True)) == {
         ("b", "down"),
-        ("c", compare.NO_MESSAGE),
+        ("c", NO_MESSAGE),
         ("d", "slow"),
-        ("e", compare.NO_MESSAGE),
+        ("e", NO_MESSAGE),
     }
     assert as_set(compare.successful(results).select("connection_name")) == {("a",), ("d",)}
 
@@ -335,7 +336,7 @@ def test_comparison_and_charts(metrics, rows):
     assert found["c"].status == "Error" and all(found["c"][c] == "-" for c in METRIC_COLUMNS)
     chart = {r.connection_name: r for r in compare.chart_overall(metrics).collect()}
     assert set(chart) == {"a", "b"} and chart["a"].join_time_ms == 0.0 and chart["a"].read_time_ms == 3.0
-    assert len(compare.CHARTED) == 7
+    assert len(CHARTED) == 7
 
 
 def test_import_tables(rows, loads):
