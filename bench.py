@@ -59,7 +59,9 @@ def seconds(work) -> float:
 
 def main() -> None:
     spark = build_session(
-        "bench", f"local[{CPUS}]", **{"spark.sql.shuffle.partitions": CPUS, "spark.ui.enabled": "false"}
+        "bench",
+        f"local[{CPUS}]",
+        **{"spark.sql.shuffle.partitions": CPUS, "spark.ui.enabled": "false", "spark.driver.memory": "8g"},
     )
     spark.sparkContext.setLogLevel("ERROR")
     first, median = {}, {}

@@ -13,6 +13,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType
 
+from paceline.sources.tables import stage
+
 
 def pk_violations(df: DataFrame, key: list[str]) -> DataFrame:
     """Keys that occur more than once or hold a NULL, with their number of rows ``n``.
@@ -32,13 +34,21 @@ def null_violations(df: DataFrame, columns: list[str]) -> DataFrame:
     return counts.unpivot([], columns, "column_name", "null_rows")
 
 
-def fk_orphans(child: DataFrame, parent: DataFrame, fk: str, pk: str) -> DataFrame:
+def fk_orphans(child: DataFrame, parent: DataFrame, fk: str, pk: str, staged: bool = False) -> DataFrame:
     """Child rows whose parent does not exist. A NULL reference is no orphan.
 
-    NULL references leave before the join, so they never meet in one partition.
+    NULL references leave before the join, so they never meet in one partition. A small parent is
+    broadcast and nothing is shuffled. With a large one, whole child rows would be: ``staged`` then looks
+    for the orphans among the distinct references first, which reads and shuffles one column, and writes
+    the keys it finds to the scratch folder. Orphans being few, the child meets them in a broadcast.
     """
+    child = child.where(F.col(fk).isNotNull())
     keys = parent.select(F.col(pk).alias("_pk"))
-    return child.where(F.col(fk).isNotNull()).join(keys, F.col(fk) == F.col("_pk"), "left_anti")
+    if not staged:
+        return child.join(keys, F.col(fk) == F.col("_pk"), "left_anti")
+    found = child.select(F.col(fk).alias("_fk")).distinct()
+    orphans = stage(found.join(keys, F.col("_fk") == F.col("_pk"), "left_anti"), "orphan_keys")
+    return child.join(orphans, F.col(fk) == F.col("_fk"), "left_semi")
 
 
 class Cascade(NamedTuple):
@@ -48,10 +58,19 @@ class Cascade(NamedTuple):
     child: DataFrame
 
 
-def cascade_delete(parent: DataFrame, child: DataFrame, where: Column, pk: str, fk: str) -> Cascade:
-    """Delete parent rows that match ``where`` and the child rows that refer to them."""
+def cascade_delete(
+    parent: DataFrame, child: DataFrame, where: Column, pk: str, fk: str, staged: bool = False
+) -> Cascade:
+    """Delete parent rows that match ``where`` and the child rows that refer to them.
+
+    How many parents match is not known when the join is planned, so with a large parent both sides would
+    be shuffled. ``staged`` writes the deleted keys to the scratch folder first; if they are few, the child
+    is only scanned.
+    """
     hit = F.coalesce(where, F.lit(False))
     gone = parent.where(hit).select(F.col(pk).alias("_pk"))
+    if staged:
+        gone = stage(gone, "deleted_keys")
     return Cascade(parent.where(~hit), child.join(gone, F.col(fk) == F.col("_pk"), "left_anti"))
 
 

@@ -328,6 +328,12 @@ def i03_fk_orphans(spark, sf_dir):
     return constraints.fk_orphans(documents, b.table(spark, sf_dir, "labels"), "doc_id", "doc_id")
 
 
+@query("SELECT doc_id, source, n_chars FROM documents WHERE doc_id NOT IN (SELECT doc_id FROM labels)")
+def i03_fk_orphans_staged(spark, sf_dir):
+    documents = b.table(spark, sf_dir, "documents").select("doc_id", "source", "n_chars")
+    return constraints.fk_orphans(documents, b.table(spark, sf_dir, "labels"), "doc_id", "doc_id", staged=True)
+
+
 @query(
     f"""SELECT o_orderkey, {PENDING_SQL} AS user_id FROM orders
     WHERE o_orderstatus <> 'P' AND o_custkey NOT IN (SELECT c_custkey FROM customer WHERE c_acctbal >= 0)"""
@@ -338,10 +344,10 @@ def i03_fk_orphans_null_key(spark, sf_dir):
     return constraints.fk_orphans(child, solvent, "user_id", "c_custkey")
 
 
-def _cascade(spark, sf_dir):
+def _cascade(spark, sf_dir, staged=False):
     in_debt = F.col("c_acctbal") < 0
     customer, orders = b.table(spark, sf_dir, "customer"), b.table(spark, sf_dir, "orders")
-    return constraints.cascade_delete(customer, orders, in_debt, "c_custkey", "o_custkey")
+    return constraints.cascade_delete(customer, orders, in_debt, "c_custkey", "o_custkey", staged)
 
 
 @query("SELECT c_custkey, c_name, c_acctbal FROM customer WHERE c_acctbal >= 0")
@@ -357,6 +363,14 @@ def i04_cascade_child(spark, sf_dir):
     return _cascade(spark, sf_dir).child.select("o_orderkey", "o_custkey", "o_totalprice")
 
 
+@query(
+    """SELECT o_orderkey, o_custkey, o_totalprice FROM orders
+    WHERE o_custkey NOT IN (SELECT c_custkey FROM customer WHERE c_acctbal < 0)"""
+)
+def i04_cascade_child_staged(spark, sf_dir):
+    return _cascade(spark, sf_dir, staged=True).child.select("o_orderkey", "o_custkey", "o_totalprice")
+
+
 @query(
     """SELECT doc_id, n_chars, concat_ws(',', CASE WHEN length(text) > 1000 THEN 'text' END,
       CASE WHEN length(source) > 4 THEN 'source' END,

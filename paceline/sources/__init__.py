@@ -12,6 +12,7 @@ from paceline.sources.tables import (
     load_table,
     load_to_threshold,
     scale_to_threshold,
+    stage,
     trial_load,
     trial_summary,
     write_sorted,
@@ -36,6 +37,7 @@ __all__ = [
     "read_jdbc",
     "resolve_text",
     "scale_to_threshold",
+    "stage",
     "trial_load",
     "trial_summary",
     "write_jdbc",

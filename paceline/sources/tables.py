@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 from paceline.errors import error_text
 from paceline.functions import exact_sum, round2
 from paceline.schemas import LOAD
+from paceline.session import scratch_path
 
 # Rows one task should write when a small table is multiplied.
 ROWS_PER_TASK = 1_000_000
@@ -43,6 +44,17 @@ def append(df: DataFrame, target: str, fmt: str = "parquet", overwrite: bool = F
         df.write.insertInto(target, overwrite=overwrite)
 
 
+def stage(df: DataFrame, name: str = "staged") -> DataFrame:
+    """Write a DataFrame to the shared scratch folder and read it back.
+
+    The plan is cut there: a lost executor costs nothing but reading files again. And the optimizer now
+    knows the true size, so a small result is broadcast and a large one is not.
+    """
+    path = scratch_path(df.sparkSession, name)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 def write_sorted(df: DataFrame, path: str, keys: list[str], fmt: str = "parquet", files: int | None = None) -> None:
     """Write files that are sorted by ``keys`` inside and cover one key range each.
 

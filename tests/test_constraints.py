@@ -44,14 +44,17 @@ def test_nulls(rows):
 def test_cascade_leaves_no_orphans(spark, parents, children, gone):
     parent = spark.createDataFrame([(p,) for p in sorted(set(parents))], "id int")
     child = spark.createDataFrame(list(enumerate(children)), "n int, parent_id int")
-    orphans = fk_orphans(child, parent, "parent_id", "id")
-    assert as_set(orphans) == {(n, c) for n, c in enumerate(children) if c is not None and c not in parents}
+    lost = {(n, c) for n, c in enumerate(children) if c is not None and c not in parents}
+    assert as_set(fk_orphans(child, parent, "parent_id", "id")) == lost
+    assert as_set(fk_orphans(child, parent, "parent_id", "id", staged=True)) == lost
     known = child.join(parent, child.parent_id == parent.id, "left_semi").union(child.where("parent_id is null"))
     left = cascade_delete(parent, known, F.col("id").isin([*gone, -1]), "id", "parent_id")
     assert as_set(left.parent) == {(p,) for p in set(parents) - gone}
     assert fk_orphans(left.child, left.parent, "parent_id", "id").count() == 0
     kept = {(n, c) for n, c in enumerate(children) if c is None or c in set(parents) - gone}
     assert as_set(left.child) == kept
+    staged = cascade_delete(parent, known, F.col("id").isin([*gone, -1]), "id", "parent_id", staged=True)
+    assert as_set(staged.child) == kept
 
 
 def test_delete_condition_that_is_null_keeps_the_row(rows):
@@ -65,6 +68,23 @@ def test_columns_of_one_name(rows):
     df = rows([(1,), (2,)], "id int")
     other = rows([(2,)], "id int")
     assert as_set(fk_orphans(df, other, "id", "id")) == {(1,)}
+    assert as_set(fk_orphans(df, other, "id", "id", staged=True)) == {(1,)}
+
+
+def test_staged_checks_do_not_shuffle_child_rows(spark, tmp_path):
+    spark.range(200_000).select("id", F.lit("x" * 50).alias("wide")).write.parquet(str(tmp_path / "child"))
+    spark.range(150_000).write.parquet(str(tmp_path / "parent"))
+    child, parent = (spark.read.parquet(str(tmp_path / name)) for name in ("child", "parent"))
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "400KB")
+    try:
+        plain = fk_orphans(child, parent, "id", "id")
+        staged = fk_orphans(child, parent, "id", "id", staged=True)
+        assert "SortMergeJoin" in plain._jdf.queryExecution().executedPlan().toString()
+        plan = staged._jdf.queryExecution().executedPlan().toString()
+        assert "BroadcastHashJoin" in plan and "Exchange hashpartitioning" not in plan
+        assert staged.count() == plain.count() == 50_000
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
 
 
 def test_type_limits(rows):
