@@ -11,6 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from paceline.functions import bytes_per_row, size_mb
+from paceline.session import report_rows
 
 
 def table_location(spark: SparkSession, table: str) -> tuple[str, str]:
@@ -50,7 +51,7 @@ def table_stats(spark: SparkSession, tables: dict[str, str], fmt: str = "parquet
         .agg(F.sum("n").alias("row_count"), F.sum("size").alias("data_size_bytes"))
     )
     total = _union(files).groupBy("table_name").agg(F.sum("length").alias("total_size_bytes"))
-    names = spark.createDataFrame(list(enumerate(tables)), "position int, table_name string")
+    names = report_rows(spark, list(enumerate(tables)), "position int, table_name string")
     joined = names.join(data, "table_name", "left").join(total, "table_name", "left")
     return _statistics(joined.na.fill(0, ["data_size_bytes", "total_size_bytes"]), names.columns)
 

@@ -22,6 +22,7 @@ from paceline.functions import round2
 from paceline.operators.measures import import_metrics
 from paceline.operators.storage import table_stats
 from paceline.schemas import LOAD, METRIC, QUERY_TIMING, RESULT, TABLE_STATS
+from paceline.session import report_rows
 from paceline.sources.config import Config, missing_files, resolve_text
 from paceline.sources.csv import csv_dialect_of, read_csv
 from paceline.sources.generate import gen_orders, gen_users
@@ -110,7 +111,7 @@ def run_queries(
             except Exception as failure:  # a failed query is a result row
                 error = error_text(failure)
         rows.append((connection, place, query["name"], query["category"], round(ms, 2), error is None, error))
-    return spark.createDataFrame(rows, QUERY_TIMING)
+    return report_rows(spark, rows, QUERY_TIMING)
 
 
 class _Place(NamedTuple):
@@ -210,9 +211,9 @@ def standard_run(
             if place:
                 _close(place)
         metrics.append((name, db_type, position, error is None, *[values.get(c) for c in METRIC_COLUMNS], error))
-    raw = spark.createDataFrame(metrics, METRIC)
+    raw = report_rows(spark, metrics, METRIC)
     rounded = raw.select(*[round2(c).alias(c) if c in METRIC_COLUMNS else F.col(c) for c in METRIC.names])
-    return StandardRun(rounded, spark.createDataFrame(stats, TABLE_STATS))
+    return StandardRun(rounded, report_rows(spark, stats, TABLE_STATS))
 
 
 class CustomRun(NamedTuple):
@@ -226,7 +227,7 @@ class CustomRun(NamedTuple):
 
 
 def _check_files(spark: SparkSession, tables: DataFrame, files: dict[str, str]) -> None:
-    given = spark.createDataFrame([(name,) for name in files], "csv_file_name string")
+    given = report_rows(spark, [(name,) for name in files], "csv_file_name string")
     missing = missing_files(tables, given).orderBy("table_name").collect()
     if missing:
         raise ValueError("; ".join(row["error"] for row in missing))
@@ -296,11 +297,11 @@ def custom_run(
             if place:
                 _close(place)
         results.append((name, db_type, connection["position"], error is None, error))
-    load_rows = spark.createDataFrame(loads, LOAD)
+    load_rows = report_rows(spark, loads, LOAD)
     return CustomRun(
-        results=spark.createDataFrame(results, RESULT),
+        results=report_rows(spark, results, RESULT),
         loads=load_rows,
-        timings=spark.createDataFrame(timings, QUERY_TIMING),
-        stats=spark.createDataFrame(stats, TABLE_STATS),
+        timings=report_rows(spark, timings, QUERY_TIMING),
+        stats=report_rows(spark, stats, TABLE_STATS),
         imports=import_metrics(load_rows),
     )

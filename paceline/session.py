@@ -5,7 +5,10 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import SparkSession
+import pyarrow as pa
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql.pandas.types import to_arrow_schema
+from pyspark.sql.types import StructType
 
 SETTINGS = {
     "spark.sql.adaptive.enabled": "true",
@@ -40,3 +43,15 @@ def scratch_path(spark: SparkSession, name: str) -> str:
         root = tempfile.mkdtemp(prefix="run-", dir="/tmp")
         spark.conf.set("spark.checkpoint.dir", root)
     return f"{root.rstrip('/')}/paceline-{uuid.uuid4().hex}/{name}"
+
+
+def report_rows(spark: SparkSession, rows: list[tuple], schema: StructType | str) -> DataFrame:
+    """A few measurement rows as a DataFrame.
+
+    Handed over as an Arrow table they become part of the plan; as Python tuples they would be a job of
+    their own with a Python worker per task.
+    """
+    schema = StructType.fromDDL(schema) if isinstance(schema, str) else schema
+    arrow = to_arrow_schema(schema)
+    columns = [pa.array([row[i] for row in rows], field.type) for i, field in enumerate(arrow)]
+    return spark.createDataFrame(pa.table(columns, schema=arrow), schema)

@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 from paceline.errors import error_text
 from paceline.functions import exact_sum, round2
 from paceline.schemas import LOAD
-from paceline.session import scratch_path
+from paceline.session import report_rows, scratch_path
 
 # Rows one task should write when a small table is multiplied.
 ROWS_PER_TASK = 1_000_000
@@ -107,14 +107,14 @@ def load_table(
     A failure gives 0 rows, 0 ms and the error text. A failed job commits no files.
     """
     rows, ms, error = _attempt(read, target, fmt, overwrite)
-    return spark.createDataFrame([_load_row(connection, position, table, csv_file, rows, ms, error)], LOAD)
+    return report_rows(spark, [_load_row(connection, position, table, csv_file, rows, ms, error)], LOAD)
 
 
 def load_refused(
     spark: SparkSession, table: str, csv_file: str | None, error: str, connection: str = "spark", position: int = 0
 ) -> DataFrame:
     """The LOAD row of a load that was not tried."""
-    return spark.createDataFrame([_load_row(connection, position, table, csv_file, 0, 0.0, error)], LOAD)
+    return report_rows(spark, [_load_row(connection, position, table, csv_file, 0, 0.0, error)], LOAD)
 
 
 def trial_load(
@@ -141,7 +141,7 @@ def trial_load(
         rows, ms, error = _attempt(read, target, fmt, overwrite=True)
         attempts.append((number, *_load_row(connection, position, table, csv_file, rows, ms, error)))
     schema = "trial_no int, " + ", ".join(f"{c.name} {c.dataType.simpleString()}" for c in LOAD)
-    runs = spark.createDataFrame(attempts, schema)
+    runs = report_rows(spark, attempts, schema)
     return trial_summary(runs, ["connection_name", "position", "table_name", "csv_file_name"]).select(*LOAD.names)
 
 
