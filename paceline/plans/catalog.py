@@ -22,6 +22,7 @@ from paceline.session import scratch_path
 from paceline.sources import (
     append,
     apply_ddl,
+    drop_table,
     gen_orders,
     gen_users,
     load_table,
@@ -279,6 +280,18 @@ def s14_ddl_load_drop(spark, sf_dir):
     return spark.read.parquet(path).select("id", "name", "email", created_on)
 
 
+@query("SELECT count(*) AS rows_before, false AS exists_after FROM customer")
+def s15_drop_table(spark, sf_dir):
+    path = scratch_path(spark, "dropped")
+    name = "dropped_" + path.split("/")[-2].replace("-", "_")
+    b.table(spark, sf_dir, "customer").write.parquet(path)
+    apply_ddl(spark, [f"CREATE TABLE {name} USING parquet LOCATION '{path}'"])
+    before = spark.table(name).agg(F.count(F.lit(1)).alias("rows_before"))
+    drop_table(spark, name)
+    drop_table(spark, name)
+    return before.withColumn("exists_after", F.lit(spark.catalog.tableExists(name)))
+
+
 @query("SELECT 'lineitem' AS query_name, count(*) AS row_count, true AS timed FROM lineitem")
 def s16_time_df(spark, sf_dir):
     lines = b.table(spark, sf_dir, "lineitem")

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from functools import cache
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -30,6 +31,11 @@ def build_session(app: str = "paceline", master: str | None = None, **conf: str)
     return builder.getOrCreate()
 
 
+@cache
+def _local_root(application: str) -> str:
+    return tempfile.mkdtemp(prefix="run-", dir="/tmp")
+
+
 def scratch_path(spark: SparkSession, name: str) -> str:
     """A path nothing else uses, under the shared folder named by ``spark.checkpoint.dir``.
 
@@ -40,8 +46,7 @@ def scratch_path(spark: SparkSession, name: str) -> str:
     if not root:
         if not spark.sparkContext.master.startswith("local"):
             raise ValueError("set spark.checkpoint.dir to a folder that all executors can reach")
-        root = tempfile.mkdtemp(prefix="run-", dir="/tmp")
-        spark.conf.set("spark.checkpoint.dir", root)
+        root = _local_root(spark.sparkContext.applicationId)
     return f"{root.rstrip('/')}/paceline-{uuid.uuid4().hex}/{name}"
 
 

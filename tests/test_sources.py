@@ -4,12 +4,15 @@ from __future__ import annotations
 
 import datetime as dt
 import json
+import os
 from decimal import Decimal
+from types import SimpleNamespace
 
 import pytest
 
 from paceline.errors import error_text
 from paceline.operators.queries import q_aggregate, q_join
+from paceline.session import scratch_path
 from paceline.sources import (
     JDBC_DRIVERS,
     csv_dialect_of,
@@ -266,3 +269,21 @@ def test_jdbc_read_is_partitioned_by_looked_up_bounds():
     given = Recorder()
     read_jdbc(given, connection, table="t", partition_column="id", bounds=(0, 10), partitions=2)
     assert given.loads == 1 and given.told["upperBound"] == "10"
+
+
+class FakeSession:
+    """A session without a scratch folder setting."""
+
+    def __init__(self, master, root=None):
+        values = {"spark.checkpoint.dir": root}
+        self.conf = SimpleNamespace(get=values.get)
+        self.sparkContext = SimpleNamespace(master=master, applicationId="app-1")
+
+
+def test_scratch_folder():
+    first, second = (scratch_path(FakeSession("yarn", "hdfs://shared/tmp/"), "x") for _ in range(2))
+    assert first.startswith("hdfs://shared/tmp/paceline-") and first.endswith("/x") and first != second
+    with pytest.raises(ValueError, match="spark.checkpoint.dir"):
+        scratch_path(FakeSession("yarn"), "x")
+    local = [scratch_path(FakeSession("local[2]"), "x").split("/paceline-")[0] for _ in range(2)]
+    assert local[0] == local[1] and os.path.isdir(local[0])
