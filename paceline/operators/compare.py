@@ -2,7 +2,7 @@
 
 A wide table has a column per connection, so its connections are a given list of names; ``connection_list``
 looks them up and refuses more than a table can hold. The long rows behind it may be many: they are reduced
-per (name, connection) inside the tasks, then once more per name, with numeric aggregates only.
+to one cell per (name, connection) inside the tasks by numeric aggregates, and only cells are put side by side.
 """
 
 from __future__ import annotations
@@ -67,37 +67,35 @@ def _category(c: Column | str) -> Column:
     return F.coalesce(F.nullif(c, F.lit("")), F.lit(NO_CATEGORY))
 
 
-def _quoted(name: str) -> Column:
-    return F.col(f"`{name.replace('`', '``')}`")
+def _cells(df: DataFrame, name: str, connections: list[str], values: dict[str, Column]) -> DataFrame:
+    """The first row's values of each (name, connection), with its position."""
+    return (
+        df.where(F.col("connection_name").isin(connections))
+        .groupBy(name, "connection_name")
+        .agg(
+            F.min("position").alias("position"),
+            *[F.min_by(column, "position").alias(label) for label, column in values.items()],
+        )
+    )
 
 
-def _first_cells(
-    df: DataFrame, name: str, connections: list[str], values: dict[str, Column], text: str | None = None
-) -> DataFrame:
-    """One row per name with the first row's values of each connection, as ``<index>_<value>`` columns.
+def _widen(cells: DataFrame, keys: list[str], connections: list[str], cell: Column, missing, *extra: Column) -> DataFrame:
+    """One row per key with a column per connection, and where the key first occurs.
 
-    ``text`` names a text column whose first value per name is wanted as well; rows are kept apart by it
-    in the first step, so that only the few rows of the second are sorted to find it.
+    A key has one cell per listed connection, so the map that is collected for it is never larger than
+    the list.
     """
-    chosen = df.where(F.col("connection_name").isin(connections))
-    cells = chosen.groupBy(name, "connection_name", *([text] if text else [])).agg(
-        F.min("position").alias("position"),
-        *[F.min_by(column, "position").alias(label) for label, column in values.items()],
+    entry = F.struct("connection_name", cell.alias("cell"))
+    wide = cells.groupBy(*keys).agg(
+        F.min("position").alias("position"), *extra, F.map_from_entries(F.collect_list(entry)).alias("_cells")
     )
-    wide = [
-        F.min_by(label, F.when(F.col("connection_name") == connection, F.col("position"))).alias(f"{i}_{label}")
-        for i, connection in enumerate(connections)
-        for label in values
-    ]
-    first_text = [F.min_by(text, "position").alias(text)] if text else []
-    return cells.groupBy(name).agg(F.min("position").alias("position"), *first_text, *wide)
+    shown = [F.coalesce(F.try_element_at("_cells", F.lit(c)), F.lit(missing)).alias(c) for c in connections]
+    return wide.select(*[F.col(f"`{c}`") for c in wide.columns if c != "_cells"], *shown)
 
 
 def _pivot(df: DataFrame, name: str, ms: str, connections: list[str]) -> DataFrame:
     spent = F.when(F.col("success"), F.col(ms)).otherwise(0.0)
-    wide = _first_cells(df, name, connections, {"ms": spent})
-    cells = [F.coalesce(_quoted(f"{i}_ms"), F.lit(0.0)).alias(c) for i, c in enumerate(connections)]
-    return wide.select(name, "position", *cells)
+    return _widen(_cells(df, name, connections, {"ms": spent}), [name], connections, F.col("ms"), 0.0)
 
 
 def pivot_loads(loads: DataFrame, connections: list[str]) -> DataFrame:
@@ -117,57 +115,57 @@ def _ms_text(ms: Column) -> Column:
     return F.concat(round2(ms).cast("decimal(18,2)").cast("string"), F.lit(" ms"))
 
 
-def _grid(
-    df: DataFrame, name: str, ms: str, connections: list[str], rows: str | None = None, text: str | None = None
-) -> DataFrame:
-    values = {"ok": F.col("success"), "ms": F.col(ms)}
-    if rows:
-        values["rows"] = F.col(rows)
-    wide = _first_cells(df, name, connections, values, text)
-
-    def cell(i: int) -> Column:
-        shown = _ms_text(_quoted(f"{i}_ms"))
-        if rows:
-            shown = F.concat(shown, F.lit(" ("), F.format_number(_quoted(f"{i}_rows"), 0), F.lit(" rows)"))
-        ok = _quoted(f"{i}_ok")
-        return F.when(ok, shown).when(~ok, F.lit("Error")).otherwise(F.lit("-"))
-
-    labels = [name, "position", *([text] if text else [])]
-    return wide.select(*labels, *[cell(i).alias(c) for i, c in enumerate(connections)])
+def _outcome(ok: Column, shown: Column) -> Column:
+    return F.when(ok, shown).when(~ok, F.lit("Error"))
 
 
 def load_grid(loads: DataFrame, connections: list[str]) -> DataFrame:
     """Load time and rows of each table on each connection as text; ``Error`` if failed, ``-`` if missing."""
-    return _grid(loads, "table_name", "load_time_ms", connections, rows="rows_loaded")
+    values = {"ok": F.col("success"), "ms": F.col("load_time_ms"), "n": F.col("rows_loaded")}
+    cells = _cells(loads, "table_name", connections, values)
+    shown = F.concat(_ms_text(F.col("ms")), F.lit(" ("), F.format_number("n", 0), F.lit(" rows)"))
+    return _widen(cells, ["table_name"], connections, _outcome(F.col("ok"), shown), "-")
 
 
 def query_grid(timings: DataFrame, connections: list[str]) -> DataFrame:
-    """Category of each query and its time on each connection as text."""
-    grid = _grid(timings, "query_name", "execution_time_ms", connections, text="category")
-    return grid.withColumn("category", _category("category"))
+    """Category of each query and its time on each connection as text.
+
+    Rows are kept apart by category in the first step, so that only the few rows left after it are sorted
+    to find the first category.
+    """
+    seen = (
+        timings.where(F.col("connection_name").isin(connections))
+        .groupBy("query_name", "connection_name", "category")
+        .agg(
+            F.min("position").alias("position"),
+            F.min_by("success", "position").alias("success"),
+            F.min_by("execution_time_ms", "position").alias("ms"),
+        )
+    )
+    values = {"ok": F.col("success"), "ms": F.col("ms"), "category": F.col("category")}
+    cells = _cells(seen, "query_name", connections, values)
+    shown = _outcome(F.col("ok"), _ms_text(F.col("ms")))
+    category = _category(F.min_by("category", "position")).alias("category")
+    return _widen(cells, ["query_name"], connections, shown, "-", category)
 
 
 def stats_grid(stats: DataFrame, connections: list[str]) -> DataFrame:
     """Each table's five statistics (rows) on each connection (columns) as text; ``-`` if missing."""
-    wide = _first_cells(stats, "table_name", connections, {column: F.col(column) for _, column, _ in STATISTICS})
 
-    def cell(i: int, column: str, unit: str) -> Column:
-        value = _quoted(f"{i}_{column}")
+    def text(column: str, unit: str) -> Column:
         if column in ("total_size_mb", "bytes_per_row"):
-            text = F.format_number(round2(value).cast("decimal(18,2)"), 2)
+            number = F.format_number(round2(column).cast("decimal(18,2)"), 2)
         else:
-            text = F.format_number(value, 0)
-        return F.coalesce(F.concat(text, F.lit(unit)), F.lit("-"))
+            number = F.format_number(column, 0)
+        return F.concat(number, F.lit(unit))
 
     lines = [
-        F.struct(
-            F.lit(line).alias("line"),
-            F.lit(label).alias("statistic"),
-            *[cell(i, column, unit).alias(c) for i, c in enumerate(connections)],
-        )
+        F.struct(F.lit(line).alias("line"), F.lit(label).alias("statistic"), text(column, unit).alias("text"))
         for line, (label, column, unit) in enumerate(STATISTICS)
     ]
-    return wide.select("table_name", "position", F.inline(F.array(*lines)))
+    cells = _cells(stats, "table_name", connections, {column: F.col(column) for _, column, _ in STATISTICS})
+    long = cells.select("table_name", "connection_name", "position", F.inline(F.array(*lines)))
+    return _widen(long, ["table_name", "line", "statistic"], connections, F.col("text"), "-")
 
 
 def comparison(metrics: DataFrame) -> DataFrame:
@@ -224,12 +222,10 @@ def import_grid(results: DataFrame, imports: DataFrame, connections: list[str])
             return _ms_text(F.col(column))
         return F.concat(F.format_number(F.col(column).cast("decimal(18,2)"), 2), F.lit(unit))
 
-    long = (
-        successful(results)
-        .join(imports, "connection_name")
-        .where(F.col("connection_name").isin(connections))
-        .select("connection_name", *[text(column, unit).alias(label) for label, column, unit in IMPORT_TOTALS])
-        .unpivot(["connection_name"], [label for label, _, _ in IMPORT_TOTALS], "metric", "text")
-    )
-    cells = long.groupBy("metric").pivot("connection_name", connections).agg(F.first("text"))
-    return cells.na.fill("-")
+    lines = [
+        F.struct(F.lit(line).alias("position"), F.lit(label).alias("metric"), text(column, unit).alias("text"))
+        for line, (label, column, unit) in enumerate(IMPORT_TOTALS)
+    ]
+    chosen = successful(results).where(F.col("connection_name").isin(connections)).select("connection_name")
+    long = chosen.join(imports, "connection_name").select("connection_name", F.inline(F.array(*lines)))
+    return _widen(long, ["metric"], connections, F.col("text"), "-")

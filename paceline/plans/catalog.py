@@ -947,17 +947,17 @@ def m19_successful(spark, sf_dir):
     + _imports_sql("loads")
     + " "
     + " UNION ALL ".join(
-        f"SELECT '{label}' AS metric, "
+        f"SELECT '{label}' AS metric, {line} AS position, "
         + ", ".join(
             f"""coalesce(max({text}) FILTER (WHERE connection_name = '{c}'), '-') AS "{c}" """ for c in b.PRIORITIES
         )
         + " FROM imports"
-        for label, text in {
+        for line, (label, text) in enumerate({
             "Total Rows Loaded": "format('{:,}', total_rows_loaded)",
             "Total Import Time (ms)": "CAST(CAST(total_import_time_ms AS DECIMAL(18,2)) AS VARCHAR) || ' ms'",
             "Average Table Import (ms)": "CAST(CAST(average_table_import_time_ms AS DECIMAL(18,2)) AS VARCHAR) || ' ms'",
             "CSV Import Rate (rows/s)": "format('{:,.2f}', csv_import_rate) || ' rows/s'",
-        }.items()
+        }.items())
     )
 )
 def m18_import_grid(spark, sf_dir):

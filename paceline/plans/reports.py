@@ -29,7 +29,7 @@ def custom_report(run: CustomRun, strict: bool = True) -> dict[str, DataFrame]:
     charted = compare.connection_list(compare.successful(run.results))
     return {
         "leaders": measures.custom_leaders(run.results, run.imports, measures.avg_query_time(run.timings), strict),
-        "imports": compare.import_grid(run.results, run.imports, connections),
+        "imports": compare.import_grid(run.results, run.imports, connections).orderBy("position"),
         "loads": compare.load_grid(run.loads, connections).orderBy("position"),
         "queries": compare.query_grid(run.timings, connections).orderBy("position"),
         "import_chart": compare.chart_imports(run.results, run.imports).orderBy("position"),

@@ -65,7 +65,7 @@ def test_scans_read_only_what_is_used(spark, name, columns):
 @pytest.mark.parametrize(
     "name,shuffles",
     [("m01_mean_runs", 1), ("m05_import_metrics_by_user", 1), ("m06_avg_query_time", 1), ("m10_pivot_loads", 2),
-     ("m12_query_grid", 2), ("q03_aggregate", 1), ("t05_active_parts_size", 1), ("m18_comparison", 1), ("m09_chart_overall", 1)],
+     ("m12_query_grid", 3), ("q03_aggregate", 1), ("t05_active_parts_size", 1), ("m18_comparison", 1), ("m09_chart_overall", 1)],
 )
 def test_number_of_shuffles(spark, name, shuffles):
     assert plan_of(catalog.QUERIES[name](spark, SF_DIR)).count("Exchange hashpartitioning") == shuffles
