@@ -227,5 +227,5 @@ def import_grid(results: DataFrame, imports: DataFrame, connections: list[str])
         for line, (label, column, unit) in enumerate(IMPORT_TOTALS)
     ]
     chosen = successful(results).where(F.col("connection_name").isin(connections)).select("connection_name")
-    long = chosen.join(imports, "connection_name").select("connection_name", F.inline(F.array(*lines)))
+    long = chosen.distinct().join(imports, "connection_name").select("connection_name", F.inline(F.array(*lines)))
     return _widen(long, ["metric"], connections, F.col("text"), "-")

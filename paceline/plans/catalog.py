@@ -576,7 +576,8 @@ def t02_size_mb(spark, sf_dir):
 
 @query(
     """SELECT l_orderkey, l_linenumber, l_quantity,
-      CASE WHEN l_discount > 0 THEN l_extendedprice / CAST(floor(l_discount * 100 + 0.5) AS BIGINT) ELSE 0 END AS bytes_per_row
+      CASE WHEN l_discount > 0 THEN l_extendedprice / CAST(floor(l_discount * 100 + 0.5) AS BIGINT) ELSE 0 END
+        AS bytes_per_row
     FROM lineitem"""
 )
 def t03_bytes_per_row(spark, sf_dir):
@@ -935,7 +936,10 @@ def m18_comparison(spark, sf_dir):
     return compare.comparison(b.metrics(spark, sf_dir))
 
 
-@query(f"WITH {b.METRICS_SQL} SELECT connection_name, db_type, position FROM metrics WHERE success AND read_time_ms IS NOT NULL")
+@query(
+    f"""WITH {b.METRICS_SQL}
+    SELECT connection_name, db_type, position FROM metrics WHERE success AND read_time_ms IS NOT NULL"""
+)
 def m19_successful(spark, sf_dir):
     return compare.successful(b.metrics(spark, sf_dir), "read_time_ms").select("connection_name", "db_type", "position")
 

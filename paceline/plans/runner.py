@@ -60,12 +60,18 @@ def standard_queries(fmt: str) -> QuerySet:
     return QuerySet(schema, STANDARD_READ, STANDARD_JOIN, STANDARD_AGGREGATE)
 
 
-def read_query_sets(spark: SparkSession, path: str) -> dict[str, QuerySet]:
-    """Read query sets by dialect from a JSON file ``{dialect: {schema: [..], read, join, aggregate}}``."""
+def read_query_sets(spark: SparkSession, path: str, most: int = 1000) -> dict[str, QuerySet]:
+    """Read query sets by dialect from a JSON file ``{dialect: {schema: [..], read, join, aggregate}}``.
+
+    More than ``most`` dialects are refused.
+    """
     one = "struct<schema:array<string>,read:string,join:string,aggregate:string>"
     docs = spark.read.text(path, wholetext=True)
     sets = docs.select(F.explode(F.from_json("value", f"map<string,{one}>", {"mode": "FAILFAST"})))
-    return {r["key"].lower(): QuerySet(**r["value"].asDict()) for r in sets.limit(1000).collect()}
+    rows = sets.limit(most + 1).collect()
+    if len(rows) > most:
+        raise ValueError(f"more than {most} query sets in one file")
+    return {row["key"].lower(): QuerySet(**row["value"].asDict()) for row in rows}
 
 
 def _elapsed_ms(work: Callable[[], object]) -> float:

@@ -230,6 +230,8 @@ def test_standard_run_with_query_sets_from_a_file(spark, tmp_path):
     (tmp_path / "sets.json").write_text(json.dumps({"Parquet": own, "json": {**own, "join": "SELEKT"}}, indent=1))
     sets = read_query_sets(spark, str(tmp_path / "sets.json"))
     assert sorted(sets) == ["json", "parquet"] and sets["parquet"].read == "SELECT id FROM benchmark_users"
+    with pytest.raises(ValueError, match="more than 1"):
+        read_query_sets(spark, str(tmp_path / "sets.json"), most=1)
     run = standard_run(spark, [("p", "PARQUET"), ("o", "orc"), ("j", "json")], 60, DAY, runs=1, query_sets=sets)
     found = run.metrics.orderBy("position").collect()
     assert [r.success for r in found] == [True, False, False]
