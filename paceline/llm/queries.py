@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from paceline.llm import mixing
+from paceline.llm import html, mixing, quality
 from paceline.llm.common import corpus, held_out
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -31,3 +31,14 @@ def op2_mix_sources(spark, sf_dir):
     return copies.select(
         "doc_id", "size", "source_size", "target", (F.col("copies") * F.col("size")).cast("long").alias("taken")
     )
+
+
+@query()
+def op4_quality_rules(spark, sf_dir):
+    judged = quality.quality(corpus(spark, sf_dir).select("doc_id", "lang", "text"))
+    return judged.drop("lang", "text")
+
+
+@query()
+def op6_extract_text(spark, sf_dir):
+    return html.extract_main_text(corpus(spark, sf_dir, "pages")).select("page_id", "url", "text", "n_chars")
