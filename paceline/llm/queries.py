@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from paceline.llm import html, mixing, quality
+from paceline.llm import html, langid, mixing, quality, secrets
 from paceline.llm.common import corpus, held_out
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -33,6 +33,18 @@ def op2_mix_sources(spark, sf_dir):
     )
 
 
+@query()
+def op3_find_secrets(spark, sf_dir):
+    found = secrets.find_secrets(corpus(spark, sf_dir).select("doc_id", "text"))
+    of_kind = lambda k: F.size(F.filter("base", lambda s: s["kind"] == k)).cast("long")
+    return found.select(
+        "doc_id",
+        *[of_kind(i).alias(f"n_{name}") for i, name in enumerate(secrets.KINDS[:3])],
+        F.sha2(secrets.span_text(F.col("base")), 256).alias("base_sha256"),
+        secrets.span_text(F.col("spans")).alias("spans"),
+    )
+
+
 @query()
 def op4_quality_rules(spark, sf_dir):
     judged = quality.quality(corpus(spark, sf_dir).select("doc_id", "lang", "text"))
@@ -42,3 +54,11 @@ def op4_quality_rules(spark, sf_dir):
 @query()
 def op6_extract_text(spark, sf_dir):
     return html.extract_main_text(corpus(spark, sf_dir, "pages")).select("page_id", "url", "text", "n_chars")
+
+
+@query()
+def op9_identify_language(spark, sf_dir):
+    docs = corpus(spark, sf_dir).select("doc_id", "lang", "text")
+    model = langid.fit(docs.where(~held_out(F.col("doc_id"), 4)))
+    found = langid.predict(docs.select("doc_id", held_out(F.col("doc_id"), 4).alias("held_out"), "text"), model)
+    return found.drop("text")
