@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from paceline.llm import html, langid, mixing, quality, secrets
+from paceline.llm import html, langid, mixing, packing, quality, secrets
 from paceline.llm.common import corpus, held_out
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -56,6 +56,11 @@ def op6_extract_text(spark, sf_dir):
     return html.extract_main_text(corpus(spark, sf_dir, "pages")).select("page_id", "url", "text", "n_chars")
 
 
+@query()
+def op8_pack_sequences(spark, sf_dir):
+    return packing.pack(corpus(spark, sf_dir).select("doc_id", "text"))
+
+
 @query()
 def op9_identify_language(spark, sf_dir):
     docs = corpus(spark, sf_dir).select("doc_id", "lang", "text")
