@@ -102,8 +102,14 @@ def segment_sum(values: np.ndarray, bounds: np.ndarray) -> np.ndarray:
     return out
 
 
-def tree_sum(df: DataFrame, partial: Callable[[Iterator[pa.RecordBatch]], np.ndarray], shape: tuple, dtype) -> np.ndarray:
-    """Sum of one fixed-size array per task, added up in a tree; only a few partial sums reach the driver."""
+def tree_sum(
+    df: DataFrame,
+    partial: Callable[[Iterator[pa.RecordBatch]], np.ndarray],
+    shape: tuple,
+    dtype,
+    combine: Callable[[np.ndarray, np.ndarray], np.ndarray] = np.add,
+) -> np.ndarray:
+    """One fixed-size array per task, added up (or else combined) in a tree; few partial results reach the driver."""
 
     def one(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_pydict({"a": [np.ascontiguousarray(partial(batches), dtype).tobytes()]})
@@ -111,7 +117,7 @@ def tree_sum(df: DataFrame, partial: Callable[[Iterator[pa.RecordBatch]], np.nda
     def add(a, b):
         if a is None or b is None:
             return b if a is None else a
-        return (np.frombuffer(a, dtype) + np.frombuffer(b, dtype)).tobytes()
+        return combine(np.frombuffer(a, dtype), np.frombuffer(b, dtype)).tobytes()
 
     parts = df.mapInArrow(one, T.StructType([T.StructField("a", T.BinaryType())])).rdd.map(lambda r: bytes(r[0]))
     total = parts.treeAggregate(None, add, add, depth=3)

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from paceline.llm import html, langid, mixing, packing, quality, secrets
+from paceline.llm import html, langid, mixing, ngram_join, packing, quality, secrets
 from paceline.llm.common import corpus, held_out
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -67,3 +67,9 @@ def op9_identify_language(spark, sf_dir):
     model = langid.fit(docs.where(~held_out(F.col("doc_id"), 4)))
     found = langid.predict(docs.select("doc_id", held_out(F.col("doc_id"), 4).alias("held_out"), "text"), model)
     return found.drop("text")
+
+
+@query(ngram_join.OP10_SQL)
+def op10_ngram_join(spark, sf_dir):
+    found = ngram_join.linked(corpus(spark, sf_dir).select("doc_id", "text"))
+    return found.select("doc_id", "n_shingles", "component_id")
