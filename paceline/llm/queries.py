@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from paceline.llm import html, langid, mixing, ngram_join, packing, quality, secrets
+from paceline.llm import fingerprints, html, langid, mixing, ngram_join, packing, quality, secrets
 from paceline.llm.common import corpus, held_out
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -51,6 +51,11 @@ def op4_quality_rules(spark, sf_dir):
     return judged.drop("lang", "text")
 
 
+@query()
+def op5_fingerprints(spark, sf_dir):
+    return fingerprints.compare_edits(corpus(spark, sf_dir).select("doc_id", "text"))
+
+
 @query()
 def op6_extract_text(spark, sf_dir):
     return html.extract_main_text(corpus(spark, sf_dir, "pages")).select("page_id", "url", "text", "n_chars")
