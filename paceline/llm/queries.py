@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from paceline.llm import fingerprints, html, langid, mixing, ngram_join, packing, quality, secrets
+from paceline.llm import fingerprints, html, langid, lm, mixing, ngram_join, packing, quality, secrets, toxicity
 from paceline.llm.common import corpus, held_out
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -25,6 +25,12 @@ def query(sql: str | None = None) -> Callable[[Query], Query]:
     return register
 
 
+@query()
+def op1_score_text(spark, sf_dir):
+    held = held_out(F.col("doc_id"), 7).alias("held")
+    return lm.score_documents(corpus(spark, sf_dir).select("doc_id", held, "text"))
+
+
 @query(mixing.OP2_SQL)
 def op2_mix_sources(spark, sf_dir):
     copies = mixing.mix_copies(corpus(spark, sf_dir).select("doc_id", "source", "text"))
@@ -61,6 +67,16 @@ def op6_extract_text(spark, sf_dir):
     return html.extract_main_text(corpus(spark, sf_dir, "pages")).select("page_id", "url", "text", "n_chars")
 
 
+@query()
+def op7_toxicity(spark, sf_dir):
+    docs = corpus(spark, sf_dir).select("doc_id", "text")
+    held = held_out(F.col("doc_id"), 4)
+    labels = corpus(spark, sf_dir, "labels").where(~held).select("doc_id", "toxic")
+    model = toxicity.fit(labels.join(docs, "doc_id"))
+    scored = toxicity.score(docs.select("doc_id", held.alias("held_out"), "text"), model)
+    return scored.select("doc_id", "held_out", "score", "predicted", "worst_sentence")
+
+
 @query()
 def op8_pack_sequences(spark, sf_dir):
     return packing.pack(corpus(spark, sf_dir).select("doc_id", "text"))
