@@ -5,19 +5,47 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from paceline.llm import mixing
+from paceline.llm import mixing, ngram_join, packing, quality, secrets
 from paceline.llm.common import corpus, stage
 
 Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
 
 
+def keep_good(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that pass the quality rules, judged by references from this very corpus."""
+    return quality.quality(docs).where("kept").select(*[F.col(f"`{c}`") for c in docs.columns])
+
+
+def keep_one_of_each(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document, that of the smallest id, of each group of near copies (five-word shingles, similarity 0.8)."""
+    return ngram_join.one_of_each(docs)
+
+
+def mask_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """All documents, with secrets in the text replaced by a mask."""
+    return secrets.mask_secrets(docs)
+
+
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Repeat or leave out documents until the sources have their target shares."""
+    """Documents repeated or left out until the sources have their target shares."""
     return mixing.mix_documents(docs)
 
 
-STAGES: list[tuple[str, Stage]] = [("mix_sources", mix_sources)]
+def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The pieces of all documents with their places in training sequences."""
+    return packing.pack(docs)
+
+
+STAGES: list[tuple[str, Stage]] = [
+    ("quality_rules", keep_good),
+    ("ngram_join", keep_one_of_each),
+    ("find_secrets", mask_secrets),
+    ("mix_sources", mix_sources),
+    ("pack_sequences", pack_sequences),
+]
+# Tokenizing, string tests and hashed signatures have no form in SQL.
 ORACLE_SQL = None
 
 

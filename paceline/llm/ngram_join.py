@@ -30,8 +30,8 @@ from pyspark.sql import types as T
 from paceline.llm.common import chunks, interned, mix, raw, stage, tree_sum, word_hashes, words
 from paceline.llm.components import components
 
-SHINGLE = 3
-PERCENT = 90
+SHINGLE = 5
+PERCENT = 80
 SKETCH = 1 << 20
 PARITY_WORDS = 8
 # Signatures with more documents hand on a forest first; blocks of this many are compared at a time.
@@ -83,8 +83,9 @@ def schemes(size: int, percent: int = PERCENT) -> list[int]:
     return list(range(low.bit_length() - 1, high.bit_length()))
 
 
-def classes(scheme: int) -> int:
-    return max(1, (1 << scheme) // 16)
+def classes(scheme: int, percent: int = PERCENT) -> int:
+    """Classes of frequent tokens in a size class, so that a prefix has a few tokens of each."""
+    return max(1, (1 << scheme) * (100 - percent) // 160)
 
 
 def signatures(tokens: np.ndarray, load: np.ndarray, frequent: float, percent: int = PERCENT) -> np.ndarray:
@@ -101,12 +102,12 @@ def signatures(tokens: np.ndarray, load: np.ndarray, frequent: float, percent: i
     rare = int(np.searchsorted(count[order], frequent))
     out = []
     for scheme in schemes(size, percent):
-        tag = np.uint64(scheme + 1) * _C
+        tag = np.uint64((scheme + 1) * int(_C) & (1 << 64) - 1)
         out.append(mix(ordered[: min(rare, need)] * _A + tag))
         if rare >= need:
             continue
         rest = ordered[rare:]
-        cls = ((rest >> np.uint64(40)) % np.uint64(classes(scheme))).astype(np.int64)
+        cls = ((rest >> np.uint64(40)) % np.uint64(classes(scheme, percent))).astype(np.int64)
         by = np.argsort(cls, kind="stable")
         sorted_cls = cls[by]
         first = np.ones(len(rest), bool)
@@ -141,11 +142,11 @@ def most_different(a: np.ndarray, b: np.ndarray, percent: int = PERCENT) -> np.n
     return both - 2 * -(-percent * both // (100 + percent))
 
 
-def _sketch(texts: DataFrame) -> np.ndarray:
+def _sketch(texts: DataFrame, width: int) -> np.ndarray:
     def count(batches: Iterator[pa.RecordBatch]) -> np.ndarray:
         total = np.zeros(SKETCH, np.int64)
         for batch in chunks(batches):
-            sets = shingle_sets(raw(batch.column("text")))
+            sets = shingle_sets(raw(batch.column("text")), width)
             total += np.bincount((np.concatenate(sets) & np.uint64(SKETCH - 1)).astype(np.int64), minlength=SKETCH)
         return total
 
@@ -162,7 +163,7 @@ def _lists(arrays: list[np.ndarray]) -> pa.Array:
     return pa.ListArray.from_arrays(pa.array(offsets), pa.array(_signed(values.astype(np.uint64))))
 
 
-def _index(texts: DataFrame, load: np.ndarray, percent: int) -> DataFrame:
+def _index(texts: DataFrame, load: np.ndarray, width: int, percent: int) -> DataFrame:
     """Every document with its set's size, node, signatures and parity bits."""
     shared = texts.sparkSession.sparkContext.broadcast(load)
     mean = float(load.mean())
@@ -171,7 +172,7 @@ def _index(texts: DataFrame, load: np.ndarray, percent: int) -> DataFrame:
     def apply(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         load = shared.value
         for batch in chunks(batches):
-            sets = shingle_sets(raw(batch.column("text")))
+            sets = shingle_sets(raw(batch.column("text")), width)
             yield pa.RecordBatch.from_arrays(
                 [
                     batch.column("doc_id"),
@@ -318,7 +319,7 @@ def _near(rows: DataFrame, percent: int, forest: bool) -> DataFrame:
     return _candidates(dealt, percent, forest)
 
 
-def _sets(wanted: DataFrame, texts: DataFrame) -> DataFrame:
+def _sets(wanted: DataFrame, texts: DataFrame, width: int) -> DataFrame:
     """(node, tokens) of the wanted nodes, from the texts of those documents (and a few others) that bits pick out."""
 
     def mark(batches: Iterator[pa.RecordBatch]) -> np.ndarray:
@@ -334,7 +335,7 @@ def _sets(wanted: DataFrame, texts: DataFrame) -> DataFrame:
         marked = np.unpackbits(shared.value).astype(bool)
         for batch in chunks(batches):
             hit = marked[batch.column("text_hash").to_numpy(zero_copy_only=False) & (NEEDED - 1)]
-            sets = [s for s in shingle_sets(raw(batch.column("text").filter(pa.array(hit)))) if len(s)]
+            sets = [s for s in shingle_sets(raw(batch.column("text").filter(pa.array(hit))), width) if len(s)]
             nodes = pa.array([node_of(s) for s in sets], pa.int64())
             yield pa.RecordBatch.from_arrays([nodes, _lists(sets)], names=["node", "tokens"])
 
@@ -342,11 +343,11 @@ def _sets(wanted: DataFrame, texts: DataFrame) -> DataFrame:
     return picked.join(wanted.select("node"), "node", "left_semi").groupBy("node").agg(F.first("tokens").alias("tokens"))
 
 
-def _verified(pairs: DataFrame, nodes: DataFrame, texts: DataFrame, percent: int) -> DataFrame:
+def _verified(pairs: DataFrame, nodes: DataFrame, texts: DataFrame, width: int, percent: int) -> DataFrame:
     """The links among candidate pairs, by the whole sets of both."""
     ends = pairs.select(F.col("a").alias("node")).union(pairs.select("b")).distinct()
     wanted = stage(ends.join(nodes.select("node", "text_hash"), "node"), "wanted")
-    sets = stage(_sets(wanted, texts), "sets")
+    sets = stage(_sets(wanted, texts, width), "sets")
     left = sets.select(F.col("node").alias("a"), F.col("tokens").alias("ta"))
     right = sets.select(F.col("node").alias("b"), F.col("tokens").alias("tb"))
     both = F.size(F.array_intersect("ta", "tb"))
@@ -354,18 +355,18 @@ def _verified(pairs: DataFrame, nodes: DataFrame, texts: DataFrame, percent: int
     return linked.where(100 * F.col("both") >= percent * (F.col("sum") - F.col("both"))).select("a", "b")
 
 
-def linked(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
+def linked(docs: DataFrame, width: int = SHINGLE, percent: int = PERCENT) -> DataFrame:
     """Per row of ``docs``: doc_id, text_hash, n_shingles, root and component_id, the smallest doc_id that links reach.
 
-    Two documents link when their sets of three-word shingles (A-Z in lower case) have a Jaccard similarity of
-    ``percent`` / 100 or more. Null and empty texts and those without a word have no shingles, link with nothing and
+    Two documents link when their sets of shingles of ``width`` words (A-Z in lower case; the whole sequence where there
+    are fewer) have a Jaccard similarity of ``percent`` / 100 or more. Null and empty texts and those without a word have no shingles, link with nothing and
     are components of their own id, also when an id repeats. Rows of null id take part; a component of nothing but them
     has a null id. Repeated rows link with each other. ``docs`` needs doc_id and text; other columns are not read.
     ``root`` names the component of a row with shingles, and is null without.
     """
     text = F.coalesce(F.col("text").cast("binary"), F.lit(b""))
     texts = docs.select("doc_id", F.xxhash64(text).alias("text_hash"), text.alias("text"))
-    index = stage(_index(texts, _sketch(texts), percent), "index")
+    index = stage(_index(texts, _sketch(texts, width), width, percent), "index")
     first = [F.first(c).alias(c) for c in ("n_shingles", "text_hash", "signatures", "parity")]
     nodes = stage(index.where(F.col("node").isNotNull()).groupBy("node").agg(*first), "nodes")
     rows = nodes.select(F.explode("signatures").alias("sig"), "node")
@@ -373,14 +374,14 @@ def linked(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
     shared = stage(rows.join(crowds, "sig"), "shared")
 
     pairs = stage(_near(_laid_out(shared, nodes, None), percent, forest=True), "pairs")
-    links = stage(_verified(pairs, nodes, texts, percent), "links")
+    links = stage(_verified(pairs, nodes, texts, width, percent), "links")
     crowded = shared.where(F.col("crowd") > CROWD)
     if not crowded.isEmpty():
         joined = components(links)
         more = _near(_laid_out(crowded, nodes, joined), percent, forest=False).join(pairs, ["a", "b"], "left_anti")
         more = stage(more, "more-pairs")
         if not more.isEmpty():
-            links = links.union(stage(_verified(more, nodes, texts, percent), "more-links"))
+            links = links.union(stage(_verified(more, nodes, texts, width, percent), "more-links"))
     roots = components(links)
     rooted = index.select("doc_id", "text_hash", "n_shingles", "node").join(roots, "node", "left")
     rooted = rooted.withColumn("root", F.coalesce("root", "node"))
@@ -390,12 +391,12 @@ def linked(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
     return named.select("doc_id", "text_hash", "n_shingles", "root", own.alias("component_id"))
 
 
-def one_of_each(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
+def one_of_each(docs: DataFrame, width: int = SHINGLE, percent: int = PERCENT) -> DataFrame:
     """``docs`` with one row of each component, one with its smallest id (a null id comes last); wordless rows all stay.
 
     All columns of ``docs``, of any name, are kept. No rows: no rows.
     """
-    found = linked(docs, percent).where(F.col("root").isNotNull())
+    found = linked(docs, width, percent).where(F.col("root").isNotNull())
     order = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "text_hash")
     best = found.groupBy("root").agg(F.min(order).alias("m"))
     best = best.select(F.struct(F.col("m.doc_id").alias("id"), F.col("m.text_hash").alias("h")).alias("key"))

@@ -92,5 +92,5 @@ def op9_identify_language(spark, sf_dir):
 
 @query(ngram_join.OP10_SQL)
 def op10_ngram_join(spark, sf_dir):
-    found = ngram_join.linked(corpus(spark, sf_dir).select("doc_id", "text"))
+    found = ngram_join.linked(corpus(spark, sf_dir).select("doc_id", "text"), width=3, percent=90)
     return found.select("doc_id", "n_shingles", "component_id")

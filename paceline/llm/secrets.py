@@ -219,9 +219,9 @@ def thresholds(found: DataFrame, uneven: list[float], rate: float = RATE) -> dic
     return out
 
 
-def scan(docs: DataFrame) -> DataFrame:
-    """All columns of ``docs`` but the text, with the fixed patterns' spans (``base``) and the tested candidates."""
-    kept = [c for c in docs.columns if c not in ("text", "base", "trials")]
+def scan(docs: DataFrame, keep_text: bool = False) -> DataFrame:
+    """All columns of ``docs``, the text if wanted, with the fixed patterns' spans (``base``) and the tested candidates."""
+    kept = [c for c in docs.columns if c not in ("base", "trials") and (keep_text or c != "text")]
     given = docs.select(F.struct(*[F.col(f"`{c}`") for c in kept]).alias("row"), F.coalesce("text", F.lit("")).alias("text"))
     fields = T.StructType.fromDDL(FOUND)
     base_type = pa.list_(pa.struct([("kind", pa.int32()), ("start", pa.int32()), ("end", pa.int32())]))
@@ -273,8 +273,10 @@ def _reported(uneven: list[float], limits: dict[int, float], p_random: float) ->
     return F.transform(good, lambda t: F.struct(F.lit(3).alias("kind"), t["start"].alias("start"), t["end"].alias("end")))
 
 
-def find_secrets(docs: DataFrame, rate: float = RATE, p_random: float = P_RANDOM) -> DataFrame:
-    """All columns of ``docs`` but the text, with ``base`` (spans of the fixed patterns) and ``spans`` (with the method's).
+def find_secrets(
+    docs: DataFrame, rate: float = RATE, p_random: float = P_RANDOM, keep_text: bool = False
+) -> DataFrame:
+    """All columns of ``docs`` (the text if wanted) with ``base`` (spans of the fixed patterns) and ``spans`` (with the method's).
 
     A span is (kind, start, end): the position of its kind in KINDS, code points, end exclusive; arrays are ordered by
     start, then kind. Null and empty texts have no spans. Without any candidate nothing but the base is reported.
@@ -282,7 +284,7 @@ def find_secrets(docs: DataFrame, rate: float = RATE, p_random: float = P_RANDOM
     frequencies, the scan (its findings are written to the scratch folder), and the thresholds over the findings.
     """
     uneven = unevenness(_histogram(docs))
-    found = stage(scan(docs), "secret-findings")
+    found = stage(scan(docs, keep_text), "secret-findings")
     limits = thresholds(found, uneven, rate)
     both = F.concat(F.col("base"), _reported(uneven, limits, p_random))
     keyed = F.array_sort(F.transform(both, lambda s: F.struct(s["start"].alias("start"), s["kind"].alias("kind"), s["end"].alias("end"))))
@@ -296,6 +298,20 @@ def span_text(spans: Column) -> Column:
     return F.array_join(F.transform(spans, lambda s: F.concat_ws(":", kind(s), s["start"].cast("string"), s["end"].cast("string"))), ",")
 
 
+def mask_secrets(docs: DataFrame) -> DataFrame:
+    """The columns of ``docs`` with every secret in the text masked, and ``n_chars``, if there, counted anew.
+
+    Texts without a secret, null ones among them, stay as they are.
+    """
+    found = find_secrets(docs, keep_text=True)
+    some = F.size("spans") > 0
+    masked = found.withColumn("text", F.when(some, redact(F.col("text"), F.col("spans"))).otherwise(F.col("text")))
+    if "n_chars" in docs.columns:
+        counted = F.length("text").cast(docs.schema["n_chars"].dataType)
+        masked = masked.withColumn("n_chars", F.when(some, counted).otherwise(F.col("n_chars")))
+    return masked.select(*[F.col(f"`{c}`") for c in docs.columns])
+
+
 def digest(text: str) -> str:
     """The base spans of one text as the digest of the contract, for tests."""
     joined = ",".join(f"{KINDS[k]}:{a}:{b}" for k, a, b in base_spans(text))
