@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import sys
+import types
 from collections.abc import Callable, Iterable, Iterator
 
 import numpy as np
@@ -11,9 +13,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from paceline.sources.tables import stage
-
-__all__ = ["chunks", "corpus", "held_out", "pack_rows", "raw", "stage", "text_of", "tree_sum", "word_hashes", "words"]
+from paceline.sources.tables import stage as stage
 
 # Text bytes that a task handles at a time; a single longer text is a chunk of its own.
 CHUNK_BYTES = 4 << 20
@@ -30,11 +30,6 @@ def held_out(doc_id: Column, modulus: int, remainder: int = 2) -> Column:
     return F.coalesce(F.crc32(doc_id.cast("string")) % modulus == remainder, F.lit(False))
 
 
-def text_of(df: DataFrame, *ids: str, text: str = "text") -> DataFrame:
-    """The id columns and the text as bytes, null as empty; other columns of any name stay out of the task."""
-    return df.select(*ids, F.coalesce(F.col(text).cast("binary"), F.lit(b"")).alias("text"))
-
-
 def raw(column: pa.Array | pa.ChunkedArray) -> list[bytes]:
     return [x or b"" for x in column.to_pylist()]
 
@@ -60,13 +55,6 @@ def chunks(batches: Iterable[pa.RecordBatch], limit: int = CHUNK_BYTES) -> Itera
             done, start = int(size[end - 1]), end
 
 
-def pack_rows(columns: dict[str, object], schema: pa.Schema) -> pa.RecordBatch:
-    return pa.RecordBatch.from_arrays(
-        [columns[f.name] if isinstance(columns[f.name], pa.Array) else pa.array(columns[f.name], f.type) for f in schema],
-        schema=schema,
-    )
-
-
 def mix(x: np.ndarray) -> np.ndarray:
     """A 64-bit finalizer (splitmix64) over an array."""
     x = x.astype(np.uint64, copy=True)
@@ -102,6 +90,18 @@ def segment_sum(values: np.ndarray, bounds: np.ndarray) -> np.ndarray:
     return out
 
 
+def worker_state(name: str, make: Callable[[], object]) -> object:
+    """Something costly that a Python worker makes once and keeps for its later tasks; ``name`` must fix its value.
+
+    Task functions come with their code and have no module of their own that would outlive a task, so it is kept in a
+    module that is made for it.
+    """
+    state = vars(sys.modules.setdefault("paceline_worker_state", types.ModuleType("paceline_worker_state")))
+    if name not in state:
+        state[name] = make()
+    return state[name]
+
+
 def tree_sum(
     df: DataFrame,
     partial: Callable[[Iterator[pa.RecordBatch]], np.ndarray],

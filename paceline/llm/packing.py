@@ -13,22 +13,25 @@ from __future__ import annotations
 import heapq
 import zlib
 from collections.abc import Iterator
+from itertools import compress
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from paceline.llm.common import chunks, raw, stage
+from paceline.llm.common import chunks, raw, stage, worker_state
 
 LENGTH = 2048
 GRAIN = 128
-GROUP = 1000
-GROUPS_PER_TASK = 16
+GROUP = 500
+GROUPS_PER_TASK = 32
 END_ID = 1
-SPECIAL = (b"<|startoftext|>", b"<|endoftext|>")
-# Words whose ids a task remembers, and words per call of the tokenizer.
-REMEMBERED = 400_000
+# Marks that are looked for at the end of a word.
+MARKS = b".,;:!?%$#&*|"
+MARK_BYTES = frozenset(MARKS)
+# Words whose ids a Python worker remembers (about 200 bytes each), and words per call of the tokenizer.
+REMEMBERED = 1_000_000
 AT_ONCE = 1000
 
 PIECES = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
@@ -40,45 +43,71 @@ def tokenizer_file(name: str = "word_bpe_49k.json") -> str:
     return public_tokenizers.path(name)
 
 
+def _core(word: bytes) -> bytes | None:
+    """A word without the marks at its end, if these are a piece of their own for sure: after a letter or digit."""
+    core = word.rstrip(MARKS)
+    if not core or b"<|" in word:
+        return None
+    last = core[-1:]
+    return core if last.isalnum() or last > b"\x7f" and core.decode()[-1].isalpha() else None
+
+
 class WordEncoder:
-    """Ids of words as bytes, remembered by word.
+    """Ids of words as bytes, remembered by word in lower case (which the tokenizer makes of them anyway).
 
-    This tokenizer never joins what white space parts, so a text's ids are its words' ids in order. Unknown words go
-    through it in one call, parted by a special token that none of them contains.
+    This tokenizer never joins what white space parts, nor letters with the marks after them, so a text's ids are its words'
+    ids in order, and a word's those of its letters and of the marks at its end. A word of letters alone is one piece to the
+    tokenizer, whose last id, and no other, ends a piece: so unknown words go through it many at a time, parted by spaces.
     """
 
     def __init__(self, definition: str, remembered: int = REMEMBERED) -> None:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_str(definition)
-        self.mark = SPECIAL[1].decode()
-        self.mark_id = self.tokenizer.token_to_id(self.mark)
+        vocabulary = self.tokenizer.get_vocab()
+        self.ends = np.zeros(max(vocabulary.values()) + 1, bool)
+        self.ends[[i for token, i in vocabulary.items() if token.endswith("</w>")]] = True
         self.known: dict[bytes, bytes] = {}
         self.remembered = remembered
 
     def _ids(self, text: str) -> np.ndarray:
-        return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4")
-
-    def _learn(self, new: list[bytes]) -> None:
-        plain = [w for w in new if b"<|" not in w]
-        for w in new:
-            if b"<|" in w:
-                self.known[w] = self._ids(w.decode()).tobytes()
-        for i in range(0, len(plain), AT_ONCE):
-            some = plain[i : i + AT_ONCE]
-            ids = self._ids(self.mark.join(w.decode() for w in some))
-            cuts = np.flatnonzero(ids == self.mark_id) * 4
-            data, start = ids.tobytes(), 0
-            for w, cut in zip(some, [*cuts.tolist(), len(data)], strict=True):
-                self.known[w] = data[start:cut]
-                start = cut + 4
+        return np.array(self.tokenizer.encode_batch_fast([text], add_special_tokens=False)[0].ids, "<u4")
+
+    def _learn_whole(self, new: list[bytes]) -> None:
+        """Ids of words that are not taken apart first."""
+        texts = [w.decode() for w in new]
+        letters = [t.isalpha() for t in texts]
+        known = self.known
+        for w, t in compress(zip(new, texts, strict=True), [not x for x in letters]):
+            known[w] = self._ids(t).tobytes()
+        new, texts = list(compress(new, letters)), list(compress(texts, letters))
+        for i in range(0, len(new), AT_ONCE):
+            some = new[i : i + AT_ONCE]
+            ids = self._ids(" ".join(texts[i : i + AT_ONCE]))
+            cuts = ((np.flatnonzero(self.ends[ids]) + 1) * 4).tolist()
+            if len(cuts) == len(some):
+                data = ids.tobytes()
+                known.update(zip(some, map(data.__getitem__, map(slice, [0, *cuts[:-1]], cuts)), strict=True))
+            else:
+                # A letter that normalisation takes apart makes more pieces than words.
+                known.update((w, self._ids(w.decode()).tobytes()) for w in some)
+
+    def _learn(self, new: set[bytes]) -> None:
+        known = self.known
+        marked = {w: core for w in new if w[-1] in MARK_BYTES and (core := _core(w))}
+        self._learn_whole(list(((new - marked.keys()) | set(marked.values())) - known.keys()))
+        tails = {w[len(core) :] for w, core in marked.items()} - known.keys()
+        self._learn_whole(list(tails))
+        for w, core in marked.items():
+            known[w] = known[core] + known[w[len(core) :]]
 
     def encode(self, texts: list[bytes]) -> Iterator[bytes]:
         """Little-endian unsigned 32-bit ids of each text."""
         if len(self.known) > self.remembered:
             self.known.clear()
-        lists = [t.split() for t in texts]
-        self._learn(list({w for ws in lists for w in ws} - self.known.keys()))
+        # The names of special tokens count in lower case alone, so a text that may hold one keeps its case.
+        lists = [(t if b"<|" in t else t.lower()).split() for t in texts]
+        self._learn(set().union(*lists) - self.known.keys())
         get = self.known.__getitem__
         for ws in lists:
             yield b"".join(map(get, ws))
@@ -95,7 +124,7 @@ def encode(docs: DataFrame, definition: str, length: int = LENGTH, grain: int =
     shared = docs.sparkSession.sparkContext.broadcast(definition)
 
     def apply(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder = WordEncoder(shared.value)
+        encoder = worker_state(f"words-{zlib.crc32(shared.value.encode())}", lambda: WordEncoder(shared.value))
         end = np.array([END_ID], "<u4").tobytes()
         for batch in chunks(batches):
             sizes, crcs = [], []
