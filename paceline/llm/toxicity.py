@@ -3,7 +3,7 @@
 The kernel counts common subsequences of ``LENGTH`` characters, each weighted by ``DECAY`` to the power of the stretch that
 it covers in both strings (characters that are not letters only widen it), and is divided by the root of both strings' own values. So a word that is written with gaps or
 inserted characters stays near the plain one. Landmarks are chosen among the words of labelled sentences: those that mark toxic
-texts most surely, and a few common ones. A sentence's similarity to a landmark is that of its most similar window (a word, or
+texts most surely, for each of these the harmless word most like it, and a few common ones. A sentence's similarity to a landmark is that of its most similar window (a word, or
 a run of single characters), and the Nystrom map (inverse root of the landmarks' own kernel matrix) makes them features of a linear
 machine. Labels belong to texts, not to sentences: training alternates between picking, in every labelled text, the few sentences
 that the machine finds worst, which then carry the text's label, and fitting again. A text scores as its worst sentence,
@@ -23,12 +23,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from paceline.llm.common import chunks
+from paceline.llm.common import chunks, worker_state
 
 LENGTH = 3
 DECAY = 0.8
 # Power of the normalised kernel, which is a kernel again: far-off words fall behind near ones.
-POWER = 3
+POWER = 2
 COST = 10.0
 MARKING = 14
 COMMON = 4
@@ -36,7 +36,7 @@ COMMON = 4
 MARKED = 0.002
 # Labelled documents that the machine is fitted on.
 SAMPLE = 4000
-# Distinct windows that a task remembers.
+# Distinct windows that a Python worker remembers (about 250 bytes each).
 REMEMBERED = 400_000
 THRESHOLD = 0.3
 # Longer windows are cut into overlapping parts of this many characters.
@@ -167,7 +167,8 @@ class Rows:
 
 
 def choose_landmarks(texts: list[list[list[str]]], toxic: np.ndarray, marking: int = MARKING, common: int = COMMON) -> list[str]:
-    """Windows whose share of toxic texts is surely above the average (by a normal score), then the most common windows."""
+    """Windows whose share of toxic texts is surely above the average (by a normal score); for each of them the harmless
+    window that is most like it, so that the machine can tell them apart; and the most common windows."""
     in_toxic, in_all = Counter(), Counter()
     for found, bad in zip(texts, toxic, strict=True):
         own = {w for s in found for w in s if any(c.isalpha() for c in w)}
@@ -182,6 +183,11 @@ def choose_landmarks(texts: list[list[list[str]]], toxic: np.ndarray, marking: i
         if n >= max(3, MARKED * len(texts)) and z >= 5:
             scored.append((-z, w))
     chosen = [w for _, w in sorted(scored)[:marking]]
+    often = max(3, MARKED * len(texts))
+    harmless = [w for w, n in sorted(in_all.items()) if n >= often and in_toxic[w] < 0.5 * n and w not in chosen]
+    if chosen and harmless:
+        near = similarities(harmless, chosen)
+        chosen += sorted({harmless[i] for i in near.argmax(axis=0)})
     rest = sorted(((-n, w) for w, n in in_all.items() if w not in chosen))
     return chosen + [w for _, w in rest[:common]]
 
@@ -270,7 +276,7 @@ def score(docs: DataFrame, model: Model, threshold: float = THRESHOLD) -> DataFr
     given = docs.select(F.struct(*[F.col(f"`{c}`") for c in kept]).alias("row"), F.coalesce("text", F.lit("")).alias("text"))
 
     def apply(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        table = Rows(model.landmarks)
+        table = worker_state("rows-" + "/".join(model.landmarks), lambda: Rows(model.landmarks))
         for batch in chunks(batches):
             texts = [sentences(t) for t in batch.column("text").to_pylist()]
             size = np.array([len(s) for s in texts])
