@@ -169,8 +169,14 @@ class Rows:
 def choose_landmarks(texts: list[list[list[str]]], toxic: np.ndarray, marking: int = MARKING, common: int = COMMON) -> list[str]:
     """Windows whose share of toxic texts is surely above the average (by a normal score); for each of them the harmless
     window that is most like it, so that the machine can tell them apart; and the most common windows."""
-    in_toxic, in_all = Counter(), Counter()
+    in_toxic, in_all, seen = Counter(), Counter(), set()
     for found, bad in zip(texts, toxic, strict=True):
+        # A copy, near or exact, of a text before it is no further witness.
+        long = [hash(tuple(s)) for s in found if len(s) >= 4]
+        copied = sum(h in seen for h in long)
+        seen.update(long)
+        if 2 * copied > len(long):
+            continue
         own = {w for s in found for w in s if any(c.isalpha() for c in w)}
         in_all.update(own)
         if bad:
