@@ -34,6 +34,8 @@ MARKING = 14
 COMMON = 4
 # Share of the labelled texts that must be toxic ones with a word, for it to be a landmark.
 MARKED = 0.002
+# Share of the texts with a landmark that are toxic ones.
+SURE = 0.6
 # Labelled documents that the machine is fitted on.
 SAMPLE = 4000
 # Distinct windows that a Python worker remembers (about 250 bytes each).
@@ -186,7 +188,7 @@ def choose_landmarks(texts: list[list[list[str]]], toxic: np.ndarray, marking: i
     for w, n in in_toxic.items():
         total = in_all[w]
         z = (n - rate * total) / np.sqrt(max(rate * (1 - rate) * total, 1e-9))
-        if n >= max(3, MARKED * len(texts)) and z >= 5:
+        if n >= max(3, MARKED * len(texts)) and n >= SURE * total and z >= 5:
             scored.append((-z, w))
     chosen = [w for _, w in sorted(scored)[:marking]]
     often = max(3, MARKED * len(texts))
