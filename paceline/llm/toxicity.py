@@ -16,6 +16,7 @@ import re
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
+from itertools import islice
 
 import numpy as np
 import pyarrow as pa
@@ -26,11 +27,14 @@ from pyspark.sql import types as T
 from paceline.llm.common import chunks, worker_state
 
 LENGTH = 3
-DECAY = 0.8
+DECAY = 0.9
 # Power of the normalised kernel, which is a kernel again: far-off words fall behind near ones.
 POWER = 2
 COST = 10.0
-MARKING = 14
+MARKING = 24
+# Landmarks are no more alike than this, so that every family of words gets some; harmless words less like one are no matter.
+ALIKE = 0.42
+CLOSE = 0.2
 COMMON = 4
 # Share of the labelled texts that must be toxic ones with a word, for it to be a landmark.
 MARKED = 0.002
@@ -43,6 +47,10 @@ REMEMBERED = 400_000
 THRESHOLD = 0.3
 # Longer windows are cut into overlapping parts of this many characters.
 LONGEST = 24
+# Windows are handled together by length: from one of these to below the next.
+WIDTHS = (1, 5, 7, 9, 11, 14, 18, LONGEST + 1)
+# Share of a landmark's letters that a window must have to be compared with it.
+SHARED = 0.6
 SENTENCE = re.compile(r"[.!?]+(?=\s|$)|\n")
 SPELLED = re.compile(r"(?<!\S)\S(?:\s\S){2,}(?!\S)")
 EDGE = ".,;:!?\"'()[]{}<>*#%&$|"
@@ -50,12 +58,13 @@ EDGE = ".,;:!?\"'()[]{}<>*#%&$|"
 
 def windows(sentence: str) -> list[str]:
     """Words without marks at their edges, and runs of three or more single characters as one window each."""
-    out = []
+    found = []
     if spelled := SPELLED.findall(sentence):
-        out = spelled
+        found = spelled
         sentence = SPELLED.sub(" ", sentence)
-    for word in sentence.split():
-        word = word.strip(EDGE)
+    found += [word.strip(EDGE) for word in sentence.split()]
+    out = []
+    for word in found:
         if len(word) > LONGEST:
             out += [word[i : i + LONGEST] for i in range(0, len(word) - LONGEST // 2, LONGEST // 2)]
         elif len(word) >= LENGTH:
@@ -91,25 +100,39 @@ def _kernel(match: list[np.ndarray], decay: float, length: int) -> np.ndarray:
 
 
 def similarities(strings: list[str], landmarks: list[str], decay: float = DECAY, length: int = LENGTH) -> np.ndarray:
-    """(strings, landmarks) normalised kernel values to the power ``POWER``; strings shorter than the subsequences give 0."""
+    """(strings, landmarks) normalised kernel values to the power ``POWER``.
+
+    0 where a string is shorter than the subsequences, or has less than ``SHARED`` of a landmark's different letters (by
+    64 classes of code points): most words, which are then not compared any further.
+    """
     out = np.zeros((len(strings), len(landmarks)), np.float32)
-    own = {t: float(_kernel(_match_self(_characters([t], len(t))), decay, length)[0]) for t in landmarks if len(t) >= length}
+    usable = [(j, t, _characters([t], len(t))) for j, t in enumerate(landmarks) if len(t) >= length]
+    known = [(j, _spelled(t), float(_kernel(_match_self(x), decay, length)[0]), _letters(x)[0]) for j, t, x in usable]
     sizes = np.array([len(s) for s in strings])
-    for size in np.unique(sizes):
-        if size < length:
-            continue
-        at = np.flatnonzero(sizes == size)
-        for i in range(0, len(at), 4096):
-            some = at[i : i + 4096]
-            x = _characters([strings[k] for k in some], int(size))
-            norm = _kernel(_match_self(x), decay, length)
-            for j, t in enumerate(landmarks):
-                if t in own:
-                    values = _kernel([((x == ord(c)) & (x > 0)).astype(np.float32) for c in t], decay, length)
-                    out[some, j] = (values / np.sqrt(np.maximum(norm * own[t], 1e-12))) ** POWER
+    for low, high in zip(WIDTHS[:-1], WIDTHS[1:], strict=True):
+        at = np.flatnonzero((sizes >= max(low, length)) & (sizes < high))
+        for i in range(0, len(at), 8192):
+            some = at[i : i + 8192]
+            # Blanks at the end match nothing.
+            x = _characters([strings[k].ljust(high - 1) for k in some], high - 1)
+            letters = _letters(x)
+            norm = np.zeros(len(some), np.float32)
+            like = [np.bitwise_count(letters & own) >= np.ceil(SHARED * np.bitwise_count(own)) for _, _, _, own in known]
+            wanted = np.flatnonzero(np.any(like, axis=0)) if known else np.zeros(0, np.int64)
+            norm[wanted] = _kernel(_match_self(x[wanted]), decay, length) if len(wanted) else 0
+            for (j, t, own, _), hit in zip(known, like, strict=True):
+                near = np.flatnonzero(hit & (norm > 0))
+                if len(near):
+                    values = _kernel([(x[near] == c).astype(np.float32) for c in t], decay, length)
+                    out[some[near], j] = (values / np.sqrt(norm[near] * own)) ** POWER
     return out
 
 
+def _spelled(landmark: str) -> list[int]:
+    """Code points of a landmark; one that no text has where it has no letter."""
+    return [ord(c) if c.isalpha() else 0x110000 for c in landmark]
+
+
 def _characters(strings: list[str], size: int) -> np.ndarray:
     """Code points, one string a row; 0 where there is no letter."""
     x = np.frombuffer("".join(strings).encode("utf-32-le", "surrogatepass"), np.uint32).reshape(-1, size)
@@ -118,6 +141,12 @@ def _characters(strings: list[str], size: int) -> np.ndarray:
     return letters[back].reshape(x.shape)
 
 
+def _letters(x: np.ndarray) -> np.ndarray:
+    """The set of each row's letters, as bits."""
+    bits = np.where(x > 0, np.uint64(1) << (x.astype(np.uint64) & np.uint64(63)), np.uint64(0))
+    return np.bitwise_or.reduce(bits, axis=1)
+
+
 def _match_self(x: np.ndarray) -> list[np.ndarray]:
     return [((x == x[:, j : j + 1]) & (x > 0)).astype(np.float32) for j in range(x.shape[1])]
 
@@ -151,7 +180,7 @@ class Rows:
         code, known = self.code, len(self.code)
         out = [np.fromiter((code.setdefault(w, len(code)) for w in ws), np.int64, len(ws)) for ws in lists]
         if len(code) > known:
-            new = list(code)[known:] if not known else [w for w, _ in zip(reversed(code), range(len(code) - known), strict=False)][::-1]
+            new = list(islice(reversed(code), len(code) - known))[::-1]
             if len(code) > len(self.rows):
                 grown = np.zeros((max(len(code), 2 * len(self.rows)), self.rows.shape[1]), np.float32)
                 grown[:known] = self.rows[:known]
@@ -190,12 +219,18 @@ def choose_landmarks(texts: list[list[list[str]]], toxic: np.ndarray, marking: i
         z = (n - rate * total) / np.sqrt(max(rate * (1 - rate) * total, 1e-9))
         if n >= max(3, MARKED * len(texts)) and n >= SURE * total and z >= 5:
             scored.append((-z, w))
-    chosen = [w for _, w in sorted(scored)[:marking]]
+    ranked = [w for _, w in sorted(scored)[: 10 * marking]]
+    alike = similarities(ranked, ranked) if ranked else np.zeros((0, 0))
+    picked: list[int] = []
+    for k in range(len(ranked)):
+        if len(picked) < marking and (alike[k, picked] < ALIKE).all():
+            picked.append(k)
+    chosen = [ranked[k] for k in picked]
     often = max(3, MARKED * len(texts))
     harmless = [w for w, n in sorted(in_all.items()) if n >= often and in_toxic[w] < 0.5 * n and w not in chosen]
     if chosen and harmless:
         near = similarities(harmless, chosen)
-        chosen += sorted({harmless[i] for i in near.argmax(axis=0)})
+        chosen += sorted({harmless[i] for i, close in zip(near.argmax(axis=0), near.max(axis=0), strict=True) if close >= CLOSE})
     rest = sorted(((-n, w) for w, n in in_all.items() if w not in chosen))
     return chosen + [w for _, w in rest[:common]]
 
@@ -242,6 +277,8 @@ def fit_texts(texts: list[str], toxic: list[bool], rounds: int = 4, worst: int =
     values, vectors = np.linalg.eigh(similarities(landmarks, landmarks).astype(np.float64))
     root = vectors @ np.diag(1 / np.sqrt(np.maximum(values, 1e-6))) @ vectors.T
     table = Rows(landmarks)
+    # All windows at once, as a call for each text would cost far more.
+    table.codes([s for f in found for s in f])
     bags = [table.of_sentences(s) @ root for s in found]
     full = [i for i, b in enumerate(bags) if len(b)]
     x, y = np.array([bags[i].max(axis=0) for i in full]), np.where(labels[full], 1.0, -1.0)
