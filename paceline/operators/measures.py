@@ -20,11 +20,15 @@ def mean_runs(runs: DataFrame, keys: list[str], ms: str = "execution_time_ms") -
     )
 
 
-def import_metrics(loads: DataFrame) -> DataFrame:
+def import_metrics(loads: DataFrame, results: DataFrame | None = None) -> DataFrame:
     """Per connection: tables, rows, total time, mean time per table and rows per second.
 
-    Failed loads count as tables with 0 rows and 0 ms. The mean and the rate use the unrounded total.
+    Failed loads count as tables with 0 rows and 0 ms. The mean and the rate use the unrounded total. With
+    ``results`` each connection in it has a row, of zeros if it has no load. Names tell connections apart.
     """
+    if results is not None:
+        names = results.select("connection_name").distinct()
+        return with_imports(names, import_metrics(loads))
     totals = loads.groupBy("connection_name").agg(
         F.count(F.lit(1)).alias("tables_imported"),
         F.coalesce(F.sum("rows_loaded"), F.lit(0).cast("bigint")).alias("total_rows_loaded"),
@@ -42,6 +46,22 @@ def import_metrics(loads: DataFrame) -> DataFrame:
     )
 
 
+def with_imports(results: DataFrame, imports: DataFrame) -> DataFrame:
+    """Results with their import totals; a connection that imported no table has zeros."""
+    zero = F.lit(0).cast("bigint")
+    joined = results.join(imports, "connection_name", "left")
+    return joined.withColumns(
+        {
+            **{c: F.coalesce(F.col(c), zero) for c in ("tables_imported", "total_rows_loaded")},
+            **{
+                c: F.coalesce(F.col(c), F.lit(0.0))
+                for c in ("total_import_time_ms", "average_table_import_time_ms", "csv_import_rate")
+            },
+            "any_loaded": F.coalesce("any_loaded", F.lit(False)),
+        }
+    )
+
+
 def avg_query_time(timings: DataFrame) -> DataFrame:
     """Mean time of each connection's successful queries; +Infinity, which ranks last, if it has none.
 
@@ -58,7 +78,7 @@ def avg_query_time(timings: DataFrame) -> DataFrame:
 
 
 def leaders(df: DataFrame, metrics: dict[str, bool], eligible: Column | None = None) -> DataFrame:
-    """The best row for each metric: (metric, connection_name, value).
+    """The best row for each metric: (metric, connection_name, value), and its db_type if rows have one.
 
     ``metrics`` says whether lower is better. Among equal values the row with the smallest ``position``
     wins. NULL values do not compete, nor do rows that are not ``eligible``. All metrics come from one
@@ -66,18 +86,19 @@ def leaders(df: DataFrame, metrics: dict[str, bool], eligible: Column | None = N
     """
     if eligible is not None:
         df = df.where(eligible)
+    kind = ["db_type"] if "db_type" in df.columns else []
     best = []
     for metric, lower in metrics.items():
         value = F.col(metric).cast("double")
         order = F.struct(value if lower else -value, F.col("position"))
-        row = F.struct(F.col("connection_name"), value.alias("value"))
+        row = F.struct("connection_name", value.alias("value"), *kind)
         best.append(F.min_by(row, F.when(value.isNotNull(), order)).alias(metric))
     names = list(metrics)
     return (
         df.agg(*best)
         .unpivot([], names, "metric", "best")
         .where(F.col("best").isNotNull())
-        .select("metric", "best.connection_name", "best.value")
+        .select("metric", "best.connection_name", "best.value", *[f"best.{c}" for c in kind])
     )
 
 
@@ -92,14 +113,13 @@ def standard_leaders(metrics: DataFrame) -> DataFrame:
 
 
 def custom_leaders(results: DataFrame, imports: DataFrame, queries: DataFrame, strict: bool = True) -> DataFrame:
-    """Leaders of a custom workload among connections that succeeded and have import metrics.
+    """Leaders of a custom workload among connections that succeeded.
 
-    A connection all of whose loads failed spent 0 ms and would lead the time metrics; ``strict`` leaves
+    A connection that loaded nothing, or all of whose loads failed, spent 0 ms and would lead the time metrics; ``strict`` leaves
     it out of the import metrics. Connections without a successful query rank last by query time.
     """
     rows = (
-        results.where("success")
-        .join(imports, "connection_name")
+        with_imports(results.where("success"), imports)
         .join(queries.select("connection_name", "avg_query_time_ms"), "connection_name", "left")
         .withColumn("avg_query_time_ms", F.coalesce("avg_query_time_ms", F.lit(float("inf"))))
     )

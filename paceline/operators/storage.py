@@ -21,39 +21,38 @@ def table_location(spark: SparkSession, table: str) -> tuple[str, str]:
     return found["Location"], found["Provider"]
 
 
-def _union(frames: list[DataFrame]) -> DataFrame:
-    return reduce(DataFrame.unionByName, frames)
+def _folder_bytes(spark: SparkSession, path: str) -> tuple[int, int]:
+    """Bytes of a folder (or file) without and with hidden files, from the file system's own summary."""
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    fs = where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    total = fs.getContentSummary(where).getLength()
+    hidden = fs.globStatus(spark._jvm.org.apache.hadoop.fs.Path(where, "[_.]*")) or []
+    return total - sum(fs.getContentSummary(f.getPath()).getLength() for f in hidden), total
+
+
+SIZED = "position int, table_name string, data_size_bytes bigint, total_size_bytes bigint"
 
 
 def table_stats(spark: SparkSession, tables: dict[str, str], fmt: str = "parquet") -> DataFrame:
     """Rows and bytes of tables, given as name and path (or name of a catalog table).
 
-    Data bytes are those of files that hold rows, total bytes those of all files. One pass counts the rows
-    per file without reading a column; another reads file lengths only. Both are added per file inside the
-    tasks. A table without files keeps its row, with 0 bytes.
+    Rows are counted without reading a column, one count per table. Sizes are file system metadata: one summary per
+    table's folder. Total bytes are those of all files; data bytes leave out hidden files, and are 0 for a table
+    without rows. No tables: no rows.
     """
-    rows, files = [], []
-    for name, source in tables.items():
+    counts, sizes = [], []
+    for position, (name, source) in enumerate(tables.items()):
         path, source_fmt = (source, fmt) if "/" in source else table_location(spark, source)
         scan = spark.read.format(source_fmt).load(path) if "/" in source else spark.table(source)
-        rows.append(
-            scan.select("_metadata.file_path", "_metadata.file_size").select(
-                F.lit(name).alias("table_name"), "file_path", "file_size"
-            )
-        )
-        listing = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(path)
-        files.append(listing.select(F.lit(name).alias("table_name"), "length"))
-    data = (
-        _union(rows)
-        .groupBy("table_name", "file_path")
-        .agg(F.count(F.lit(1)).alias("n"), F.max("file_size").alias("size"))
-        .groupBy("table_name")
-        .agg(F.sum("n").alias("row_count"), F.sum("size").alias("data_size_bytes"))
-    )
-    total = _union(files).groupBy("table_name").agg(F.sum("length").alias("total_size_bytes"))
-    names = report_rows(spark, list(enumerate(tables)), "position int, table_name string")
-    joined = names.join(data, "table_name", "left").join(total, "table_name", "left")
-    return _statistics(joined.na.fill(0, ["data_size_bytes", "total_size_bytes"]), names.columns)
+        counts.append(scan.agg(F.count(F.lit(1)).alias("row_count")).select(F.lit(name).alias("table_name"), "row_count"))
+        sizes.append((position, name, *_folder_bytes(spark, path)))
+    sized = report_rows(spark, sizes, SIZED)
+    labels = ["position", "table_name"]
+    if not counts:
+        return _statistics(sized.withColumn("row_count", F.lit(0).cast("bigint")), labels)
+    joined = sized.join(reduce(DataFrame.unionByName, counts), "table_name", "left")
+    data = F.when(F.col("row_count") > 0, F.col("data_size_bytes")).otherwise(F.lit(0).cast("bigint"))
+    return _statistics(joined.withColumn("data_size_bytes", data), labels)
 
 
 def _statistics(joined: DataFrame, labels: list[str]) -> DataFrame:
@@ -103,33 +102,31 @@ def active_parts_size(parts: DataFrame) -> DataFrame:
 def segment_sizes(segments: DataFrame, indexes: DataFrame, tables: DataFrame) -> DataFrame:
     """Bytes of each table's own segment, and of that and its indexes together.
 
-    Table names are compared in upper case. Segments are added up by name first: what is joined after
-    that has one row per segment name, however many extents were listed.
+    Table names are compared in upper case. Segments are added up by name first, so what is joined has one row per
+    segment name, however many extents were listed; the list of indexes may repeat itself. One join finds the
+    tables that a segment counts for, and one aggregate adds them up.
     """
     by_name = segments.groupBy("segment_name").agg(
         F.sum(F.when(F.col("segment_type") == "TABLE", F.col("bytes"))).alias("_table_bytes"),
         F.sum("bytes").alias("_bytes"),
     )
-    own = tables.select("table_name", F.upper("table_name").alias("_upper"))
-    members = own.select("table_name", F.col("_upper").alias("segment_name")).union(
-        own.join(
-            indexes.select(F.col("table_name").alias("_upper"), F.col("index_name").alias("segment_name")), "_upper"
-        ).select("table_name", "segment_name")
-    )
-    own_segment = F.col("segment_name") == F.upper("table_name")
+    own = tables.select(F.upper("table_name").alias("segment_name"), F.upper("table_name").alias("_upper"))
+    of_index = indexes.select(F.col("index_name").alias("segment_name"), F.col("table_name").alias("_upper"))
+    owners = own.union(of_index).distinct()
     sizes = (
-        members.distinct()
-        .join(by_name, "segment_name", "left")
-        .groupBy("table_name")
+        owners.join(by_name, "segment_name")
+        .groupBy("_upper")
         .agg(
-            F.sum(F.when(own_segment, F.col("_table_bytes"))).alias("_data"),
+            F.sum(F.when(F.col("segment_name") == F.col("_upper"), F.col("_table_bytes"))).alias("_data"),
             F.sum("_bytes").alias("_total"),
         )
     )
-    return sizes.select(
+    zero = F.lit(0).cast("bigint")
+    named = tables.select("table_name").distinct().withColumn("_upper", F.upper("table_name"))
+    return named.join(sizes, "_upper", "left").select(
         "table_name",
-        F.coalesce("_data", F.lit(0).cast("bigint")).alias("data_size_bytes"),
-        F.coalesce("_total", F.lit(0).cast("bigint")).alias("total_size_bytes"),
+        F.coalesce("_data", zero).alias("data_size_bytes"),
+        F.coalesce("_total", zero).alias("total_size_bytes"),
     )
 
 

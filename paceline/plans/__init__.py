@@ -8,8 +8,8 @@ from paceline.plans.runner import (
     custom_run,
     read_query_sets,
     run_queries,
-    standard_queries,
     standard_run,
+    standard_schema,
     time_df,
 )
 
@@ -21,8 +21,8 @@ __all__ = [
     "custom_run",
     "read_query_sets",
     "run_queries",
-    "standard_queries",
     "standard_report",
     "standard_run",
+    "standard_schema",
     "time_df",
 ]

@@ -287,12 +287,12 @@ def segments(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def segment_indexes(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The indexes among those extents; returned lines (flag R) are extents no index is listed for."""
+    """The indexes among those extents, once per extent; returned lines (flag R) are extents no index is listed for."""
     lines = table(spark, sf_dir, "lineitem").where((F.col("l_linestatus") == "O") & (F.col("l_returnflag") != "R"))
     return lines.select(
         F.concat(_number("IX_", "l_suppkey"), F.lit("_"), F.col("l_returnflag")).alias("index_name"),
         _number("TABLE_", "l_suppkey").alias("table_name"),
-    ).distinct()
+    )
 
 
 def segment_tables(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -327,8 +327,8 @@ blocks AS (
   FROM lineitem)"""
 
 
-def table_stats_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Statistics of a table per supplier on a connection per return flag, from order lines."""
+def table_stats_rows(spark: SparkSession, sf_dir: str, by_supplier: bool = False) -> DataFrame:
+    """Statistics of a table per supplier on a connection per return flag, from order lines; or the other way round."""
     totals = (
         table(spark, sf_dir, "lineitem")
         .groupBy("l_returnflag", "l_suppkey")
@@ -339,10 +339,12 @@ def table_stats_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
             (F.sum(F.col("l_quantity").cast("bigint")) * 1536).alias("total_size_bytes"),
         )
     )
+    flag = F.col("l_returnflag")
+    connection, name = (_number("conn_", "l_suppkey"), flag) if by_supplier else (flag, _number("table_", "l_suppkey"))
     return totals.select(
-        F.col("l_returnflag").alias("connection_name"),
+        connection.alias("connection_name"),
         "position",
-        _number("table_", "l_suppkey").alias("table_name"),
+        name.alias("table_name"),
         "row_count",
         "data_size_bytes",
         "total_size_bytes",
@@ -360,9 +362,15 @@ stats AS (
   FROM lineitem GROUP BY l_returnflag, l_suppkey)"""
 
 
-def config_docs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A workload description per customer, with two connections, a table and two queries."""
+def config_docs(spark: SparkSession, sf_dir: str, mixed_case: bool = False) -> DataFrame:
+    """A workload description per customer, with two connections, a table and two queries.
+
+    With ``mixed_case`` the keys of the texts are in capitals, or have a capital at the start.
+    """
     key, kind = F.col("c_custkey").cast("string"), F.lower("c_mktsegment")
+    dialect = kind
+    if mixed_case:
+        dialect = F.when(F.col("c_custkey") % 2 == 0, F.upper(kind)).otherwise(F.initcap(kind))
 
     def connection(name: str):
         return F.struct(
@@ -378,7 +386,7 @@ def config_docs(spark: SparkSession, sf_dir: str) -> DataFrame:
         return F.struct(
             F.concat(F.lit(name), key).alias("name"),
             F.lit(category).alias("category"),
-            F.create_map(kind, sql, F.lit("spark"), sql).alias("queriesByDb"),
+            F.create_map(dialect, sql, F.lit("spark"), sql).alias("queriesByDb"),
         )
 
     return table(spark, sf_dir, "customer").select(
@@ -387,7 +395,7 @@ def config_docs(spark: SparkSession, sf_dir: str) -> DataFrame:
             F.struct(
                 F.concat(F.lit("table_"), key).alias("tableName"),
                 F.concat(F.lit("file_"), key, F.lit(".csv")).alias("csvFileName"),
-                F.create_map(kind, F.concat(F.lit("CREATE TABLE table_"), key, F.lit(" (id INT)"))).alias("schemas"),
+                F.create_map(dialect, F.concat(F.lit("CREATE TABLE table_"), key, F.lit(" (id INT)"))).alias("schemas"),
             )
         ).alias("tables"),
         F.array(

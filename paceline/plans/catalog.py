@@ -1,13 +1,14 @@
 """Every operator as a query over the given tables, with the SQL that must give the same rows.
 
 Names start with the part of the inventory they cover: s sources, i integrity, q query shapes,
-t storage, m measurements. Wall-clock times are left out of a query where they are all that differs
+t storage, m measurements, r whole runs. Wall-clock times are left out of a query where they are all that differs
 between two runs, so that its other columns can be compared.
 """
 
 from __future__ import annotations
 
 import datetime as dt
+import json
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -16,9 +17,10 @@ from pyspark.sql import functions as F
 from paceline.functions import bytes_per_row, db_name, latency, rate, round2, size_mb
 from paceline.operators import compare, constraints, measures, queries, storage
 from paceline.plans import bindings as b
-from paceline.plans.runner import run_queries, time_df
+from paceline.plans.reports import custom_report
+from paceline.plans.runner import CustomRun, custom_run, run_queries, time_df
 from paceline.schemas import ORDERS, USERS
-from paceline.session import scratch_path
+from paceline.session import report_rows, scratch_path
 from paceline.sources import (
     append,
     apply_ddl,
@@ -90,9 +92,9 @@ def s02_gen_orders(spark, sf_dir):
     return gen_orders(spark, b.table(spark, sf_dir, "orders").count(), dt.date.fromisoformat(b.DAY))
 
 
-def _config(spark, sf_dir):
+def _config(spark, sf_dir, mixed_case: bool = False):
     path = scratch_path(spark, "config")
-    b.config_docs(spark, sf_dir).write.json(path)
+    b.config_docs(spark, sf_dir, mixed_case).write.json(path)
     return read_config(spark, path, multiline=False)
 
 
@@ -205,6 +207,13 @@ def s08_load_time(spark, sf_dir):
     return load_table(spark, lambda: source, scratch_path(spark, "loaded"), "lineitem")
 
 
+@query("SELECT 'lineitem' AS table_name, count(*) AS rows_loaded, true AS success, true AS took_time FROM lineitem")
+def s08_load_time_checked(spark, sf_dir):
+    """What of a timed load must hold whatever the time."""
+    took = (F.col("load_time_ms") > 0).alias("took_time")
+    return s08_load_time(spark, sf_dir).select("table_name", "rows_loaded", "success", took)
+
+
 @query(
     """SELECT user_id, count(*) AS n, sum(amount) AS total FROM (
       SELECT o_custkey AS user_id, CAST(o_totalprice AS DECIMAL(10,2)) AS amount FROM orders
@@ -456,6 +465,14 @@ def q02_join_any(spark, sf_dir):
     return queries.q_join(b.users(spark, sf_dir), b.orders(spark, sf_dir), JOIN_BOUND)
 
 
+@query(f"SELECT least(100, count(*)) AS n, least(100, count(*)) AS of_the_join FROM ({JOIN_SQL})")
+def q02_join_any_checked(spark, sf_dir):
+    """How many rows the unordered join gives, and how many of them the whole join has."""
+    whole = q02_join_all(spark, sf_dir).distinct().withColumn("hit", F.lit(1))
+    some = q02_join_any(spark, sf_dir).join(whole, ["name", "amount", "order_date"], "left")
+    return some.agg(F.count(F.lit(1)).alias("n"), F.count("hit").alias("of_the_join"))
+
+
 @query(
     f"""SELECT c_name AS name, sum(CAST(o_totalprice AS DECIMAL(10,2))) AS total_spent, count(o_orderkey) AS order_count
     FROM customer JOIN orders ON c_custkey = o_custkey GROUP BY c_custkey, c_name
@@ -514,19 +531,26 @@ def q07_bound_parameters(spark, sf_dir):
     return spark.sql(text, args={"bound": JOIN_BOUND}, **names)
 
 
-@query(
-    """SELECT p.position, p.prefix || c_custkey AS name, p.category,
+def _resolved_sql(dialect: str) -> str:
+    return f"""SELECT p.position, p.prefix || c_custkey AS name, p.category,
       CASE WHEN c_mktsegment = 'BUILDING' THEN p.text || c_custkey END AS sql_text,
-      CASE WHEN c_mktsegment <> 'BUILDING' THEN 'No queries configuration found for database type: Building' END
+      CASE WHEN c_mktsegment <> 'BUILDING' THEN 'No queries configuration found for database type: {dialect}' END
         AS error_message
     FROM customer,
       (VALUES (0, 'read_', 'SELECT', 'SELECT * FROM orders WHERE o_custkey = '),
         (1, 'count_', '', 'SELECT count(*) FROM orders WHERE o_custkey = ')) p(position, prefix, category, text)"""
-)
+
+
+@query(_resolved_sql("Building"))
 def q08_resolve_text(spark, sf_dir):
     return resolve_text(_config(spark, sf_dir).queries, "Building")
 
 
+@query(_resolved_sql("BUILDing"))
+def q08_resolve_text_mixed_case(spark, sf_dir):
+    return resolve_text(_config(spark, sf_dir, mixed_case=True).queries, "BUILDing")
+
+
 # --- storage -------------------------------------------------------------------------------------
 
 STAT_TABLES = ["customer", "documents", "events", "lineitem", "orders", "part"]
@@ -546,6 +570,24 @@ def t01_table_stats(spark, sf_dir):
     return _stats(spark, sf_dir)
 
 
+@query(
+    " UNION ALL ".join(
+        f"SELECT {i} AS position, '{t}' AS table_name, count(*) AS row_count, true AS sized, true AS rated FROM {t}"
+        for i, t in enumerate(STAT_TABLES)
+    )
+)
+def t01_table_stats_checked(spark, sf_dir):
+    """Rows of each table, and whether its sizes and its bytes per row can be right."""
+    data, total, n = F.col("data_size_bytes"), F.col("total_size_bytes"), F.col("row_count")
+    return _stats(spark, sf_dir).select(
+        "position",
+        "table_name",
+        "row_count",
+        ((total >= data) & (data > 0)).alias("sized"),
+        (F.col("bytes_per_row") == data / n).alias("rated"),
+    )
+
+
 @query(
     f"""WITH {b.STORAGE_PARTS_SQL},
     sizes AS (SELECT "table" AS table_name, CAST(coalesce(sum(bytes_on_disk) FILTER (WHERE active), 0) AS BIGINT) AS size
@@ -709,6 +751,21 @@ def m05_import_metrics_by_user(spark, sf_dir):
     return measures.import_metrics(b.user_loads(spark, sf_dir))
 
 
+@query(
+    f"""WITH {b.USER_LOADS_SQL}, {b.RESULTS_SQL}, late AS (SELECT * FROM user_loads WHERE position % 40 = 0),
+    {_imports_sql('late')}
+    SELECT connection_name, coalesce(tables_imported, 0) AS tables_imported,
+      coalesce(total_rows_loaded, 0) AS total_rows_loaded, coalesce(total_import_time_ms, 0) AS total_import_time_ms,
+      coalesce(average_table_import_time_ms, 0) AS average_table_import_time_ms,
+      coalesce(csv_import_rate, 0) AS csv_import_rate, coalesce(any_loaded, false) AS any_loaded
+    FROM results LEFT JOIN imports USING (connection_name)"""
+)
+def m05_import_metrics_no_tables(spark, sf_dir):
+    """Connections that have no load among these have zeros."""
+    some = b.user_loads(spark, sf_dir).where(F.col("position") % 40 == 0)
+    return measures.import_metrics(some, b.results(spark, sf_dir))
+
+
 QUERY_MEANS_SQL = f"""
 query_means AS (
   SELECT connection_name, {_mean_sql("execution_time_ms", "success")} AS mean FROM user_timings GROUP BY connection_name)"""
@@ -726,7 +783,7 @@ def m06_avg_query_time(spark, sf_dir):
 
 def _leader_sql(source: str, metric: str, lower: bool, condition: str = "true") -> str:
     direction = "ASC" if lower else "DESC"
-    return f"""(SELECT '{metric}' AS metric, connection_name, CAST({metric} AS DOUBLE) AS value FROM {source}
+    return f"""(SELECT '{metric}' AS metric, connection_name, CAST({metric} AS DOUBLE) AS value, db_type FROM {source}
       WHERE {metric} IS NOT NULL AND {condition} ORDER BY {metric} {direction}, position LIMIT 1)"""
 
 
@@ -747,12 +804,14 @@ def m07_leader(spark, sf_dir):
 CUSTOM_ROWS_SQL = f"""WITH {b.USER_LOADS_SQL}, {b.USER_TIMINGS_SQL}, {b.RESULTS_SQL}, {_imports_sql("user_loads")},
   {QUERY_MEANS_SQL},
   custom_rows AS (
-    SELECT r.connection_name, r.position, i.total_import_time_ms, i.csv_import_rate, i.average_table_import_time_ms,
-      i.any_loaded, floor(coalesce(q.mean, 1e9) * 1000 + 0.5) / 1000 AS avg_query_time_ms
-    FROM results r JOIN imports i USING (connection_name) LEFT JOIN query_means q USING (connection_name)
+    SELECT r.connection_name, r.db_type, r.position, coalesce(i.total_import_time_ms, 0) AS total_import_time_ms,
+      coalesce(i.csv_import_rate, 0) AS csv_import_rate,
+      coalesce(i.average_table_import_time_ms, 0) AS average_table_import_time_ms,
+      coalesce(i.any_loaded, false) AS any_loaded, floor(coalesce(q.mean, 1e9) * 1000 + 0.5) / 1000 AS avg_query_time_ms
+    FROM results r LEFT JOIN imports i USING (connection_name) LEFT JOIN query_means q USING (connection_name)
     WHERE r.success),
   strict_rows AS (
-    SELECT connection_name, position, avg_query_time_ms,
+    SELECT connection_name, db_type, position, avg_query_time_ms,
       CASE WHEN any_loaded THEN total_import_time_ms END AS total_import_time_ms,
       CASE WHEN any_loaded THEN csv_import_rate END AS csv_import_rate,
       CASE WHEN any_loaded THEN average_table_import_time_ms END AS average_table_import_time_ms
@@ -790,8 +849,9 @@ def m09_chart_overall(spark, sf_dir):
 
 @query(
     f"""WITH {b.USER_LOADS_SQL}, {b.RESULTS_SQL}, {_imports_sql("user_loads")}
-    SELECT connection_name, db_type, position, csv_import_rate, total_import_time_ms
-    FROM results JOIN imports USING (connection_name) WHERE success"""
+    SELECT connection_name, db_type, position, coalesce(csv_import_rate, 0) AS csv_import_rate,
+      coalesce(total_import_time_ms, 0) AS total_import_time_ms
+    FROM results LEFT JOIN imports USING (connection_name) WHERE success"""
 )
 def m09_chart_imports(spark, sf_dir):
     return compare.chart_imports(b.results(spark, sf_dir), measures.import_metrics(b.user_loads(spark, sf_dir)))
@@ -822,6 +882,15 @@ def m10_pivot_loads(spark, sf_dir):
     return compare.pivot_loads(b.loads(spark, sf_dir), b.PRIORITIES)
 
 
+@query(
+    f"""WITH {b.USER_LOADS_SQL}, {_first_sql("user_loads", "table_name", ["load_time_ms", "success"])}
+    SELECT table_name, connection_name, position, CASE WHEN success THEN load_time_ms ELSE 0 END AS load_time_ms
+    FROM firsts"""
+)
+def m10_loads_long(spark, sf_dir):
+    return compare.loads_long(b.user_loads(spark, sf_dir)).drop("shown")
+
+
 @query(
     _pivot_sql(
         ("timings", b.TIMINGS_SQL), "query_name", b.EVENT_TYPES, ["execution_time_ms", "success"],
@@ -832,6 +901,40 @@ def m11_pivot_queries(spark, sf_dir):
     return compare.pivot_queries(b.timings(spark, sf_dir), b.EVENT_TYPES)
 
 
+@query(
+    f"""WITH {b.USER_TIMINGS_SQL}, {_first_sql("user_timings", "query_name", ["execution_time_ms", "success"])}
+    SELECT query_name, connection_name, position, CASE WHEN success THEN execution_time_ms ELSE 0 END AS execution_time_ms
+    FROM firsts"""
+)
+def m11_queries_long(spark, sf_dir):
+    return compare.queries_long(b.user_timings(spark, sf_dir)).drop("category", "shown")
+
+
+LOAD_TEXT_SQL = """CASE WHEN success THEN CAST(CAST(load_time_ms AS DECIMAL(18,2)) AS VARCHAR) || ' ms ('
+      || format('{:,}', rows_loaded) || ' rows)' ELSE 'Error' END"""
+
+
+@query(
+    f"""WITH {b.USER_LOADS_SQL}, {_first_sql("user_loads", "table_name", ["load_time_ms", "rows_loaded", "success"])}
+    SELECT table_name, connection_name, {LOAD_TEXT_SQL} AS shown FROM firsts"""
+)
+def m12_load_grid_long(spark, sf_dir):
+    return compare.loads_long(b.user_loads(spark, sf_dir)).select("table_name", "connection_name", "shown")
+
+
+@query(
+    f"""WITH {b.USER_TIMINGS_SQL}, {_first_sql("user_timings", "query_name", ["execution_time_ms", "success"])},
+    kinds AS (SELECT query_name, coalesce(nullif(arg_min(category, position), ''), 'QUERY') AS category
+      FROM user_timings GROUP BY query_name)
+    SELECT query_name, connection_name, category,
+      CASE WHEN success THEN CAST(CAST(execution_time_ms AS DECIMAL(18,2)) AS VARCHAR) || ' ms' ELSE 'Error' END AS shown
+    FROM firsts JOIN kinds USING (query_name)"""
+)
+def m12_query_grid_long(spark, sf_dir):
+    long = compare.queries_long(b.user_timings(spark, sf_dir))
+    return long.select("query_name", "connection_name", "category", "shown")
+
+
 @query(
     _pivot_sql(
         ("loads", b.LOADS_SQL), "table_name", b.PRIORITIES, ["load_time_ms", "rows_loaded", "success"],
@@ -864,7 +967,7 @@ def _stat_cell_sql(column: str, unit: str) -> str:
     if column == "total_size_mb":
         return f"format('{{:,.2f}}', {_r2('total_size_bytes / 1024 / 1024')}) || '{unit}'"
     if column == "bytes_per_row":
-        return f"format('{{:,.2f}}', {_r2('data_size_bytes / row_count')}) || '{unit}'"
+        return f"CAST(CAST({_r2('data_size_bytes / row_count')} AS DECIMAL(18,2)) AS VARCHAR) || '{unit}'"
     return f"format('{{:,}}', {column}) || '{unit}'"
 
 
@@ -877,13 +980,25 @@ def _stat_cell_sql(column: str, unit: str) -> str:
             for c in ["A", "N", "R"]
         )
         + " FROM stats GROUP BY table_name"
-        for line, (label, column, unit) in enumerate(STATISTICS)
+        for line, (label, column, unit, _) in enumerate(STATISTICS)
     )
 )
 def m13_stats_grid(spark, sf_dir):
     return compare.stats_grid(b.table_stats_rows(spark, sf_dir), ["A", "N", "R"])
 
 
+@query(
+    f"WITH {b.TABLE_STATS_SQL} "
+    + " UNION ALL ".join(
+        f"""SELECT connection_name AS table_name, replace(table_name, 'table_', 'conn_') AS connection_name, position,
+        {line} AS line, '{label}' AS statistic, {_stat_cell_sql(column, unit)} AS text FROM stats"""
+        for line, (label, column, unit, _) in enumerate(STATISTICS)
+    )
+)
+def m13_stats_long(spark, sf_dir):
+    return compare.stats_long(b.table_stats_rows(spark, sf_dir, by_supplier=True))
+
+
 @query(f"WITH {b.LOADS_SQL} SELECT table_name, min(position) AS position FROM loads GROUP BY table_name")
 def m14_names_in_order(spark, sf_dir):
     return compare.names_in_order(b.loads(spark, sf_dir), "table_name")
@@ -922,8 +1037,10 @@ def m17_union_results(spark, sf_dir):
 
 
 def _metric_text_sql(column: str) -> str:
-    unit = " rows/s" if column.endswith("_rate") else " ms"
-    return f"coalesce(CASE WHEN success THEN format('{{:,.2f}}', {column}) || '{unit}' END, '-') AS {column}"
+    text = f"CAST(CAST({column} AS DECIMAL(18,2)) AS VARCHAR) || ' ms'"
+    if column.endswith("_rate"):
+        text = f"format('{{:,.2f}}', {column}) || ' rows/s'"
+    return f"coalesce(CASE WHEN success THEN {text} END, '-') AS {column}"
 
 
 @query(
@@ -953,7 +1070,9 @@ def m19_successful(spark, sf_dir):
     + " UNION ALL ".join(
         f"SELECT '{label}' AS metric, {line} AS position, "
         + ", ".join(
-            f"""coalesce(max({text}) FILTER (WHERE connection_name = '{c}'), '-') AS "{c}" """ for c in b.PRIORITIES
+            f"""coalesce(max({text}) FILTER (WHERE connection_name = '{c}' AND connection_name <> '3-MEDIUM'), '-')
+            AS "{c}" """
+            for c in b.PRIORITIES
         )
         + " FROM imports"
         for line, (label, text) in enumerate({
@@ -966,10 +1085,116 @@ def m19_successful(spark, sf_dir):
 )
 def m18_import_grid(spark, sf_dir):
     imports = measures.import_metrics(b.loads(spark, sf_dir))
-    places = imports.select("connection_name", F.lit(True).alias("success"))
+    places = imports.select("connection_name", (F.col("connection_name") != "3-MEDIUM").alias("success"))
     return compare.import_grid(places, imports, b.PRIORITIES)
 
 
+# --- a whole custom run --------------------------------------------------------------------------
+
+
+def _custom_run(spark, sf_dir) -> CustomRun:
+    """A run over CSV files written from the tables: two connections that work, one without a schema under a name that
+    another has, and one of an unknown type; a table whose file does not fit it, and a query that fails."""
+    folder = scratch_path(spark, "workload")
+    customer, orders = (b.table(spark, sf_dir, name) for name in ("customer", "orders"))
+    files = {
+        "clients.csv": customer.select("c_custkey", "c_name", "c_acctbal"),
+        "orders.csv": orders.select("o_orderkey", "o_custkey", "o_totalprice"),
+        "broken.csv": customer.select("c_name"),
+    }
+    for name, df in files.items():
+        write_csv(df, f"{folder}/{name}")
+    columns = {
+        "clients": "id BIGINT, name STRING, balance DOUBLE",
+        "orders": "id BIGINT, client BIGINT, price DOUBLE",
+        "broken": "id INT",
+    }
+    texts = {
+        "all clients": ("SELECT", "SELECT * FROM clients"),
+        "totals": ("", "SELECT c.name, sum(o.price) FROM clients c JOIN orders o ON c.id = o.client GROUP BY c.name"),
+        "no such column": ("SELECT", "SELECT missing FROM clients"),
+    }
+    formats = {"Parquet": "parquet", "ORC": "orc"}
+    places = [("columnar", "Parquet"), ("striped", "orc"), ("columnar", "json"), ("elsewhere", "db2")]
+    config = {
+        "connectionDetails": [{"name": name, "dbType": kind, "url": "none"} for name, kind in places],
+        "tables": [
+            {
+                "tableName": name,
+                "csvFileName": f"{name}.csv",
+                "schemas": {key: f"CREATE TABLE {name} ({ddl}) USING {fmt}" for key, fmt in formats.items()},
+            }
+            for name, ddl in columns.items()
+        ],
+        "queries": [
+            {"name": name, "category": kind, "queriesByDb": dict.fromkeys(formats, text)}
+            for name, (kind, text) in texts.items()
+        ],
+    }
+    report_rows(spark, [(json.dumps(config),)], "value string").write.text(f"{folder}/config")
+    described = read_config(spark, f"{folder}/config", multiline=False)
+    return custom_run(spark, described, {name: f"{folder}/{name}" for name in files}, threshold=1, runs=1)
+
+
+WORKING = "(VALUES ('columnar'), ('striped')) c(connection_name)"
+
+
+@query(
+    """SELECT * FROM (VALUES ('columnar', 'Parquet', 0, true, NULL), ('striped', 'orc', 1, true, NULL),
+      ('columnar (2)', 'json', 2, false, 'No schema for table clients and database type: json'),
+      ('elsewhere', 'db2', 3, false, 'Unsupported database type: db2'))
+      r(connection_name, db_type, position, success, error)"""
+)
+def r01_custom_results(spark, sf_dir):
+    return _custom_run(spark, sf_dir).results
+
+
+@query(
+    f"""SELECT connection_name, position, table_name, table_name || '.csv' AS csv_file_name, rows_loaded, success
+    FROM {WORKING}, (SELECT 0 AS position, 'clients' AS table_name, count(*) AS rows_loaded, true AS success FROM customer
+      UNION ALL SELECT 1, 'orders', count(*), true FROM orders UNION ALL SELECT 2, 'broken', 0, false)"""
+)
+def r02_custom_loads(spark, sf_dir):
+    return _custom_run(spark, sf_dir).loads.drop("load_time_ms", "error_message")
+
+
+@query(
+    f"""SELECT connection_name, query_name, category, success FROM {WORKING},
+      (VALUES ('all clients', 'SELECT', true), ('totals', '', true), ('no such column', 'SELECT', false))
+      q(query_name, category, success)"""
+)
+def r03_custom_timings(spark, sf_dir):
+    return _custom_run(spark, sf_dir).timings.select("connection_name", "query_name", "category", "success")
+
+
+@query(
+    """SELECT * FROM (VALUES ('columnar (2)', 'No schema for table clients and database type: json'),
+      ('elsewhere', 'Unsupported database type: db2')) f(connection_name, error)"""
+)
+def r04_custom_failures(spark, sf_dir):
+    return custom_report(_custom_run(spark, sf_dir), wide=False)["failures"]
+
+
+@query(
+    f"""SELECT connection_name, table_name, statistic, text FROM {WORKING}, (
+      SELECT 'clients' AS table_name, 'Row Count' AS statistic, format('{{:,}}', count(*)) AS text FROM customer
+      UNION ALL SELECT 'orders', 'Row Count', format('{{:,}}', count(*)) FROM orders UNION ALL SELECT 'broken', 'Row Count', '0')"""
+)
+def r05_custom_statistics(spark, sf_dir):
+    long = custom_report(_custom_run(spark, sf_dir), wide=False)["statistics_long"]
+    return long.where("statistic = 'Row Count'").select("connection_name", "table_name", "statistic", "text")
+
+
+@query(
+    """SELECT metric, connection_name, text FROM (VALUES ('columnar'), ('striped')) c(connection_name),
+      (SELECT 'Total Rows Loaded' AS metric,
+        format('{:,}', (SELECT count(*) FROM customer) + (SELECT count(*) FROM orders)) AS text)"""
+)
+def r06_custom_imports(spark, sf_dir):
+    long = custom_report(_custom_run(spark, sf_dir), wide=False)["imports_long"]
+    return long.where("metric = 'Total Rows Loaded'").select("metric", "connection_name", "text")
+
+
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Totals of the users who spent most: join, group and filter."""
     return q03_aggregate(spark, sf_dir)

@@ -16,14 +16,16 @@ from typing import NamedTuple
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType, TimestampType
 
 from paceline.errors import error_text
 from paceline.functions import round2
 from paceline.operators.measures import import_metrics
+from paceline.operators.queries import q_aggregate, q_join, q_read
 from paceline.operators.storage import table_stats
-from paceline.schemas import LOAD, METRIC, QUERY_TIMING, RESULT, TABLE_STATS
-from paceline.session import report_rows
-from paceline.sources.config import Config, missing_files, resolve_text
+from paceline.schemas import LOAD, METRIC, ORDERS, QUERY_TIMING, RESULT, TABLE_STATS, USERS
+from paceline.session import release, report_rows, scratch_path
+from paceline.sources.config import Config, missing_files, pick, resolve_text
 from paceline.sources.csv import csv_dialect_of, read_csv
 from paceline.sources.generate import gen_orders, gen_users
 from paceline.sources.tables import apply_ddl, drop_table, load_to_threshold, trial_load
@@ -32,17 +34,18 @@ from paceline.values import (
     LOAD_TRIALS,
     METRIC_COLUMNS,
     NO_QUERIES,
+    ORDERS_TABLE,
     READ_RUNS,
-    STANDARD_AGGREGATE,
-    STANDARD_JOIN,
-    STANDARD_READ,
-    STANDARD_SCHEMA,
+    TEXT_LIMITS,
     THRESHOLD_RUNS,
     TOTAL_BOUND,
     UNSUPPORTED,
+    USERS_TABLE,
 )
 
 SPARK_FORMATS = ("parquet", "orc", "csv", "json")
+# Names of missing files that one error message spells out.
+NAMED = 20
 
 
 class QuerySet(NamedTuple):
@@ -54,24 +57,33 @@ class QuerySet(NamedTuple):
     aggregate: str
 
 
-def standard_queries(fmt: str) -> QuerySet:
-    """The standard tables and queries for tables of a file format."""
-    schema = [statement.format(fmt=fmt) for statement in STANDARD_SCHEMA]
-    return QuerySet(schema, STANDARD_READ, STANDARD_JOIN, STANDARD_AGGREGATE)
+def standard_schema(fmt: str, amount_type: str | None = None) -> list[str]:
+    """Statements that make the standard tables anew in a file format, from the schemas of their rows."""
 
+    def columns(schema: StructType) -> str:
+        kinds = {c.name: c.dataType.simpleString() for c in schema}
+        kinds |= {c: f"varchar({n})" for c, n in TEXT_LIMITS.items() if c in kinds}
+        if amount_type and "amount" in kinds:
+            kinds["amount"] = amount_type
+        stamped = {c.name for c in schema if isinstance(c.dataType, TimestampType)}
+        return ", ".join(f"{c} {k}" + (" DEFAULT current_timestamp()" if c in stamped else "") for c, k in kinds.items())
 
-def read_query_sets(spark: SparkSession, path: str, most: int = 1000) -> dict[str, QuerySet]:
+    made = {USERS_TABLE: USERS, ORDERS_TABLE: ORDERS}
+    drops = [f"DROP TABLE IF EXISTS {name}" for name in made]
+    return drops + [f"CREATE TABLE {name} ({columns(schema)}) USING {fmt}" for name, schema in made.items()]
+
+
+def read_query_sets(spark: SparkSession, path: str, dialects: list[str] | None = None) -> dict[str, QuerySet]:
     """Read query sets by dialect from a JSON file ``{dialect: {schema: [..], read, join, aggregate}}``.
 
-    More than ``most`` dialects are refused.
+    Keys stay as they are written. With ``dialects``, only the sets that one of them may pick are kept.
     """
     one = "struct<schema:array<string>,read:string,join:string,aggregate:string>"
     docs = spark.read.text(path, wholetext=True)
     sets = docs.select(F.explode(F.from_json("value", f"map<string,{one}>", {"mode": "FAILFAST"})))
-    rows = sets.limit(most + 1).collect()
-    if len(rows) > most:
-        raise ValueError(f"more than {most} query sets in one file")
-    return {row["key"].lower(): QuerySet(**row["value"].asDict()) for row in rows}
+    if dialects is not None:
+        sets = sets.where(F.lower("key").isin([d.lower() for d in dialects]))
+    return {row["key"]: QuerySet(**row["value"].asDict()) for row in sets.toLocalIterator()}
 
 
 def _elapsed_ms(work: Callable[[], object]) -> float:
@@ -97,19 +109,15 @@ def run_queries(
     runs: int = READ_RUNS,
     connection: str = "spark",
     args: dict | None = None,
-    most: int = 10_000,
 ) -> DataFrame:
     """Run each query's text for a dialect ``runs`` times and report QUERY_TIMING rows.
 
     ``queries`` are those of a workload file. A query that fails, or has no text for the dialect, gives an
     error row with 0 ms and the next one runs. ``args`` are named parameters for the texts. The texts go
-    to ``spark.sql`` unchanged; more than ``most`` of them are refused.
+    to ``spark.sql`` unchanged and reach the driver a partition at a time, in order.
     """
-    chosen = resolve_text(queries, dialect).orderBy("position", "name").limit(most + 1).collect()
-    if len(chosen) > most:
-        raise ValueError(f"more than {most} queries in one run")
     rows = []
-    for place, query in enumerate(chosen):
+    for place, query in enumerate(resolve_text(queries, dialect).orderBy("position", "name").toLocalIterator()):
         ms, error = 0.0, query["error_message"]
         if error is None:
             try:
@@ -125,23 +133,55 @@ class _Place(NamedTuple):
 
     session: SparkSession
     database: str
+    folder: str
 
 
 def _open(spark: SparkSession, db_type: str) -> _Place:
+    """A new session with a database of its own, whose tables lie in the shared scratch folder."""
     if db_type.lower() not in SPARK_FORMATS:
         raise ValueError(UNSUPPORTED + db_type)
     session = spark.newSession()
     database = f"paceline_{uuid.uuid4().hex}"
-    session.sql(f"CREATE DATABASE {database}")
-    session.catalog.setCurrentDatabase(database)
-    return _Place(session, database)
+    place = _Place(session, database, scratch_path(spark, database))
+    session.sql(f"CREATE DATABASE {database} LOCATION '{place.folder}'")
+    try:
+        session.catalog.setCurrentDatabase(database)
+    except Exception:
+        _close(place)
+        raise
+    return place
 
 
 def _close(place: _Place) -> None:
     place.session.sql(f"DROP DATABASE {place.database} CASCADE")
+    release(place.session, [place.folder.rpartition("/")[0]])
+
+
+def _closing_error(place: _Place | None) -> str | None:
+    """Close a connection's place; the error text if that fails, as the other connections are to run all the same."""
+    if place is None:
+        return None
+    try:
+        _close(place)
+    except Exception as failure:  # a connection that cannot be closed is told in its result row
+        return error_text(failure)
+    return None
+
+
+def _labels(names: list[str]) -> list[str]:
+    """Names of connections for the reports; a repeated one gets a number, so that its rows stay its own."""
+    used, out = set(names), []
+    for i, name in enumerate(names):
+        label, number = name, 1
+        while label in out or (number > 1 and label in used):
+            number += 1
+            label = f"{name} ({number})"
+        out.append(label if name in names[:i] else name)
+    return out
 
 
 def _stats(spark: SparkSession, tables: list[str], connection: str) -> list[tuple]:
+    """TABLE_STATS rows of a connection's tables."""
     stats = table_stats(spark, {t: t for t in tables}).withColumn("connection_name", F.lit(connection))
     return [tuple(row) for row in stats.select(*TABLE_STATS.names).collect()]
 
@@ -153,35 +193,54 @@ class StandardRun(NamedTuple):
     stats: DataFrame
 
 
-def _query_set(db_type: str, query_sets: dict[str, QuerySet] | None) -> QuerySet:
+class _Work(NamedTuple):
+    """The steps of a standard run on one connection: statements, and the three queries on a session."""
+
+    schema: list[str]
+    read: Callable[[SparkSession], DataFrame]
+    join: Callable[[SparkSession], DataFrame]
+    aggregate: Callable[[SparkSession], DataFrame]
+
+
+def _work(db_type: str, query_sets: dict[str, QuerySet] | None, amount_type: str | None) -> _Work:
     dialect = db_type.lower()
     if query_sets is None and dialect in SPARK_FORMATS:
-        return standard_queries(dialect)
-    if query_sets is None or dialect not in query_sets:
+        both = lambda s: (s.table(USERS_TABLE), s.table(ORDERS_TABLE))
+        return _Work(
+            standard_schema(dialect, amount_type),
+            lambda s: q_read(s.table(USERS_TABLE)),
+            lambda s: q_join(*both(s), JOIN_BOUND),
+            lambda s: q_aggregate(*both(s), TOTAL_BOUND),
+        )
+    found = pick(query_sets, db_type)
+    if found is None:
         raise ValueError(NO_QUERIES + db_type)
-    return query_sets[dialect]
+    return _Work(
+        found.schema,
+        lambda s: s.sql(found.read),
+        lambda s: s.sql(found.join, args=[JOIN_BOUND]),
+        lambda s: s.sql(found.aggregate, args=[TOTAL_BOUND]),
+    )
 
 
-def _insert(spark: SparkSession, rows: int, day: dt.date) -> None:
-    """Fill the standard tables, one job each. Columns are named, so created_at gets its default."""
-    users, orders = gen_users(spark, rows), gen_orders(spark, rows, day)
-    spark.sql("INSERT INTO benchmark_users (id, name, email) SELECT id, name, email FROM {users}", users=users)
-    spark.sql(
-        "INSERT INTO benchmark_orders (id, user_id, amount, order_date)"
-        " SELECT id, user_id, amount, order_date FROM {orders}",
-        orders=orders,
-    )
+def _insert(spark: SparkSession, rows: int, day: dt.date, amount_type: str | None = None) -> None:
+    """Fill the standard tables, one job each. Columns are named, so others get their defaults."""
+    typed = {"amount_type": amount_type} if amount_type else {}
+    made = {USERS_TABLE: gen_users(spark, rows), ORDERS_TABLE: gen_orders(spark, rows, day, **typed)}
+    for table, df in made.items():
+        names = ", ".join(df.columns)
+        spark.sql(f"INSERT INTO {table} ({names}) SELECT {names} FROM {{rows}}", rows=df)
 
 
-def _measure(place: _Place, queries: QuerySet, rows: int, day: dt.date, runs: int) -> dict[str, float]:
+def _measure(place: _Place, work: _Work, rows: int, day: dt.date, runs: int, amount_type: str | None) -> dict[str, float]:
     """Metrics of one connection, in the order in which they are taken."""
     session = place.session
     values = {
-        "schema_creation_time_ms": _elapsed_ms(lambda: apply_ddl(session, queries.schema)),
-        "batch_insertion_time_ms": _elapsed_ms(lambda: _insert(session, rows, day)),
-        "read_time_ms": time_df(session.sql(queries.read), runs),
-        "join_time_ms": time_df(session.sql(queries.join, args=[JOIN_BOUND]), 1),
-        "aggregate_time_ms": time_df(session.sql(queries.aggregate, args=[TOTAL_BOUND]), 1),
+        "schema_creation_time_ms": _elapsed_ms(lambda: apply_ddl(session, work.schema)),
+        "batch_insertion_time_ms": _elapsed_ms(lambda: _insert(session, rows, day, amount_type)),
+        "read_time_ms": time_df(work.read(session), runs),
+        "join_time_ms": time_df(work.join(session), 1),
+        "aggregate_time_ms": time_df(work.aggregate(session), 1),
     }
     ms = values["batch_insertion_time_ms"]
     return values | {"batch_insertion_rate": 2 * rows / (ms / 1000) if ms > 0 else 0.0}
@@ -194,29 +253,30 @@ def standard_run(
     order_date: dt.date | None = None,
     runs: int = READ_RUNS,
     query_sets: dict[str, QuerySet] | None = None,
+    amount_type: str | None = None,
 ) -> StandardRun:
     """Create, fill, read, join, aggregate and measure the standard tables on each (name, type) connection.
 
-    ``query_sets`` replaces the standard queries by those of a file. Rows are inserted by Spark jobs only;
-    the single-insert metrics, which time one-row statements, are NULL.
+    ``query_sets`` replaces the standard tables and queries by those of a file. Rows are inserted by Spark jobs only;
+    the single-insert metrics, which time one-row statements, and the connection time are NULL. Give a wider
+    ``amount_type`` than decimal(10,2) for 10^8 rows and more.
     """
     day = order_date or dt.date.today()
     metrics, stats = [], []
-    for position, (name, db_type) in enumerate(connections):
-        place, values, error = None, {}, None
+    labels = _labels([name for name, _ in connections])
+    for position, (name, (_, db_type)) in enumerate(zip(labels, connections, strict=True)):
+        place, values, error, measured = None, {}, None, []
         try:
-            queries = _query_set(db_type, query_sets)
-            start = time.perf_counter()
+            work = _work(db_type, query_sets, amount_type)
             place = _open(spark, db_type)
-            opened = (time.perf_counter() - start) * 1000
-            values = {"connection_time_ms": opened} | _measure(place, queries, rows, day, runs)
-            stats += _stats(place.session, ["benchmark_users", "benchmark_orders"], name)
+            values = _measure(place, work, rows, day, runs, amount_type)
+            measured = _stats(place.session, [USERS_TABLE, ORDERS_TABLE], name)
         except Exception as failure:  # a failed connection is a result row
             error, values = error_text(failure), {}
-        finally:
-            if place:
-                _close(place)
-        metrics.append((name, db_type, position, error is None, *[values.get(c) for c in METRIC_COLUMNS], error))
+        closing = _closing_error(place)
+        stats += measured
+        text = "; ".join(e for e in (error, closing) if e) or None
+        metrics.append((name, db_type, position, error is None, *[values.get(c) for c in METRIC_COLUMNS], text))
     raw = report_rows(spark, metrics, METRIC)
     rounded = raw.select(*[round2(c).alias(c) if c in METRIC_COLUMNS else F.col(c) for c in METRIC.names])
     return StandardRun(rounded, report_rows(spark, stats, TABLE_STATS))
@@ -234,15 +294,17 @@ class CustomRun(NamedTuple):
 
 def _check_files(spark: SparkSession, tables: DataFrame, files: dict[str, str]) -> None:
     given = report_rows(spark, [(name,) for name in files], "csv_file_name string")
-    missing = missing_files(tables, given).orderBy("table_name").collect()
-    if missing:
-        raise ValueError("; ".join(row["error"] for row in missing))
+    missing = missing_files(tables, given)
+    named = missing.orderBy("table_name").limit(NAMED).collect()
+    if named:
+        more = missing.count() - len(named)
+        raise ValueError("; ".join(row["error"] for row in named) + (f"; and {more} more" if more else ""))
 
 
-def _load(place: _Place, connection, table, path: str, dialect: str, threshold: int, trials: int, multiline: bool):
+def _load(place: _Place, label: str, connection, table, path: str, dialect: str, threshold: int, trials: int, multiline: bool):
     """Create one table and load it; its LOAD row."""
     session, name = place.session, table["table_name"]
-    ddl = (table["schemas"] or {}).get(connection["db_type"].lower())
+    ddl = pick(table["schemas"], connection["db_type"])
     if not ddl:
         raise ValueError(f"No schema for table {name} and database type: {connection['db_type']}")
 
@@ -253,7 +315,7 @@ def _load(place: _Place, connection, table, path: str, dialect: str, threshold:
     def read() -> DataFrame:
         return read_csv(session, path, session.table(name).schema, dialect, multiline)
 
-    labels = dict(csv_file=table["csv_file_name"], connection=connection["name"], position=table["position"])
+    labels = dict(csv_file=table["csv_file_name"], connection=label, position=table["position"])
     create()
     if threshold == 0:
         load = trial_load(session, read, name, name, trials=trials, prepare=create, **labels)
@@ -274,7 +336,8 @@ def custom_run(
     """Run a workload file: create its tables, load their CSV files, run its queries, measure, drop.
 
     ``files`` maps the CSV file names of the workload to paths; a missing one stops the run before it
-    starts. Tables and queries pick their text by the connection's type. With ``threshold`` 0 every table
+    starts. Tables and queries pick their text by the connection's type, in any case. A connection whose name occurs
+    before gets a number in the reports. Without tables the queries run and all import totals are 0. With ``threshold`` 0 every table
     is loaded ``trials`` times and the mean time reported; otherwise it is loaded once with as many copies
     as reach the threshold. ``runs`` defaults to 50 runs per query, or 5 with a threshold.
     """
@@ -283,15 +346,16 @@ def custom_run(
     tables = config.tables.orderBy("position").collect()
     no_queries = config.queries.isEmpty()
     results, loads, timings, stats = [], [], [], []
-    for connection in config.connections.orderBy("position").collect():
-        name, db_type, place, error = connection["name"], connection["db_type"], None, None
+    connections = config.connections.orderBy("position").collect()
+    for name, connection in zip(_labels([c["name"] for c in connections]), connections, strict=True):
+        db_type, place, error = connection["db_type"], None, None
         try:
             if no_queries:
                 raise ValueError(NO_QUERIES + db_type)
             dialect = csv_dialect_of(db_type)
             place = _open(spark, db_type)
             loaded = [
-                _load(place, connection, t, files[t["csv_file_name"]], dialect, threshold, trials, multiline)
+                _load(place, name, connection, t, files[t["csv_file_name"]], dialect, threshold, trials, multiline)
                 for t in tables
             ]
             timed = run_queries(place.session, config.queries, db_type, runs, name).collect()
@@ -299,15 +363,14 @@ def custom_run(
             loads, timings, stats = loads + loaded, timings + [tuple(t) for t in timed], stats + measured
         except Exception as failure:  # a failed connection is a result row
             error = error_text(failure)
-        finally:
-            if place:
-                _close(place)
-        results.append((name, db_type, connection["position"], error is None, error))
-    load_rows = report_rows(spark, loads, LOAD)
+        closing = _closing_error(place)
+        text = "; ".join(e for e in (error, closing) if e) or None
+        results.append((name, db_type, connection["position"], error is None, text))
+    load_rows, result_rows = report_rows(spark, loads, LOAD), report_rows(spark, results, RESULT)
     return CustomRun(
-        results=report_rows(spark, results, RESULT),
+        results=result_rows,
         loads=load_rows,
         timings=report_rows(spark, timings, QUERY_TIMING),
         stats=report_rows(spark, stats, TABLE_STATS),
-        imports=import_metrics(load_rows),
+        imports=import_metrics(load_rows, result_rows.where("success")),
     )

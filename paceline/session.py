@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 from functools import cache
 
 import pyarrow as pa
@@ -47,7 +49,37 @@ def scratch_path(spark: SparkSession, name: str) -> str:
         if not spark.sparkContext.master.startswith("local"):
             raise ValueError("set spark.checkpoint.dir to a folder that all executors can reach")
         root = _local_root(spark.sparkContext.applicationId)
-    return f"{root.rstrip('/')}/paceline-{uuid.uuid4().hex}/{name}"
+    folder = f"{root.rstrip('/')}/paceline-{uuid.uuid4().hex}"
+    for made in _OPEN:
+        made.append(folder)
+    return f"{folder}/{name}"
+
+
+# Folders made inside each scratch block that is open, innermost last.
+_OPEN: list[list[str]] = []
+
+
+@contextmanager
+def scratch(spark: SparkSession) -> Iterator[None]:
+    """Delete the scratch folders that are made inside the block when it ends.
+
+    Nothing that reads them may be used after it: write or collect results inside.
+    """
+    made: list[str] = []
+    _OPEN.append(made)
+    try:
+        yield
+    finally:
+        _OPEN.pop()
+        release(spark, made)
+
+
+def release(spark: SparkSession, folders: list[str]) -> None:
+    """Delete scratch folders, through the file system they are on; those that are gone already do not matter."""
+    conf = spark.sparkContext._jsc.hadoopConfiguration()
+    for folder in folders:
+        path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+        path.getFileSystem(conf).delete(path, True)
 
 
 def report_rows(spark: SparkSession, rows: list[tuple], schema: StructType | str) -> DataFrame:

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from typing import NamedTuple
+from typing import NamedTuple, TypeVar
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -10,6 +10,8 @@ from pyspark.sql import functions as F
 from paceline.schemas import CONFIG
 from paceline.values import NO_QUERIES, NOT_UPLOADED
 
+T = TypeVar("T")
+
 
 class Config(NamedTuple):
     """The three parts of a workload file as tables. Credentials are left out on purpose."""
@@ -59,8 +61,18 @@ def missing_files(tables: DataFrame, files: DataFrame) -> DataFrame:
 
 
 def text_for(texts: Column | str, dialect: str) -> Column:
-    """The entry of a dialect-to-text map. The dialect is compared in lower case everywhere."""
-    return F.try_element_at(texts, F.lit(dialect.lower()))
+    """The entry of a dialect-to-text map: that of exactly this key, else of the first key, in code-point order, that
+    differs in case alone."""
+    alike = F.filter(F.map_entries(texts), lambda e: F.lower(e["key"]) == dialect.lower())
+    return F.coalesce(F.try_element_at(texts, F.lit(dialect)), F.try_element_at(F.array_sort(alike), F.lit(1))["value"])
+
+
+def pick(entries: dict[str, T] | None, dialect: str) -> T | None:
+    """The same choice from a dictionary."""
+    entries = entries or {}
+    if entries.get(dialect) is not None:
+        return entries[dialect]
+    return next((entries[key] for key in sorted(entries) if key.lower() == dialect.lower()), None)
 
 
 def resolve_text(queries: DataFrame, dialect: str) -> DataFrame:

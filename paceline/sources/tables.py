@@ -17,10 +17,9 @@ from paceline.functions import exact_sum, round2
 from paceline.schemas import LOAD
 from paceline.session import report_rows, scratch_path
 
-# Rows one task should write when a small table is multiplied.
-ROWS_PER_TASK = 1_000_000
-# Up to this many copies are made in the tasks that read the rows.
-COPIES_IN_PLACE = 8
+# Bytes one task should write when a table is multiplied, and an estimate that says nothing.
+BYTES_PER_TASK = 128 << 20
+UNKNOWN_BYTES = 1 << 60
 
 
 def apply_ddl(spark: SparkSession, statements: list[str | None]) -> int:
@@ -178,18 +177,25 @@ def copies_needed(rows: int, threshold: int) -> int:
     return max(1, -(-threshold // rows))
 
 
+def _planned(df: DataFrame) -> tuple[int, int]:
+    """Partitions and estimated bytes of a DataFrame, from its plan."""
+    size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    return df.rdd.getNumPartitions(), size
+
+
 def scale_to_threshold(df: DataFrame, threshold: int, rows: int | None = None) -> DataFrame:
     """All rows ``copies_needed`` times, numbered by ``copy_no`` from 0.
 
-    A few copies are made where the rows are read, without a shuffle. For many copies the rows are dealt
-    out evenly first, so that each task writes about ``ROWS_PER_TASK`` rows; that shuffle moves the rows,
-    not their copies. Where there are fewer rows than tasks each row goes out once per block of copies.
-    Give ``rows`` when the count is known, to save the counting job.
+    Copies are made where the rows are read, unless the output is estimated to need more tasks than the input has
+    partitions; then rows are dealt out evenly first. That shuffle moves the rows, not their copies. Where there are
+    fewer rows than tasks each row goes out once per block of copies. Give ``rows`` when the count is known, to
+    save the counting job.
     """
     rows = df.count() if rows is None else rows
     copies = copies_needed(rows, threshold)
-    tasks = -(-rows * copies // ROWS_PER_TASK)
-    if copies <= COPIES_IN_PLACE or tasks == 1:
+    partitions, size = _planned(df)
+    tasks = -(-size * copies // BYTES_PER_TASK) if size < UNKNOWN_BYTES else 1
+    if tasks <= partitions:
         return df.withColumn("copy_no", F.explode(F.sequence(_big(0), _big(copies - 1))))
     blocks = min(copies, -(-tasks // rows))
     per_block = -(-copies // blocks)
@@ -217,13 +223,17 @@ def load_to_threshold(
 ) -> DataFrame:
     """Fill a target with whole copies of a table until it holds ``threshold`` rows, as one LOAD row.
 
-    One job writes all copies, so the time is that of the whole load. An empty or unreadable input gives
-    an error row. ``keep_copy_no`` adds the copy number as last column, which keeps repeated primary keys
-    apart.
+    One job writes all copies, so the time is that of the whole load; the rows are counted before it starts. An
+    empty or unreadable input gives an error row. ``keep_copy_no`` adds the copy number as last column, which keeps
+    repeated primary keys apart.
     """
+    try:
+        rows = read().count()
+    except Exception as error:  # a failed load is a result row
+        return load_refused(spark, table, csv_file, error_text(error), connection, position)
 
     def copies() -> DataFrame:
-        scaled = scale_to_threshold(read(), threshold)
+        scaled = scale_to_threshold(read(), threshold, rows)
         return scaled if keep_copy_no else scaled.drop("copy_no")
 
     return load_table(spark, copies, target, table, csv_file, connection, position, fmt)

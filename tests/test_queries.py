@@ -4,11 +4,13 @@ from __future__ import annotations
 
 import datetime as dt
 import json
+import os
 from decimal import Decimal
 
 import pytest
 from pyspark.sql import functions as F
 
+from paceline.operators import storage
 from paceline.operators.queries import q_aggregate, q_count, q_filter, q_join, q_read
 from paceline.plans import (
     custom_report,
@@ -16,12 +18,13 @@ from paceline.plans import (
     read_query_sets,
     run_queries,
     runner,
-    standard_queries,
     standard_report,
     standard_run,
+    standard_schema,
     time_df,
 )
 from paceline.schemas import METRIC, QUERY_TIMING, TABLE_STATS
+from paceline.session import scratch, scratch_path
 from paceline.sources import apply_ddl, drop_table, read_config
 from paceline.values import CUSTOM_LEADERS, METRIC_COLUMNS
 from tests.conftest import as_list, as_set
@@ -133,8 +136,6 @@ def test_queries_run_on_after_a_failure(spark, shop):
     assert "PARSE_SYNTAX_ERROR" in found[1].error_message
     assert found[2].error_message == "No queries configuration found for database type: SPARK"
     assert "no luck" in found[3].error_message
-    with pytest.raises(ValueError, match="more than 4"):
-        run_queries(spark, queries, "spark", runs=1, most=4)
 
 
 def test_standard_run(spark):
@@ -151,7 +152,7 @@ def test_standard_run(spark):
     assert all(found[1][c] is None for c in METRIC_COLUMNS)
     for row in (found[0], found[2]):
         for column in METRIC_COLUMNS:
-            assert row[column] is None if "single" in column else row[column] > 0
+            assert row[column] is None if "single" in column or "connection" in column else row[column] > 0
     assert run.stats.schema == TABLE_STATS
     assert {(r.connection_name, r.table_name, r.row_count) for r in run.stats.collect()} == {
         (c, t, 500) for c in "po" for t in ["benchmark_users", "benchmark_orders"]
@@ -225,13 +226,21 @@ def test_custom_run_names_missing_files(spark, tmp_path):
         custom_run(spark, config, {"other.csv": "x"})
 
 
+JOINED = "FROM benchmark_users u, benchmark_orders o WHERE u.id = o.user_id"
+
+
 def test_standard_run_with_query_sets_from_a_file(spark, tmp_path):
-    own = standard_queries("parquet")._asdict() | {"read": "SELECT id FROM benchmark_users", "insertUser": "unused"}
+    own = {
+        "schema": standard_schema("parquet"),
+        "read": "SELECT id FROM benchmark_users",
+        "join": f"SELECT name, amount {JOINED} AND amount > ?",
+        "aggregate": f"SELECT max(name), sum(amount) AS s {JOINED} GROUP BY u.id HAVING s > ?",
+        "insertUser": "unused",
+    }
     (tmp_path / "sets.json").write_text(json.dumps({"Parquet": own, "json": {**own, "join": "SELEKT"}}, indent=1))
     sets = read_query_sets(spark, str(tmp_path / "sets.json"))
-    assert sorted(sets) == ["json", "parquet"] and sets["parquet"].read == "SELECT id FROM benchmark_users"
-    with pytest.raises(ValueError, match="more than 1"):
-        read_query_sets(spark, str(tmp_path / "sets.json"), most=1)
+    assert sorted(sets) == ["Parquet", "json"] and sets["Parquet"].read == "SELECT id FROM benchmark_users"
+    assert list(read_query_sets(spark, str(tmp_path / "sets.json"), ["PARQUET", "orc"])) == ["Parquet"]
     run = standard_run(spark, [("p", "PARQUET"), ("o", "orc"), ("j", "json")], 60, DAY, runs=1, query_sets=sets)
     found = run.metrics.orderBy("position").collect()
     assert [r.success for r in found] == [True, False, False]
@@ -239,27 +248,119 @@ def test_standard_run_with_query_sets_from_a_file(spark, tmp_path):
     assert "PARSE_SYNTAX_ERROR" in found[2].error
     report = standard_report(run)
     assert {r.connection_name for r in report["failures"].collect()} == {"o", "j"}
-    assert {r.metric for r in report["leaders"].collect()} == {"connection_time_ms", "batch_insertion_rate", "read_time_ms"}
+    assert {r.metric for r in report["leaders"].collect()} == {"batch_insertion_rate", "read_time_ms"}
     assert report["comparison"].count() == 3 and report["chart"].count() == 1
     grid = report["statistics"].where("statistic = 'Row Count'").select("p", "o", "j")
     assert as_list(grid) == [("60", "-", "-"), ("60", "-", "-")]
+    assert "statistics" not in standard_report(run, wide=False)
 
 
 def test_standard_tables_hold_the_generated_rows(spark):
-    queries = standard_queries("parquet")
-    apply_ddl(spark, queries.schema)
+    apply_ddl(spark, standard_schema("parquet"))
     try:
         runner._insert(spark, 1000, DAY)
-        assert spark.table("benchmark_users").where("created_at is null").count() == 0
-        assert spark.sql(queries.read).count() == 1000
-        assert spark.sql(queries.join, args=[50.0]).count() == 100
-        assert spark.sql(queries.join.replace("LIMIT 100", ""), args=[50.0]).count() == 959
-        assert spark.sql(queries.aggregate, args=[10.0]).count() == 999
+        users, orders = spark.table("benchmark_users"), spark.table("benchmark_orders")
+        assert users.where("created_at is null").count() == 0
+        work = runner._work("parquet", None, None)
+        assert work.read(spark).count() == 1000
+        assert work.join(spark).count() == 100
+        assert q_join(users, orders, 50.0, limit=None).count() == 959
+        assert work.aggregate(spark).count() == 999
     finally:
         drop_table(spark, "benchmark_users")
         drop_table(spark, "benchmark_orders")
 
 
+def test_amounts_can_be_wider(spark):
+    run = standard_run(spark, [("p", "parquet")], 100, DAY, runs=1, amount_type="decimal(18,2)")
+    assert run.metrics.first().success
+    assert "amount decimal(18,2)" in standard_schema("orc", "decimal(18,2)")[3]
+
+
+def test_dialects_in_any_case(spark, tmp_path):
+    (tmp_path / "employee.csv").write_text("id,name,salary\n1,b,60000.50\n")
+    text = (tmp_path / "in.json", workload(tmp_path, [("p", "Parquet"), ("o", "ORC")]))[1]
+    mixed = open(text).read().replace('"parquet":', '"Parquet":').replace('"orc":', '"oRc":')
+    (tmp_path / "mixed.json").write_text(mixed)
+    config = read_config(spark, str(tmp_path / "mixed.json"))
+    run = custom_run(spark, config, {"employee.csv": str(tmp_path / "employee.csv")}, threshold=1, runs=1)
+    assert [(r.success, r.error) for r in run.results.collect()] == [(True, None)] * 2
+    assert run.timings.where("success").count() == 3
+
+
+def test_workload_without_tables(spark, tmp_path):
+    config = {
+        "connectionDetails": [{"name": "p", "dbType": "parquet"}],
+        "tables": [],
+        "queries": [{"name": "one", "queriesByDb": {"parquet": "SELECT 1"}}],
+    }
+    (tmp_path / "config.json").write_text(json.dumps(config))
+    run = custom_run(spark, read_config(spark, str(tmp_path / "config.json")), {}, runs=1)
+    assert [tuple(r) for r in run.results.collect()] == [("p", "parquet", 0, True, None)]
+    assert run.timings.first().success and run.stats.collect() == []
+    assert [tuple(r) for r in run.imports.collect()] == [("p", 0, 0, 0.0, 0.0, 0.0, False)]
+    report = custom_report(run)
+    assert [r.p for r in report["imports"].collect()] == ["0", "0.00 ms", "0.00 ms", "0.00 rows/s"]
+
+
+def test_connections_of_one_name_stay_apart(spark, tmp_path):
+    (tmp_path / "employee.csv").write_text("id,name,salary\n1,b,60000.50\n")
+    config = read_config(spark, workload(tmp_path, [("p", "parquet"), ("p", "orc"), ("p (2)", "parquet")]))
+    run = custom_run(spark, config, {"employee.csv": str(tmp_path / "employee.csv")}, threshold=3, runs=1)
+    assert [r.connection_name for r in run.results.orderBy("position").collect()] == ["p", "p (3)", "p (2)"]
+    assert {(r.connection_name, r.total_rows_loaded) for r in run.imports.collect()} == {("p", 3), ("p (2)", 3), ("p (3)", 3)}
+
+
+def test_a_failing_close_does_not_end_the_run(spark, monkeypatch):
+    close, calls = runner._close, []
+
+    def failing(place):
+        close(place)
+        calls.append(1)
+        if len(calls) == 1:
+            raise RuntimeError("cannot drop")
+
+    monkeypatch.setattr(runner, "_close", failing)
+    run = standard_run(spark, [("a", "parquet"), ("b", "parquet")], 50, DAY, runs=1)
+    found = run.metrics.orderBy("position").collect()
+    assert [(r.success, r.error) for r in found] == [(True, "cannot drop"), (True, None)]
+
+
+def test_tables_of_a_run_are_in_the_shared_folder(spark, monkeypatch):
+    seen, measure = [], runner._measure
+
+    def watched(place, *args):
+        out = measure(place, *args)
+        location = storage.table_location(place.session, "benchmark_users")[0]
+        seen.append((location, place.folder))
+        return out
+
+    monkeypatch.setattr(runner, "_measure", watched)
+    standard_run(spark, [("a", "parquet")], 20, DAY, runs=1)
+    ((location, folder),) = seen
+    root = spark.conf.get("spark.checkpoint.dir")
+    assert folder.startswith(root) and folder in location
+    assert not os.path.exists(folder)
+
+
+def test_a_run_on_a_cluster_needs_the_shared_folder(spark, monkeypatch):
+    def refused(spark, name):
+        raise ValueError("set spark.checkpoint.dir")
+
+    monkeypatch.setattr(runner, "scratch_path", refused)
+    found = standard_run(spark, [("a", "parquet")], 20, DAY, runs=1).metrics.first()
+    assert not found.success and "spark.checkpoint.dir" in found.error
+
+
+def test_scratch_folders_are_released(spark):
+    with scratch(spark):
+        path = scratch_path(spark, "some")
+        spark.range(3).write.parquet(path)
+        kept = path.removeprefix("file:")
+        assert os.path.exists(kept)
+    assert not os.path.exists(kept)
+
+
 def test_custom_report(spark, tmp_path):
     (tmp_path / "employee.csv").write_text("id,name,salary\n1,b,60000.50\n")
     config = read_config(spark, workload(tmp_path, [("p", "parquet"), ("x", "db2"), ("o", "orc")]))

@@ -117,12 +117,19 @@ def test_segments(rows):
     )
     indexes = rows([("I1", "T"), ("I1", "T"), ("I2", "T"), ("GONE", "T"), ("L", "V")], "index_name string, table_name string")
     tables = rows([("t",), ("u",), ("v",), ("none",), ("t",)], "table_name string")
-    assert as_set(storage.segment_sizes(segments, indexes, tables)) == {
-        ("t", 15, 22),
-        ("u", 0, 9),
-        ("v", 0, 50),
-        ("none", 0, 0),
-    }
+    sizes = storage.segment_sizes(segments, indexes, tables)
+    assert as_set(sizes) == {("t", 15, 22), ("u", 0, 9), ("v", 0, 50), ("none", 0, 0)}
+
+
+def test_no_tables_have_no_statistics(spark):
+    assert storage.table_stats(spark, {}).collect() == []
+
+
+def test_table_stats_plan(spark, tmp_path):
+    path = str(tmp_path / "t")
+    spark.range(10).write.parquet(path)
+    plan = storage.table_stats(spark, {"t": path, "u": path})._jdf.queryExecution().executedPlan().toString()
+    assert "file_path" not in plan and "binaryFile" not in plan and "Exchange hashpartitioning" not in plan
 
 
 # --- measurements --------------------------------------------------------------------------------
@@ -192,10 +199,10 @@ def metrics(spark):
 
 def test_standard_leaders(metrics):
     assert as_set(measures.standard_leaders(metrics)) == {
-        ("connection_time_ms", "a", 5.0),
-        ("batch_insertion_rate", "b", 1234567.5),
-        ("avg_single_insert_latency", "b", 1.0),
-        ("read_time_ms", "a", 3.0),
+        ("connection_time_ms", "a", 5.0, "parquet"),
+        ("batch_insertion_rate", "b", 1234567.5, "parquet"),
+        ("avg_single_insert_latency", "b", 1.0, "parquet"),
+        ("read_time_ms", "a", 3.0, "parquet"),
     }
     assert measures.standard_leaders(metrics.where("not success")).count() == 0
 
@@ -215,10 +222,10 @@ def test_custom_leaders(rows):
     )
     times = measures.avg_query_time(timings_of(rows, [("b", 0, "q", "S", 9.0, True), ("a", 0, "q", "S", 0.0, False)]))
     assert as_set(measures.custom_leaders(results, imports, times)) == {
-        ("total_import_time_ms", "b", 50.0),
-        ("csv_import_rate", "b", 2000.0),
-        ("average_table_import_time_ms", "b", 50.0),
-        ("avg_query_time_ms", "b", 9.0),
+        ("total_import_time_ms", "b", 50.0, "x"),
+        ("csv_import_rate", "b", 2000.0, "x"),
+        ("average_table_import_time_ms", "b", 50.0, "x"),
+        ("avg_query_time_ms", "b", 9.0, "x"),
     }
     loose = {r.metric: r.connection_name for r in measures.custom_leaders(results, imports, times, strict=False).collect()}
     assert loose == {
@@ -249,13 +256,56 @@ def loads(rows):
     )
 
 
-def test_pivot(loads):
-    assert as_set(compare.pivot_loads(loads, ["a", "b"])) == {("t", 0, 12.5, 4.25), ("u", 1, 0.0, 0.0), ("v", 2, 0.0, 3.0)}
+@pytest.fixture
+def two(loads):
+    return loads.where("connection_name <> 'z'")
+
+
+def test_pivot(loads, two):
+    assert as_set(compare.pivot_loads(two, ["a", "b"])) == {("t", 0, 12.5, 4.25), ("u", 1, 0.0, 0.0), ("v", 2, 0.0, 3.0)}
     assert compare.pivot_loads(loads, ["b", "a.b`c"]).columns == ["table_name", "position", "b", "a.b`c"]
 
 
-def test_load_grid(loads):
-    assert as_set(compare.load_grid(loads, ["a", "b"])) == {
+def test_no_connection_is_left_out(loads, rows):
+    for wide in (compare.pivot_loads, compare.load_grid):
+        with pytest.raises(Exception, match="connection without a column, use the long form: z"):
+            wide(loads, ["a", "b"]).collect()
+    assert as_set(compare.loads_long(loads).where("connection_name = 'z'")) == {("w", "z", 5, 1.0, "1.00 ms (1 rows)")}
+    nameless = loads_of(rows, [(None, 0, "t", 1, 1.0, True, None)])
+    with pytest.raises(Exception, match="NULL"):
+        compare.pivot_loads(nameless, ["a"]).collect()
+
+
+@pytest.mark.parametrize("name", ["position", "Table_Name", "a"])
+def test_names_that_cannot_be_columns_are_refused(two, name):
+    with pytest.raises(ValueError, match=name):
+        compare.pivot_loads(two, ["a", name])
+    with pytest.raises(ValueError, match="statistic"):
+        compare.stats_grid(two, ["Statistic"])
+
+
+def test_long_form_is_the_wide_one(two, rows):
+    wide = {r.table_name: r for r in compare.load_grid(two, ["a", "b"]).collect()}
+    long = {(r.table_name, r.connection_name): r for r in compare.loads_long(two).collect()}
+    for table, row in wide.items():
+        for c in ("a", "b"):
+            assert row[c] == (long[table, c].shown if (table, c) in long else "-")
+    timings = timings_of(rows, [("a", 0, "q", "", 1234.5, True), ("b", 1, "q", "SELECT", 0.0, False)])
+    assert as_set(compare.queries_long(timings)) == {("q", "a", 0, "QUERY", 1234.5, "1234.50 ms"), ("q", "b", 1, "QUERY", 0.0, "Error")}
+
+
+def test_more_connections_than_a_page_holds(spark):
+    data = [(f"c{i}", i, "t", "t.csv", 10, float(i), True, None) for i in range(501)]
+    loads = spark.createDataFrame(data, LOAD)
+    names = compare.connection_list(loads)
+    assert names == [f"c{i}" for i in range(501)]
+    (row,) = compare.pivot_loads(loads, names).collect()
+    assert [row[c] for c in names] == [float(i) for i in range(501)]
+    assert compare.loads_long(loads).count() == 501
+
+
+def test_load_grid(two):
+    assert as_set(compare.load_grid(two, ["a", "b"])) == {
         ("t", 0, "12.50 ms (1,234,567 rows)", "4.25 ms (8 rows)"),
         ("u", 1, "Error", "-"),
         ("v", 2, "-", "3.00 ms (7 rows)"),
@@ -285,8 +335,6 @@ def test_pivot_and_back(spark, cells):
 def test_names_and_connections(loads):
     assert as_list(compare.names_in_order(loads, "table_name")) == [("t", 0), ("u", 1), ("v", 2), ("w", 5)]
     assert compare.connection_list(loads) == ["a", "b", "z"]
-    with pytest.raises(ValueError, match="more than 2"):
-        compare.connection_list(loads, most=2)
 
 
 def test_failures(rows):
@@ -311,7 +359,7 @@ def test_union_fills_missing_columns(rows):
 
 def test_stats_grid(rows):
     stats = rows(
-        [("a", 0, "t", 1234, 5000, 6000, 0.01, 4.051863857374392), ("b", 0, "t", 0, 0, 0, 0.0, 0.0), ("b", 1, "u", 1, None, None, None, None)],
+        [("a", 0, "t", 1234, 5000, 6000, 0.01, 4.051863857374392), ("b", 0, "t", 0, 0, 0, 0.0, 0.0), ("b", 1, "u", 1, None, None, None, 1234567.891)],
         TABLE_STATS,
     )
     found = compare.stats_grid(stats, ["a", "b"]).orderBy("table_name", "line").drop("position")
@@ -325,13 +373,17 @@ def test_stats_grid(rows):
         ("u", 1, "Data Size (Bytes)", "-", "-"),
         ("u", 2, "Total Size (Bytes)", "-", "-"),
         ("u", 3, "Total Size (MB)", "-", "-"),
-        ("u", 4, "Avg Bytes / Row", "-", "-"),
+        ("u", 4, "Avg Bytes / Row", "-", "1234567.89 Bytes"),
     ]
+    long = {(r.table_name, r.line, r.connection_name): r.text for r in compare.stats_long(stats).collect()}
+    assert long == {(r.table_name, r.line, c): r[c] for r in found.collect() for c in "ab" if (r.table_name, c) != ("u", "a")}
 
 
 def test_comparison_and_charts(metrics, rows):
     found = {r.connection_name: r for r in compare.comparison(metrics).collect()}
     assert (found["b"].status, found["b"].batch_insertion_rate, found["b"].read_time_ms) == ("OK", "1,234,567.50 rows/s", "3.00 ms")
+    slow = compare.comparison(metrics.withColumn("read_time_ms", F.lit(1234.5))).first()
+    assert slow.read_time_ms == "1234.50 ms"
     assert found["b"].join_time_ms == "-"
     assert found["c"].status == "Error" and all(found["c"][c] == "-" for c in METRIC_COLUMNS)
     chart = {r.connection_name: r for r in compare.chart_overall(metrics).collect()}
@@ -342,15 +394,19 @@ def test_comparison_and_charts(metrics, rows):
 def test_import_tables(rows, loads):
     results = rows([("a", "x", 0, True, None), ("b", "x", 1, False, "down"), ("q", "x", 2, True, None)], RESULT)
     imports = measures.import_metrics(loads)
-    assert as_set(compare.chart_imports(results, imports)) == {("a", "x", 0, round(1234568 / 0.1115, 2), 111.5)}
+    assert as_set(compare.chart_imports(results, imports)) == {
+        ("a", "x", 0, round(1234568 / 0.1115, 2), 111.5),
+        ("q", "x", 2, 0.0, 0.0),
+    }
     twice = results.union(results)
-    grid = {r.metric: (r.a, r.b) for r in compare.import_grid(twice, imports, ["a", "b"]).collect()}
+    grid = {r.metric: (r.a, r.b, r.q) for r in compare.import_grid(twice, imports, ["a", "b", "q"]).collect()}
     assert grid == {
-        "Total Rows Loaded": ("1,234,568", "-"),
-        "Total Import Time (ms)": ("111.50 ms", "-"),
-        "Average Table Import (ms)": ("37.17 ms", "-"),
-        "CSV Import Rate (rows/s)": ("11,072,358.74 rows/s", "-"),
+        "Total Rows Loaded": ("1,234,568", "-", "0"),
+        "Total Import Time (ms)": ("111.50 ms", "-", "0.00 ms"),
+        "Average Table Import (ms)": ("37.17 ms", "-", "0.00 ms"),
+        "CSV Import Rate (rows/s)": ("11,072,358.74 rows/s", "-", "0.00 rows/s"),
     }
+    assert ("q", 0, 0, 0.0, 0.0, 0.0, False) in as_set(measures.import_metrics(loads, results))
 
 
 def test_one_connection_with_a_third_of_all_rows(spark):

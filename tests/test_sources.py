@@ -25,6 +25,7 @@ from paceline.sources import (
     resolve_text,
     write_jdbc,
 )
+from paceline.sources.config import pick
 from paceline.sources.jdbc import jdbc_options
 from tests.conftest import as_list, as_set
 
@@ -185,6 +186,20 @@ def test_dialect_is_compared_in_lower_case(rows):
     ]
 
 
+def test_keys_in_any_case(rows):
+    queries = rows(
+        [
+            (0, "exact", None, {"orc": "low", "ORC": "high", "Orc": "mixed"}),
+            (1, "alike", None, {"orc": "low", "Orc": "mixed"}),
+            (2, "none", None, {"parquet": "other"}),
+        ],
+        "position int, name string, category string, queries_by_db map<string,string>",
+    )
+    assert [r.sql_text for r in resolve_text(queries, "ORC").collect()] == ["high", "mixed", None]
+    assert pick({"orc": 1, "ORC": 2}, "ORC") == 2 and pick({"orc": 1, "Orc": 2}, "ORC") == 2
+    assert pick({}, "x") is None and pick(None, "x") is None
+
+
 def test_jdbc_options():
     assert jdbc_options("PostgreSQL", "jdbc:postgresql://h/db", "me", "pw") == {
         "url": "jdbc:postgresql://h/db",

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import math
 import os
+import time
 
 import pytest
 from hypothesis import HealthCheck, given, settings
@@ -125,13 +126,34 @@ def test_whole_copies(small, threshold, copies):
 @pytest.mark.parametrize("rows_per_task", [1, 7, 50, 400])
 @pytest.mark.parametrize("n,threshold", [(1, 1), (1, 333), (3, 1000), (25, 999), (200, 5000)])
 def test_spread_copies_are_whole(spark, monkeypatch, rows_per_task, n, threshold):
-    monkeypatch.setattr(tables, "ROWS_PER_TASK", max(rows_per_task, -(-threshold // 60)))
-    monkeypatch.setattr(tables, "COPIES_IN_PLACE", 2)
+    # A number is estimated at eight bytes.
+    monkeypatch.setattr(tables, "BYTES_PER_TASK", 8 * max(rows_per_task, -(-threshold // 60)))
     copies = max(1, math.ceil(threshold / n))
     found = scale_to_threshold(spark.range(n).coalesce(1), threshold).collect()
     assert sorted(tuple(r) for r in found) == [(i, c) for i in range(n) for c in range(copies)]
 
 
+def test_copies_shuffle_only_where_tasks_are_missing(spark, monkeypatch):
+    plan = lambda df: scale_to_threshold(df, 10_000)._jdf.queryExecution().executedPlan().toString()
+    assert "Exchange" not in plan(spark.range(0, 100, 1, 4))
+    monkeypatch.setattr(tables, "BYTES_PER_TASK", 8 * 2500)
+    assert "Exchange" not in plan(spark.range(0, 100, 1, 4))
+    assert "Exchange RoundRobinPartitioning(4)" in plan(spark.range(0, 100, 1, 3))
+
+
+def test_counting_is_not_part_of_the_load_time(spark, tmp_path):
+    reads = []
+
+    def read():
+        reads.append(1)
+        if len(reads) == 1:
+            time.sleep(2)
+        return spark.range(10)
+
+    row = load_to_threshold(spark, read, str(tmp_path / "t"), "t", 20).first()
+    assert row.rows_loaded == 20 and len(reads) == 2 and row.load_time_ms < 2000
+
+
 @settings(max_examples=15, deadline=None, suppress_health_check=[HealthCheck.function_scoped_fixture])
 @given(n=st.integers(1, 40), threshold=st.integers(-10, 3000))
 def test_number_of_copied_rows(spark, n, threshold):
