@@ -102,7 +102,7 @@ def language_references(docs: DataFrame, common: int = COMMON) -> list[tuple[str
     """Per language: shares of the character classes, and shares of its ``common`` most frequent words.
 
     Counted over all documents with a language; equal counts are ordered by the word. The driver gets a few
-    hundred rows per language.
+    hundred rows per language: the classes (kind 0), the words (1) and how many words there are (2).
     """
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -113,6 +113,7 @@ def language_references(docs: DataFrame, common: int = COMMON) -> list[tuple[str
         def flush() -> pa.RecordBatch:
             rows = [(lang, 1, w, n) for lang, c in tally.items() for w, n in c.items()]
             rows += [(lang, 0, bytes([i]), int(n)) for lang, c in classes.items() for i, n in enumerate(c)]
+            rows += [(lang, 2, b"", c.total()) for lang, c in tally.items()]
             tally.clear()
             classes.clear()
             return pa.RecordBatch.from_arrays(
@@ -136,16 +137,17 @@ def language_references(docs: DataFrame, common: int = COMMON) -> list[tuple[str
         "*",
         F.row_number().over(Window.partitionBy("lang", "kind").orderBy(F.desc("n"), "word")).alias("rank"),
     )
-    total = counts.groupBy("lang", "kind").agg(F.sum("n").alias("total"))
-    top = ranked.where(F.col("rank") <= max(common, CLASSES)).drop("rank")
-    shares: dict[str, tuple[np.ndarray, dict[bytes, float]]] = {}
-    all_of = {(r.lang, r.kind): r.total for r in total.collect()}
-    for r in sorted(top.collect(), key=lambda r: (r.lang, r.kind, -r.n, bytes(r.word))):
-        classes, words = shares.setdefault(r.lang, (np.zeros(CLASSES), {}))
+    top = ranked.where(F.col("rank") <= max(common, CLASSES)).collect()
+    totals = {r.lang: r.n for r in top if r.kind == 2}
+    shares: dict[str, tuple[np.ndarray, dict[bytes, float]]] = {lang: (np.zeros(CLASSES), {}) for lang in totals}
+    for r in sorted(top, key=lambda r: (r.lang, r.kind, -r.n, bytes(r.word))):
+        classes, words = shares[r.lang]
         if r.kind == 0:
-            classes[r.word[0]] = r.n / max(all_of[r.lang, 0], 1)
-        elif len(words) < common:
-            words[bytes(r.word)] = r.n / all_of[r.lang, 1]
+            classes[r.word[0]] = r.n
+        elif r.kind == 1 and len(words) < common:
+            words[bytes(r.word)] = r.n / totals[r.lang]
+    for classes, _ in shares.values():
+        classes /= max(classes.sum(), 1)
     return [(lang, *shares[lang]) for lang in sorted(shares) if shares[lang][0].sum() > 0 and shares[lang][1]]
 
 
