@@ -177,40 +177,66 @@ def _index(texts: DataFrame, load: np.ndarray, width: int, percent: int) -> Data
                 [
                     batch.column("doc_id"),
                     batch.column("text_hash"),
+                    batch.column("row_hash"),
                     pa.array([len(s) for s in sets], pa.int64()),
                     pa.array([node_of(s) if len(s) else None for s in sets], pa.int64()),
                     _lists([signatures(s, load, frequent, percent) for s in sets]),
                     _lists([parity(s) for s in sets]),
                 ],
-                names=["doc_id", "text_hash", "n_shingles", "node", "signatures", "parity"],
+                names=["doc_id", "text_hash", "row_hash", "n_shingles", "node", "signatures", "parity"],
             )
 
     made = "n_shingles long, node long, signatures array<long>, parity array<long>"
-    schema = T.StructType([*texts.select("doc_id", "text_hash").schema.fields, *T.StructType.fromDDL(made).fields])
+    schema = T.StructType([*texts.select("doc_id", "text_hash", "row_hash").schema.fields, *T.StructType.fromDDL(made).fields])
     return texts.mapInArrow(apply, schema)
 
 
-class _Forest:
-    """Joins rows of one block pair; tells which passing pairs connect what was apart."""
+#: Of a pair that the tests rule out.
+FAR = 65535
 
-    def __init__(self, labels: np.ndarray) -> None:
-        _, self.root = np.unique(labels, return_inverse=True)
-        self.root = self.root.astype(np.int64)
-        self.up = np.arange(self.root.max() + 1 if len(labels) else 0)
 
-    def find(self, i: int) -> int:
-        up = self.up
-        while up[i] != i:
-            up[i] = up[up[i]]
-            i = up[i]
-        return i
+def distances(n, bits, label, left: np.ndarray, right: np.ndarray, percent: int) -> np.ndarray:
+    """(left, right) places in which the bitmaps differ, FAR where a pair fails a test or is in one component."""
+    out = np.empty((len(left), len(right)), np.uint16)
+    for i in range(0, len(left), 64):
+        some = left[i : i + 64]
+        apart = np.bitwise_count(bits[some][:, None, :] ^ bits[right][None, :, :]).sum(axis=2, dtype=np.uint16)
+        a, b = n[some][:, None], n[right][None, :]
+        ok = (label[some][:, None] != label[right][None, :]) & (apart <= most_different(a, b, percent))
+        ok &= 100 * np.minimum(a, b) >= percent * np.maximum(a, b)
+        out[i : i + 64] = np.where(ok, apart, FAR)
+    return out
+
 
-    def join(self, i: int, j: int) -> bool:
-        a, b = self.find(self.root[i]), self.find(self.root[j])
-        if a == b:
-            return False
-        self.up[max(a, b)] = min(a, b)
-        return True
+def nearest_forest(apart: np.ndarray, left: np.ndarray, right: np.ndarray, label: np.ndarray) -> np.ndarray:
+    """(2, pairs) that span what the passing pairs connect, the nearest pairs first (Boruvka's steps)."""
+    nodes = np.union1d(left, right)
+    l, r = np.searchsorted(nodes, left), np.searchsorted(nodes, right)
+    comp = np.unique(label[nodes], return_inverse=True)[1].astype(np.int64)
+    out = []
+    while True:
+        apart[comp[l][:, None] == comp[r][None, :]] = FAR
+        j, i = apart.argmin(axis=1), apart.argmin(axis=0)
+        value = np.concatenate([apart[np.arange(len(l)), j], apart[i, np.arange(len(r))]])
+        one, two = np.concatenate([l, l[i]]), np.concatenate([r[j], r])
+        asked = comp[np.concatenate([l, r])]
+        order = np.lexsort((two, one, value))
+        order = order[value[order] < FAR]
+        if not len(order):
+            break
+        first = order[np.unique(asked[order], return_index=True)[1]]
+        up = np.arange(comp.max() + 1)
+        for x, y in zip(comp[one[first]].tolist(), comp[two[first]].tolist(), strict=True):
+            while up[x] != x:
+                x = up[x]
+            while up[y] != y:
+                y = up[y]
+            up[max(x, y)] = min(x, y)
+        while (up != up[up]).any():
+            up = up[up]
+        comp = up[comp]
+        out.append(np.stack([nodes[one[first]], nodes[two[first]]]))
+    return np.unique(np.concatenate(out, axis=1), axis=1) if out else np.zeros((2, 0), np.int64)
 
 
 def _passing(size, bits, label, i: np.ndarray, j: np.ndarray, percent: int) -> np.ndarray:
@@ -227,21 +253,20 @@ def _candidates(rows: DataFrame, percent: int, forest: bool) -> DataFrame:
     """Pairs (a, b), a < b, that share a signature and pass both tests, in different components.
 
     ``rows``: key, side, node, n, parity, label, crowd, sorted by key inside the partition. With ``forest``, keys of
-    more than ``CROWD`` rows give only the pairs of a spanning forest of their passing pairs.
+    more than ``CROWD`` rows give only a spanning forest of their passing pairs, the nearest ones.
     """
 
     def group(table: dict[str, np.ndarray], start: int, end: int) -> np.ndarray:
-        out, tree = [], _Forest(table["label"][start:end]) if forest else None
-        across = table["side"][start:end]
-        left, right = np.flatnonzero(across < 2) + start, np.flatnonzero(across != 1) + start
-        for i in left.tolist():
+        side = table["side"][start:end]
+        left, right = np.flatnonzero(side < 2) + start, np.flatnonzero(side != 1) + start
+        apart = distances(table["n"], table["bits"], table["label"], left, right, percent)
+        if side[0] == 0:
             # Within one block each pair is met once; across two blocks every pair is.
-            js = right[right > i] if across[i - start] == 0 else right
-            found = _passing(table["n"], table["bits"], table["label"], np.full(len(js), i), js, percent)
-            if tree is not None and end - start > CROWD:
-                found = found[:, [tree.join(i - start, j - start) for j in found[1].tolist()]]
-            out.append(found)
-        return np.concatenate(out, axis=1) if out else np.zeros((2, 0), np.int64)
+            apart[left[:, None] >= right[None, :]] = FAR
+        if forest and end - start > CROWD:
+            return nearest_forest(apart, left, right, table["label"])
+        i, j = np.nonzero(apart < FAR)
+        return np.stack([left[i], right[j]])
 
     def pairs(table: dict[str, np.ndarray], last: int) -> pa.RecordBatch:
         key = table["key"][:last]
@@ -319,40 +344,75 @@ def _near(rows: DataFrame, percent: int, forest: bool) -> DataFrame:
     return _candidates(dealt, percent, forest)
 
 
-def _sets(wanted: DataFrame, texts: DataFrame, width: int) -> DataFrame:
-    """(node, tokens) of the wanted nodes, from the texts of those documents (and a few others) that bits pick out."""
+def _picked(named: DataFrame, texts: DataFrame) -> DataFrame:
+    """(row_hash, packed, as_a, as_b) of the rows at the ends of pairs (and of a few others), the text compressed."""
 
     def mark(batches: Iterator[pa.RecordBatch]) -> np.ndarray:
-        bits = np.zeros(NEEDED, np.uint8)
+        bits = np.zeros((2, NEEDED), np.uint8)
         for batch in batches:
-            bits[batch.column("text_hash").to_numpy(zero_copy_only=False) & (NEEDED - 1)] = 1
-        return np.packbits(bits)
+            for end in (0, 1):
+                bits[end, batch.column(end).to_numpy(zero_copy_only=False) & (NEEDED - 1)] = 1
+        return np.packbits(bits, axis=1)
 
-    marks = tree_sum(wanted.select("text_hash"), mark, (NEEDED // 8,), np.uint8, np.bitwise_or)
+    marks = tree_sum(named.select("row_a", "row_b"), mark, (2, NEEDED // 8), np.uint8, np.bitwise_or)
     shared = texts.sparkSession.sparkContext.broadcast(marks)
 
     def pick(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        marked = np.unpackbits(shared.value).astype(bool)
+        marked = np.unpackbits(shared.value, axis=1).astype(bool)
         for batch in chunks(batches):
-            hit = marked[batch.column("text_hash").to_numpy(zero_copy_only=False) & (NEEDED - 1)]
-            sets = [s for s in shingle_sets(raw(batch.column("text").filter(pa.array(hit))), width) if len(s)]
-            nodes = pa.array([node_of(s) for s in sets], pa.int64())
-            yield pa.RecordBatch.from_arrays([nodes, _lists(sets)], names=["node", "tokens"])
+            spot = batch.column("row_hash").to_numpy(zero_copy_only=False) & (NEEDED - 1)
+            ends = marked[:, spot]
+            hit = pa.array(ends.any(axis=0))
+            packed = [pack_text(t) for t in raw(batch.column("text").filter(hit))]
+            columns = [batch.column("row_hash"), pa.array(ends[0]), pa.array(ends[1])]
+            yield pa.RecordBatch.from_arrays(
+                [*(c.filter(hit) for c in columns), pa.array(packed, pa.binary())],
+                names=["row_hash", "as_a", "as_b", "packed"],
+            )
+
+    schema = "row_hash long, as_a boolean, as_b boolean, packed binary"
+    return texts.select("row_hash", "text").mapInArrow(pick, schema)
+
 
-    picked = texts.select("text_hash", "text").mapInArrow(pick, "node long, tokens array<long>")
-    return picked.join(wanted.select("node"), "node", "left_semi").groupBy("node").agg(F.first("tokens").alias("tokens"))
+def pack_text(text: bytes) -> bytes:
+    return len(text).to_bytes(8, "little") + pa.Codec("zstd", compression_level=9).compress(text, asbytes=True)
+
+
+def unpack_text(packed: bytes) -> bytes:
+    return pa.decompress(packed[8:], int.from_bytes(packed[:8], "little"), "zstd", asbytes=True)
 
 
 def _verified(pairs: DataFrame, nodes: DataFrame, texts: DataFrame, width: int, percent: int) -> DataFrame:
-    """The links among candidate pairs, by the whole sets of both."""
-    ends = pairs.select(F.col("a").alias("node")).union(pairs.select("b")).distinct()
-    wanted = stage(ends.join(nodes.select("node", "text_hash"), "node"), "wanted")
-    sets = stage(_sets(wanted, texts, width), "sets")
-    left = sets.select(F.col("node").alias("a"), F.col("tokens").alias("ta"))
-    right = sets.select(F.col("node").alias("b"), F.col("tokens").alias("tb"))
-    both = F.size(F.array_intersect("ta", "tb"))
-    linked = pairs.join(right, "b").join(left, "a").select("a", "b", (F.col("na") + F.col("nb")).alias("sum"), both.alias("both"))
-    return linked.where(100 * F.col("both") >= percent * (F.col("sum") - F.col("both"))).select("a", "b")
+    """The links among candidate pairs, by the whole sets of both.
+
+    Compressed texts travel rather than sets: they are a third as large.
+    """
+    rows = nodes.select("node", "row_hash")
+    named = pairs.select("a", "b")
+    for end in ("a", "b"):
+        named = named.join(rows.select(F.col("node").alias(end), F.col("row_hash").alias(f"row_{end}")), end)
+    named = stage(named, "named-pairs")
+    picked = stage(_picked(named, texts), "picked")
+    for end in ("b", "a"):
+        # Rows alike in id and text have one hash; the grouping and the join share a shuffle.
+        one = picked.where(f"as_{end}").groupBy("row_hash").agg(F.first("packed").alias("packed"))
+        text = one.select(F.col("row_hash").alias(f"row_{end}"), F.col("packed").alias(f"text_{end}"))
+        named = named.join(text, f"row_{end}")
+
+    def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        last, tokens = None, None
+        for batch in batches:
+            linked = []
+            for row, left, right in zip(*(batch.column(c) for c in ("row_a", "text_a", "text_b")), strict=True):
+                if last is None or row.as_py() != last:
+                    last, (tokens,) = row.as_py(), shingle_sets([unpack_text(left.as_py())], width)
+                (other,) = shingle_sets([unpack_text(right.as_py())], width)
+                both = len(np.intersect1d(tokens, other, assume_unique=True))
+                linked.append(100 * both >= percent * (len(tokens) + len(other) - both))
+            keep = pa.array(linked, pa.bool_())
+            yield pa.RecordBatch.from_arrays([batch.column(c).filter(keep) for c in ("a", "b")], names=["a", "b"])
+
+    return named.select("a", "b", "row_a", "text_a", "text_b").mapInArrow(verify, "a long, b long")
 
 
 def linked(docs: DataFrame, width: int = SHINGLE, percent: int = PERCENT) -> DataFrame:
@@ -366,8 +426,9 @@ def linked(docs: DataFrame, width: int = SHINGLE, percent: int = PERCENT) -> Dat
     """
     text = F.coalesce(F.col("text").cast("binary"), F.lit(b""))
     texts = docs.select("doc_id", F.xxhash64(text).alias("text_hash"), text.alias("text"))
+    texts = texts.withColumn("row_hash", F.xxhash64("doc_id", "text_hash"))
     index = stage(_index(texts, _sketch(texts, width), width, percent), "index")
-    first = [F.first(c).alias(c) for c in ("n_shingles", "text_hash", "signatures", "parity")]
+    first = [F.first(c).alias(c) for c in ("n_shingles", "row_hash", "signatures", "parity")]
     nodes = stage(index.where(F.col("node").isNotNull()).groupBy("node").agg(*first), "nodes")
     rows = nodes.select(F.explode("signatures").alias("sig"), "node")
     crowds = rows.groupBy("sig").agg(F.count("*").alias("crowd")).where(F.col("crowd") > 1)

@@ -31,7 +31,7 @@ END_ID = 1
 MARKS = b".,;:!?%$#&*|"
 MARK_BYTES = frozenset(MARKS)
 # Words whose ids a Python worker remembers (about 200 bytes each), and words per call of the tokenizer.
-REMEMBERED = 1_000_000
+REMEMBERED = 600_000
 AT_ONCE = 1000
 
 PIECES = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"

@@ -173,12 +173,13 @@ class Rows:
         self.code: dict[str, int] = {}
         self.rows = np.zeros((1024, len(self.landmarks)), np.float32)
 
-    def codes(self, lists: list[list[str]]) -> list[np.ndarray]:
-        """Row numbers of each list's windows; ``rows`` holds them until the next call."""
+    def codes(self, lists: list[list[str]]) -> np.ndarray:
+        """Row numbers of all windows in order; ``rows`` holds them until the next call."""
         if len(self.code) > REMEMBERED:
             self.clear()
         code, known = self.code, len(self.code)
-        out = [np.fromiter((code.setdefault(w, len(code)) for w in ws), np.int64, len(ws)) for ws in lists]
+        flat = (code.setdefault(w, len(code)) for ws in lists for w in ws)
+        out = np.fromiter(flat, np.int64, sum(map(len, lists)))
         if len(code) > known:
             new = list(islice(reversed(code), len(code) - known))[::-1]
             if len(code) > len(self.rows):
@@ -193,8 +194,8 @@ class Rows:
         if not found:
             return np.zeros((0, len(self.landmarks)), np.float32)
         codes = self.codes(found)
-        starts = np.cumsum([0] + [len(c) for c in codes[:-1]])
-        return np.maximum.reduceat(self.rows[np.concatenate(codes)], starts, axis=0)
+        size = np.fromiter(map(len, found), np.int64, len(found))
+        return np.maximum.reduceat(self.rows[codes], np.cumsum(size) - size, axis=0)
 
 
 def choose_landmarks(texts: list[list[list[str]]], toxic: np.ndarray, marking: int = MARKING, common: int = COMMON) -> list[str]:
