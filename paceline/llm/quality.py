@@ -212,13 +212,19 @@ def quality(docs: DataFrame, references: list | None = None, **limits) -> DataFr
     fields = T.StructType.fromDDL(MEASURES)
     kept = [c for c in docs.columns if c not in fields.names]
     # The text is handed over apart, under a name of its own place, so any column may be called anything.
-    given = docs.select(F.struct(*[F.col(f"`{c}`") for c in kept]).alias("row"), F.coalesce(F.col("text").cast("binary"), F.lit(b"")).alias("text"))
+    text = F.coalesce(F.col("text").cast("binary"), F.lit(b"")).alias("text")
+    given = docs.select(F.struct(*[F.col(f"`{c}`") for c in kept]).alias("row"), text)
 
     def apply(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in chunks(batches):
             found = judge(raw(batch.column("text")), references, **limits)
             yield pa.RecordBatch.from_arrays(
-                [batch.column("row"), *[pa.array(found[f]) for f in fields.names[:-2]], pa.array(found["nearest"], pa.string()), pa.array(found["kept"])],
+                [
+                    batch.column("row"),
+                    *[pa.array(found[f]) for f in fields.names[:-2]],
+                    pa.array(found["nearest"], pa.string()),
+                    pa.array(found["kept"]),
+                ],
                 names=["row", *fields.names],
             )
 

@@ -227,7 +227,7 @@ def scan(docs: DataFrame, keep_text: bool = False) -> DataFrame:
     base_type = pa.list_(pa.struct([("kind", pa.int32()), ("start", pa.int32()), ("end", pa.int32())]))
     trial_type = pa.list_(
         pa.struct(
-            [("start", pa.int32()), ("end", pa.int32()), ("encoding", pa.int32()), ("size", pa.int32()), ("chi", pa.float64()), ("p_random", pa.float64())]
+            [(c, pa.int32()) for c in ("start", "end", "encoding", "size")] + [(c, pa.float64()) for c in ("chi", "p_random")]
         )
     )
 
@@ -287,15 +287,17 @@ def find_secrets(
     found = stage(scan(docs, keep_text), "secret-findings")
     limits = thresholds(found, uneven, rate)
     both = F.concat(F.col("base"), _reported(uneven, limits, p_random))
-    keyed = F.array_sort(F.transform(both, lambda s: F.struct(s["start"].alias("start"), s["kind"].alias("kind"), s["end"].alias("end"))))
-    ordered = F.transform(keyed, lambda s: F.struct(s["kind"].alias("kind"), s["start"].alias("start"), s["end"].alias("end")))
+    in_order = lambda *names: lambda s: F.struct(*[s[c].alias(c) for c in names])
+    keyed = F.array_sort(F.transform(both, in_order("start", "kind", "end")))
+    ordered = F.transform(keyed, in_order("kind", "start", "end"))
     return found.withColumn("spans", ordered).drop("trials")
 
 
 def span_text(spans: Column) -> Column:
     """kind:start:end of each span, joined by commas."""
     kind = lambda s: F.element_at(F.array(*[F.lit(k) for k in KINDS]), s["kind"] + 1)
-    return F.array_join(F.transform(spans, lambda s: F.concat_ws(":", kind(s), s["start"].cast("string"), s["end"].cast("string"))), ",")
+    text = lambda s: F.concat_ws(":", kind(s), s["start"].cast("string"), s["end"].cast("string"))
+    return F.array_join(F.transform(spans, text), ",")
 
 
 def mask_secrets(docs: DataFrame) -> DataFrame:

@@ -1,13 +1,17 @@
 """Toxicity by a support vector machine over a subsequence string kernel with Nystrom landmarks.
 
 The kernel counts common subsequences of ``LENGTH`` characters, each weighted by ``DECAY`` to the power of the stretch that
-it covers in both strings (characters that are not letters only widen it), and is divided by the root of both strings' own values. So a word that is written with gaps or
-inserted characters stays near the plain one. Landmarks are chosen among the words of labelled sentences: those that mark toxic
-texts most surely, for each of these the harmless word most like it, and a few common ones. A sentence's similarity to a landmark is that of its most similar window (a word, or
-a run of single characters), and the Nystrom map (inverse root of the landmarks' own kernel matrix) makes them features of a linear
-machine. Labels belong to texts, not to sentences: training alternates between picking, in every labelled text, the few sentences
-that the machine finds worst, which then carry the text's label, and fitting again. A text scores as its worst sentence,
-turned into a probability by a logistic fit.
+it covers in both strings (characters that are not letters only widen it), and is divided by the root of both strings' own
+values. So a word that is written with gaps or inserted characters stays near the plain one.
+
+Landmarks are chosen among the words of labelled sentences: those that mark toxic texts most surely, for each of these the
+harmless word most like it, and a few common ones. A sentence's similarity to a landmark is that of its most similar window (a
+word, or a run of single characters), and the Nystrom map (inverse root of the landmarks' own kernel matrix) makes them features
+of a linear machine.
+
+Labels belong to texts, not to sentences: training alternates between picking, in every labelled text, the few sentences that
+the machine finds worst, which then carry the text's label, and fitting again. A text scores as its worst sentence, turned into
+a probability by a logistic fit.
 """
 
 from __future__ import annotations
@@ -305,7 +309,8 @@ def fit(labelled: DataFrame, sample: int = SAMPLE) -> Model:
     rows = labelled.where(F.col("toxic").isNotNull())
     share = sample / max(rows.count(), 1)
     picked = rows.where(F.pmod(F.xxhash64("doc_id"), F.lit(1 << 30)) < int(min(share, 1.0) * (1 << 30)))
-    table = picked.select(F.coalesce("text", F.lit("")).alias("text"), (F.col("toxic") == 1).alias("toxic"), F.xxhash64("doc_id").alias("h")).toArrow()
+    columns = [F.coalesce("text", F.lit("")).alias("text"), (F.col("toxic") == 1).alias("toxic")]
+    table = picked.select(*columns, F.xxhash64("doc_id").alias("h")).toArrow()
     table = table.sort_by([("h", "ascending"), ("text", "ascending")])
     return fit_texts(table.column("text").to_pylist(), table.column("toxic").to_pylist())
 
