@@ -37,6 +37,7 @@ HEADLINE = [
     "q03_aggregate",
     "q04_count",
     "q05_filter",
+    "t01_table_stats",
     "t05_active_parts_size",
     "t06_segment_sizes",
     "t07_block_sizes",

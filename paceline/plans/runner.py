@@ -301,7 +301,9 @@ def _check_files(spark: SparkSession, tables: DataFrame, files: dict[str, str])
         raise ValueError("; ".join(row["error"] for row in named) + (f"; and {more} more" if more else ""))
 
 
-def _load(place: _Place, label: str, connection, table, path: str, dialect: str, threshold: int, trials: int, multiline: bool):
+def _load(
+    place: _Place, label: str, connection, table, path: str, dialect: str, threshold: int, trials: int, multiline: bool
+):
     """Create one table and load it; its LOAD row."""
     session, name = place.session, table["table_name"]
     ddl = pick(table["schemas"], connection["db_type"])
