@@ -37,6 +37,8 @@ PARITY_WORDS = 8
 # Signatures with more documents hand on a forest first; blocks of this many are compared at a time.
 CROWD = 32
 BLOCK = 2048
+# Nodes that a task remembers, to leave out the signatures of copies.
+MET = 200_000
 # Bits of the filter that picks the documents whose sets are needed.
 NEEDED = 1 << 24
 _A, _B, _C = (np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0xD6E8FEB86659FD93))
@@ -164,23 +166,31 @@ def _lists(arrays: list[np.ndarray]) -> pa.Array:
 
 
 def _index(texts: DataFrame, load: np.ndarray, width: int, percent: int) -> DataFrame:
-    """Every document with its set's size, node, signatures and parity bits."""
+    """Every document with its set's size, node, parity bits, and signatures unless its task has met the node before."""
     shared = texts.sparkSession.sparkContext.broadcast(load)
     mean = float(load.mean())
     frequent = mean + 6 * mean**0.5 + 32
+    nothing = np.zeros(0, np.uint64)
 
     def apply(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        load = shared.value
+        load, met = shared.value, set()
         for batch in chunks(batches):
             sets = shingle_sets(raw(batch.column("text")), width)
+            nodes = [node_of(s) if len(s) else None for s in sets]
+            signed = []
+            for s, node in zip(sets, nodes, strict=True):
+                signed.append(nothing if node in met else signatures(s, load, frequent, percent))
+                met.add(node)
+            if len(met) > MET:
+                met.clear()
             yield pa.RecordBatch.from_arrays(
                 [
                     batch.column("doc_id"),
                     batch.column("text_hash"),
                     batch.column("row_hash"),
                     pa.array([len(s) for s in sets], pa.int64()),
-                    pa.array([node_of(s) if len(s) else None for s in sets], pa.int64()),
-                    _lists([signatures(s, load, frequent, percent) for s in sets]),
+                    pa.array(nodes, pa.int64()),
+                    _lists(signed),
                     _lists([parity(s) for s in sets]),
                 ],
                 names=["doc_id", "text_hash", "row_hash", "n_shingles", "node", "signatures", "parity"],
@@ -428,11 +438,13 @@ def linked(docs: DataFrame, width: int = SHINGLE, percent: int = PERCENT) -> Dat
     texts = docs.select("doc_id", F.xxhash64(text).alias("text_hash"), text.alias("text"))
     texts = texts.withColumn("row_hash", F.xxhash64("doc_id", "text_hash"))
     index = stage(_index(texts, _sketch(texts, width), width, percent), "index")
-    first = [F.first(c).alias(c) for c in ("n_shingles", "row_hash", "signatures", "parity")]
+    first = [F.first(c).alias(c) for c in ("n_shingles", "row_hash", "parity")]
     nodes = stage(index.where(F.col("node").isNotNull()).groupBy("node").agg(*first), "nodes")
-    rows = nodes.select(F.explode("signatures").alias("sig"), "node")
-    crowds = rows.groupBy("sig").agg(F.count("*").alias("crowd")).where(F.col("crowd") > 1)
-    shared = stage(rows.join(crowds, "sig"), "shared")
+    rows = index.select(F.explode("signatures").alias("sig"), "node")
+    # A crowd counts copies from different tasks apart, so it is a bound.
+    crowds = rows.groupBy("sig").agg(F.count("*").alias("crowd"), F.min("node").alias("lo"), F.max("node").alias("hi"))
+    crowds = crowds.where("lo < hi").select("sig", "crowd")
+    shared = stage(rows.join(crowds, "sig").distinct(), "shared")
 
     pairs = stage(_near(_laid_out(shared, nodes, None), percent, forest=True), "pairs")
     links = stage(_verified(pairs, nodes, texts, width, percent), "links")
@@ -480,7 +492,8 @@ WITH RECURSIVE listed AS (
     FROM documents
 ), sets AS (
     SELECT doc_id, CASE
-        WHEN len(w) >= 3 THEN list_distinct(list_transform(range(1, len(w) - 1), lambda i: array_to_string(w[i:i + 2], ' ')))
+        WHEN len(w) >= 3
+            THEN list_distinct(list_transform(range(1, len(w) - 1), lambda i: array_to_string(w[i:i + 2], ' ')))
         WHEN len(w) > 0 THEN [array_to_string(w, ' ')] ELSE []::VARCHAR[] END AS s
     FROM listed
 ), sized AS (
