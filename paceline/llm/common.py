@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import sys
+import time
 import types
 from collections.abc import Callable, Iterable, Iterator
 
@@ -16,7 +17,9 @@ from pyspark.sql import types as T
 from paceline.sources.tables import stage as stage
 
 # Text bytes that a task handles at a time; a single longer text is a chunk of its own.
-CHUNK_BYTES = 4 << 20
+CHUNK_BYTES = 2 << 20
+# Seconds after which a Python worker drops what it has not used.
+UNUSED_S = 5.0
 WORD = r"[^\x20\x09-\x0D]+"
 _GOLDEN = 0x9E3779B97F4A7C15
 
@@ -44,6 +47,7 @@ def words(data: bytes) -> list[bytes]:
 
 def chunks(batches: Iterable[pa.RecordBatch], limit: int = CHUNK_BYTES) -> Iterator[pa.RecordBatch]:
     """Record batches cut so that each holds about ``limit`` bytes of text at most."""
+    forget_unused()
     for batch in batches:
         if not batch.num_rows:
             continue
@@ -90,16 +94,28 @@ def segment_sum(values: np.ndarray, bounds: np.ndarray) -> np.ndarray:
     return out
 
 
-def worker_state(name: str, make: Callable[[], object]) -> object:
-    """Something costly that a Python worker makes once and keeps for its later tasks; ``name`` must fix its value.
+def _states() -> dict:
+    """What this Python worker keeps between tasks, by name, with the time of its last use.
 
     Task functions come with their code and have no module of their own that would outlive a task, so it is kept in a
     module that is made for it.
     """
-    state = vars(sys.modules.setdefault("paceline_worker_state", types.ModuleType("paceline_worker_state")))
-    if name not in state:
-        state[name] = make()
-    return state[name]
+    return vars(sys.modules.setdefault("paceline_worker_state", types.ModuleType("paceline_worker_state")))
+
+
+def worker_state(name: str, make: Callable[[], object]) -> object:
+    """Something costly that a Python worker makes once and keeps for its later tasks; ``name`` must fix its value."""
+    states = _states()
+    made = states[name][1] if name in states else make()
+    states[name] = (time.monotonic(), made)
+    return made
+
+
+def forget_unused() -> None:
+    """Drop what earlier steps have left in this worker. Every task that reads texts calls this first."""
+    states, now = _states(), time.monotonic()
+    for name in [n for n, s in states.items() if isinstance(s, tuple) and now - s[0] > UNUSED_S]:
+        del states[name]
 
 
 def tree_sum(

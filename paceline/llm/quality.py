@@ -29,7 +29,7 @@ MIN_WORDS = 50
 CLASS_DISTANCE = 0.31
 WORD_DISTANCE = 0.53
 # Distinct words that a task holds before it hands their counts on.
-HELD = 300_000
+HELD = 150_000
 
 REFERENCE = "lang string, kind int, word binary, n long"
 MEASURES = (
