@@ -37,7 +37,7 @@ PARITY_WORDS = 8
 # Signatures with more documents hand on a forest first; blocks of this many are compared at a time.
 CROWD = 32
 BLOCK = 2048
-# Nodes that a task remembers, to leave out the signatures of copies.
+# Rows that a task remembers, to ship the text of repeated ones once.
 MET = 200_000
 # Bits of the filter that picks the documents whose sets are needed.
 NEEDED = 1 << 24
@@ -166,23 +166,17 @@ def _lists(arrays: list[np.ndarray]) -> pa.Array:
 
 
 def _index(texts: DataFrame, load: np.ndarray, width: int, percent: int) -> DataFrame:
-    """Every document with its set's size, node, parity bits, and signatures unless its task has met the node before."""
+    """Every document with its set's size, node, signatures and parity bits."""
     shared = texts.sparkSession.sparkContext.broadcast(load)
     mean = float(load.mean())
     frequent = mean + 6 * mean**0.5 + 32
-    nothing = np.zeros(0, np.uint64)
 
     def apply(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        load, met = shared.value, set()
+        load = shared.value
         for batch in chunks(batches):
             sets = shingle_sets(raw(batch.column("text")), width)
             nodes = [node_of(s) if len(s) else None for s in sets]
-            signed = []
-            for s, node in zip(sets, nodes, strict=True):
-                signed.append(nothing if node in met else signatures(s, load, frequent, percent))
-                met.add(node)
-            if len(met) > MET:
-                met.clear()
+            signed = [signatures(s, load, frequent, percent) for s in sets]
             yield pa.RecordBatch.from_arrays(
                 [
                     batch.column("doc_id"),
@@ -368,10 +362,17 @@ def _picked(named: DataFrame, texts: DataFrame) -> DataFrame:
     shared = texts.sparkSession.sparkContext.broadcast(marks)
 
     def pick(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        marked = np.unpackbits(shared.value, axis=1).astype(bool)
+        marked, met = np.unpackbits(shared.value, axis=1).astype(bool), set()
         for batch in chunks(batches):
-            spot = batch.column("row_hash").to_numpy(zero_copy_only=False) & (NEEDED - 1)
-            ends = marked[:, spot]
+            row = batch.column("row_hash").to_numpy(zero_copy_only=False)
+            ends = marked[:, row & (NEEDED - 1)]
+            for i in np.flatnonzero(ends.any(axis=0)).tolist():
+                # A row that the task has met before goes nowhere.
+                if row[i] in met:
+                    ends[:, i] = False
+                met.add(row[i])
+            if len(met) > MET:
+                met.clear()
             hit = pa.array(ends.any(axis=0))
             packed = [pack_text(t) for t in raw(batch.column("text").filter(hit))]
             columns = [batch.column("row_hash"), pa.array(ends[0]), pa.array(ends[1])]
@@ -395,19 +396,17 @@ def unpack_text(packed: bytes) -> bytes:
 def _verified(pairs: DataFrame, nodes: DataFrame, texts: DataFrame, width: int, percent: int) -> DataFrame:
     """The links among candidate pairs, by the whole sets of both.
 
-    Compressed texts travel rather than sets: they are a third as large.
+    Compressed texts travel rather than sets: they are a third as large. Pairs are named by the rows of their ends, two
+    numbers each; while these are few, Spark sends them to the texts instead of the texts to them.
     """
     rows = nodes.select("node", "row_hash")
-    named = pairs.select("a", "b")
-    for end in ("a", "b"):
-        named = named.join(rows.select(F.col("node").alias(end), F.col("row_hash").alias(f"row_{end}")), end)
-    named = stage(named, "named-pairs")
+    end = lambda name: rows.select(F.col("node").alias(name), F.col("row_hash").alias(f"row_{name}"))
+    named = stage(pairs.join(end("a"), "a").join(end("b"), "b").select("row_a", "row_b"), "named-pairs")
     picked = stage(_picked(named, texts), "picked")
-    for end in ("b", "a"):
-        # Rows alike in id and text have one hash; the grouping and the join share a shuffle.
-        one = picked.where(f"as_{end}").groupBy("row_hash").agg(F.first("packed").alias("packed"))
-        text = one.select(F.col("row_hash").alias(f"row_{end}"), F.col("packed").alias(f"text_{end}"))
-        named = named.join(text, f"row_{end}")
+    text = lambda name: picked.where(f"as_{name}").select(
+        F.col("row_hash").alias(f"row_{name}"), F.col("packed").alias(f"text_{name}")
+    )
+    ready = named.join(text("b"), "row_b").join(text("a"), "row_a")
 
     def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         last, tokens = None, None
@@ -420,31 +419,34 @@ def _verified(pairs: DataFrame, nodes: DataFrame, texts: DataFrame, width: int,
                 both = len(np.intersect1d(tokens, other, assume_unique=True))
                 linked.append(100 * both >= percent * (len(tokens) + len(other) - both))
             keep = pa.array(linked, pa.bool_())
-            yield pa.RecordBatch.from_arrays([batch.column(c).filter(keep) for c in ("a", "b")], names=["a", "b"])
+            yield pa.RecordBatch.from_arrays(
+                [batch.column(c).filter(keep) for c in ("row_a", "row_b")], names=["row_a", "row_b"]
+            )
 
-    return named.select("a", "b", "row_a", "text_a", "text_b").mapInArrow(verify, "a long, b long")
+    found = ready.select("row_a", "row_b", "text_a", "text_b").mapInArrow(verify, "row_a long, row_b long").distinct()
+    found = stage(found, "found")
+    return found.join(end("a"), "row_a").join(end("b"), "row_b").select("a", "b")
 
 
 def linked(docs: DataFrame, width: int = SHINGLE, percent: int = PERCENT) -> DataFrame:
     """Per row of ``docs``: doc_id, text_hash, n_shingles, root and component_id, the smallest doc_id that links reach.
 
-    Two documents link when their sets of shingles of ``width`` words (A-Z in lower case; the whole sequence where there
-    are fewer) have a Jaccard similarity of ``percent`` / 100 or more. Null and empty texts and those without a word have no shingles, link with nothing and
-    are components of their own id, also when an id repeats. Rows of null id take part; a component of nothing but them
-    has a null id. Repeated rows link with each other. ``docs`` needs doc_id and text; other columns are not read.
+    Two documents link when their sets of shingles of ``width`` words (A-Z in lower case; the whole sequence where there are
+    fewer) have a Jaccard similarity of ``percent`` / 100 or more. Null and empty texts and those without a word have no
+    shingles, link with nothing and are components of their own id, also when an id repeats. Rows of null id take part; a
+    component of nothing but them has a null id. Repeated rows link with each other. ``docs`` needs doc_id and text; other
+    columns are not read.
     ``root`` names the component of a row with shingles, and is null without.
     """
     text = F.coalesce(F.col("text").cast("binary"), F.lit(b""))
     texts = docs.select("doc_id", F.xxhash64(text).alias("text_hash"), text.alias("text"))
     texts = texts.withColumn("row_hash", F.xxhash64("doc_id", "text_hash"))
     index = stage(_index(texts, _sketch(texts, width), width, percent), "index")
-    first = [F.first(c).alias(c) for c in ("n_shingles", "row_hash", "parity")]
+    first = [F.first(c).alias(c) for c in ("n_shingles", "row_hash", "signatures", "parity")]
     nodes = stage(index.where(F.col("node").isNotNull()).groupBy("node").agg(*first), "nodes")
-    rows = index.select(F.explode("signatures").alias("sig"), "node")
-    # A crowd counts copies from different tasks apart, so it is a bound.
-    crowds = rows.groupBy("sig").agg(F.count("*").alias("crowd"), F.min("node").alias("lo"), F.max("node").alias("hi"))
-    crowds = crowds.where("lo < hi").select("sig", "crowd")
-    shared = stage(rows.join(crowds, "sig").distinct(), "shared")
+    rows = nodes.select(F.explode("signatures").alias("sig"), "node")
+    crowds = rows.groupBy("sig").agg(F.count("*").alias("crowd")).where(F.col("crowd") > 1)
+    shared = stage(rows.join(crowds, "sig"), "shared")
 
     pairs = stage(_near(_laid_out(shared, nodes, None), percent, forest=True), "pairs")
     links = stage(_verified(pairs, nodes, texts, width, percent), "links")
