@@ -13,7 +13,7 @@ from __future__ import annotations
 import heapq
 import zlib
 from collections.abc import Iterator
-from itertools import compress
+from itertools import chain, compress, filterfalse
 
 import numpy as np
 import pyarrow as pa
@@ -107,7 +107,7 @@ class WordEncoder:
             self.known.clear()
         # The names of special tokens count in lower case alone, so a text that may hold one keeps its case.
         lists = [(t if b"<|" in t else t.lower()).split() for t in texts]
-        self._learn(set().union(*lists) - self.known.keys())
+        self._learn(set(filterfalse(self.known.__contains__, chain.from_iterable(lists))))
         get = self.known.__getitem__
         for ws in lists:
             yield b"".join(map(get, ws))
