@@ -11,6 +11,10 @@ element stands for that whole element, so headings beside the text body stay.
 
 Elements that by their meaning are never article text (menus, adverts, forms, scripts, comments of readers) are
 cut out before densities are taken; their links still count for the page's share of link characters.
+
+A word in a class or id is only a suspicion, as slugs like "related-work" name sections too. A suspect beside the article is
+cut out. One that holds the first article is not, nor one inside the article that is as dense as the threshold found without
+suspects, nor one with most of the text of a page that marks no article.
 """
 
 from __future__ import annotations
@@ -51,12 +55,18 @@ ENDS_PARAGRAPH = BLOCK - {"br", "body", "html", "td", "th", "tr", "tbody", "thea
 SCOPE = frozenset("td th table article section div body html li blockquote".split())
 ROLES = frozenset("navigation banner contentinfo complementary search alert dialog menu menubar".split())
 NOTICE = re.compile(
-    r"(?:^|[\s_-])(?:ads?|advert\w*|banner|sponsor\w*|promo\w*|sidebar|side-bar|nav\w*|menu|breadcrumbs?|cookies?|consent"
+    r"(?:^|[\s_-])(?:ads?|advert\w*|banner|sponsor\w*|promos?|sidebar|side-bar|nav|navbar|navigation|menu|breadcrumbs?|cookies?|consent"
     r"|gdpr|popup|modal|notice|alert|newsletter|subscribe|signup|login|share|sharing|social|related|recommend\w*"
     r"|comments?|commentlist|disqus|respond|reply|replies|footer|masthead|site-header|page-header|toolbar"
     r"|pagination|pager|skip-link)(?=$|[\s_-])",
     re.I,
 )
+#: Whole classes that leave no doubt: adverts and comments of readers.
+NEVER_ARTICLE = re.compile(r"(?:^|\s)(?:ads?|adverts?|advertisements?|sponsored|comments|commentlist|disqus)(?=$|\s)", re.I)
+HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
+#: Elements whose id tells a role inside an article; ids of others, sections among them, are anchors.
+CONTAINERS = frozenset("div ul ol table".split())
+MARKED = ("article", "main")
 TAG = re.compile(
     r"<!--.*?(?:-->|\Z)|<(?P<close>/?)(?P<name>[a-zA-Z][^\s/>]*+)"
     r"(?P<attrs>(?:[^>\"']|\"[^\"<]*+\"|'[^'<]*+'|[\"'])*+)>|<[!?][^>]*+>",
@@ -65,32 +75,44 @@ TAG = re.compile(
 ATTRIBUTE = re.compile(r"([a-zA-Z-]+)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+)))?")
 
 
-def _cut_out(name: str, attrs: str, in_article: bool) -> bool:
-    """Whether an element with all below it is page furniture. A header counts unless it heads an article."""
+def _cut_out(name: str, attrs: str, in_article: bool) -> tuple[bool, int]:
+    """Whether an element with all below it is page furniture, and whether a word in its class or id makes it suspect (1: yes,
+    2: beyond doubt).
+
+    A header counts unless it heads an article.
+    """
     if name in DROPPED or (name == "header" and not in_article):
-        return True
-    if not attrs or name in ("html", "body", "article", "main"):
-        return False
+        return True, 0
+    if not attrs or name in ("html", "body", *MARKED):
+        return False, 0
+    suspect = 0
     for key, *values in ATTRIBUTE.findall(attrs):
         key, value = key.lower(), next((v for v in values if v), "")
-        if key in ("class", "id") and NOTICE.search(value):
-            return True
+        if key == "class" and NOTICE.search(value):
+            suspect = 2 if NEVER_ARTICLE.search(value) else max(suspect, 1)
+        if key == "id" and (name in CONTAINERS if in_article else name not in HEADINGS) and NOTICE.search(value):
+            suspect = max(suspect, 1)
         if key == "role" and value.lower() in ROLES:
-            return True
+            return True, 0
         if key == "hidden" or (key == "aria-hidden" and value.lower() == "true"):
-            return True
+            return True, 0
         if key == "style" and re.search(r"display\s*:\s*none", value, re.I):
-            return True
-    return False
+            return True, 0
+    return False, suspect
 
 
 class _Tree:
-    """Nodes in page order: parent, tag, own text and whether the node is cut out."""
+    """Nodes in page order: parent, tag, own text and whether the node is cut out; suspects, and those in an article."""
 
     def __init__(self) -> None:
         self.parent, self.tag, self.gone = [-1], ["body"], [False]
         self.pieces: list[tuple[int, str]] = []
         self.open = [0]
+        self.suspects: list[int] = []
+        self.sure: set[int] = set()
+        self.inside: set[int] = set()
+        # Articles and main elements that are open, by their places in ``open``.
+        self.marked: list[int] = []
 
     def text(self, data: str) -> None:
         if data:
@@ -104,14 +126,23 @@ class _Tree:
         if name in ("html", "body"):
             return
         top = self.open[-1]
-        in_article = any(self.tag[i] in ("article", "main") for i in self.open) if name == "header" else False
+        in_article = bool(self.marked)
+        cut, suspect = _cut_out(name, attrs, in_article)
         self.parent.append(top)
         self.tag.append(name)
-        self.gone.append(self.gone[top] or _cut_out(name, attrs, in_article))
+        self.gone.append(self.gone[top] or cut)
         node = len(self.tag) - 1
+        if suspect and not self.gone[node]:
+            self.suspects.append(node)
+            if suspect > 1:
+                self.sure.add(node)
+            if in_article:
+                self.inside.add(node)
         if name in BLOCK:
             self.pieces.append((node, " "))
         if name not in VOID and not attrs.endswith("/"):
+            if name in MARKED:
+                self.marked.append(len(self.open))
             self.open.append(node)
 
     def end(self, name: str) -> None:
@@ -134,6 +165,8 @@ class _Tree:
         if any(self.tag[i] in BLOCK for i in self.open[k:]):
             self.pieces.append((self.open[k - 1], " "))
         del self.open[k:]
+        while self.marked and self.marked[-1] >= k:
+            self.marked.pop()
 
 
 def _parse(page: str) -> _Tree:
@@ -205,19 +238,74 @@ def _densities(tree: _Tree) -> tuple[list[float], list[float], list[int], int]:
     return density, sums, best, best[0]
 
 
+def _threshold(tree: _Tree, density: list[float], top: int) -> float:
+    """Smallest density from the best node up to the body."""
+    threshold, node = density[top], top
+    while node > 0:
+        node = tree.parent[node]
+        threshold = min(threshold, density[node])
+    return threshold
+
+
+def _without(tree: _Tree, cut: set[int]) -> list[bool]:
+    """What is gone when some nodes are cut out too."""
+    gone = list(tree.gone)
+    for i in range(1, len(gone)):
+        gone[i] = gone[i] or i in cut or gone[tree.parent[i]]
+    return gone
+
+
+def _furniture(tree: _Tree) -> list[bool]:
+    """What is gone once it is known which suspects are furniture."""
+    n, hard = len(tree.tag), tree.gone
+    density, _, _, _ = _densities(tree)
+    chars, paragraphs, holds = [0] * n, [0] * n, [False] * n
+    # The first article is the page's own; later ones may be comments or teasers.
+    own = next((i for i in range(1, n) if tree.tag[i] in MARKED and not hard[i]), 0)
+    node = own
+    while node > 0:
+        node = tree.parent[node]
+        holds[node] = True
+    for node, text in tree.pieces:
+        if not hard[node]:
+            chars[node] += len(text.strip())
+    for i in range(n - 1, 0, -1):
+        if not hard[i]:
+            p = tree.parent[i]
+            chars[p] += chars[i]
+            paragraphs[p] += paragraphs[i] + (tree.tag[i] == "p")
+    doubtful = {i for i in tree.suspects if not holds[i]}
+    tree.gone = _without(tree, doubtful)
+    rest, _, _, top = _densities(tree)
+    threshold = _threshold(tree, rest, top)
+    tree.gone = hard
+
+    def below_top(node: int) -> bool:
+        while node > 0 and node != top:
+            node = tree.parent[node]
+        return node == top
+
+    cut = set()
+    for i in doubtful:
+        beside = i not in tree.inside if own else not below_top(i)
+        most = not own and 2 * chars[i] > chars[0] and paragraphs[i] > 1
+        if i in tree.sure or (not most and (beside or density[i] < threshold)):
+            cut.add(i)
+    return _without(tree, cut)
+
+
 def main_text(page: str | None) -> str:
     """The article of one page, white space as single spaces; empty for null, empty and text-free pages."""
     if not page:
         return ""
     tree = _parse(page)
+    if tree.suspects:
+        tree.gone = _furniture(tree)
     density, sums, best, top = _densities(tree)
     n = len(tree.tag)
-    threshold, node = density[top], top
-    while node > 0:
-        node = tree.parent[node]
-        threshold = min(threshold, density[node])
+    threshold = _threshold(tree, density, top)
     kept = [False] * n
-    for wanted in ("article", "main"):
+    for wanted in MARKED:
         node = top
         while node > 0 and tree.tag[node] != wanted:
             node = tree.parent[node]

@@ -51,6 +51,34 @@ def test_furniture_is_left_out():
     assert main_text(page).replace("a link", "").split() == expected.replace("a link", "").split()
 
 
+SLUGS = "naval-history navy promotion-to-captain social-policy related-work reply comments comments-on-the-law".split()
+
+
+@pytest.mark.parametrize("slug", SLUGS)
+def test_sections_named_like_furniture_stay(slug):
+    own = f"<h2 id='{slug}'>Heading</h2><p>{LONG * 3}</p>"
+    more = f"<p>{LONG * 2}</p><div class='ad'>Buy this now</div>"
+    text = f"Title {LONG * 2} Heading {LONG * 3}".split()
+    links = "<ul>" + "".join(f"<li><a href=/{i}>other page {i}</a></li>" for i in range(9)) + "</ul>"
+    for element in (f"<section id='{slug}'>{own}</section>", f"<div id='{slug}'>{own}</div>", f"<section class='{slug}-part'>{own}</section>", own):
+        assert main_text(f"<body><article><h1>Title</h1>{more}{element}</article></body>").split() == text
+        assert main_text(f"<body><div class='menu'>{links}</div><div><h1>Title</h1>{more}{element}</div></body>").split() == text
+    assert main_text(f"<div class='{slug} has-sidebar'><article><h1>Title</h1>{more}{own}</article></div>").split() == text
+    assert main_text(f"<div class='x-{slug}'><h1>Title</h1><p>{LONG * 2}</p>{own}</div>").split() == text
+
+
+def test_comments_in_articles_of_their_own_are_left_out():
+    page = f"<article><p>{LONG * 3}</p></article><div class='comments-area'><article><p>{LONG}</p></article></div>"
+    assert main_text(page).split() == (LONG * 3).split()
+
+
+def test_furniture_inside_an_article_is_left_out():
+    links = "".join(f"<a href=/{i}>other page {i}</a> " for i in range(9))
+    for attrs in ("class='related-posts'", "id='related'", "class='nav-links'", "class='promo-box'"):
+        page = f"<article><p>{LONG * 3}</p><div {attrs}>{links}</div><p>{LONG}</p></article>"
+        assert main_text(page).split() == (LONG * 4).split()
+
+
 def test_dense_block_without_an_article_element():
     links = "".join(f"<li><a href=/{i}>link number {i}</a></li>" for i in range(30))
     page = f"<body><div><ul>{links}</ul></div><div><div>{''.join(f'<p>{LONG * 2}</p>' for _ in range(5))}</div></div></body>"
