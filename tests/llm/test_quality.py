@@ -70,6 +70,40 @@ def test_distances_and_verdicts(spark, sf_dir, documents):
         assert r.kept == (not r.base_failed and best[0] <= 1)
 
 
+ITALIAN = """Nel mezzo del cammin di nostra vita mi ritrovai per una selva oscura che la diritta via era smarrita. Ahi quanto a dir
+qual era è cosa dura esta selva selvaggia e aspra e forte che nel pensier rinova la paura. Tant' è amara che poco è più morte; ma per
+trattar del ben ch' io vi trovai dirò dell' altre cose ch' io vi ho scorte. Io non so ben ridir com' io vi entrai tant' era pieno di
+sonno in su quel punto che la verace via abbandonai."""
+
+
+def test_texts_without_the_words_of_any_language_are_rejected(spark, sf_dir, documents):
+    references = quality.language_references(spark.read.parquet(f"{sf_dir}/documents.parquet"))
+    texts = [t.encode() for t in documents.text]
+    good = [t for t, k in zip(texts, quality.judge(texts, references)["kept"], strict=True) if k]
+    rng = np.random.default_rng(3)
+
+    def shuffled(text):
+        return " ".join("".join(rng.permutation(list(w))) for w in text.decode().split()).encode()
+
+    def letters(text):
+        return b" ".join(bytes(rng.integers(97, 123, len(w)).astype(np.uint8)) for w in text.split())
+
+    assert len(good) > 140
+    assert not any(quality.judge([letters(t) for t in good], references)["kept"])
+    assert np.mean(quality.judge([shuffled(t) for t in good], references)["kept"]) < 0.05
+    assert not any(quality.judge([ITALIAN.encode()], references)["kept"])
+
+
+def test_own_words_at_any_length_pass(spark, sf_dir):
+    references = quality.language_references(spark.read.parquet(f"{sf_dir}/documents.parquet"))
+    rng = np.random.default_rng(4)
+    for lang, _, words in references:
+        vocabulary = [w.decode() for w in words] + [f"{lang}e{i}" for i in range(2000)]
+        share = [*words.values(), *[(1 - sum(words.values())) / 2000] * 2000]
+        texts = [" ".join(rng.choice(vocabulary, n, p=share)).encode() for n in (50, 60, 80, 120, 300, 2000) for _ in range(50)]
+        assert np.mean(quality.judge(texts, references, class_limit=1.0)["kept"]) > 0.99
+
+
 def test_odd_rows(odd, empty):
     found = quality.quality(odd).collect()
     assert len(found) == odd.count()
