@@ -1,6 +1,7 @@
 """Secrets in text: three fixed patterns, and strings that a randomness test battery takes for key material.
 
-A candidate is a maximal run of key characters. Its alphabet is inferred (decimal, hex, base 32, 36, 62, 64 and 64 for
+A candidate is a maximal run of key characters; a run that no alphabet holds is cut at its signs, and parts that are long
+enough are candidates. Its alphabet is inferred (decimal, hex, letters of one case, base 32, 36, 62, 64 and 64 for
 URLs), and its characters, as numbers in that alphabet, go through four tests: chi-squared uniformity over the
 alphabet, the same over kinds of characters (capitals, small letters, digits, signs), runs above and below the
 middle, and serial correlation. Fisher's method joins them into ``p_random``; a random string gets a small value
@@ -35,12 +36,16 @@ ACCESS = re.compile(r"AKIA[A-Z0-9]+")
 HEX = re.compile(r"[0-9a-f]{16,}")
 LONG = re.compile(r"(?<![A-Za-z0-9+/_=.-])[A-Za-z0-9+/_=.-]{16,}")
 CANDIDATE = re.compile(r"[A-Za-z0-9+/_-]{16,}={0,2}")
+# Parts of a run that mixes the signs of both kinds of base 64, as the two kinds and plain letters and digits cut it.
+PARTS = (re.compile(r"[A-Za-z0-9+/]{16,}={0,2}"), re.compile(r"[A-Za-z0-9_-]{16,}={0,2}"), re.compile(r"[A-Za-z0-9]{16,}={0,2}"))
 WORDS_OF_ASSIGN = (b"password", b"passwd", b"secret", b"token", b"apikey", b"api_key")
 KINDS = ("assign", "access", "hex", "random")
 
 # Alphabets in the order of their digits.
 ALPHABETS = {
     "decimal": "0123456789",
+    "lower": "abcdefghijklmnopqrstuvwxyz",
+    "upper": "ABCDEFGHIJKLMNOPQRSTUVWXYZ",
     "hex": "0123456789abcdef",
     "HEX": "0123456789ABCDEF",
     "base32": "ABCDEFGHIJKLMNOPQRSTUVWXYZ234567",
@@ -76,10 +81,7 @@ def _spans_and_candidates(text: str, data: bytes) -> tuple[list[tuple[int, int,
         # A run of hex digits this long lies inside one long run.
         spans += [(2, m.start(), m.end()) for m in HEX.finditer(text, run.start(), run.end())]
         for m in CANDIDATE.finditer(text, run.start(), run.end()):
-            word = m[0]
-            # Letters of one case alone, with a capital first at most, are words or names.
-            if not (word.isalpha() and (word[1:].islower() or word.isupper())):
-                found.append((m.start(), m.end()))
+            found += _held(text, m.start(), m.end())
     return sorted(spans, key=lambda s: (s[1], s[0])), found
 
 
@@ -101,6 +103,13 @@ def infer(word: str) -> int:
     return -1
 
 
+def _held(text: str, start: int, end: int) -> list[tuple[int, int]]:
+    """A run, or if no alphabet holds it, its parts; the pieces of a path come apart from the whole."""
+    if infer(text[start:end]) >= 0:
+        return [(start, end)]
+    return sorted({m.span() for part in PARTS for m in part.finditer(text, start, end)})
+
+
 def _upper_tail(z: np.ndarray) -> np.ndarray:
     return np.array([0.5 * math.erfc(v / math.sqrt(2)) for v in z])
 

@@ -77,6 +77,43 @@ def test_keys_are_found_and_identifiers_are_not(spark):
     assert not any(s for i, s in found.items() if i)
 
 
+def _candidates(text):
+    return [text[a:b] for a, b in secrets._spans_and_candidates(text, text.encode())[1]]
+
+
+def test_keys_in_paths_and_after_signs_are_candidates():
+    key, plus, url = "q7Zk2LmX0bTrV9sWc4Yd1EuF", "q7Zk2+mX0bT/V9sWc4Yd1EuF", "q7Zk2-mX0bT_V9sWc4Yd1EuF"
+    assert key in _candidates(f"see https://host.example/my-app/hooks/{key} there")
+    assert key in _candidates(f"a/{key}-b")
+    assert url in _candidates(f"https://host.example/my-app/hooks/{url}")
+    assert plus in _candidates(f"-{plus}") and plus in _candidates(f"--flag_{plus}")
+    assert _candidates(plus) == [plus] and _candidates(url) == [url]
+
+
+def test_letters_of_one_case_are_tested(spark):
+    draw = random.Random(11)
+    for cases in ("abcdefghijklmnopqrstuvwxyz", "ABCDEFGHIJKLMNOPQRSTUVWXYZ"):
+        key, short = ("".join(draw.choices(cases, k=n)) for n in (300, 16))
+        assert _candidates(f"a {short} b") == [short] and secrets.infer(short) >= 0
+        words = ["overthehillsandfaraway", "nevertheless", "thereisnothingtosee", "Itwaslateintheevening", "ONCEUPONATIME"]
+        prose = [" ".join(draw.choices(words, k=40)) for _ in range(200)]
+        rows = [(0, f"the key {key} is here")] + [(i, t + " " + t.upper()) for i, t in enumerate(prose, 1)]
+        df = spark.createDataFrame(rows, "doc_id long, text string")
+        found = {r.doc_id: r.s for r in secrets.find_secrets(df).select("doc_id", secrets.span_text(F.col("spans")).alias("s")).collect()}
+        assert found[0] == "random:8:308"
+        assert not any(s for i, s in found.items() if i)
+
+
+def test_key_in_a_path_is_reported(spark):
+    rows = [(0, f"https://host.example/my-app/hooks/{KEY.replace('+', 'a').replace('/', 'b')}")]
+    rows += [(i, f"plain_function_name_{i} some/path-to/file_{i % 7} OtherIdentifierInCamelCase{i}") for i in range(1, 300)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    found = {r.doc_id: r.s for r in secrets.find_secrets(df).select("doc_id", secrets.span_text(F.col("spans")).alias("s")).collect()}
+    at = rows[0][1].index("hooks/") + len("hooks/")
+    assert f"random:{at}:{at + len(KEY)}" in found[0].split(",")
+    assert not any(s for i, s in found.items() if i)
+
+
 def test_masks(spark):
     df = spark.createDataFrame([(1, "x token=abcdefabcdefabcdef0123 y", 32), (2, None, None), (3, "clean", 5)], "doc_id long, text string, n_chars int")
     found = {r.doc_id: (r.text, r.n_chars) for r in secrets.mask_secrets(df).collect()}
