@@ -9,7 +9,7 @@ Over 200 common words an honest short text is as far as one without any of them,
 used too much. Words that are missing show in the groups of common words (ranks 1, 2-3, 4-7 and so on): a text without
 common words is just as far over groups, and chance spreads far less. A text is near when its distance over groups is
 within ``GROUP_FACTOR`` times what chance gives at its length plus ``GROUP_MARGIN``, and always below that of a text without
-common words. Some garbled texts of 50 to 100 words that keep short words by luck still pass.
+common words. Some garbled texts of up to about 200 words that keep short words by luck still pass.
 """
 
 from __future__ import annotations
