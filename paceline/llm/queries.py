@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from paceline.llm import fingerprints, html, langid, lm, mixing, ngram_join, packing, quality, secrets, toxicity
+from paceline.llm import best_fit, fingerprints, html, langid, lm, mixing, ngram_join, packing, quality, secrets, toxicity
 from paceline.llm.common import corpus, held_out
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -94,3 +94,8 @@ def op9_identify_language(spark, sf_dir):
 def op10_ngram_join(spark, sf_dir):
     found = ngram_join.linked(corpus(spark, sf_dir).select("doc_id", "text"), width=3, percent=90)
     return found.select("doc_id", "n_shingles", "component_id")
+
+
+@query()
+def op11_pack_best_fit(spark, sf_dir):
+    return best_fit.pack(corpus(spark, sf_dir).select("doc_id", "text"))
