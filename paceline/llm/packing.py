@@ -95,9 +95,10 @@ class WordEncoder:
     def _learn(self, new: set[bytes]) -> None:
         known = self.known
         marked = {w: core for w in new if w[-1] in MARK_BYTES and (core := _core(w))}
-        self._learn_whole(list(((new - marked.keys()) | set(marked.values())) - known.keys()))
-        tails = {w[len(core) :] for w, core in marked.items()} - known.keys()
-        self._learn_whole(list(tails))
+        # A set minus a dictionary's keys would walk over all that is known.
+        parts = {*marked.values(), *(w[len(core) :] for w, core in marked.items())}
+        parts.update(filterfalse(marked.__contains__, new))
+        self._learn_whole(list(filterfalse(known.__contains__, parts)))
         for w, core in marked.items():
             known[w] = known[core] + known[w[len(core) :]]
 
@@ -107,10 +108,17 @@ class WordEncoder:
             self.known.clear()
         # The names of special tokens count in lower case alone, so a text that may hold one keeps its case.
         lists = [(t if b"<|" in t else t.lower()).split() for t in texts]
-        self._learn(set(filterfalse(self.known.__contains__, chain.from_iterable(lists))))
-        get = self.known.__getitem__
+        words = list(chain.from_iterable(lists))
+        found = list(map(self.known.get, words))
+        unknown = [i for i, ids in enumerate(found) if ids is None]
+        if unknown:
+            self._learn({words[i] for i in unknown})
+            for i in unknown:
+                found[i] = self.known[words[i]]
+        at = 0
         for ws in lists:
-            yield b"".join(map(get, ws))
+            yield b"".join(found[at : at + len(ws)])
+            at += len(ws)
 
 
 def piece_lengths(n: int, length: int = LENGTH, grain: int = GRAIN) -> list[int]:
