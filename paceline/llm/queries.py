@@ -7,7 +7,21 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from paceline.llm import best_fit, fingerprints, html, langid, lm, mixing, ngram_join, packing, quality, secrets, toxicity
+from paceline.llm import (
+    best_fit,
+    collocations,
+    fingerprints,
+    html,
+    langid,
+    lexical,
+    lm,
+    mixing,
+    ngram_join,
+    packing,
+    quality,
+    secrets,
+    toxicity,
+)
 from paceline.llm.common import corpus, held_out
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -99,3 +113,14 @@ def op10_ngram_join(spark, sf_dir):
 @query()
 def op11_pack_best_fit(spark, sf_dir):
     return best_fit.pack(corpus(spark, sf_dir).select("doc_id", "text"))
+
+
+@query(lexical.OP12_SQL)
+def op12_rank_documents(spark, sf_dir):
+    docs = corpus(spark, sf_dir).select("doc_id", "text")
+    return lexical.rank(docs, corpus(spark, sf_dir, "benchmark").select("item_id", "text"))
+
+
+@query(collocations.OP13_SQL)
+def op13_mine_phrases(spark, sf_dir):
+    return collocations.collocations(corpus(spark, sf_dir).select("lang", "text"))
