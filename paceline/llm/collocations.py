@@ -9,13 +9,13 @@ overlap begins the next chunk and is counted in that one alone.
 
 Counting goes by length. Hashes of phrases are counted first, as sorted arrays that are cut by hash into parts, and a bit filter
 keeps those that occur often enough; a phrase is looked at only if both phrases one word shorter pass. Hashes and filters may let
-too much through, never too little. What passes is then counted by its words, exactly.
+too much through, never too little. What passes is then spelled out and counted by its words; only inside a task's
+few megabytes are its occurrences gathered by two independent 64-bit hashes.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
-from itertools import chain, compress, count
 
 import numpy as np
 import pyarrow as pa
@@ -33,12 +33,13 @@ COVERED = 50
 # Words from one trigger to the next, on average, and at most.
 TRIGGER = 32
 MOST = 256
-# Hashes that a task gathers before it counts them, and that a part holds; phrases likewise.
+# Hashes that a task gathers before it counts them, and that a part holds, and phrases that a part holds.
 GATHERED = 4_000_000
 PART_HASHES = 2_000_000
-GATHERED_PHRASES = 1_000_000
 PART_PHRASES = 200_000
-TEXT_BYTES = 6 << 20
+# Bytes of chunks that are counted at a time, and bytes that are hashed at a time.
+TEXT_BYTES = 8 << 20
+SEGMENT = 1 << 20
 # Bits of a filter for each phrase that passes, and at most (64 MB); beyond that it passes more.
 FILTER_BITS = 16
 MOST_BITS = 1 << 29
@@ -47,25 +48,61 @@ RANKED_PARTS = 32
 MARK = b"\n"
 _STEP = np.uint64(0x9E3779B97F4A7C15)
 _LOW = np.uint64(0xFFFFFFFF)
+_BASE = 0x5851F42D4C957F2D
 
 # The signs between pieces become marks, a tab a space.
 _FOLD = bytes.maketrans(b".,;:!?\n\x0b\x0c\r\t", MARK * 10 + b" ")
+_BLANK = b".,;:!?\n\x0b\x0c\r\t "
 
 
-def tokens(text: bytes, closing: int = LONGEST - 1) -> list[bytes]:
-    """Words and marks of a text, A-Z in lower case, with marks at its end."""
-    spaced = text.lower().translate(_FOLD).replace(MARK, b" \n ")
-    return [*filter(None, spaced.split(b" ")), *[MARK] * closing]
+def normal(texts: list[bytes], closing: int) -> tuple[bytes, np.ndarray]:
+    """Texts that hold a word, A-Z in lower case, as words and marks with one space after each, and the number of bytes of each.
 
-
-def _coded(flat: list[bytes]) -> tuple[list[bytes], np.ndarray, np.ndarray]:
-    """Distinct tokens, each token's number among them, and each one's hash (a mark's is 0)."""
-    number = dict(zip(dict.fromkeys(flat), count(), strict=False))
-    codes = np.fromiter(map(number.__getitem__, flat), np.int64, len(flat))
-    hashes = word_hashes(number, len(number))
-    if MARK in number:
-        hashes[number[MARK]] = 0
-    return list(number), codes, hashes
+    A text ends in ``closing`` marks.
+    """
+    ending = MARK * closing
+    spaced = [(t.lower().translate(_FOLD) + ending).replace(MARK, b" \n ") for t in texts]
+    data = np.frombuffer(b"".join(spaced), np.uint8)
+    space = data == 0x20
+    # A space stays if there is none in front of it.
+    keep = ~space
+    keep[1:] |= ~space[:-1]
+    starts = np.cumsum([0, *map(len, spaced[:-1])])
+    return data[keep].tobytes(), np.add.reduceat(keep, starts, dtype=np.int64)
+
+
+class Tokens:
+    """Words and marks in bytes that hold one space after each."""
+
+    def __init__(self, data: bytes) -> None:
+        self.data = data
+        self.bytes = np.frombuffer(data, np.uint8)
+        self.end = np.flatnonzero(self.bytes == 0x20)
+        self.start = np.concatenate([[0], self.end[:-1] + 1]).astype(np.int64)
+        self.is_word = self.bytes[self.start] != MARK[0]
+
+    def hashes(self, seed: int = 0) -> np.ndarray:
+        """A 64-bit polynomial of each token's bytes, for all tokens of a segment at once from one running sum."""
+        out = np.zeros(len(self.end), np.uint64)
+        cuts = np.unique(np.append(np.searchsorted(self.start, np.arange(0, len(self.data), SEGMENT)), len(out)))
+        longest = max((int(self.end[j - 1] - self.start[i]) for i, j in zip(cuts[:-1], cuts[1:], strict=True)), default=0)
+        values = mix(np.arange(256, dtype=np.uint64) + np.uint64(256 * (seed + 1)))
+        base = _BASE + 8 * seed
+        power, inverse = (_powers(b, longest + 1) for b in (base, pow(base, -1, 1 << 64)))
+        for i, j in zip(cuts[:-1].tolist(), cuts[1:].tolist(), strict=True):
+            low = int(self.start[i])
+            part = values[self.bytes[low : int(self.end[j - 1])]]
+            part *= power[: len(part)]
+            sums = np.concatenate([np.zeros(1, np.uint64), np.cumsum(part)])
+            first = self.start[i:j] - low
+            out[i:j] = (sums[self.end[i:j] - low] - sums[first]) * inverse[first]
+        return mix(out + (self.end - self.start).astype(np.uint64) * _STEP)
+
+
+def _powers(base: int, count: int) -> np.ndarray:
+    out = np.full(count, base, np.uint64)
+    out[0] = 1
+    return np.multiply.accumulate(out)
 
 
 def cut(hashes: np.ndarray, bounds: np.ndarray, overlap: int, trigger: int = TRIGGER, most: int = MOST) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -100,20 +137,20 @@ def _parse(docs: DataFrame, overlap: int) -> DataFrame:
 
     def apply(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in chunks(batches):
-            lists = [tokens(t, overlap) for t in raw(batch.column("text"))]
-            kept = np.flatnonzero(np.array([len(x) > overlap for x in lists]))
-            if not len(kept):
+            texts = raw(batch.column("text"))
+            kept = [i for i, t in enumerate(texts) if t.translate(None, _BLANK)]
+            if not kept:
                 continue
-            lists = [lists[i] for i in kept]
-            bounds = np.concatenate([[0], np.cumsum([len(x) for x in lists])])
-            flat = list(chain.from_iterable(lists))
-            _, codes, hashes = _coded(flat)
-            begin, end, owner = cut(hashes[codes], bounds, overlap)
-            words = np.concatenate([[0], np.cumsum(hashes[codes] != 0)])
+            data, sizes = normal([texts[i] for i in kept], overlap)
+            found = Tokens(data)
+            bounds = np.concatenate([[0], np.searchsorted(found.end, np.cumsum(sizes))])
+            begin, end, owner = cut(found.hashes(), bounds, overlap)
+            words = np.concatenate([[0], np.cumsum(found.is_word)])
+            spans = zip(found.start[begin].tolist(), found.end[end + overlap - 1].tolist(), strict=True)
             yield pa.RecordBatch.from_arrays(
                 [
-                    batch.column("lang").take(pa.array(kept[owner])),
-                    pa.array([b" ".join(flat[a : b + overlap]) for a, b in zip(begin.tolist(), end.tolist(), strict=True)], pa.binary()),
+                    batch.column("lang").take(pa.array(np.array(kept)[owner])),
+                    pa.array([data[a:b] for a, b in spans], pa.binary()),
                     pa.array(words[end] - words[begin]),
                 ],
                 names=["lang", "text", "words"],
@@ -156,23 +193,29 @@ def part_names(hashes: np.ndarray, parts: int) -> np.ndarray:
 
 
 class Parsed:
-    """The phrases of some chunks: hashes by number of words, at all tokens of the chunks one after another."""
-
-    def __init__(self, batch: pa.RecordBatch, overlap: int) -> None:
-        texts = raw(batch.column("text"))
-        sizes = pc.count_substring(batch.column("text").cast(pa.large_binary()), " ").to_numpy(zero_copy_only=False).astype(np.int64) + 1
-        self.words, self.codes, hashes = _coded(b" ".join(texts).split(b" "))
-        self.chunk = np.repeat(np.arange(len(texts)), sizes)
-        self.copies = batch.column("copies").to_numpy()[self.chunk]
-        ends = np.cumsum(sizes)
-        owned = np.arange(len(self.codes)) < (ends - overlap)[self.chunk]
-        langs, self.lang = np.unique(np.array(batch.column("lang").to_pylist(), object).astype(str), return_inverse=True)
-        self.langs = langs.tolist()
-        salt = word_hashes((x.encode() for x in self.langs), len(self.langs))
-        self.is_word = hashes[self.codes] != 0
-        self.hashes = [mix(hashes[self.codes] ^ salt[self.lang[self.chunk]])]
+    """The phrases of some chunks: hashes by number of words, at all tokens of the chunks one after another.
+
+    A phrase's hash holds its language.
+    """
+
+    def __init__(self, batch: pa.RecordBatch, overlap: int, seed: int = 0) -> None:
+        self.tokens = Tokens(b"".join(t + b" " for t in raw(batch.column("text"))))
+        sizes = pc.binary_length(batch.column("text")).to_numpy(zero_copy_only=False).astype(np.int64) + 1
+        ends = np.searchsorted(self.tokens.end, np.cumsum(sizes))
+        self.chunk = np.repeat(np.arange(len(ends)), np.diff(ends, prepend=0))
+        self.copies = batch.column("copies").to_numpy()
+        owned = np.arange(len(self.chunk)) < (ends - overlap)[self.chunk]
+        named = batch.column("lang").dictionary_encode()
+        self.langs, self.lang = named.dictionary.to_pylist(), named.indices.to_numpy()
+        salt = word_hashes((x.encode() for x in self.langs), len(self.langs), seed)
+        self.is_word = self.tokens.is_word
+        self.hashes = [mix(self.tokens.hashes(seed) ^ salt[self.lang][self.chunk])]
         self.valid = [owned & self.is_word]
 
+    def times(self, begins: np.ndarray) -> np.ndarray:
+        """How often the chunks of these tokens were parsed."""
+        return self.copies[self.chunk[begins]]
+
     def extend(self, passes: Filter) -> None:
         """One word more: what begins at a token and ends before its chunk does, if both shorter phrases pass."""
         shorter = self.hashes[-1]
@@ -183,12 +226,17 @@ class Parsed:
         begins = begins[passes.passes(shorter[begins + 1])]
         valid = np.zeros(len(shorter), bool)
         valid[begins] = True
-        longer = np.zeros(len(shorter), np.uint64)
-        longer[:-n] = mix(shorter[:-n] * _STEP + self.hashes[0][n:])
-        self.hashes.append(longer)
+        self.hashes.append(longer(shorter, self.hashes[0], n))
         self.valid.append(valid)
 
 
+def longer(phrases: np.ndarray, words: np.ndarray, n: int) -> np.ndarray:
+    """Hashes of phrases of ``n`` words and the word after each."""
+    out = np.zeros(len(phrases), np.uint64)
+    out[:-n] = mix(phrases[:-n] * _STEP + words[n:])
+    return out
+
+
 def counted(keys: np.ndarray, weights: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Sorted distinct keys with the sums of their weights; most weights are 1."""
     distinct, total = np.unique(keys, return_counts=True)
@@ -226,9 +274,9 @@ def _frequent(chunked: DataFrame, filters: list[Filter], total: int, overlap: in
             found = Parsed(batch, overlap)
             for f in passed:
                 found.extend(f)
-            valid = found.valid[-1]
-            keys.append(part_names(found.hashes[-1][valid], parts))
-            weights.append(found.copies[valid])
+            begins = np.flatnonzero(found.valid[-1])
+            keys.append(part_names(found.hashes[-1][begins], parts))
+            weights.append(found.times(begins))
             held += len(keys[-1])
             if held > GATHERED:
                 yield packed(keys, weights)
@@ -264,25 +312,37 @@ def _frequent(chunked: DataFrame, filters: list[Filter], total: int, overlap: in
     return Filter(parts, tree_sum(often.select("part", "hashes"), bits, (size // 8,), np.uint8, np.bitwise_or), passing)
 
 
-def _phrases(found: Parsed, passed: list[Filter]) -> Iterator[tuple[np.ndarray, list[bytes], np.ndarray]]:
-    """For each number of words: language, phrase and count of the phrases that pass, told apart by their words."""
-    spell = np.array(found.words, object)
-    lang = found.lang[found.chunk]
+def _phrases(found: Parsed, passed: list[Filter], other: np.ndarray, parts: int) -> Iterator[tuple[int, str, bytes, bytes]]:
+    """The phrases that pass, with their counts, by part and language; ``other`` are the words' hashes by another seed."""
+    words, tokens = other, found.tokens
     for n, f in enumerate(passed):
         begins = np.flatnonzero(found.valid[n])
-        begins = begins[f.passes(found.hashes[n][begins])]
+        key = found.hashes[n][begins]
+        ok = f.passes(key)
+        begins, key, check = begins[ok], key[ok], other[begins[ok]]
+        if n + 1 < len(passed):
+            other = longer(other, words, n + 1)
         if not len(begins):
             continue
-        # A phrase's number from that of its front and its last word; its language comes first.
-        number = lang[begins].astype(np.int64)
-        for i in range(n + 1):
-            named, number = np.unique((number << 32) | found.codes[begins + i], return_inverse=True)
-        order = np.argsort(number, kind="stable")
-        starts = np.flatnonzero(np.diff(number[order], prepend=-1))
-        sums = np.add.reduceat(found.copies[begins[order]], starts)
+        order = np.argsort(key, kind="stable")
+        new = np.diff(key[order], prepend=~key[order[:1]]) != 0
+        if (np.diff(check[order], prepend=check[order[:1]])[~new] != 0).any():
+            # Phrases that share a hash are told apart by the other.
+            order = np.lexsort((check, key))
+            new = np.diff(key[order], prepend=~key[order[:1]]) != 0
+            new |= np.diff(check[order], prepend=check[order[:1]]) != 0
+        starts = np.flatnonzero(new)
+        total = np.add.reduceat(found.times(begins[order]), starts)
         first = begins[order[starts]]
-        spelled = zip(*(spell[found.codes[first + i]] for i in range(n + 1)), strict=True)
-        yield lang[first], list(map(b" ".join, spelled)), sums
+        part = (part_names(key[order[starts]], parts) >> np.uint64(32)).astype(np.int64)
+        lang = found.lang[found.chunk[first]]
+        by = np.lexsort((lang, part))
+        first, total, part, lang = first[by], total[by], part[by], lang[by]
+        spans = zip(tokens.start[first].tolist(), tokens.end[first + n].tolist(), strict=True)
+        spelled = [tokens.data[a:b] for a, b in spans]
+        runs = np.flatnonzero((np.diff(part, prepend=-1) != 0) | (np.diff(lang, prepend=-1) != 0)).tolist()
+        for a, b in zip(runs, [*runs[1:], len(first)], strict=True):
+            yield int(part[a]), found.langs[lang[a]], b"\n".join(spelled[a:b]), total[a:b].astype("<i8").tobytes()
 
 
 def count_phrases(chunked: DataFrame, longest: int = LONGEST, least: int = LEAST) -> DataFrame:
@@ -295,34 +355,16 @@ def count_phrases(chunked: DataFrame, longest: int = LONGEST, least: int = LEAST
     parts = max(1, -(-sum(f.size for f in filters) // PART_PHRASES))
     shared = chunked.sparkSession.sparkContext.broadcast([(f.parts, f.bits) for f in filters])
 
-    def packed(total: dict[str, dict[bytes, int]]) -> pa.RecordBatch:
-        rows = []
-        for lang, times in total.items():
-            phrases = sorted(times)
-            part = word_hashes(phrases, len(phrases)) % np.uint64(parts)
-            for p in np.unique(part).tolist():
-                some = list(compress(phrases, (part == p).tolist()))
-                rows.append((p, lang, b"\n".join(some), np.array([times[x] for x in some], "<i8").tobytes()))
-        kinds = (pa.int64(), pa.string(), pa.binary(), pa.binary())
-        columns = [pa.array([r[i] for r in rows], kind) for i, kind in enumerate(kinds)]
-        return pa.RecordBatch.from_arrays(columns, names=["part", "lang", "phrases", "times"])
-
     def gather(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         passed = [Filter(*f) for f in shared.value]
-        total: dict[str, dict[bytes, int]] = {}
+        kinds = {"part": pa.int64(), "lang": pa.string(), "phrases": pa.binary(), "times": pa.binary()}
         for batch in chunks(batches, TEXT_BYTES):
             found = Parsed(batch, overlap)
             for f in passed[:-1]:
                 found.extend(f)
-            for langs, phrases, sums in _phrases(found, passed):
-                for i, phrase, n in zip(langs.tolist(), phrases, sums.tolist(), strict=True):
-                    times = total.setdefault(found.langs[i], {})
-                    times[phrase] = times.get(phrase, 0) + n
-            if sum(map(len, total.values())) > GATHERED_PHRASES:
-                yield packed(total)
-                total = {}
-        if total:
-            yield packed(total)
+            rows = list(_phrases(found, passed, found.tokens.hashes(1), parts))
+            columns = [pa.array([r[i] for r in rows], kind) for i, kind in enumerate(kinds.values())]
+            yield pa.RecordBatch.from_arrays(columns, names=list(kinds))
 
     def add(key: tuple, table: pa.Table) -> pa.Table:
         total: dict[str, dict[bytes, int]] = {}

@@ -4,6 +4,7 @@ import re
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
@@ -57,18 +58,48 @@ def found(df):
     return sorted(map(tuple, df.select("lang", "rank", "phrase", "a", "l", "r", "n", "score").collect()))
 
 
-@given(st.text(alphabet="ab .\n\t\r,;A\x1cé", max_size=40))
+TEXTS = st.lists(st.text(alphabet="ab .\n\t\r,;A\x1cé", max_size=40), min_size=1, max_size=5)
+
+
+@given(TEXTS)
 @settings(max_examples=200, deadline=None)
-def test_tokens(text):
-    got = c.tokens(text.encode(), 0)
-    runs, run = [], []
-    for t in [*got, c.MARK]:
-        if t == c.MARK:
-            runs.append(run)
-            run = []
-        else:
-            run.append(t.decode())
-    assert [r for r in runs if r] == [p for p in pieces(text) if p]
+def test_tokens(texts):
+    texts = [t for t in texts if any(pieces(t))] or ["a"]
+    data, sizes = c.normal([t.encode() for t in texts], 2)
+    found = c.Tokens(data)
+    spelled = [data[a:b].decode() for a, b in zip(found.start, found.end, strict=True)]
+    bounds = np.searchsorted(found.end, np.cumsum(sizes)).tolist()
+    assert [t != "\n" for t in spelled] == found.is_word.tolist()
+    for text, a, b in zip(texts, [0, *bounds], bounds, strict=False):
+        assert spelled[a:b][-2:] == ["\n", "\n"]
+        runs = " ".join(spelled[a:b]).split("\n")
+        assert [r.split(" ") for r in (r.strip(" ") for r in runs) if r] == [p for p in pieces(text) if p]
+
+
+@pytest.mark.parametrize("segment", [3, 50, 1 << 20])
+def test_equal_tokens_have_equal_hashes_wherever_they_are(monkeypatch, segment):
+    monkeypatch.setattr(c, "SEGMENT", segment)
+    words = ["a", "b", "ab", "ba", "aa", "aab", "aba", "baa", "\x00", "\x00\x00", "é", "a" * 300, "a" * 299 + "b"]
+    picked = np.random.default_rng(2).integers(0, len(words), 500)
+    found = c.Tokens("".join(f"{words[i]} " for i in picked).encode())
+    for seed in (0, 1):
+        by_word = {}
+        for i, h in zip(picked.tolist(), found.hashes(seed).tolist(), strict=True):
+            by_word.setdefault(i, set()).add(h)
+        assert all(len(h) == 1 for h in by_word.values())
+        assert len(set().union(*by_word.values())) == len(words)
+
+
+def test_shared_hashes_do_not_mix_phrases(monkeypatch):
+    """With five hashes in all most phrases collide in one of the two; they are still told apart by the other."""
+    real = c.Tokens.hashes
+    monkeypatch.setattr(c.Tokens, "hashes", lambda self, seed=0: real(self, seed) % np.uint64(5) if seed == 0 else real(self, seed))
+    batch = pa.RecordBatch.from_pydict({"lang": ["en"], "text": pa.array([b"a b c d e f g h a b c d e f g h \n \n"], pa.binary()), "copies": [1]})
+    found = c.Parsed(batch, 2)
+    everything = c.Filter(1, np.full(8, 255, np.uint8))
+    rows = list(c._phrases(found, [everything], found.tokens.hashes(1), 1))
+    assert sorted(rows[0][2].split(b"\n")) == [x.encode() for x in "abcdefgh"]
+    assert np.frombuffer(rows[0][3], "<i8").tolist() == [2] * 8
 
 
 @given(st.lists(st.lists(st.integers(0, 6), min_size=1, max_size=40), min_size=1, max_size=6), st.integers(1, 3), st.integers(2, 9))
@@ -104,7 +135,7 @@ def corpus(seed, texts=80):
 @pytest.mark.parametrize(("longest", "least", "kept"), [(3, 10, 2000), (3, 3, 5), (2, 10, 2000), (4, 4, 2000)])
 def test_against_plain_counts(spark, monkeypatch, longest, least, kept):
     # Parts, gatherings and filters as small as the corpus, so that there are several of each.
-    for name, value in (("GATHERED", 500), ("PART_HASHES", 300), ("GATHERED_PHRASES", 50), ("PART_PHRASES", 40), ("TRIGGER", 4)):
+    for name, value in (("GATHERED", 500), ("PART_HASHES", 300), ("TEXT_BYTES", 2000), ("PART_PHRASES", 40), ("TRIGGER", 4)):
         monkeypatch.setattr(c, name, value)
     docs = corpus(longest)
     df = spark.createDataFrame(docs, "text string, lang string").repartition(6)
