@@ -1,7 +1,8 @@
 """Secrets in text: three fixed patterns, and strings that a randomness test battery takes for key material.
 
-A candidate is a maximal run of key characters; a run that no alphabet holds is cut at its signs, and parts that are long
-enough are candidates. Its alphabet is inferred (decimal, hex, letters of one case, base 32, 36, 62, 64 and 64 for
+A candidate is a maximal run of key characters; a run that no alphabet holds, or with a word between its signs as paths have, is
+also cut at its signs, and parts that are long enough are candidates beside the whole. Of candidates that overlap and pass, the
+narrowest is reported. A candidate's alphabet is inferred (decimal, hex, letters of one case, base 32, 36, 62, 64 and 64 for
 URLs), and its characters, as numbers in that alphabet, go through four tests: chi-squared uniformity over the
 alphabet, the same over kinds of characters (capitals, small letters, digits, signs), runs above and below the
 middle, and serial correlation. Fisher's method joins them into ``p_random``; a random string gets a small value
@@ -36,7 +37,7 @@ ACCESS = re.compile(r"AKIA[A-Z0-9]+")
 HEX = re.compile(r"[0-9a-f]{16,}")
 LONG = re.compile(r"(?<![A-Za-z0-9+/_=.-])[A-Za-z0-9+/_=.-]{16,}")
 CANDIDATE = re.compile(r"[A-Za-z0-9+/_-]{16,}={0,2}")
-# Parts of a run that mixes the signs of both kinds of base 64, as the two kinds and plain letters and digits cut it.
+# Parts of a run with signs: as the two kinds of base 64 cut it, and plain letters and digits.
 PARTS = (re.compile(r"[A-Za-z0-9+/]{16,}={0,2}"), re.compile(r"[A-Za-z0-9_-]{16,}={0,2}"), re.compile(r"[A-Za-z0-9]{16,}={0,2}"))
 WORDS_OF_ASSIGN = (b"password", b"passwd", b"secret", b"token", b"apikey", b"api_key")
 KINDS = ("assign", "access", "hex", "random")
@@ -103,11 +104,19 @@ def infer(word: str) -> int:
     return -1
 
 
+# A stretch between signs that looks like a word: four or more letters of one case, or with a capital in front.
+WORDLIKE = re.compile(r"(?<![A-Za-z0-9])(?:[A-Z]?[a-z]{3,}[a-z]|[A-Z]{4,})(?![A-Za-z0-9])")
+
+
 def _held(text: str, start: int, end: int) -> list[tuple[int, int]]:
-    """A run, or if no alphabet holds it, its parts; the pieces of a path come apart from the whole."""
-    if infer(text[start:end]) >= 0:
-        return [(start, end)]
-    return sorted({m.span() for part in PARTS for m in part.finditer(text, start, end)})
+    """A run, if some alphabet holds it, and its parts, if none does or there are words in it.
+
+    A key in a path is so tested without the path. A key of base 64 that has signs of its own stays whole.
+    """
+    whole = [(start, end)] if infer(text[start:end]) >= 0 else []
+    if whole and not WORDLIKE.search(text[start:end]):
+        return whole
+    return sorted({*whole, *(m.span() for part in PARTS for m in part.finditer(text, start, end))})
 
 
 def _upper_tail(z: np.ndarray) -> np.ndarray:
@@ -230,7 +239,7 @@ def thresholds(found: DataFrame, uneven: list[float], rate: float = RATE) -> dic
 
 def scan(docs: DataFrame, keep_text: bool = False) -> DataFrame:
     """All columns of ``docs``, the text if wanted, with the fixed patterns' spans (``base``) and the tested candidates."""
-    kept = [c for c in docs.columns if c not in ("base", "trials") and (keep_text or c != "text")]
+    kept = [c for c in docs.columns if c not in ("base", "trials", "passing", "spans") and (keep_text or c != "text")]
     given = docs.select(F.struct(*[F.col(f"`{c}`") for c in kept]).alias("row"), F.coalesce("text", F.lit("")).alias("text"))
     fields = T.StructType.fromDDL(FOUND)
     base_type = pa.list_(pa.struct([("kind", pa.int32()), ("start", pa.int32()), ("end", pa.int32())]))
@@ -272,14 +281,27 @@ def _histogram(docs: DataFrame) -> np.ndarray:
     return tree_sum(docs.select(F.coalesce(F.col("text").cast("binary"), F.lit(b"")).alias("text")), count, (256,), np.int64)
 
 
-def _reported(uneven: list[float], limits: dict[int, float], p_random: float) -> Column:
-    """Candidates that pass, as spans of the fourth kind, without those that a fixed pattern covers."""
+def _passing(uneven: list[float], limits: dict[int, float], p_random: float) -> Column:
+    """Candidates that pass, with their ``p_text``, without those that a fixed pattern covers."""
     covered = lambda t: F.exists("base", lambda b: (b["start"] <= t["start"]) & (b["end"] >= t["end"]))
     limit = lambda t: F.coalesce(
         *[F.when(_octave(t) == o, F.lit(x)) for o, x in sorted(limits.items())], F.lit(0.0)
     )
     good = F.filter("trials", lambda t: (t["p_random"] >= p_random) & (_p_text(t, uneven) <= limit(t)) & ~covered(t))
-    return F.transform(good, lambda t: F.struct(F.lit(3).alias("kind"), t["start"].alias("start"), t["end"].alias("end")))
+    return F.transform(good, lambda t: F.struct(_p_text(t, uneven).alias("p"), t["start"].alias("start"), t["end"].alias("end")))
+
+
+def _reported() -> Column:
+    """Of the candidates in ``passing`` that overlap, the shortest, as spans of the fourth kind.
+
+    Of equally long ones that of the smaller ``p_text`` counts, then the first.
+    """
+    rank = lambda t: F.struct(t["end"] - t["start"], t["p"], t["start"])
+    beaten = lambda t: F.exists(
+        "passing", lambda u: (u["start"] < t["end"]) & (t["start"] < u["end"]) & (rank(u) < rank(t))
+    )
+    best = F.filter("passing", lambda t: ~beaten(t))
+    return F.transform(best, lambda t: F.struct(F.lit(3).alias("kind"), t["start"].alias("start"), t["end"].alias("end")))
 
 
 def find_secrets(
@@ -289,17 +311,19 @@ def find_secrets(
 
     A span is (kind, start, end): the position of its kind in KINDS, code points, end exclusive; arrays are ordered by
     start, then kind. Null and empty texts have no spans. Without any candidate nothing but the base is reported.
-    Repeated rows are scanned alike, and each counts in the corpus's frequencies and candidates. Three passes: letter
+    Repeated rows are scanned alike, and each counts in the corpus's frequencies and candidates. Columns of the input named
+    base, spans, trials or passing are replaced or left out. Three passes: letter
     frequencies, the scan (its findings are written to the scratch folder), and the thresholds over the findings.
     """
     uneven = unevenness(_histogram(docs))
     found = stage(scan(docs, keep_text), "secret-findings")
     limits = thresholds(found, uneven, rate)
-    both = F.concat(F.col("base"), _reported(uneven, limits, p_random))
+    found = found.withColumn("passing", _passing(uneven, limits, p_random))
+    both = F.concat(F.col("base"), _reported())
     in_order = lambda *names: lambda s: F.struct(*[s[c].alias(c) for c in names])
     keyed = F.array_sort(F.transform(both, in_order("start", "kind", "end")))
     ordered = F.transform(keyed, in_order("kind", "start", "end"))
-    return found.withColumn("spans", ordered).drop("trials")
+    return found.withColumn("spans", ordered).drop("trials", "passing")
 
 
 def span_text(spans: Column) -> Column:
@@ -312,15 +336,17 @@ def span_text(spans: Column) -> Column:
 def mask_secrets(docs: DataFrame) -> DataFrame:
     """The columns of ``docs`` with every secret in the text masked, and ``n_chars``, if there, counted anew.
 
-    Texts without a secret, null ones among them, stay as they are.
+    Texts without a secret, null ones among them, stay as they are, and so do all other columns, whatever they are called.
+    Repeated rows stay repeated. No rows: no rows.
     """
-    found = find_secrets(docs, keep_text=True)
+    own = [c if c in ("text", "n_chars") else f"_{i}" for i, c in enumerate(docs.columns)]
+    found = find_secrets(docs.toDF(*own), keep_text=True)
     some = F.size("spans") > 0
     masked = found.withColumn("text", F.when(some, redact(F.col("text"), F.col("spans"))).otherwise(F.col("text")))
     if "n_chars" in docs.columns:
         counted = F.length("text").cast(docs.schema["n_chars"].dataType)
         masked = masked.withColumn("n_chars", F.when(some, counted).otherwise(F.col("n_chars")))
-    return masked.select(*[F.col(f"`{c}`") for c in docs.columns])
+    return masked.select(*own).toDF(*docs.columns)
 
 
 def digest(text: str) -> str:

@@ -2,6 +2,7 @@ from __future__ import annotations
 
 import base64
 import hashlib
+import math
 import random
 import re
 
@@ -104,6 +105,61 @@ def test_letters_of_one_case_are_tested(spark):
         assert not any(s for i, s in found.items() if i)
 
 
+@pytest.mark.parametrize("size", [24, 32, 40])
+@pytest.mark.parametrize("path", ["services/api/hooks/", "a/very/long/path/of/many/segments/that/goes/on/and/on/with/words/", "my-app/hooks/"])
+def test_keys_in_paths_of_any_length(spark, sf_dir, size, path):
+    draw = random.Random(size + len(path))
+    letters = secrets.ALPHABETS["base62"]
+    docs = spark.read.parquet(f"{sf_dir.replace('0.001', '0.01')}/documents.parquet").select("doc_id", "text")
+    prefix = f"see https://host.example/{path}"
+    keys = ["".join(draw.choices(letters, k=size)) for _ in range(20)]
+    rows = [(-1 - i, f"{prefix}{key} for more") for i, key in enumerate(keys)]
+    both = docs.unionByName(spark.createDataFrame(rows, "doc_id long, text string"))
+    found = {r.doc_id: r.s for r in secrets.find_secrets(both).where("size(spans) > size(base)").select("doc_id", secrets.span_text(F.col("spans")).alias("s")).collect()}
+    at = len(prefix)
+    assert sum(f"random:{at}:{at + size}" in found.get(-1 - i, "").split(",") for i in range(20)) >= 18
+    # The corpus's own texts gain no span.
+    assert not [d for d in found if d >= 0]
+
+
+def plain_report(found, uneven, rate):
+    """Thresholds and reported spans, by loops over all trials."""
+    def p_text(t):
+        k = len(list(secrets.ALPHABETS.values())[t.encoding])
+        d = uneven[t.encoding] * t.size
+        z = (t.chi - (k - 1 + d)) / math.sqrt(2 * (k - 1) + 4 * d)
+        return max(0.5 * math.erfc(-z / math.sqrt(2)), 1e-30)
+
+    rows = [(r.doc_id, [(t, p_text(t)) for t in r.trials], r.base) for r in found]
+    limits = {}
+    for octave in {int(math.log2(t.size)) for _, ts, _ in rows for t, _ in ts}:
+        values = [p for _, ts, _ in rows for t, p in ts if int(math.log2(t.size)) == octave]
+        edges = sorted({math.ceil(round(math.log10(p) * 10, 6)) for p in values})
+        good = [10 ** (e / 10) for e in edges if 10 ** (e / 10) * len(values) <= rate * sum(math.ceil(round(math.log10(p) * 10, 6)) <= e for p in values)]
+        limits[octave] = max(good, default=0.0)
+    out = {}
+    for doc, trials, base in rows:
+        good = [
+            (t.end - t.start, p, t.start, t.end)
+            for t, p in trials
+            if t.p_random >= secrets.P_RANDOM and p <= limits[int(math.log2(t.size))] and not any(b.start <= t.start and b.end >= t.end for b in base)
+        ]
+        out[doc] = {(s, e) for n, p, s, e in good if not any(u[2] < e and s < u[3] and u[:3] < (n, p, s) for u in good)}
+    return out
+
+
+def test_thresholds_and_spans_by_loops(spark, sf_dir):
+    docs = spark.read.parquet(f"{sf_dir.replace('0.001', '0.01')}/documents.parquet").select("doc_id", "text")
+    draw = random.Random(8)
+    rows = [(-1 - i, f"x/words/{''.join(draw.choices(secrets.ALPHABETS['base62'], k=8 + i))} and {'ab' * i}") for i in range(60)]
+    both = docs.unionByName(spark.createDataFrame(rows, "doc_id long, text string"))
+    uneven = secrets.unevenness(secrets._histogram(both))
+    expected = plain_report(secrets.scan(both).collect(), uneven, secrets.RATE)
+    found = {r.doc_id: {(s.start, s.end) for s in r.spans if s.kind == 3} for r in secrets.find_secrets(both).collect()}
+    assert found == expected
+    assert sum(map(len, found.values())) > 10
+
+
 def test_key_in_a_path_is_reported(spark):
     rows = [(0, f"https://host.example/my-app/hooks/{KEY.replace('+', 'a').replace('/', 'b')}")]
     rows += [(i, f"plain_function_name_{i} some/path-to/file_{i % 7} OtherIdentifierInCamelCase{i}") for i in range(1, 300)]
