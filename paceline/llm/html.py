@@ -13,8 +13,9 @@ Elements that by their meaning are never article text (menus, adverts, forms, sc
 cut out before densities are taken; their links still count for the page's share of link characters.
 
 A word in a class or id is only a suspicion, as slugs like "related-work" name sections too. A suspect beside the article is
-cut out. One that holds the first article is not, nor one inside the article that is as dense as the threshold found without
-suspects, nor one with most of the text of a page that marks no article.
+cut out. One that holds the first article is not, nor one with most of the text of a page that marks no article. One inside the article
+is cut out if links are most of it, or if it is a mere container (not a section or a paragraph) that is named for adverts or
+comments, or that has no heading and is less dense than the threshold found without suspects: sections may be short.
 """
 
 from __future__ import annotations
@@ -260,6 +261,10 @@ def _furniture(tree: _Tree) -> list[bool]:
     n, hard = len(tree.tag), tree.gone
     density, _, _, _ = _densities(tree)
     chars, paragraphs, holds = [0] * n, [0] * n, [False] * n
+    links, headings, in_link = [0] * n, [False] * n, [False] * n
+    for i in range(1, n):
+        in_link[i] = tree.tag[i] == "a" or in_link[tree.parent[i]]
+        headings[i] = tree.tag[i] in HEADINGS
     # The first article is the page's own; later ones may be comments or teasers.
     own = next((i for i in range(1, n) if tree.tag[i] in MARKED and not hard[i]), 0)
     node = own
@@ -269,10 +274,13 @@ def _furniture(tree: _Tree) -> list[bool]:
     for node, text in tree.pieces:
         if not hard[node]:
             chars[node] += len(text.strip())
+            links[node] += len(text.strip()) if in_link[node] else 0
     for i in range(n - 1, 0, -1):
         if not hard[i]:
             p = tree.parent[i]
             chars[p] += chars[i]
+            links[p] += links[i]
+            headings[p] = headings[p] or headings[i]
             paragraphs[p] += paragraphs[i] + (tree.tag[i] == "p")
     doubtful = {i for i in tree.suspects if not holds[i]}
     tree.gone = _without(tree, doubtful)
@@ -285,11 +293,17 @@ def _furniture(tree: _Tree) -> list[bool]:
             node = tree.parent[node]
         return node == top
 
+    def within(i: int) -> bool:
+        """Whether a suspect inside the article is furniture."""
+        container = tree.tag[i] in CONTAINERS
+        mere = container and (i in tree.sure or (not headings[i] and density[i] < threshold))
+        return mere or 2 * links[i] > chars[i]
+
     cut = set()
     for i in doubtful:
         beside = i not in tree.inside if own else not below_top(i)
         most = not own and 2 * chars[i] > chars[0] and paragraphs[i] > 1
-        if i in tree.sure or (not most and (beside or density[i] < threshold)):
+        if within(i) if not beside else (i in tree.sure or not most):
             cut.add(i)
     return _without(tree, cut)
 

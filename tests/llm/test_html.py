@@ -67,6 +67,21 @@ def test_sections_named_like_furniture_stay(slug):
     assert main_text(f"<div class='x-{slug}'><h1>Title</h1><p>{LONG * 2}</p>{own}</div>").split() == text
 
 
+@pytest.mark.parametrize("slug", SLUGS)
+@pytest.mark.parametrize("words", [3, 10, 30])
+def test_short_sections_named_like_furniture_stay(slug, words):
+    """Inside the article no section is cut out for being short; one named ad or comments must not be a mere container."""
+    part = " ".join(["word"] * words)
+    own = f"<h2>Heading</h2><p>{part}</p>"
+    more = f"<p>{LONG * 2}</p><div class='ad'>Buy this now</div>"
+    text = f"Title {LONG * 2} Heading {part}".split()
+    elements = [f"<section {a}='{slug}'>{own}</section>" for a in ("id", "class")]
+    elements += [f"<div {a}='{slug}'>{own}</div>" for a in ("id", "class") if (a, slug) != ("class", "comments")]
+    elements += [f"<section class='{slug}'>{own}</section>", f"<h2 class='{slug}'>Heading</h2><p class='{slug}'>{part}</p>"]
+    for element in elements:
+        assert main_text(f"<body><article><h1>Title</h1>{more}{element}</article></body>").split() == text
+
+
 def test_comments_in_articles_of_their_own_are_left_out():
     page = f"<article><p>{LONG * 3}</p></article><div class='comments-area'><article><p>{LONG}</p></article></div>"
     assert main_text(page).split() == (LONG * 3).split()
@@ -74,6 +89,8 @@ def test_comments_in_articles_of_their_own_are_left_out():
 
 def test_furniture_inside_an_article_is_left_out():
     links = "".join(f"<a href=/{i}>other page {i}</a> " for i in range(9))
+    page = f"<article><p>{LONG * 3}</p><div class='newsletter'>Sign up now</div><section class='related'>{links}</section><p>{LONG}</p></article>"
+    assert main_text(page).split() == (LONG * 4).split()
     for attrs in ("class='related-posts'", "id='related'", "class='nav-links'", "class='promo-box'"):
         page = f"<article><p>{LONG * 3}</p><div {attrs}>{links}</div><p>{LONG}</p></article>"
         assert main_text(page).split() == (LONG * 4).split()
