@@ -2,7 +2,8 @@
 
 A reference per language is counted over all documents that carry the language: shares of character classes, and
 shares of its most common words. A document is compared with every reference by Jensen-Shannon distance (base 2,
-0 to 1) over both histograms; it is kept when some language is near in both. Histograms of few characters or words
+0 to 1) over both histograms; it is kept when some language is near in both. A language of few documents or words is no
+reference, and a document that makes up much of its language is compared with the rest of it. Histograms of few characters or words
 say little, so below ``min_chars`` and ``min_words`` a distance has no vote.
 
 Over 200 common words an honest short text is as far as one without any of them, so that distance finds words that are
@@ -16,6 +17,7 @@ from __future__ import annotations
 
 from collections import Counter, defaultdict
 from collections.abc import Iterator
+from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
@@ -23,7 +25,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from paceline.llm.common import chunks, interned, raw, segment_sum
+from paceline.llm.common import chunks, interned, raw, segment_sum, stage
 
 #: lower case, upper case, digit, sentence mark, symbol, other ASCII, other letter or sign
 CLASSES = 7
@@ -41,6 +43,11 @@ GROUP_FACTOR = 1.9
 GROUP_MARGIN = 0.05
 # Share of the distance of a text without common words that no limit exceeds.
 GROUP_CEILING = 0.9
+# Documents and words that a language needs to be a reference, and the share of its words from which on a document is taken out of
+# the reference that judges it.
+MIN_DOCUMENTS = 10
+MIN_REFERENCE_WORDS = 2000
+OWN_SHARE = 0.02
 # Distinct words that a task holds before it hands their counts on.
 HELD = 150_000
 
@@ -120,24 +127,41 @@ def group_limits(shares: np.ndarray, n_words: np.ndarray) -> np.ndarray:
     return np.minimum(GROUP_FACTOR * chance + GROUP_MARGIN, GROUP_CEILING * js_distance(nothing, shares)[0])
 
 
-def language_references(docs: DataFrame, common: int = COMMON) -> list[tuple[str, np.ndarray, dict[bytes, float]]]:
-    """Per language: shares of the character classes, and shares of its ``common`` most frequent words.
+class Reference(NamedTuple):
+    """A language's shares of the character classes and of its most common words, and its numbers of words and characters."""
 
-    Counted over all documents with a language; equal counts are ordered by the word. The driver gets a few
-    hundred rows per language: the classes (kind 0), the words (1) and how many words there are (2).
+    lang: str
+    classes: np.ndarray
+    words: dict[bytes, float]
+    n_words: int
+    n_chars: int
+
+
+def language_references(
+    docs: DataFrame, common: int = COMMON, min_documents: int = MIN_DOCUMENTS, min_words: int = MIN_REFERENCE_WORDS
+) -> list[Reference]:
+    """Per language with enough documents that hold a word, and enough words: shares of the character classes, and of its
+    ``common`` most frequent words.
+
+    Counted over all documents with a language; equal counts are ordered by the word. Languages of too few documents or words leave
+    in the tasks, so a column of many chance values makes no more references. The driver gets a few hundred rows per language:
+    the classes (kind 0), the words (1), how many words there are (2) and how many documents (3).
     """
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         table, held = class_table(), 0
         tally: dict[str, Counter] = defaultdict(Counter)
         classes: dict[str, np.ndarray] = defaultdict(lambda: np.zeros(CLASSES, np.int64))
+        documents: Counter = Counter()
 
         def flush() -> pa.RecordBatch:
             rows = [(lang, 1, w, n) for lang, c in tally.items() for w, n in c.items()]
             rows += [(lang, 0, bytes([i]), int(n)) for lang, c in classes.items() for i, n in enumerate(c)]
             rows += [(lang, 2, b"", c.total()) for lang, c in tally.items()]
+            rows += [(lang, 3, b"", n) for lang, n in documents.items()]
             tally.clear()
             classes.clear()
+            documents.clear()
             return pa.RecordBatch.from_arrays(
                 [pa.array([r[i] for r in rows], t) for i, t in enumerate((pa.string(), pa.int32(), pa.binary(), pa.int64()))],
                 names=["lang", "kind", "word", "n"],
@@ -146,15 +170,20 @@ def language_references(docs: DataFrame, common: int = COMMON) -> list[tuple[str
         for batch in chunks(batches):
             texts, langs = raw(batch.column("text")), batch.column("lang").to_pylist()
             for lang, text, row in zip(langs, texts, class_counts(texts, table), strict=True):
-                tally[lang].update(text.split())
+                words = text.split()
+                tally[lang].update(words)
                 classes[lang] += row
+                documents[lang] += bool(words)
             held = sum(map(len, tally.values()))
             if held > HELD:
                 yield flush()
         yield flush()
 
     texts = docs.where(F.col("lang").isNotNull()).select("lang", F.coalesce(F.col("text").cast("binary"), F.lit(b"")).alias("text"))
-    counts = texts.mapInArrow(count, REFERENCE).groupBy("lang", "kind", "word").agg(F.sum("n").alias("n"))
+    counts = stage(texts.mapInArrow(count, REFERENCE).groupBy("lang", "kind", "word").agg(F.sum("n").alias("n")), "counts")
+    enough = counts.where((F.col("kind") == 3) & (F.col("n") >= min_documents)).select("lang")
+    enough = enough.join(counts.where((F.col("kind") == 2) & (F.col("n") >= min_words)).select("lang"), "lang")
+    counts = counts.where("kind < 3").join(enough, "lang", "left_semi")
     ranked = counts.select(
         "*",
         F.row_number().over(Window.partitionBy("lang", "kind").orderBy(F.desc("n"), "word")).alias("rank"),
@@ -168,20 +197,35 @@ def language_references(docs: DataFrame, common: int = COMMON) -> list[tuple[str
             classes[r.word[0]] = r.n
         elif r.kind == 1 and len(words) < common:
             words[bytes(r.word)] = r.n / totals[r.lang]
-    for classes, _ in shares.values():
-        classes /= max(classes.sum(), 1)
-    return [(lang, *shares[lang]) for lang in sorted(shares) if shares[lang][0].sum() > 0 and shares[lang][1]]
+    return [
+        Reference(lang, classes / classes.sum(), words, totals[lang], int(classes.sum()))
+        for lang, (classes, words) in sorted(shares.items())
+        if classes.sum() > 0 and words
+    ]
+
+
+def without(shares: np.ndarray, total: int, counts: np.ndarray) -> np.ndarray:
+    """Shares of what is left when some of the counts are taken out; the last share is that of all else."""
+    left = np.maximum(shares * total - counts, 0)
+    return left / max(left.sum(), 1)
+
+
+def word_groups(common: int) -> np.ndarray:
+    """First places of the groups of ranks (1, 2-3, 4-7, ...) among ``common`` words, and of all other words."""
+    group = np.floor(np.log2(np.arange(1, common + 1))).astype(np.int64)
+    return np.flatnonzero(np.append(np.diff(group, prepend=-1) > 0, True))
 
 
 def judge(
     texts: list[bytes],
-    references: list[tuple[str, np.ndarray, dict[bytes, float]]],
+    langs: list[str | None],
+    references: list[Reference],
     min_chars: int = MIN_CHARS,
     min_words: int = MIN_WORDS,
     class_limit: float = CLASS_DISTANCE,
     word_limit: float = WORD_DISTANCE,
 ) -> dict[str, object]:
-    """Measures and verdicts of several texts, as columns."""
+    """Measures and verdicts of several texts, as columns; ``langs`` are the languages whose references they helped to make."""
     n = len(texts)
     code, codes, bounds = interned([t.split() for t in texts])
     n_words = np.diff(bounds)
@@ -191,32 +235,47 @@ def judge(
     doc = np.repeat(np.arange(n), n_words)
     best, passes = np.full(n, np.inf), np.zeros(n, bool)
     at, class_best, word_best = np.full(n, -1), np.zeros(n), np.zeros(n)
-    for k, (_, class_shares, word_shares) in enumerate(references):
-        column = np.full(max(len(code), 1), len(word_shares), np.int64)
-        for i, w in enumerate(word_shares):
+    sides = np.array([x if x is not None else "" for x in langs], object)
+    for k, reference in enumerate(references):
+        common = len(reference.words)
+        column = np.full(max(len(code), 1), common, np.int64)
+        for i, w in enumerate(reference.words):
             if w in code:
                 column[code[w]] = i
-        width = len(word_shares) + 1
-        hist = np.bincount(doc * width + column[codes], minlength=n * width).reshape(n, width)
-        shares = np.fromiter(word_shares.values(), float, len(word_shares))
+        hist = np.bincount(doc * (common + 1) + column[codes], minlength=n * (common + 1)).reshape(n, common + 1)
+        shares = np.fromiter(reference.words.values(), float, common)
         shares = np.append(shares, max(1 - shares.sum(), 0.0))
-        by_word = js_distance(hist, shares)
-        group = np.floor(np.log2(np.arange(1, width))).astype(np.int64)
-        starts = np.flatnonzero(np.append(np.diff(group, prepend=-1) > 0, True))
-        grouped = np.add.reduceat(shares, starts)
-        by_group = js_distance(np.add.reduceat(hist, starts, axis=1), grouped)
-        by_class = js_distance(classes, class_shares)
+        starts = word_groups(common)
+        in_groups = np.add.reduceat(hist, starts, axis=1)
+
+        def compare(some, class_shares, shares, hist=hist, in_groups=in_groups, starts=starts):
+            """Distances over classes, words and groups of words, and the limit of the last."""
+            grouped = np.add.reduceat(shares, starts)
+            limit = group_limits(grouped, n_words[some])
+            return js_distance(classes[some], class_shares), js_distance(hist[some], shares), js_distance(in_groups[some], grouped), limit
+
+        found = compare(slice(None), reference.classes, shares)
+        lacking = np.zeros(n, bool)
+        for i in np.flatnonzero((sides == reference.lang) & (n_words > OWN_SHARE * reference.n_words)).tolist():
+            if reference.n_words - n_words[i] < MIN_REFERENCE_WORDS:
+                lacking[i] = True
+                continue
+            rest = without(reference.classes, reference.n_chars, classes[i]), without(shares, reference.n_words, hist[i])
+            for whole, own in zip(found, compare(slice(i, i + 1), *rest), strict=True):
+                whole[i] = own[0]
+        by_class, by_word, by_group, limit = found
         by_word[n_words < min_words] = 0.0
         by_class[classes.sum(axis=1) < min_chars] = 0.0
         # How far the worse of the two is beyond its limit: 1 at the limit.
         excess = np.maximum(by_class / class_limit, by_word / word_limit)
-        near = (by_word <= word_limit + WORD_CHANCE / np.maximum(n_words, 1)) & (by_group <= group_limits(grouped, n_words))
+        near = (by_word <= word_limit + WORD_CHANCE / np.maximum(n_words, 1)) & (by_group <= limit)
         fits = (by_class <= class_limit) & ((n_words < min_words) | near)
+        fits, excess = fits & ~lacking, np.where(lacking, np.inf, excess)
         # A language that fits comes before one that does not.
         nearer = (fits > passes) | ((fits == passes) & (excess < best))
         best[nearer], at[nearer], passes[nearer] = excess[nearer], k, fits[nearer]
         class_best[nearer], word_best[nearer] = by_class[nearer], by_word[nearer]
-    names = [lang for lang, _, _ in references]
+    names = [r.lang for r in references]
     return {
         "n_words": n_words,
         "word_chars": classes.sum(axis=1),
@@ -234,8 +293,8 @@ def judge(
 def quality(docs: DataFrame, references: list | None = None, **limits) -> DataFrame:
     """All columns of ``docs`` with the measures, the distances to the nearest language and the verdict ``kept``.
 
-    Null and empty texts have no words and fail the base rules. Without any reference (no row has a language) the
-    base rules decide alone. Columns of the input that are named like a measure are replaced. Repeated rows each
+    Null and empty texts have no words and fail the base rules. Without any reference (no language has enough documents) the
+    base rules decide alone, and so they do for a document that makes up much of every reference. Columns of the input that are named like a measure are replaced. Repeated rows each
     get their verdict. One pass over the texts per call, and one before it for the references unless given.
     """
     references = language_references(docs) if references is None else references
@@ -243,11 +302,12 @@ def quality(docs: DataFrame, references: list | None = None, **limits) -> DataFr
     kept = [c for c in docs.columns if c not in fields.names]
     # The text is handed over apart, under a name of its own place, so any column may be called anything.
     text = F.coalesce(F.col("text").cast("binary"), F.lit(b"")).alias("text")
-    given = docs.select(F.struct(*[F.col(f"`{c}`") for c in kept]).alias("row"), text)
+    lang = F.col("lang") if "lang" in docs.columns else F.lit(None).cast("string")
+    given = docs.select(F.struct(*[F.col(f"`{c}`") for c in kept]).alias("row"), lang.alias("lang"), text)
 
     def apply(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in chunks(batches):
-            found = judge(raw(batch.column("text")), references, **limits)
+            found = judge(raw(batch.column("text")), batch.column("lang").to_pylist(), references, **limits)
             yield pa.RecordBatch.from_arrays(
                 [
                     batch.column("row"),
