@@ -6,6 +6,7 @@ import sys
 import time
 import types
 from collections.abc import Callable, Iterable, Iterator
+from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
@@ -14,6 +15,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from paceline.session import release, scratch, scratch_path
 from paceline.sources.tables import stage as stage
 
 # Text bytes that a task handles at a time; a single longer text is a chunk of its own.
@@ -24,6 +26,26 @@ WORD = r"[^\x20\x09-\x0D]+"
 _GOLDEN = 0x9E3779B97F4A7C15
 
 
+class Kept(NamedTuple):
+    """A table in the scratch folder, which can be given back."""
+
+    table: DataFrame
+    folder: str
+
+    def release(self) -> None:
+        """Delete it; nothing that reads it may be used afterwards."""
+        release(self.table.sparkSession, [self.folder])
+
+
+def keep(spark: SparkSession, name: str, make: Callable[[], DataFrame]) -> Kept:
+    """Write what ``make`` returns to the scratch folder, and delete whatever else was staged on the way."""
+    path = scratch_path(spark, name)
+    with scratch(spark):
+        df = make()
+        df.write.parquet(path)
+    return Kept(spark.read.schema(df.schema).parquet(path), path.rpartition("/")[0])
+
+
 def corpus(spark: SparkSession, sf_dir: str, table: str = "documents") -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
 

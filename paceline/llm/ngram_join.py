@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from paceline.llm.common import chunks, interned, mix, raw, stage, tree_sum, word_hashes, words
+from paceline.llm.common import chunks, interned, keep, mix, raw, stage, tree_sum, word_hashes, words
 from paceline.llm.components import components
 
 SHINGLE = 5
@@ -448,16 +448,18 @@ def linked(docs: DataFrame, width: int = SHINGLE, percent: int = PERCENT) -> Dat
     crowds = rows.groupBy("sig").agg(F.count("*").alias("crowd")).where(F.col("crowd") > 1)
     shared = stage(rows.join(crowds, "sig"), "shared")
 
+    # What a step has staged for itself, texts among it, is deleted when its result is written.
+    spark = docs.sparkSession
     pairs = stage(_near(_laid_out(shared, nodes, None), percent, forest=True), "pairs")
-    links = stage(_verified(pairs, nodes, texts, width, percent), "links")
+    links = keep(spark, "links", lambda: _verified(pairs, nodes, texts, width, percent)).table
     crowded = shared.where(F.col("crowd") > CROWD)
     if not crowded.isEmpty():
-        joined = components(links)
+        joined = keep(spark, "joined", lambda: components(links)).table
         more = _near(_laid_out(crowded, nodes, joined), percent, forest=False).join(pairs, ["a", "b"], "left_anti")
         more = stage(more, "more-pairs")
         if not more.isEmpty():
-            links = links.union(stage(_verified(more, nodes, texts, width, percent), "more-links"))
-    roots = components(links)
+            links = links.union(keep(spark, "more-links", lambda: _verified(more, nodes, texts, width, percent)).table)
+    roots = keep(spark, "roots", lambda: components(links)).table
     rooted = index.select("doc_id", "text_hash", "n_shingles", "node").join(roots, "node", "left")
     rooted = rooted.withColumn("root", F.coalesce("root", "node"))
     smallest = rooted.where(F.col("root").isNotNull()).groupBy("root").agg(F.min("doc_id").alias("component_id"))
