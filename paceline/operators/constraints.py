@@ -16,16 +16,28 @@ from pyspark.sql.types import StringType
 from paceline.sources.tables import stage
 
 
-def pk_violations(df: DataFrame, key: list[str]) -> DataFrame:
+def pk_violations(df: DataFrame, key: list[str], by_hash: bool = False) -> DataFrame:
     """Keys that occur more than once or hold a NULL, with their number of rows ``n``.
 
     Rows of one key are counted before the shuffle, so a key that fills a third of the table costs one
     row per task.
+
+    Nearly all keys of a good table occur once, and all of them are shuffled to learn that. With wide keys, such as texts or
+    many columns, ``by_hash`` shuffles 64-bit hashes of the keys first. Only keys of a hash that occurs more than once are
+    shuffled as they are and counted exactly, which also parts keys that share a hash. The table is read twice.
     """
     has_null = F.lit(False)
     for column in key:
         has_null = has_null | F.col(column).isNull()
-    return df.groupBy(*key).agg(F.count(F.lit(1)).alias("n")).where((F.col("n") > 1) | has_null)
+    if not by_hash:
+        return df.groupBy(*key).agg(F.count(F.lit(1)).alias("n")).where((F.col("n") > 1) | has_null)
+    rows = df.select(*key)
+    whole = rows.where(~has_null).withColumn("_hash", F.xxhash64(*key))
+    hashes = whole.groupBy("_hash").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("_hash")
+    # Few, if the table is nearly good: their true number decides whether they are broadcast.
+    suspects = whole.join(stage(hashes, "hashes"), "_hash", "left_semi").drop("_hash")
+    counted = suspects.groupBy(*key).agg(F.count(F.lit(1)).alias("n")).where("n > 1")
+    return counted.unionByName(rows.where(has_null).groupBy(*key).agg(F.count(F.lit(1)).alias("n")))
 
 
 def null_violations(df: DataFrame, columns: list[str]) -> DataFrame:

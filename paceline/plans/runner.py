@@ -21,9 +21,10 @@ from pyspark.sql.types import StructType, TimestampType
 from paceline.errors import error_text
 from paceline.functions import round2
 from paceline.operators.measures import import_metrics
+from paceline.operators.multisets import same_rows
 from paceline.operators.queries import q_aggregate, q_join, q_read
 from paceline.operators.storage import table_stats
-from paceline.schemas import LOAD, METRIC, ORDERS, QUERY_TIMING, RESULT, TABLE_STATS, USERS
+from paceline.schemas import COMPARED_TEXTS, LOAD, METRIC, ORDERS, QUERY_TIMING, RESULT, TABLE_STATS, USERS
 from paceline.session import release, report_rows, scratch_path
 from paceline.sources.config import Config, missing_files, pick, resolve_text
 from paceline.sources.csv import csv_dialect_of, read_csv
@@ -128,6 +129,28 @@ def run_queries(
     return report_rows(spark, rows, QUERY_TIMING)
 
 
+def compare_texts(spark: SparkSession, queries: DataFrame, first: str, second: str, args: dict | None = None) -> DataFrame:
+    """Whether two dialects' texts of each query give the same rows, each as often: COMPARED_TEXTS rows.
+
+    Results are compared by position of their columns, whatever the order of rows. A query without one of the texts, with one that
+    fails, or with texts of other column types has an error text, and NULL for the rest.
+    """
+    both = resolve_text(queries, first).withColumnRenamed("sql_text", "left_text").withColumnRenamed("error_message", "left_error")
+    other = resolve_text(queries, second).select("position", "name", F.col("sql_text").alias("right_text"), F.col("error_message").alias("right_error"))
+    texts = both.join(other, ["position", "name"]).orderBy("position", "name")
+    rows = []
+    for query in texts.toLocalIterator():
+        told, error = (None, None, None), query["left_error"] or query["right_error"]
+        if error is None:
+            try:
+                left, right = (spark.sql(query[f"{side}_text"], args=args) for side in ("left", "right"))
+                told = tuple(same_rows(left, right).first())
+            except Exception as failure:  # a failed query is a result row
+                error = error_text(failure)
+        rows.append((query["position"], query["name"], *told, error))
+    return report_rows(spark, rows, COMPARED_TEXTS)
+
+
 class _Place(NamedTuple):
     """A connection's own session and database."""
 
@@ -223,27 +246,35 @@ def _work(db_type: str, query_sets: dict[str, QuerySet] | None, amount_type: str
     )
 
 
-def _insert(spark: SparkSession, rows: int, day: dt.date, amount_type: str | None = None) -> None:
-    """Fill the standard tables, one job each. Columns are named, so others get their defaults."""
+# Makes the users and the orders of a standard run, with the session that they are to be read by.
+Source = Callable[[SparkSession], tuple[DataFrame, DataFrame]]
+
+
+def generated(rows: int, day: dt.date, amount_type: str | None = None) -> Source:
+    """As many users and as many orders, made up by rule."""
     typed = {"amount_type": amount_type} if amount_type else {}
-    made = {USERS_TABLE: gen_users(spark, rows), ORDERS_TABLE: gen_orders(spark, rows, day, **typed)}
-    for table, df in made.items():
+    return lambda spark: (gen_users(spark, rows), gen_orders(spark, rows, day, **typed))
+
+
+def _insert(spark: SparkSession, source: Source) -> None:
+    """Fill the standard tables, one job each. Columns are named, so others get their defaults."""
+    for table, df in zip((USERS_TABLE, ORDERS_TABLE), source(spark), strict=True):
         names = ", ".join(df.columns)
         spark.sql(f"INSERT INTO {table} ({names}) SELECT {names} FROM {{rows}}", rows=df)
 
 
-def _measure(place: _Place, work: _Work, rows: int, day: dt.date, runs: int, amount_type: str | None) -> dict[str, float]:
+def _measure(place: _Place, work: _Work, source: Source, inserted: int, runs: int) -> dict[str, float]:
     """Metrics of one connection, in the order in which they are taken."""
     session = place.session
     values = {
         "schema_creation_time_ms": _elapsed_ms(lambda: apply_ddl(session, work.schema)),
-        "batch_insertion_time_ms": _elapsed_ms(lambda: _insert(session, rows, day, amount_type)),
+        "batch_insertion_time_ms": _elapsed_ms(lambda: _insert(session, source)),
         "read_time_ms": time_df(work.read(session), runs),
         "join_time_ms": time_df(work.join(session), 1),
         "aggregate_time_ms": time_df(work.aggregate(session), 1),
     }
     ms = values["batch_insertion_time_ms"]
-    return values | {"batch_insertion_rate": 2 * rows / (ms / 1000) if ms > 0 else 0.0}
+    return values | {"batch_insertion_rate": inserted / (ms / 1000) if ms > 0 else 0.0}
 
 
 def standard_run(
@@ -254,14 +285,19 @@ def standard_run(
     runs: int = READ_RUNS,
     query_sets: dict[str, QuerySet] | None = None,
     amount_type: str | None = None,
+    source: Source | None = None,
 ) -> StandardRun:
     """Create, fill, read, join, aggregate and measure the standard tables on each (name, type) connection.
 
+    ``rows`` users and as many orders are made up, unless ``source`` makes both frames from a session: with the columns of the standard
+    tables, but those that have defaults.
+
     ``query_sets`` replaces the standard tables and queries by those of a file. Rows are inserted by Spark jobs only;
     the single-insert metrics, which time one-row statements, and the connection time are NULL. Give a wider
     ``amount_type`` than decimal(10,2) for 10^8 rows and more.
     """
-    day = order_date or dt.date.today()
+    inserted = 2 * rows if source is None else sum(df.count() for df in source(spark))
+    source = source or generated(rows, order_date or dt.date.today(), amount_type)
     metrics, stats = [], []
     labels = _labels([name for name, _ in connections])
     for position, (name, (_, db_type)) in enumerate(zip(labels, connections, strict=True)):
@@ -269,7 +305,7 @@ def standard_run(
         try:
             work = _work(db_type, query_sets, amount_type)
             place = _open(spark, db_type)
-            values = _measure(place, work, rows, day, runs, amount_type)
+            values = _measure(place, work, source, inserted, runs)
             measured = _stats(place.session, [USERS_TABLE, ORDERS_TABLE], name)
         except Exception as failure:  # a failed connection is a result row
             error, values = error_text(failure), {}

@@ -73,6 +73,15 @@ QUERY_TIMING = _struct(
     error_message=StringType(),
 )
 
+COMPARED_TEXTS = _struct(
+    position=IntegerType(),
+    query_name=StringType(),
+    rows_left=LongType(),
+    rows_right=LongType(),
+    equal=BooleanType(),
+    error_message=StringType(),
+)
+
 RESULT = _struct(
     connection_name=StringType(),
     db_type=StringType(),
