@@ -30,20 +30,40 @@ def _folder_bytes(spark: SparkSession, path: str) -> tuple[int, int]:
     return total - sum(fs.getContentSummary(f.getPath()).getLength() for f in hidden), total
 
 
+# What makes the reader of Parquet files count rows by their footers.
+FOOTER_SETTINGS = {"spark.sql.sources.useV1SourceList": "avro,csv,json,kafka,orc,text", "spark.sql.parquet.aggregatePushdown": "true"}
+
+
+def footers(spark: SparkSession, path: str) -> DataFrame:
+    """A Parquet table whose counts, and least and greatest values, come from the files' footers without reading a row.
+
+    That reader has to be chosen by settings, so the table is that of a session of its own; the caller's keeps its settings.
+    Filters on columns that are no partitions need rows, and are read as usual.
+    """
+    own = spark.newSession()
+    for name, value in FOOTER_SETTINGS.items():
+        own.conf.set(name, value)
+    return own.read.parquet(path)
+
+
 SIZED = "position int, table_name string, data_size_bytes bigint, total_size_bytes bigint"
 
 
-def table_stats(spark: SparkSession, tables: dict[str, str], fmt: str = "parquet") -> DataFrame:
+def table_stats(spark: SparkSession, tables: dict[str, str], fmt: str = "parquet", from_footers: bool = False) -> DataFrame:
     """Rows and bytes of tables, given as name and path (or name of a catalog table).
 
-    Rows are counted without reading a column, one count per table. Sizes are file system metadata: one summary per
+    Rows are counted without reading a column, one count per table; with ``from_footers``, those of Parquet folders by their
+    footers alone. Sizes are file system metadata: one summary per
     table's folder. Total bytes are those of all files; data bytes leave out hidden files, and are 0 for a table
     without rows. No tables: no rows.
     """
     counts, sizes = [], []
     for position, (name, source) in enumerate(tables.items()):
         path, source_fmt = (source, fmt) if "/" in source else table_location(spark, source)
-        scan = spark.read.format(source_fmt).load(path) if "/" in source else spark.table(source)
+        if from_footers and "/" in source and source_fmt == "parquet":
+            scan = footers(spark, path)
+        else:
+            scan = spark.read.format(source_fmt).load(path) if "/" in source else spark.table(source)
         counts.append(scan.agg(F.count(F.lit(1)).alias("row_count")).select(F.lit(name).alias("table_name"), "row_count"))
         sizes.append((position, name, *_folder_bytes(spark, path)))
     sized = report_rows(spark, sizes, SIZED)

@@ -4,6 +4,8 @@ from paceline.sources.config import Config, missing_files, read_config, resolve_
 from paceline.sources.csv import CSV_DIALECTS, csv_dialect_of, read_csv
 from paceline.sources.generate import gen_orders, gen_users
 from paceline.sources.jdbc import JDBC_DRIVERS, read_jdbc, write_jdbc
+from paceline.sources.layout import file_ranges, files_holding, layout_report, overlap_depth
+from paceline.sources.records import csv_records
 from paceline.sources.tables import (
     append,
     apply_ddl,
@@ -25,13 +27,18 @@ __all__ = [
     "append",
     "apply_ddl",
     "csv_dialect_of",
+    "csv_records",
     "drop_table",
+    "file_ranges",
+    "files_holding",
     "gen_orders",
     "gen_users",
+    "layout_report",
     "load_refused",
     "load_table",
     "load_to_threshold",
     "missing_files",
+    "overlap_depth",
     "read_config",
     "read_csv",
     "read_jdbc",

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
+from paceline.sources.records import read_records
 from paceline.values import CSV_DIALECTS
 
 # A text no file holds, so that only a truly empty field (,,) is NULL and "" stays an empty string.
@@ -26,6 +27,7 @@ def read_csv(
     schema: StructType | str,
     dialect: str = "quoted",
     multiline: bool = False,
+    split: bool = False,
 ) -> DataFrame:
     """Read comma-separated files with a header line into typed columns.
 
@@ -36,14 +38,17 @@ def read_csv(
       characters. A field that does not fit its type is NULL, missing fields are NULL, extra ones are dropped.
     - ``named``: quoted, but columns are found by their header name, in any order.
 
-    Set ``multiline`` when quoted fields hold line breaks. Such a file cannot be split, so one task
-    reads each file; cut large inputs into many files.
+    Set ``multiline`` when quoted fields hold line breaks. Spark cannot split such a file, so one task reads each; with
+    ``split`` its lines are read in splits, and records put together from them (see ``records``).
     """
     schema = StructType.fromDDL(schema) if isinstance(schema, str) else schema
     reader = spark.read.option("header", True).option("sep", ",")
     if dialect == "raw":
         return reader.schema(schema).csv(path, quote="", lineSep="\n", mode="PERMISSIVE")
-    quoted = reader.options(quote='"', escape='"', nullValue=NO_TEXT, multiLine=multiline, mode="FAILFAST")
+    options = {"quote": '"', "escape": '"', "nullValue": NO_TEXT, "mode": "FAILFAST"}
+    if multiline and split and dialect in ("quoted", "named"):
+        return read_records(spark, path, schema, dialect == "named", {**options, "sep": ","})
+    quoted = reader.options(**options, multiLine=multiline)
     if dialect == "quoted":
         return quoted.schema(schema).csv(path)
     if dialect == "named":
