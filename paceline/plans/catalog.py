@@ -48,6 +48,9 @@ SQL: dict[str, str] = {}
 JOIN_BOUND = 300_000
 TOTAL_BOUND = 1_000_000
 BLOCK_SIZE = 262_144
+# How often the queries of repeated loads and runs repeat them; the operators' default is 50.
+TRIALS = 3
+RUNS = 2
 
 
 def query(sql: str | None = None) -> Callable[[Query], Query]:
@@ -228,12 +231,13 @@ def s09_append(spark, sf_dir):
 
 
 @query(
-    """SELECT 'customer' AS table_name, CAST(NULL AS VARCHAR) AS csv_file_name, count(*) AS rows_loaded,
-      true AS success, CAST(NULL AS VARCHAR) AS error_message FROM customer"""
+    f"""SELECT 'customer' AS table_name, CAST(NULL AS VARCHAR) AS csv_file_name, count(*) AS rows_loaded,
+      true AS success, CAST(NULL AS VARCHAR) AS error_message, {TRIALS} AS trials FROM customer"""
 )
 def s10_trial_load(spark, sf_dir):
     source = b.table(spark, sf_dir, "customer")
-    return _report(trial_load(spark, lambda: source, scratch_path(spark, "customer"), "customer", trials=3))
+    loaded = trial_load(spark, lambda: source, scratch_path(spark, "customer"), "customer", trials=TRIALS)
+    return _report(loaded).withColumn("trials", F.lit(TRIALS))
 
 
 @query(
@@ -301,11 +305,11 @@ def s15_drop_table(spark, sf_dir):
     return before.withColumn("exists_after", F.lit(spark.catalog.tableExists(name)))
 
 
-@query("SELECT 'lineitem' AS query_name, count(*) AS row_count, true AS timed FROM lineitem")
+@query(f"SELECT 'lineitem' AS query_name, count(*) AS row_count, true AS timed, {RUNS} AS runs FROM lineitem")
 def s16_time_df(spark, sf_dir):
     lines = b.table(spark, sf_dir, "lineitem")
-    timed = F.lit(time_df(lines, runs=2) > 0)
-    return queries.q_count(lines).select(F.lit("lineitem").alias("query_name"), "row_count", timed.alias("timed"))
+    timed = F.lit(time_df(lines, runs=RUNS) > 0).alias("timed")
+    return queries.q_count(lines).select(F.lit("lineitem").alias("query_name"), "row_count", timed, F.lit(RUNS).alias("runs"))
 
 
 # --- integrity -----------------------------------------------------------------------------------
@@ -511,11 +515,11 @@ def _free_queries(spark, sf_dir) -> DataFrame:
 
 @query(
     """SELECT DISTINCT 'spark' AS connection_name, 'nation_' || c_nationkey AS query_name, 'AGGREGATE' AS category,
-      true AS success, CAST(NULL AS VARCHAR) AS error_message FROM customer"""
+      true AS success, CAST(NULL AS VARCHAR) AS error_message, 1 AS runs FROM customer"""
 )
 def q06_run_queries(spark, sf_dir):
     report = run_queries(spark, _free_queries(spark, sf_dir), "Spark", runs=1)
-    return report.select("connection_name", "query_name", "category", "success", "error_message")
+    return report.select("connection_name", "query_name", "category", "success", "error_message", F.lit(1).alias("runs"))
 
 
 @query(
@@ -752,18 +756,19 @@ def m05_import_metrics_by_user(spark, sf_dir):
 
 
 @query(
-    f"""WITH {b.USER_LOADS_SQL}, {b.RESULTS_SQL}, late AS (SELECT * FROM user_loads WHERE position % 40 = 0),
-    {_imports_sql('late')}
+    f"""WITH {b.USER_LOADS_SQL}, {_imports_sql('user_loads')}, places AS (
+      SELECT 'conn_' || c_custkey AS connection_name FROM customer UNION ALL SELECT 'supplier_' || s_suppkey FROM supplier)
     SELECT connection_name, coalesce(tables_imported, 0) AS tables_imported,
       coalesce(total_rows_loaded, 0) AS total_rows_loaded, coalesce(total_import_time_ms, 0) AS total_import_time_ms,
       coalesce(average_table_import_time_ms, 0) AS average_table_import_time_ms,
       coalesce(csv_import_rate, 0) AS csv_import_rate, coalesce(any_loaded, false) AS any_loaded
-    FROM results LEFT JOIN imports USING (connection_name)"""
+    FROM places LEFT JOIN imports USING (connection_name)"""
 )
 def m05_import_metrics_no_tables(spark, sf_dir):
-    """Connections that have no load among these have zeros."""
-    some = b.user_loads(spark, sf_dir).where(F.col("position") % 40 == 0)
-    return measures.import_metrics(some, b.results(spark, sf_dir))
+    """Suppliers are connections too: they have no loads, and zeros."""
+    suppliers = b.table(spark, sf_dir, "supplier").select(F.concat(F.lit("supplier_"), F.col("s_suppkey").cast("string")).alias("connection_name"))
+    places = b.results(spark, sf_dir).select("connection_name").unionByName(suppliers)
+    return measures.import_metrics(b.user_loads(spark, sf_dir), places)
 
 
 QUERY_MEANS_SQL = f"""
@@ -1092,9 +1097,12 @@ def m18_import_grid(spark, sf_dir):
 # --- a whole custom run --------------------------------------------------------------------------
 
 
-def _custom_run(spark, sf_dir) -> CustomRun:
+def custom_workload(spark, sf_dir, more: tuple[str, ...] = (), **modes) -> CustomRun:
     """A run over CSV files written from the tables: two connections that work, one without a schema under a name that
-    another has, and one of an unknown type; a table whose file does not fit it, and a query that fails."""
+    another has, and one of an unknown type; a table whose file does not fit it, and a query that fails.
+
+    ``more`` are further file formats, each of a connection of that name between these; ``modes`` go to the run.
+    """
     folder = scratch_path(spark, "workload")
     customer, orders = (b.table(spark, sf_dir, name) for name in ("customer", "orders"))
     files = {
@@ -1114,8 +1122,9 @@ def _custom_run(spark, sf_dir) -> CustomRun:
         "totals": ("", "SELECT c.name, sum(o.price) FROM clients c JOIN orders o ON c.id = o.client GROUP BY c.name"),
         "no such column": ("SELECT", "SELECT missing FROM clients"),
     }
-    formats = {"Parquet": "parquet", "ORC": "orc"}
-    places = [("columnar", "Parquet"), ("striped", "orc"), ("columnar", "json"), ("elsewhere", "db2")]
+    formats = {"Parquet": "parquet", "ORC": "orc"} | {kind: kind for kind in more}
+    places = [("columnar", "Parquet"), ("striped", "orc"), ("columnar", "avro" if "json" in more else "json"), ("elsewhere", "db2")]
+    places[3:3] = [(kind, kind) for kind in more]
     config = {
         "connectionDetails": [{"name": name, "dbType": kind, "url": "none"} for name, kind in places],
         "tables": [
@@ -1133,7 +1142,7 @@ def _custom_run(spark, sf_dir) -> CustomRun:
     }
     report_rows(spark, [(json.dumps(config),)], "value string").write.text(f"{folder}/config")
     described = read_config(spark, f"{folder}/config", multiline=False)
-    return custom_run(spark, described, {name: f"{folder}/{name}" for name in files}, threshold=1, runs=1)
+    return custom_run(spark, described, {name: f"{folder}/{name}" for name in files}, **({"threshold": 1, "runs": 1} | modes))
 
 
 WORKING = "(VALUES ('columnar'), ('striped')) c(connection_name)"
@@ -1146,7 +1155,7 @@ WORKING = "(VALUES ('columnar'), ('striped')) c(connection_name)"
       r(connection_name, db_type, position, success, error)"""
 )
 def r01_custom_results(spark, sf_dir):
-    return _custom_run(spark, sf_dir).results
+    return custom_workload(spark, sf_dir).results
 
 
 @query(
@@ -1155,7 +1164,7 @@ def r01_custom_results(spark, sf_dir):
       UNION ALL SELECT 1, 'orders', count(*), true FROM orders UNION ALL SELECT 2, 'broken', 0, false)"""
 )
 def r02_custom_loads(spark, sf_dir):
-    return _custom_run(spark, sf_dir).loads.drop("load_time_ms", "error_message")
+    return custom_workload(spark, sf_dir).loads.drop("load_time_ms", "error_message")
 
 
 @query(
@@ -1164,7 +1173,7 @@ def r02_custom_loads(spark, sf_dir):
       q(query_name, category, success)"""
 )
 def r03_custom_timings(spark, sf_dir):
-    return _custom_run(spark, sf_dir).timings.select("connection_name", "query_name", "category", "success")
+    return custom_workload(spark, sf_dir).timings.select("connection_name", "query_name", "category", "success")
 
 
 @query(
@@ -1172,7 +1181,7 @@ def r03_custom_timings(spark, sf_dir):
       ('elsewhere', 'Unsupported database type: db2')) f(connection_name, error)"""
 )
 def r04_custom_failures(spark, sf_dir):
-    return custom_report(_custom_run(spark, sf_dir), wide=False)["failures"]
+    return custom_report(custom_workload(spark, sf_dir), wide=False)["failures"]
 
 
 @query(
@@ -1181,7 +1190,7 @@ def r04_custom_failures(spark, sf_dir):
       UNION ALL SELECT 'orders', 'Row Count', format('{{:,}}', count(*)) FROM orders UNION ALL SELECT 'broken', 'Row Count', '0')"""
 )
 def r05_custom_statistics(spark, sf_dir):
-    long = custom_report(_custom_run(spark, sf_dir), wide=False)["statistics_long"]
+    long = custom_report(custom_workload(spark, sf_dir), wide=False)["statistics_long"]
     return long.where("statistic = 'Row Count'").select("connection_name", "table_name", "statistic", "text")
 
 
@@ -1191,7 +1200,7 @@ def r05_custom_statistics(spark, sf_dir):
         format('{:,}', (SELECT count(*) FROM customer) + (SELECT count(*) FROM orders)) AS text)"""
 )
 def r06_custom_imports(spark, sf_dir):
-    long = custom_report(_custom_run(spark, sf_dir), wide=False)["imports_long"]
+    long = custom_report(custom_workload(spark, sf_dir), wide=False)["imports_long"]
     return long.where("metric = 'Total Rows Loaded'").select("metric", "connection_name", "text")
 
 

@@ -7,7 +7,7 @@ import re
 
 import pytest
 
-from paceline.plans import catalog
+from paceline.plans import catalog, free
 
 SF_DIR = "/root/testdata/sf0.001"
 
@@ -37,6 +37,22 @@ def test_no_plan_pairs_rows_or_leaves_the_jvm(spark, name):
         assert unwanted not in plan
 
 
+@pytest.mark.parametrize("name", sorted(free.QUERIES))
+def test_no_free_plan_pairs_rows_or_leaves_the_jvm(spark, name):
+    """Windows there are, inside buckets."""
+    plan = plan_of(free.QUERIES[name](spark, SF_DIR))
+    for unwanted in ("CartesianProduct", "BroadcastNestedLoopJoin", "Python", "ArrowEval"):
+        assert unwanted not in plan
+
+
+@pytest.mark.parametrize("name", ["w01_last_load", "w02_runs_during_own_loads", "w08_change_of_runs"])
+def test_rows_are_dealt_by_key_and_bucket(spark, name):
+    """No window or join over rows is dealt by a key alone."""
+    plan = plan_of(free.QUERIES[name](spark, SF_DIR))
+    dealt = [line for line in plan.splitlines() if "Exchange hashpartitioning" in line or "HashJoin" in line]
+    assert any("_bucket" in line for line in dealt)
+
+
 @pytest.mark.parametrize(
     "name,pushed",
     [
