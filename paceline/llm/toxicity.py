@@ -5,13 +5,15 @@ it covers in both strings (characters that are not letters only widen it), and i
 values. So a word that is written with gaps or inserted characters stays near the plain one.
 
 Landmarks are chosen among the words of labelled sentences: those that mark toxic texts most surely, for each of these the
-harmless word most like it, and a few common ones. A sentence's similarity to a landmark is that of its most similar window (a
-word, or a run of single characters), and the Nystrom map (inverse root of the landmarks' own kernel matrix) makes them features
-of a linear machine.
+harmless word most like it, and a few common ones. A sentence's similarity to a landmark is that of its most similar window, and
+the Nystrom map (inverse root of the landmarks' own kernel matrix) makes them features of a linear machine. A second feature
+per landmark joins the similarity with the share of the landmark that the window holds, and stops growing early: a marking
+word with one letter put in counts nearly as much as the plain one, a word that only resembles it far less. Windows are
+words, runs of single characters, and neighbouring words that may be one marking word in pieces.
 
 Labels belong to texts, not to sentences: training alternates between picking, in every labelled text, the few sentences that
-the machine finds worst, which then carry the text's label, and fitting again. A text scores as its worst sentence, turned into
-a probability by a logistic fit.
+the machine finds worst, which then carry the text's label, and fitting again. Marking words with a letter put in train along
+as toxic sentences. A text scores as its worst sentence, turned into a probability by a logistic fit.
 """
 
 from __future__ import annotations
@@ -35,6 +37,8 @@ DECAY = 0.9
 # Power of the normalised kernel, which is a kernel again: far-off words fall behind near ones.
 POWER = 2
 COST = 10.0
+# Weight of a marking word with a letter put in, beside 1 for a harmless and 2 for a toxic sentence.
+ALTERED = 8.0
 MARKING = 24
 # Landmarks are no more alike than this, so that every family of words gets some; harmless words less like one are no matter.
 ALIKE = 0.42
@@ -49,31 +53,34 @@ SAMPLE = 4000
 # Distinct windows that a Python worker remembers (about 250 bytes each).
 REMEMBERED = 400_000
 THRESHOLD = 0.3
-# Longer windows are cut into overlapping parts of this many characters.
+# Longer windows are cut into parts of this many characters, one every ``STEP``: ten letters with blanks between lie in one of them.
 LONGEST = 24
+STEP = 5
+# Letters of a landmark that its bound tells apart.
+MOST_LETTERS = 10
 # Windows are handled together by length: from one of these to below the next.
 WIDTHS = (1, 5, 7, 9, 11, 14, 18, LONGEST + 1)
-# Share of a landmark's letters that a window must have to be compared with it.
-SHARED = 0.6
+# The product of similarity and share held is multiplied by this, so that a word with one letter put in comes near 1.
+NEARLY = 4.0
+# Similarities below this count as none, so that what a window's letters rule out need not be computed.
+FLOOR = 0.1
+# Neighbouring words are also read as one if they have at most this many letters more than a marking landmark.
+EXTRA = 1
 SENTENCE = re.compile(r"[.!?]+(?=\s|$)|\n")
-SPELLED = re.compile(r"(?<!\S)\S(?:\s\S){2,}(?!\S)")
+SPELLED = re.compile(r"(?<!\S)\S(?:\s+\S){2,}(?!\S)")
 EDGE = ".,;:!?\"'()[]{}<>*#%&$|"
 
 
 def windows(sentence: str) -> list[str]:
-    """Words without marks at their edges, and runs of three or more single characters as one window each."""
+    """Runs of three or more single characters as one window each, and words without marks at their edges, in order."""
     found = []
     if spelled := SPELLED.findall(sentence):
-        found = spelled
+        found = [" ".join(run.split()) for run in spelled]
         sentence = SPELLED.sub(" ", sentence)
-    found += [word.strip(EDGE) for word in sentence.split()]
-    out = []
-    for word in found:
-        if len(word) > LONGEST:
-            out += [word[i : i + LONGEST] for i in range(0, len(word) - LONGEST // 2, LONGEST // 2)]
-        elif len(word) >= LENGTH:
-            out.append(word)
-    return out
+    found += [bare for word in sentence.split() if (bare := word.strip(EDGE))]
+    if max(map(len, found), default=0) <= LONGEST:
+        return found
+    return [w[i : i + LONGEST] for w in found for i in (range(0, len(w) - LONGEST + STEP, STEP) if len(w) > LONGEST else (0,))]
 
 
 def sentences(text: str) -> list[list[str]]:
@@ -103,15 +110,48 @@ def _kernel(match: list[np.ndarray], decay: float, length: int) -> np.ndarray:
     return sum(e.sum(axis=1) for e in ends)
 
 
+class Landmark:
+    """A landmark's characters, own kernel value, letters, and a bound on any window's similarity by the letters it shares.
+
+    Only subsequences of shared letters count, so the similarity is at most the length of the landmark's own feature vector
+    over these, by Cauchy and Schwarz, over its whole length.
+    """
+
+    def __init__(self, text: str, decay: float, length: int) -> None:
+        x = _characters([text], len(text))
+        self.text, self.codes = text, _spelled(text)
+        self.own = float(_kernel(_match_self(x), decay, length)[0])
+        self.letters = sorted({c for c in self.codes if c < 0x110000})[:MOST_LETTERS]
+        count = len(self.letters)
+        bit = {c: 1 << i for i, c in enumerate(self.letters)}
+        masks = np.arange(1 << count)
+        # A letter beyond the listed ones counts as shared.
+        shown = np.array([[True if c not in bit else bool(m & bit[c]) for c in x[0].tolist()] for m in masks])
+        parts = np.where(shown, x, 0).astype(np.uint32)
+        norms = _kernel(_match_self(parts), decay, length) if len(text) >= length else np.zeros(len(masks))
+        self.bound = (np.sqrt(np.maximum(norms, 0) / max(self.own, 1e-30)) ** POWER * 1.0001).astype(np.float32)
+
+    def shared(self, has: dict[int, np.ndarray]) -> np.ndarray:
+        """For each string, which of the letters it has, as bits."""
+        return sum((has[c].astype(np.int64) << i for i, c in enumerate(self.letters)), np.zeros(1, np.int64))
+
+
 def similarities(strings: list[str], landmarks: list[str], decay: float = DECAY, length: int = LENGTH) -> np.ndarray:
-    """(strings, landmarks) normalised kernel values to the power ``POWER``.
+    """(strings, landmarks) normalised kernel values to the power ``POWER``; those below ``FLOOR`` are 0."""
+    return compare(strings, [Landmark(t, decay, length) for t in landmarks], decay, length)[0]
+
 
-    0 where a string is shorter than the subsequences, or has less than ``SHARED`` of a landmark's different letters (by
-    64 classes of code points): most words, which are then not compared any further.
+def compare(strings: list[str], landmarks: list[Landmark], decay: float = DECAY, length: int = LENGTH) -> tuple[np.ndarray, np.ndarray]:
+    """Similarities, and for each landmark whether a string may be it with something put in (0 to 1).
+
+    A similarity falls with all else that is in a string; the share held (the kernel over the landmark's own value, at most 1)
+    does not, but long strings hold much by chance. The second value is their product, with the exponents and the factor
+    below, at most 1. Both are 0 where the similarity is below ``FLOOR``, as it is for strings shorter than the
+    subsequences; a bound by the letters that string and landmark share tells for most.
     """
-    out = np.zeros((len(strings), len(landmarks)), np.float32)
-    usable = [(j, t, _characters([t], len(t))) for j, t in enumerate(landmarks) if len(t) >= length]
-    known = [(j, _spelled(t), float(_kernel(_match_self(x), decay, length)[0]), _letters(x)[0]) for j, t, x in usable]
+    out, held = (np.zeros((len(strings), len(landmarks)), np.float32) for _ in range(2))
+    known = [(j, k) for j, k in enumerate(landmarks) if k.own > 0]
+    wanted_letters = sorted({c for _, k in known for c in k.letters})
     sizes = np.array([len(s) for s in strings])
     for low, high in zip(WIDTHS[:-1], WIDTHS[1:], strict=True):
         at = np.flatnonzero((sizes >= max(low, length)) & (sizes < high))
@@ -119,17 +159,21 @@ def similarities(strings: list[str], landmarks: list[str], decay: float = DECAY,
             some = at[i : i + 8192]
             # Blanks at the end match nothing.
             x = _characters([strings[k].ljust(high - 1) for k in some], high - 1)
-            letters = _letters(x)
-            norm = np.zeros(len(some), np.float32)
-            like = [np.bitwise_count(letters & own) >= np.ceil(SHARED * np.bitwise_count(own)) for _, _, _, own in known]
+            has = {c: (x == c).any(axis=1) for c in wanted_letters}
+            like = [k.bound[k.shared(has)] >= FLOOR for _, k in known]
             wanted = np.flatnonzero(np.any(like, axis=0)) if known else np.zeros(0, np.int64)
+            norm = np.zeros(len(some), np.float32)
             norm[wanted] = _kernel(_match_self(x[wanted]), decay, length) if len(wanted) else 0
-            for (j, t, own, _), hit in zip(known, like, strict=True):
+            for (j, k), hit in zip(known, like, strict=True):
                 near = np.flatnonzero(hit & (norm > 0))
                 if len(near):
-                    values = _kernel([(x[near] == c).astype(np.float32) for c in t], decay, length)
-                    out[some[near], j] = (values / np.sqrt(norm[near] * own)) ** POWER
-    return out
+                    values = _kernel([(x[near] == c).astype(np.float32) for c in k.codes], decay, length)
+                    similar = (values / np.sqrt(norm[near] * k.own)) ** POWER
+                    keep = similar >= FLOOR
+                    out[some[near[keep]], j] = similar[keep]
+                    whole = np.minimum(values[keep] / k.own, 1) ** POWER
+                    held[some[near[keep]], j] = np.minimum(NEARLY * similar[keep] ** 1.5 * whole, 1)
+    return out, held
 
 
 def _spelled(landmark: str) -> list[int]:
@@ -145,21 +189,17 @@ def _characters(strings: list[str], size: int) -> np.ndarray:
     return letters[back].reshape(x.shape)
 
 
-def _letters(x: np.ndarray) -> np.ndarray:
-    """The set of each row's letters, as bits."""
-    bits = np.where(x > 0, np.uint64(1) << (x.astype(np.uint64) & np.uint64(63)), np.uint64(0))
-    return np.bitwise_or.reduce(bits, axis=1)
-
-
 def _match_self(x: np.ndarray) -> list[np.ndarray]:
     return [((x == x[:, j : j + 1]) & (x > 0)).astype(np.float32) for j in range(x.shape[1])]
 
 
 @dataclass
 class Model:
-    """Landmarks; ``weights`` and ``bias`` of the machine, the Nystrom map included; slope and shift of the logistic."""
+    """Landmarks, the first ``marking`` of which mark toxic texts; ``weights`` and ``bias`` of the machine, the Nystrom map
+    included, for similarities and for shares held; slope and shift of the logistic."""
 
     landmarks: list[str]
+    marking: int
     weights: np.ndarray
     bias: float = 0.0
     slope: float = 1.0
@@ -167,43 +207,95 @@ class Model:
 
 
 class Rows:
-    """Similarity rows of windows, remembered by window; at most about ``REMEMBERED`` are held."""
-
-    def __init__(self, landmarks: list[str]) -> None:
-        self.landmarks = landmarks
+    """What windows have in common with the landmarks, remembered by window; at most about ``REMEMBERED`` are held."""
+
+    def __init__(self, landmarks: list[str], marking: int = 0) -> None:
+        self.landmarks = [Landmark(t, DECAY, LENGTH) for t in landmarks]
+        self.marks = [k for k in self.landmarks[:marking] if k.own > 0]
+        letters = sorted({c for k in self.marks for c in k.letters})[:32]
+        self.bit = {c: 1 << i for i, c in enumerate(letters)}
+        # The bits of each landmark's own letters from those of all, by halves.
+        self.own: list[list[np.ndarray]] = []
+        for k in self.marks:
+            halves = []
+            for half in range(2):
+                table = np.zeros(1 << 16, np.int32)
+                for i, c in enumerate(k.letters):
+                    place = letters.index(c) - 16 * half if c in self.bit else -1
+                    if 0 <= place < 16:
+                        table |= np.where(np.arange(1 << 16) >> place & 1, 1 << i, 0).astype(np.int32)
+                    elif c not in self.bit:
+                        table |= 1 << i
+                halves.append(table)
+            self.own.append(halves)
         self.clear()
 
     def clear(self) -> None:
         self.code: dict[str, int] = {}
-        self.rows = np.zeros((1024, len(self.landmarks)), np.float32)
+        self.rows = np.zeros((1024, 2 * len(self.landmarks)), np.float32)
+        self.has, self.size = np.zeros(1024, np.int64), np.zeros(1024, np.int64)
 
-    def codes(self, lists: list[list[str]]) -> np.ndarray:
-        """Row numbers of all windows in order; ``rows`` holds them until the next call."""
-        if len(self.code) > REMEMBERED:
-            self.clear()
+    def codes(self, flat: list[str]) -> np.ndarray:
+        """Numbers of windows; ``rows`` holds them until the next call that may drop them."""
         code, known = self.code, len(self.code)
-        flat = (code.setdefault(w, len(code)) for ws in lists for w in ws)
-        out = np.fromiter(flat, np.int64, sum(map(len, lists)))
+        out = np.fromiter((code.setdefault(w, len(code)) for w in flat), np.int64, len(flat))
         if len(code) > known:
             new = list(islice(reversed(code), len(code) - known))[::-1]
             if len(code) > len(self.rows):
-                grown = np.zeros((max(len(code), 2 * len(self.rows)), self.rows.shape[1]), np.float32)
-                grown[:known] = self.rows[:known]
-                self.rows = grown
-            self.rows[known : len(code)] = similarities(new, self.landmarks)
+                room = max(len(code), 2 * len(self.rows))
+                for name in ("rows", "has", "size"):
+                    old = getattr(self, name)
+                    grown = np.zeros((room, *old.shape[1:]), old.dtype)
+                    grown[:known] = old[:known]
+                    setattr(self, name, grown)
+            self.rows[known : len(code)] = np.concatenate(compare(new, self.landmarks), axis=1)
+            bit = {chr(c): b for c, b in self.bit.items()}.get
+            self.has[known : len(code)] = [sum({bit(c, 0) for c in w}) for w in new]
+            self.size[known : len(code)] = [len(w) for w in new]
+        return out
+
+    def _joined(self, codes: np.ndarray, sentence: np.ndarray) -> list[tuple[np.ndarray, int]]:
+        """(first places, number) of neighbouring words that may be one marking landmark in pieces, by length and letters."""
+        out = []
+        has, size = self.has[codes], self.size[codes]
+        for n in (2, 3):
+            at = np.flatnonzero(sentence[n - 1 :] == sentence[: len(sentence) - n + 1]) if len(codes) >= n else np.zeros(0, np.int64)
+            if not len(at) or not self.marks:
+                continue
+            letters = sum(size[at + k] for k in range(n))
+            at = at[(letters >= LENGTH) & (letters <= max(len(k.text) for k in self.marks) + EXTRA)]
+            letters = sum(size[at + k] for k in range(n))
+            held = has[at]
+            for k in range(1, n):
+                held = held | has[at + k]
+            low, high = held & 0xFFFF, held >> 16
+            fits = np.zeros(len(at), bool)
+            for mark, (first, second) in zip(self.marks, self.own, strict=True):
+                fits |= (letters <= len(mark.text) + EXTRA) & (mark.bound[first[low] | second[high]] >= FLOOR)
+            out.append((at[fits], n))
         return out
 
     def of_sentences(self, found: list[list[str]]) -> np.ndarray:
-        """(sentences, landmarks) similarity of each sentence, which has a window at least, to each landmark."""
+        """(sentences, features): the most that a window of a sentence has of each; a sentence has one window at least."""
         if not found:
-            return np.zeros((0, len(self.landmarks)), np.float32)
-        codes = self.codes(found)
+            return np.zeros((0, 2 * len(self.landmarks)), np.float32)
+        if len(self.code) > REMEMBERED:
+            self.clear()
+        flat = [w for ws in found for w in ws]
         size = np.fromiter(map(len, found), np.int64, len(found))
-        return np.maximum.reduceat(self.rows[codes], np.cumsum(size) - size, axis=0)
+        codes = self.codes(flat)
+        out = np.maximum.reduceat(self.rows[codes], np.cumsum(size) - size, axis=0)
+        sentence = np.repeat(np.arange(len(found)), size)
+        for at, n in self._joined(codes, sentence):
+            joined = self.codes([" ".join(flat[i : i + n]) for i in at.tolist()])
+            np.maximum.at(out, sentence[at], self.rows[joined])
+        return out
 
 
-def choose_landmarks(texts: list[list[list[str]]], toxic: np.ndarray, marking: int = MARKING, common: int = COMMON) -> list[str]:
-    """Windows whose share of toxic texts is surely above the average (by a normal score); for each of them the harmless
+def choose_landmarks(
+    texts: list[list[list[str]]], toxic: np.ndarray, marking: int = MARKING, common: int = COMMON
+) -> tuple[list[str], int]:
+    """The landmarks, and how many of them, the first ones, mark toxic texts: windows whose share of toxic texts is surely above the average (by a normal score); for each of them the harmless
     window that is most like it, so that the machine can tell them apart; and the most common windows."""
     in_toxic, in_all, seen = Counter(), Counter(), set()
     for found, bad in zip(texts, toxic, strict=True):
@@ -213,7 +305,7 @@ def choose_landmarks(texts: list[list[list[str]]], toxic: np.ndarray, marking: i
         seen.update(long)
         if 2 * copied > len(long):
             continue
-        own = {w for s in found for w in s if any(c.isalpha() for c in w)}
+        own = {w for s in found for w in s if len(w) >= LENGTH and any(c.isalpha() for c in w)}
         in_all.update(own)
         if bad:
             in_toxic.update(own)
@@ -237,7 +329,7 @@ def choose_landmarks(texts: list[list[list[str]]], toxic: np.ndarray, marking: i
         near = similarities(harmless, chosen)
         chosen += sorted({harmless[i] for i, close in zip(near.argmax(axis=0), near.max(axis=0), strict=True) if close >= CLOSE})
     rest = sorted(((-n, w) for w, n in in_all.items() if w not in chosen))
-    return chosen + [w for _, w in rest[:common]]
+    return chosen + [w for _, w in rest[:common]], len(picked)
 
 
 def _support_vector(x: np.ndarray, y: np.ndarray, weight: np.ndarray, cost: float = COST) -> tuple[np.ndarray, float]:
@@ -271,37 +363,50 @@ def _logistic(f: np.ndarray, toxic: np.ndarray) -> tuple[float, float]:
     return float(max(a[0], 1e-6)), float(a[1])
 
 
+def altered(word: str) -> list[str]:
+    """A word with a letter that it does not have put in at each place."""
+    foreign = next(c for c in "xqzjkvwybfghmnpcdu" if c not in word)
+    return [word[:i] + foreign + word[i:] for i in range(1, len(word))]
+
+
 def fit_texts(texts: list[str], toxic: list[bool], rounds: int = 4, worst: int = 3) -> Model:
     """A machine from texts and their labels."""
     found = [sentences(t) for t in texts]
     labels = np.array(toxic, bool)
-    landmarks = choose_landmarks(found, labels)
+    landmarks, marking = choose_landmarks(found, labels)
     if not landmarks or labels.all() or not labels.any():
         share = float(np.clip(labels.mean() if len(labels) else 0.0, 1e-3, 1 - 1e-3))
-        return Model(landmarks, np.zeros(len(landmarks)), 0.0, 1.0, float(np.log(share / (1 - share))))
+        return Model(landmarks, marking, np.zeros(2 * len(landmarks)), 0.0, 1.0, float(np.log(share / (1 - share))))
     values, vectors = np.linalg.eigh(similarities(landmarks, landmarks).astype(np.float64))
-    root = vectors @ np.diag(1 / np.sqrt(np.maximum(values, 1e-6))) @ vectors.T
-    table = Rows(landmarks)
+    # The shares held stay features of their own.
+    root = np.eye(2 * len(landmarks))
+    root[: len(landmarks), : len(landmarks)] = vectors @ np.diag(1 / np.sqrt(np.maximum(values, 1e-6))) @ vectors.T
+    table = Rows(landmarks, marking)
     # All windows at once, as a call for each text would cost far more.
-    table.codes([s for f in found for s in f])
-    bags = [table.of_sentences(s) @ root for s in found]
+    every = table.of_sentences([s for f in found for s in f]) @ root
+    ends = np.cumsum([len(f) for f in found])
+    bags = [every[b - len(f) : b] for f, b in zip(found, ends.tolist(), strict=True)]
     full = [i for i, b in enumerate(bags) if len(b)]
     x, y = np.array([bags[i].max(axis=0) for i in full]), np.where(labels[full], 1.0, -1.0)
     weights, bias = _support_vector(x, y, np.where(y > 0, 2.0, 1.0))
+    # Marking words with a letter put in are toxic sentences of their own, as labelled texts may hold none.
+    more = table.of_sentences([[v] for w in landmarks[:marking] for v in altered(w)]) @ root
     for _ in range(rounds):
-        picked, signs = [], []
+        picked, signs = [more], [1.0] * len(more)
         for i in full:
             f = bags[i] @ weights + bias
             top = np.argsort(-f, kind="stable")[:worst]
             picked.append(bags[i][top])
             signs += [1.0 if labels[i] else -1.0] * len(top)
         y = np.array(signs)
-        weights, bias = _support_vector(np.concatenate(picked), y, np.where(y > 0, 2.0, 1.0))
+        weight = np.where(y > 0, 2.0, 1.0)
+        weight[: len(more)] = ALTERED
+        weights, bias = _support_vector(np.concatenate(picked), y, weight)
     f = np.array([(b @ weights + bias).max() if len(b) else 0.0 for b in bags])
     empty = np.array([not len(b) for b in bags])
     f[empty] = f[~empty].min() if not empty.all() else 0.0
     slope, shift = _logistic(f, labels)
-    return Model(landmarks, root @ weights, bias, slope, shift)
+    return Model(landmarks, marking, root @ weights, bias, slope, shift)
 
 
 def fit(labelled: DataFrame, sample: int = SAMPLE) -> Model:
@@ -327,7 +432,7 @@ def score(docs: DataFrame, model: Model, threshold: float = THRESHOLD) -> DataFr
     given = docs.select(F.struct(*[F.col(f"`{c}`") for c in kept]).alias("row"), F.coalesce("text", F.lit("")).alias("text"))
 
     def apply(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        table = worker_state("rows-" + "/".join(model.landmarks), lambda: Rows(model.landmarks))
+        table = worker_state("rows-" + "/".join(model.landmarks), lambda: Rows(model.landmarks, model.marking))
         for batch in chunks(batches):
             texts = [sentences(t) for t in batch.column("text").to_pylist()]
             size = np.array([len(s) for s in texts])

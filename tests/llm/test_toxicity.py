@@ -9,6 +9,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from paceline.llm import toxicity as tx
+from paceline.llm.common import held_out
 from paceline.llm.queries import QUERIES
 
 
@@ -22,21 +23,56 @@ def kernel(s, t, length=tx.LENGTH, decay=tx.DECAY):
     return total
 
 
-@pytest.mark.parametrize("s", ["idiot", "id.iot", "toidi", "iiddiioott", "i d i o t", "abc", "häßlich"])
+@pytest.mark.parametrize("s", ["idiot", "id.iot", "toidi", "iiddiioott", "i d i o t", "abc", "häßlich", "xidxioxtx"])
 def test_kernel(s):
     for t in ("idiot", "stupid", "abcabc", "häßlich"):
-        letters = {c for c in t if c.isalpha()}
-        near = len(letters & set(s)) >= tx.SHARED * len(letters) and kernel(s, s)
-        expected = kernel(s, t) / np.sqrt(kernel(s, s) * kernel(t, t)) if near else 0.0
-        assert tx.similarities([s, "zz"], [t])[0, 0] == pytest.approx(expected**tx.POWER, abs=1e-4)
+        own = kernel(t, t)
+        similar = (kernel(s, t) / np.sqrt(kernel(s, s) * own)) ** tx.POWER if kernel(s, s) else 0.0
+        # Close calls at the floor aside.
+        assert abs(similar - tx.FLOOR) > 1e-3
+        similar = similar if similar >= tx.FLOOR else 0.0
+        held = min(tx.NEARLY * similar**1.5 * min(kernel(s, t) / own, 1) ** tx.POWER, 1)
+        one, two = tx.compare([s, "zz"], [tx.Landmark(t, tx.DECAY, tx.LENGTH)])
+        assert (one[0, 0], two[0, 0]) == (pytest.approx(similar, abs=1e-4), pytest.approx(held, abs=2e-3))
+
+
+def test_shared_letters_bound_the_similarity():
+    rng = random.Random(3)
+    for t in ("idiot", "moron", "disgusting", "aabbc", "häßlich", "abcdefghijklmno"):
+        landmark = tx.Landmark(t, tx.DECAY, tx.LENGTH)
+        for _ in range(60):
+            s = "".join(rng.choice(t + "xyz ") for _ in range(rng.randrange(3, 9)))
+            if own := kernel(s, s):
+                similar = (kernel(s, t) / np.sqrt(own * kernel(t, t))) ** tx.POWER
+                has = {c: np.array([chr(c) in s]) for c in landmark.letters}
+                assert similar <= landmark.bound[landmark.shared(has)[0]] + 1e-5
 
 
 def test_windows():
-    assert tx.sentences("An Idiot! you i d i o t\n.. ok a b\nx") == [["idiot"], ["i d i o t", "you"]]
+    assert tx.sentences("An Idiot! you i  d i \u00a0o t\n.. ok a b\nx") == [["an", "idiot"], ["i d i o t", "you"], ["ok", "a", "b"], ["x"]]
     assert all(len(w) <= tx.LONGEST for w in tx.windows("x" * 1000))
+    # Ten letters, spelled with blanks, lie in one part wherever they are.
+    for size in range(19, 90):
+        letters = "".join(chr(0x4E00 + i) for i in range(size))
+        parts = tx.windows(letters)
+        assert all(any(letters[i : i + 19] in p for p in parts) for i in range(size - 18))
     assert tx.sentences("") == []
 
 
+def test_neighbours_that_may_be_one_word():
+    table = tx.Rows(["idiot", "stupid", "other"], 2)
+    flat = "what an id iot so st up id is the green house idi ot i diot".split()
+    sentence = np.array([0] * 12 + [1] * 4)
+    joined = {" ".join(flat[i : i + n]) for at, n in table._joined(table.codes(flat), sentence) for i in at.tolist()}
+    assert {"id iot", "st up id", "idi ot", "i diot"} <= joined
+    assert not any("house" in j or "green" in j for j in joined)
+    # What is left out could not have reached the floor.
+    for i in range(len(flat) - 1):
+        text = " ".join(flat[i : i + 2])
+        if sentence[i] == sentence[i + 1] and text not in joined and len(text) <= 7:
+            assert tx.similarities([text], ["idiot", "stupid"]).max() == 0
+
+
 @pytest.fixture(scope="module")
 def model():
     rng = random.Random(0)
@@ -54,7 +90,10 @@ def model():
     return tx.fit_texts(texts, labels)
 
 
-@pytest.mark.parametrize("word", ["idiot", "moron", "stupid", "i.d.i.o.t", "i d i o t", "stu-pid", "idiiot", "stuppid"])
+GAPPED = "i.d.i.o.t|i d i o t|i  d  i  o  t|stu-pid|idiiot|stuppid|id iot|mo  ron|st up id|ixdiot|morqon|stupxid"
+
+
+@pytest.mark.parametrize("word", ["idiot", "moron", "stupid", *GAPPED.split("|")])
 def test_gapped_insults_are_found(spark, model, word):
     df = spark.createDataFrame([(f"the house is green. what {word} says so. going under water.",), ("the house is green. oron sting.",)], "text string")
     bad, good = tx.score(df, model).collect()
@@ -62,6 +101,29 @@ def test_gapped_insults_are_found(spark, model, word):
     assert good.predicted == 0
 
 
+INSULTS = "idiot moron stupid trash scum loser clown".split()
+
+
+def test_insults_with_gaps_and_insertions(spark, sf_dir):
+    """Fitted as the query fits, on the largest table: no gap or insertion hides an insult, and few harmless texts are hit."""
+    sf = sf_dir.replace("0.001", "0.1")
+    docs = spark.read.parquet(f"{sf}/documents.parquet").select("doc_id", "text")
+    labels = spark.read.parquet(f"{sf}/labels.parquet").where("toxic IS NOT NULL").select("doc_id", "toxic")
+    held = held_out(F.col("doc_id"), 4)
+    model = tx.fit(labels.where(~held).join(docs, "doc_id"))
+    variants = []
+    for w in INSULTS:
+        for k in range(1, len(w)):
+            variants += [w[:k] + gap + w[k:] for gap in (" ", "  ", "x", "q", "e", ".", "-")]
+    rows = [(v, f"the house is green. what {v} says so. going under water.") for v in [*INSULTS, *variants]]
+    scored = tx.score(spark.createDataFrame(rows, "variant string, text string"), model)
+    assert [(r.variant, r.score) for r in scored.where("predicted = 0").collect()] == []
+    rest = tx.score(labels.where(held).join(docs, "doc_id"), model).groupBy("toxic").agg(F.sum("predicted"), F.count("*")).collect()
+    found = {r[0]: (r[1], r[2]) for r in rest}
+    assert found[1][0] / found[1][1] > 0.75
+    assert found[0][0] / found[0][1] < 0.016
+
+
 def test_held_out_documents(spark, sf_dir):
     sf = sf_dir.replace("0.001", "0.01")
     found = QUERIES["op7_toxicity"](spark, sf)
