@@ -16,18 +16,20 @@ import hashlib
 from collections.abc import Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from paceline.llm.common import chunks, interned, mix, word_hashes, words
 
 SAMPLES = 64
-# Ranges of doc_id: documents in one, and the most there are (then they hold more).
+# Ranges of doc_id: documents in one, and about how many there are at most (8 MB of bounds; then they hold more documents).
 RANGE = 1000
-RANGES = 20_000
+RANGES = 1 << 20
 RANGES_PER_TASK = 4
+KEYS_PER_TASK = 2_000_000
 # Text bytes handled at a time; each is fingerprinted with its edited text.
 CHUNK = 3 << 20
 UNIT = 1 << 30
@@ -135,14 +137,19 @@ def add_fingerprints(docs: DataFrame, samples: int = SAMPLES) -> DataFrame:
     return given.mapInArrow(apply, schema).select("row.*", "fingerprint")
 
 
-def _range_of(key: Column, lower: list[int]) -> Column:
-    """Position of the last lower bound that is not above a key, by two short scans."""
-    width = max(1, int(len(lower) ** 0.5))
-    runs = [lower[i : i + width] for i in range(0, len(lower), width)]
-    at_most = lambda bounds: F.size(F.filter(bounds, lambda x: x <= key))
-    longs = lambda values: F.array(*[F.lit(v).cast("long") for v in values])
-    run = F.greatest(at_most(longs([r[0] for r in runs])), F.lit(1))
-    return (run - 1) * width + F.greatest(at_most(F.element_at(F.array(*[longs(r) for r in runs]), run)), F.lit(1)) - 1
+def _bounds(keys: DataFrame) -> np.ndarray:
+    """The least key of each range: every so many of the keys in order, which are dealt out by value and sorted there."""
+    count = keys.count()
+    size = max(RANGE, -(-count // RANGES))
+
+    def pick(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        past = 0
+        for batch in batches:
+            yield batch.take(pa.array(np.arange(-past % size, batch.num_rows, size)))
+            past += batch.num_rows
+
+    dealt = keys.repartitionByRange(max(1, -(-count // KEYS_PER_TASK)), "key").sortWithinPartitions("key")
+    return np.unique(dealt.mapInArrow(pick, "key long").toArrow().column("key").to_numpy())
 
 
 def with_next(docs: DataFrame) -> DataFrame:
@@ -154,18 +161,21 @@ def with_next(docs: DataFrame) -> DataFrame:
     """
     key = F.coalesce(F.col("doc_id").cast("long"), F.lit(_FIRST_ID))
     rows = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"), key.alias("key"))
-    count = rows.count()
-    parts = max(1, min(RANGES, -(-count // RANGE)))
-    shares = [i / parts for i in range(parts)]
-    found = rows.agg(F.min("key").alias("least"), F.percentile_approx("key", shares, 4 * RANGES).alias("cuts")).first()
-    lower = sorted({found.least, *found.cuts}) if count else [0]
-    part = _range_of(F.col("key"), lower).alias("part")
-    dealt = rows.select("*", part)
-    is_lower = F.element_at(F.array(*[F.lit(x).cast("long") for x in lower]), F.col("part") + 1) == F.col("key")
-    before = F.pmod(F.col("part") - 1, F.lit(len(lower)))
-    places = F.array(F.struct(F.col("part").alias("part"), F.lit(False).alias("last")))
+    lower = _bounds(rows.select("key"))
+    shared = docs.sparkSession.sparkContext.broadcast(lower)
+
+    @F.pandas_udf("long")
+    def place(keys: pd.Series) -> pd.Series:
+        """Twice the range, and 1 for a key at its lower end."""
+        at = np.searchsorted(shared.value, keys.to_numpy(), side="right") - 1
+        return pd.Series(2 * at + (shared.value[at] == keys.to_numpy()))
+
+    dealt = rows.withColumn("place", place("key"))
+    part = F.shiftright("place", 1)
+    before = F.pmod(part - 1, F.lit(max(len(lower), 1)))
+    places = F.array(F.struct(part.alias("part"), F.lit(False).alias("last")))
     extra = F.array(F.struct(before.alias("part"), F.lit(True).alias("last")))
-    placed = F.explode(F.when(is_lower, F.concat(places, extra)).otherwise(places))
+    placed = F.explode(F.when(F.col("place") % 2 == 1, F.concat(places, extra)).otherwise(places))
     dealt = dealt.select("doc_id", "text", "key", placed.alias("p")).select("doc_id", "text", "key", "p.part", "p.last")
     tasks = max(1, -(-len(lower) // RANGES_PER_TASK))
     return dealt.repartition(tasks, "part").sortWithinPartitions("part", "last", "key", "text")
