@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import sys
 import time
 import types
@@ -38,12 +39,20 @@ class Kept(NamedTuple):
 
 
 def keep(spark: SparkSession, name: str, make: Callable[[], DataFrame]) -> Kept:
-    """Write what ``make`` returns to the scratch folder, and delete whatever else was staged on the way."""
+    """Write what ``make`` returns to the scratch folder, and delete whatever else was staged or shuffled on the way.
+
+    Spark deletes the files of a shuffle when the driver has collected the plan that it belongs to, which a driver with memory
+    to spare does late or never; so it is asked to.
+    """
     path = scratch_path(spark, name)
     with scratch(spark):
         df = make()
         df.write.parquet(path)
-    return Kept(spark.read.schema(df.schema).parquet(path), path.rpartition("/")[0])
+        schema = df.schema
+    del df
+    gc.collect()
+    spark._jvm.System.gc()
+    return Kept(spark.read.schema(schema).parquet(path), path.rpartition("/")[0])
 
 
 def corpus(spark: SparkSession, sf_dir: str, table: str = "documents") -> DataFrame:

@@ -20,6 +20,7 @@ Documents with equal sets are one node from the start.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -442,24 +443,35 @@ def linked(docs: DataFrame, width: int = SHINGLE, percent: int = PERCENT) -> Dat
     texts = docs.select("doc_id", F.xxhash64(text).alias("text_hash"), text.alias("text"))
     texts = texts.withColumn("row_hash", F.xxhash64("doc_id", "text_hash"))
     index = stage(_index(texts, _sketch(texts, width), width, percent), "index")
+    # Each step leaves one table; what it has staged and shuffled for itself, texts among it, is deleted with it, and the
+    # tables when the last step that reads them is done.
+    spark = docs.sparkSession
     first = [F.first(c).alias(c) for c in ("n_shingles", "row_hash", "signatures", "parity")]
-    nodes = stage(index.where(F.col("node").isNotNull()).groupBy("node").agg(*first), "nodes")
-    rows = nodes.select(F.explode("signatures").alias("sig"), "node")
+    nodes = keep(spark, "nodes", lambda: index.where(F.col("node").isNotNull()).groupBy("node").agg(*first))
+    rows = nodes.table.select(F.explode("signatures").alias("sig"), "node")
     crowds = rows.groupBy("sig").agg(F.count("*").alias("crowd")).where(F.col("crowd") > 1)
-    shared = stage(rows.join(crowds, "sig"), "shared")
+    shared = keep(spark, "shared", lambda: rows.join(crowds, "sig"))
 
-    # What a step has staged for itself, texts among it, is deleted when its result is written.
-    spark = docs.sparkSession
-    pairs = stage(_near(_laid_out(shared, nodes, None), percent, forest=True), "pairs")
-    links = keep(spark, "links", lambda: _verified(pairs, nodes, texts, width, percent)).table
-    crowded = shared.where(F.col("crowd") > CROWD)
+    pairs = keep(spark, "pairs", lambda: _near(_laid_out(shared.table, nodes.table, None), percent, forest=True))
+    links = [keep(spark, "links", lambda: _verified(pairs.table, nodes.table, texts, width, percent))]
+    crowded = shared.table.where(F.col("crowd") > CROWD)
     if not crowded.isEmpty():
-        joined = keep(spark, "joined", lambda: components(links)).table
-        more = _near(_laid_out(crowded, nodes, joined), percent, forest=False).join(pairs, ["a", "b"], "left_anti")
-        more = stage(more, "more-pairs")
-        if not more.isEmpty():
-            links = links.union(keep(spark, "more-links", lambda: _verified(more, nodes, texts, width, percent)).table)
-    roots = keep(spark, "roots", lambda: components(links)).table
+        joined = keep(spark, "joined", lambda: components(links[0].table))
+
+        def rest() -> DataFrame:
+            near = _near(_laid_out(crowded, nodes.table, joined.table), percent, forest=False)
+            return near.join(pairs.table, ["a", "b"], "left_anti")
+
+        more = keep(spark, "more-pairs", rest)
+        joined.release()
+        if not more.table.isEmpty():
+            links.append(keep(spark, "more-links", lambda: _verified(more.table, nodes.table, texts, width, percent)))
+        more.release()
+    for done in (shared, pairs, nodes):
+        done.release()
+    roots = keep(spark, "roots", lambda: components(reduce(DataFrame.union, [k.table for k in links]))).table
+    for done in links:
+        done.release()
     rooted = index.select("doc_id", "text_hash", "n_shingles", "node").join(roots, "node", "left")
     rooted = rooted.withColumn("root", F.coalesce("root", "node"))
     smallest = rooted.where(F.col("root").isNotNull()).groupBy("root").agg(F.min("doc_id").alias("component_id"))
