@@ -12,7 +12,7 @@ import os
 import statistics
 import time
 
-from paceline.plans import catalog
+from paceline.plans import catalog, free
 from paceline.plans.runner import drain
 from paceline.session import build_session
 
@@ -49,6 +49,12 @@ HEADLINE = [
     "m12_load_grid",
     "m13_stats_grid",
     "m18_comparison",
+    "w01_last_load",
+    "w02_runs_during_loads",
+    "w04_row_differences",
+    "w06_quantiles_by_query",
+    "w07_import_cube",
+    "w08_change_of_runs",
 ]
 
 
@@ -67,7 +73,7 @@ def main() -> None:
     spark.sparkContext.setLogLevel("ERROR")
     first, median = {}, {}
     for name in HEADLINE:
-        run = catalog.QUERIES[name]
+        run = (catalog.QUERIES | free.QUERIES)[name]
         times = [seconds(lambda run=run: drain(run(spark, SF_DIR))) for _ in range(RUNS + 1)]
         first[name] = round(times[0], 4)
         median[name] = round(statistics.median(times[1:]), 4)
