@@ -442,12 +442,14 @@ def linked(docs: DataFrame, width: int = SHINGLE, percent: int = PERCENT) -> Dat
     text = F.coalesce(F.col("text").cast("binary"), F.lit(b""))
     texts = docs.select("doc_id", F.xxhash64(text).alias("text_hash"), text.alias("text"))
     texts = texts.withColumn("row_hash", F.xxhash64("doc_id", "text_hash"))
-    index = stage(_index(texts, _sketch(texts, width), width, percent), "index")
     # Each step leaves one table; what it has staged and shuffled for itself, texts among it, is deleted with it, and the
     # tables when the last step that reads them is done.
     spark = docs.sparkSession
+    index = keep(spark, "index", lambda: _index(texts, _sketch(texts, width), width, percent))
+    named = keep(spark, "named", lambda: index.table.select("doc_id", "text_hash", "n_shingles", "node")).table
     first = [F.first(c).alias(c) for c in ("n_shingles", "row_hash", "signatures", "parity")]
-    nodes = keep(spark, "nodes", lambda: index.where(F.col("node").isNotNull()).groupBy("node").agg(*first))
+    nodes = keep(spark, "nodes", lambda: index.table.where(F.col("node").isNotNull()).groupBy("node").agg(*first))
+    index.release()
     rows = nodes.table.select(F.explode("signatures").alias("sig"), "node")
     crowds = rows.groupBy("sig").agg(F.count("*").alias("crowd")).where(F.col("crowd") > 1)
     shared = keep(spark, "shared", lambda: rows.join(crowds, "sig"))
@@ -472,12 +474,11 @@ def linked(docs: DataFrame, width: int = SHINGLE, percent: int = PERCENT) -> Dat
     roots = keep(spark, "roots", lambda: components(reduce(DataFrame.union, [k.table for k in links]))).table
     for done in links:
         done.release()
-    rooted = index.select("doc_id", "text_hash", "n_shingles", "node").join(roots, "node", "left")
+    rooted = named.join(roots, "node", "left")
     rooted = rooted.withColumn("root", F.coalesce("root", "node"))
     smallest = rooted.where(F.col("root").isNotNull()).groupBy("root").agg(F.min("doc_id").alias("component_id"))
-    named = rooted.join(smallest, "root", "left")
     own = F.when(F.col("root").isNull(), F.col("doc_id")).otherwise(F.col("component_id"))
-    return named.select("doc_id", "text_hash", "n_shingles", "root", own.alias("component_id"))
+    return rooted.join(smallest, "root", "left").select("doc_id", "text_hash", "n_shingles", "root", own.alias("component_id"))
 
 
 def one_of_each(docs: DataFrame, width: int = SHINGLE, percent: int = PERCENT) -> DataFrame:
