@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from paceline.llm.common import chunks, interned, raw, segment_sum, stage
+from paceline.llm.common import WORD, chunks, interned, raw, segment_sum, stage
 
 #: lower case, upper case, digit, sentence mark, symbol, other ASCII, other letter or sign
 CLASSES = 7
@@ -143,25 +143,22 @@ def language_references(
     """Per language with enough documents that hold a word, and enough words: shares of the character classes, and of its
     ``common`` most frequent words.
 
-    Counted over all documents with a language; equal counts are ordered by the word. Languages of too few documents or words leave
-    in the tasks, so a column of many chance values makes no more references. The driver gets a few hundred rows per language:
-    the classes (kind 0), the words (1), how many words there are (2) and how many documents (3).
+    Counted over all documents with a language; equal counts are ordered by the word. Languages of too few documents are left out
+    first, so a column of many chance values makes no more references. The driver gets a few hundred rows per language:
+    the classes (kind 0), the words (1) and how many words there are (2).
     """
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         table, held = class_table(), 0
         tally: dict[str, Counter] = defaultdict(Counter)
         classes: dict[str, np.ndarray] = defaultdict(lambda: np.zeros(CLASSES, np.int64))
-        documents: Counter = Counter()
 
         def flush() -> pa.RecordBatch:
             rows = [(lang, 1, w, n) for lang, c in tally.items() for w, n in c.items()]
             rows += [(lang, 0, bytes([i]), int(n)) for lang, c in classes.items() for i, n in enumerate(c)]
             rows += [(lang, 2, b"", c.total()) for lang, c in tally.items()]
-            rows += [(lang, 3, b"", n) for lang, n in documents.items()]
             tally.clear()
             classes.clear()
-            documents.clear()
             return pa.RecordBatch.from_arrays(
                 [pa.array([r[i] for r in rows], t) for i, t in enumerate((pa.string(), pa.int32(), pa.binary(), pa.int64()))],
                 names=["lang", "kind", "word", "n"],
@@ -170,28 +167,26 @@ def language_references(
         for batch in chunks(batches):
             texts, langs = raw(batch.column("text")), batch.column("lang").to_pylist()
             for lang, text, row in zip(langs, texts, class_counts(texts, table), strict=True):
-                words = text.split()
-                tally[lang].update(words)
+                tally[lang].update(text.split())
                 classes[lang] += row
-                documents[lang] += bool(words)
             held = sum(map(len, tally.values()))
             if held > HELD:
                 yield flush()
         yield flush()
 
     texts = docs.where(F.col("lang").isNotNull()).select("lang", F.coalesce(F.col("text").cast("binary"), F.lit(b"")).alias("text"))
-    counts = stage(texts.mapInArrow(count, REFERENCE).groupBy("lang", "kind", "word").agg(F.sum("n").alias("n")), "counts")
-    enough = counts.where((F.col("kind") == 3) & (F.col("n") >= min_documents)).select("lang")
-    enough = enough.join(counts.where((F.col("kind") == 2) & (F.col("n") >= min_words)).select("lang"), "lang")
-    counts = counts.where("kind < 3").join(enough, "lang", "left_semi")
+    worded = docs.where(F.col("lang").isNotNull() & F.col("text").rlike(WORD)).groupBy("lang").agg(F.count("*").alias("n"))
+    enough = stage(worded.where(F.col("n") >= min_documents).select("lang"), "languages")
+    given = texts.join(enough, "lang", "left_semi")
+    counts = given.mapInArrow(count, REFERENCE).groupBy("lang", "kind", "word").agg(F.sum("n").alias("n"))
     ranked = counts.select(
         "*",
         F.row_number().over(Window.partitionBy("lang", "kind").orderBy(F.desc("n"), "word")).alias("rank"),
     )
     top = ranked.where(F.col("rank") <= max(common, CLASSES)).collect()
-    totals = {r.lang: r.n for r in top if r.kind == 2}
+    totals = {r.lang: r.n for r in top if r.kind == 2 and r.n >= min_words}
     shares: dict[str, tuple[np.ndarray, dict[bytes, float]]] = {lang: (np.zeros(CLASSES), {}) for lang in totals}
-    for r in sorted(top, key=lambda r: (r.lang, r.kind, -r.n, bytes(r.word))):
+    for r in sorted((r for r in top if r.lang in totals), key=lambda r: (r.lang, r.kind, -r.n, bytes(r.word))):
         classes, words = shares[r.lang]
         if r.kind == 0:
             classes[r.word[0]] = r.n
