@@ -58,6 +58,8 @@ LONGEST = 24
 STEP = 5
 # Letters of a landmark that its bound tells apart.
 MOST_LETTERS = 10
+# Windows of sentences whose values are gathered at a time.
+AT_ONCE = 50_000
 # Windows are handled together by length: from one of these to below the next.
 WIDTHS = (1, 5, 7, 9, 11, 14, 18, LONGEST + 1)
 # The product of similarity and share held is multiplied by this, so that a word with one letter put in comes near 1.
@@ -277,8 +279,17 @@ class Rows:
 
     def of_sentences(self, found: list[list[str]]) -> np.ndarray:
         """(sentences, features): the most that a window of a sentence has of each; a sentence has one window at least."""
-        if not found:
-            return np.zeros((0, 2 * len(self.landmarks)), np.float32)
+        out = np.zeros((len(found), 2 * len(self.landmarks)), np.float32)
+        ends = np.cumsum([len(ws) for ws in found])
+        start = 0
+        while start < len(found):
+            past = int(ends[start - 1]) if start else 0
+            end = max(start + 1, int(np.searchsorted(ends, past + AT_ONCE, side="right")))
+            out[start:end] = self._of_some(found[start:end])
+            start = end
+        return out
+
+    def _of_some(self, found: list[list[str]]) -> np.ndarray:
         if len(self.code) > REMEMBERED:
             self.clear()
         flat = [w for ws in found for w in ws]
@@ -379,10 +390,10 @@ def fit_texts(texts: list[str], toxic: list[bool], rounds: int = 4, worst: int =
         return Model(landmarks, marking, np.zeros(2 * len(landmarks)), 0.0, 1.0, float(np.log(share / (1 - share))))
     values, vectors = np.linalg.eigh(similarities(landmarks, landmarks).astype(np.float64))
     # The shares held stay features of their own.
-    root = np.eye(2 * len(landmarks))
+    root = np.eye(2 * len(landmarks), dtype=np.float32)
     root[: len(landmarks), : len(landmarks)] = vectors @ np.diag(1 / np.sqrt(np.maximum(values, 1e-6))) @ vectors.T
     table = Rows(landmarks, marking)
-    # All windows at once, as a call for each text would cost far more.
+    # All sentences in one call, as one for each text would cost far more.
     every = table.of_sentences([s for f in found for s in f]) @ root
     ends = np.cumsum([len(f) for f in found])
     bags = [every[b - len(f) : b] for f, b in zip(found, ends.tolist(), strict=True)]
