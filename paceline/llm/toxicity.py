@@ -5,9 +5,9 @@ it covers in both strings (characters that are not letters only widen it), and i
 values. So a word that is written with gaps or inserted characters stays near the plain one.
 
 Landmarks are chosen among the words of labelled sentences: those that mark toxic texts most surely, for each of these the
-harmless word most like it, and a few common ones. A sentence's similarity to a landmark is that of its most similar window, and
+harmless word most like it. A sentence's similarity to a landmark is that of its most similar window, and
 the Nystrom map (inverse root of the landmarks' own kernel matrix) makes them features of a linear machine. A second feature
-per landmark joins the similarity with the share of the landmark that the window holds, and stops growing early: a marking
+per marking landmark joins the similarity with the share of the landmark that the window holds, and stops growing early: a marking
 word with one letter put in counts nearly as much as the plain one, a word that only resembles it far less. Windows are
 words, runs of single characters, and neighbouring words that may be one marking word in pieces.
 
@@ -22,7 +22,7 @@ import re
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
-from itertools import islice
+from itertools import islice, repeat
 
 import numpy as np
 import pyarrow as pa
@@ -43,7 +43,7 @@ MARKING = 24
 # Landmarks are no more alike than this, so that every family of words gets some; harmless words less like one are no matter.
 ALIKE = 0.42
 CLOSE = 0.2
-COMMON = 4
+COMMON = 0
 # Share of the labelled texts that must be toxic ones with a word, for it to be a landmark.
 MARKED = 0.002
 # Share of the texts with a landmark that are toxic ones.
@@ -66,8 +66,10 @@ WIDTHS = (1, 5, 7, 9, 11, 14, 18, LONGEST + 1)
 NEARLY = 4.0
 # Similarities below this count as none, so that what a window's letters rule out need not be computed.
 FLOOR = 0.1
-# Neighbouring words are also read as one if they have at most this many letters more than a marking landmark.
+# Neighbouring words are also read as one if they have at most this many letters more than a marking landmark, and letters in common
+# that allow this similarity.
 EXTRA = 1
+JOINED = 0.6
 SENTENCE = re.compile(r"[.!?]+(?=\s|$)|\n")
 SPELLED = re.compile(r"(?<!\S)\S(?:\s+\S){2,}(?!\S)")
 EDGE = ".,;:!?\"'()[]{}<>*#%&$|"
@@ -213,6 +215,8 @@ class Rows:
 
     def __init__(self, landmarks: list[str], marking: int = 0) -> None:
         self.landmarks = [Landmark(t, DECAY, LENGTH) for t in landmarks]
+        # Only marking landmarks have the second feature.
+        self.marking, self.width = marking, len(landmarks) + marking
         self.marks = [k for k in self.landmarks[:marking] if k.own > 0]
         letters = sorted({c for k in self.marks for c in k.letters})[:32]
         self.bit = {c: 1 << i for i, c in enumerate(letters)}
@@ -234,14 +238,16 @@ class Rows:
 
     def clear(self) -> None:
         self.code: dict[str, int] = {}
-        self.rows = np.zeros((1024, 2 * len(self.landmarks)), np.float32)
+        self.rows = np.zeros((1024, self.width), np.float32)
         self.has, self.size = np.zeros(1024, np.int64), np.zeros(1024, np.int64)
 
     def codes(self, flat: list[str]) -> np.ndarray:
         """Numbers of windows; ``rows`` holds them until the next call that may drop them."""
         code, known = self.code, len(self.code)
-        out = np.fromiter((code.setdefault(w, len(code)) for w in flat), np.int64, len(flat))
-        if len(code) > known:
+        out = np.fromiter(map(code.get, flat, repeat(-1)), np.int64, len(flat))
+        missing = np.flatnonzero(out < 0)
+        if len(missing):
+            out[missing] = [code.setdefault(flat[i], len(code)) for i in missing.tolist()]
             new = list(islice(reversed(code), len(code) - known))[::-1]
             if len(code) > len(self.rows):
                 room = max(len(code), 2 * len(self.rows))
@@ -250,10 +256,14 @@ class Rows:
                     grown = np.zeros((room, *old.shape[1:]), old.dtype)
                     grown[:known] = old[:known]
                     setattr(self, name, grown)
-            self.rows[known : len(code)] = np.concatenate(compare(new, self.landmarks), axis=1)
-            bit = {chr(c): b for c, b in self.bit.items()}.get
-            self.has[known : len(code)] = [sum({bit(c, 0) for c in w}) for w in new]
-            self.size[known : len(code)] = [len(w) for w in new]
+            similar, nearly = compare(new, self.landmarks)
+            self.rows[known : len(code)] = np.concatenate([similar, nearly[:, : self.marking]], axis=1)
+            size = np.fromiter(map(len, new), np.int64, len(new))
+            self.size[known : len(code)] = size
+            letters = np.frombuffer("".join(new).encode("utf-32-le", "surrogatepass"), np.uint32)
+            kinds, back = np.unique(letters, return_inverse=True)
+            bits = np.array([self.bit.get(k, 0) for k in kinds.tolist()], np.int64)[back]
+            self.has[known : len(code)] = np.bitwise_or.reduceat(bits, np.cumsum(size) - size)
         return out
 
     def _joined(self, codes: np.ndarray, sentence: np.ndarray) -> list[tuple[np.ndarray, int]]:
@@ -273,13 +283,13 @@ class Rows:
             low, high = held & 0xFFFF, held >> 16
             fits = np.zeros(len(at), bool)
             for mark, (first, second) in zip(self.marks, self.own, strict=True):
-                fits |= (letters <= len(mark.text) + EXTRA) & (mark.bound[first[low] | second[high]] >= FLOOR)
+                fits |= (letters <= len(mark.text) + EXTRA) & (mark.bound[first[low] | second[high]] >= JOINED)
             out.append((at[fits], n))
         return out
 
     def of_sentences(self, found: list[list[str]]) -> np.ndarray:
         """(sentences, features): the most that a window of a sentence has of each; a sentence has one window at least."""
-        out = np.zeros((len(found), 2 * len(self.landmarks)), np.float32)
+        out = np.zeros((len(found), self.width), np.float32)
         ends = np.cumsum([len(ws) for ws in found])
         start = 0
         while start < len(found):
@@ -298,8 +308,11 @@ class Rows:
         out = np.maximum.reduceat(self.rows[codes], np.cumsum(size) - size, axis=0)
         sentence = np.repeat(np.arange(len(found)), size)
         for at, n in self._joined(codes, sentence):
-            joined = self.codes([" ".join(flat[i : i + n]) for i in at.tolist()])
-            np.maximum.at(out, sentence[at], self.rows[joined])
+            if len(at):
+                joined = self.codes([" ".join(flat[i : i + n]) for i in at.tolist()])
+                starts = np.flatnonzero(np.diff(sentence[at], prepend=-1))
+                own = sentence[at[starts]]
+                out[own] = np.maximum(out[own], np.maximum.reduceat(self.rows[joined], starts, axis=0))
         return out
 
 
@@ -307,7 +320,7 @@ def choose_landmarks(
     texts: list[list[list[str]]], toxic: np.ndarray, marking: int = MARKING, common: int = COMMON
 ) -> tuple[list[str], int]:
     """The landmarks, and how many of them, the first ones, mark toxic texts: windows whose share of toxic texts is surely above the average (by a normal score); for each of them the harmless
-    window that is most like it, so that the machine can tell them apart; and the most common windows."""
+    window that is most like it, so that the machine can tell them apart; and ``common`` of the most common windows."""
     in_toxic, in_all, seen = Counter(), Counter(), set()
     for found, bad in zip(texts, toxic, strict=True):
         # A copy, near or exact, of a text before it is no further witness.
@@ -375,9 +388,9 @@ def _logistic(f: np.ndarray, toxic: np.ndarray) -> tuple[float, float]:
 
 
 def altered(word: str) -> list[str]:
-    """A word with a letter that it does not have put in at each place."""
+    """A word with a letter that it does not have, or a blank, put in at each place."""
     foreign = next(c for c in "xqzjkvwybfghmnpcdu" if c not in word)
-    return [word[:i] + foreign + word[i:] for i in range(1, len(word))]
+    return [word[:i] + c + word[i:] for i in range(1, len(word)) for c in (foreign, " ")]
 
 
 def fit_texts(texts: list[str], toxic: list[bool], rounds: int = 4, worst: int = 3) -> Model:
@@ -387,10 +400,10 @@ def fit_texts(texts: list[str], toxic: list[bool], rounds: int = 4, worst: int =
     landmarks, marking = choose_landmarks(found, labels)
     if not landmarks or labels.all() or not labels.any():
         share = float(np.clip(labels.mean() if len(labels) else 0.0, 1e-3, 1 - 1e-3))
-        return Model(landmarks, marking, np.zeros(2 * len(landmarks)), 0.0, 1.0, float(np.log(share / (1 - share))))
+        return Model(landmarks, marking, np.zeros(len(landmarks) + marking), 0.0, 1.0, float(np.log(share / (1 - share))))
     values, vectors = np.linalg.eigh(similarities(landmarks, landmarks).astype(np.float64))
-    # The shares held stay features of their own.
-    root = np.eye(2 * len(landmarks), dtype=np.float32)
+    # The second features stay as they are.
+    root = np.eye(len(landmarks) + marking, dtype=np.float32)
     root[: len(landmarks), : len(landmarks)] = vectors @ np.diag(1 / np.sqrt(np.maximum(values, 1e-6))) @ vectors.T
     table = Rows(landmarks, marking)
     # All sentences in one call, as one for each text would cost far more.

@@ -66,11 +66,11 @@ def test_neighbours_that_may_be_one_word():
     joined = {" ".join(flat[i : i + n]) for at, n in table._joined(table.codes(flat), sentence) for i in at.tolist()}
     assert {"id iot", "st up id", "idi ot", "i diot"} <= joined
     assert not any("house" in j or "green" in j for j in joined)
-    # What is left out could not have reached the floor.
+    # What is left out is not as similar as neighbours must be able to be.
     for i in range(len(flat) - 1):
         text = " ".join(flat[i : i + 2])
         if sentence[i] == sentence[i + 1] and text not in joined and len(text) <= 7:
-            assert tx.similarities([text], ["idiot", "stupid"]).max() == 0
+            assert tx.similarities([text], ["idiot", "stupid"]).max() < tx.JOINED
 
 
 @pytest.fixture(scope="module")
