@@ -51,7 +51,7 @@ SURE = 0.6
 # Labelled documents that the machine is fitted on.
 SAMPLE = 4000
 # Distinct windows that a Python worker remembers (about 250 bytes each).
-REMEMBERED = 400_000
+REMEMBERED = 800_000
 THRESHOLD = 0.3
 # Longer windows are cut into parts of this many characters, one every ``STEP``: ten letters with blanks between lie in one of them.
 LONGEST = 24
@@ -69,7 +69,7 @@ FLOOR = 0.1
 # Neighbouring words are also read as one if they have at most this many letters more than a marking landmark, and letters in common
 # that allow this similarity.
 EXTRA = 1
-JOINED = 0.6
+JOINED = 0.7
 SENTENCE = re.compile(r"[.!?]+(?=\s|$)|\n")
 SPELLED = re.compile(r"(?<!\S)\S(?:\s+\S){2,}(?!\S)")
 EDGE = ".,;:!?\"'()[]{}<>*#%&$|"
@@ -77,11 +77,11 @@ EDGE = ".,;:!?\"'()[]{}<>*#%&$|"
 
 def windows(sentence: str) -> list[str]:
     """Runs of three or more single characters as one window each, and words without marks at their edges, in order."""
-    found = []
-    if spelled := SPELLED.findall(sentence):
+    parts, found = sentence.split(), []
+    if parts and len(min(parts, key=len)) == 1 and (spelled := SPELLED.findall(sentence)):
         found = [" ".join(run.split()) for run in spelled]
-        sentence = SPELLED.sub(" ", sentence)
-    found += [bare for word in sentence.split() if (bare := word.strip(EDGE))]
+        parts = SPELLED.sub(" ", sentence).split()
+    found += [bare for word in parts if (bare := word.strip(EDGE))]
     if max(map(len, found), default=0) <= LONGEST:
         return found
     return [w[i : i + LONGEST] for w in found for i in (range(0, len(w) - LONGEST + STEP, STEP) if len(w) > LONGEST else (0,))]
@@ -238,26 +238,26 @@ class Rows:
 
     def clear(self) -> None:
         self.code: dict[str, int] = {}
-        self.rows = np.zeros((1024, self.width), np.float32)
-        self.has, self.size = np.zeros(1024, np.int64), np.zeros(1024, np.int64)
+        # Most windows are like no landmark and share the first row, of zeros.
+        self.rows, self.used = np.zeros((1024, self.width), np.float32), 1
+        self.row, self.has, self.size = (np.zeros(1024, np.int64) for _ in range(3))
 
     def codes(self, flat: list[str]) -> np.ndarray:
-        """Numbers of windows; ``rows`` holds them until the next call that may drop them."""
+        """Numbers of windows, for ``row``, ``has`` and ``size``."""
         code, known = self.code, len(self.code)
         out = np.fromiter(map(code.get, flat, repeat(-1)), np.int64, len(flat))
         missing = np.flatnonzero(out < 0)
         if len(missing):
             out[missing] = [code.setdefault(flat[i], len(code)) for i in missing.tolist()]
             new = list(islice(reversed(code), len(code) - known))[::-1]
-            if len(code) > len(self.rows):
-                room = max(len(code), 2 * len(self.rows))
-                for name in ("rows", "has", "size"):
-                    old = getattr(self, name)
-                    grown = np.zeros((room, *old.shape[1:]), old.dtype)
-                    grown[:known] = old[:known]
-                    setattr(self, name, grown)
             similar, nearly = compare(new, self.landmarks)
-            self.rows[known : len(code)] = np.concatenate([similar, nearly[:, : self.marking]], axis=1)
+            like = np.flatnonzero(similar.any(axis=1))
+            used = self.used + len(like)
+            for name, held, wanted in (("rows", self.used, used), *((n, known, len(code)) for n in ("row", "has", "size"))):
+                self._grow(name, held, wanted)
+            self.rows[self.used : used] = np.concatenate([similar[like], nearly[like, : self.marking]], axis=1)
+            self.row[known + like] = np.arange(self.used, used)
+            self.used = used
             size = np.fromiter(map(len, new), np.int64, len(new))
             self.size[known : len(code)] = size
             letters = np.frombuffer("".join(new).encode("utf-32-le", "surrogatepass"), np.uint32)
@@ -266,6 +266,22 @@ class Rows:
             self.has[known : len(code)] = np.bitwise_or.reduceat(bits, np.cumsum(size) - size)
         return out
 
+    def _grow(self, name: str, held: int, wanted: int) -> None:
+        old = getattr(self, name)
+        if wanted > len(old):
+            grown = np.zeros((max(wanted, 2 * len(old)), *old.shape[1:]), old.dtype)
+            grown[:held] = old[:held]
+            setattr(self, name, grown)
+
+    def _raise(self, out: np.ndarray, sentence: np.ndarray, codes: np.ndarray) -> None:
+        """Raise what each sentence has to the values of its windows; sentences come in order."""
+        row = self.row[codes]
+        hit = np.flatnonzero(row)
+        if len(hit):
+            starts = np.flatnonzero(np.diff(sentence[hit], prepend=-1))
+            own = sentence[hit[starts]]
+            out[own] = np.maximum(out[own], np.maximum.reduceat(self.rows[row[hit]], starts, axis=0))
+
     def _joined(self, codes: np.ndarray, sentence: np.ndarray) -> list[tuple[np.ndarray, int]]:
         """(first places, number) of neighbouring words that may be one marking landmark in pieces, by length and letters."""
         out = []
@@ -305,14 +321,11 @@ class Rows:
         flat = [w for ws in found for w in ws]
         size = np.fromiter(map(len, found), np.int64, len(found))
         codes = self.codes(flat)
-        out = np.maximum.reduceat(self.rows[codes], np.cumsum(size) - size, axis=0)
         sentence = np.repeat(np.arange(len(found)), size)
+        out = np.zeros((len(found), self.width), np.float32)
+        self._raise(out, sentence, codes)
         for at, n in self._joined(codes, sentence):
-            if len(at):
-                joined = self.codes([" ".join(flat[i : i + n]) for i in at.tolist()])
-                starts = np.flatnonzero(np.diff(sentence[at], prepend=-1))
-                own = sentence[at[starts]]
-                out[own] = np.maximum(out[own], np.maximum.reduceat(self.rows[joined], starts, axis=0))
+            self._raise(out, sentence[at], self.codes([" ".join(flat[i : i + n]) for i in at.tolist()]))
         return out
 
 
