@@ -258,7 +258,7 @@ def test_standard_run_with_query_sets_from_a_file(spark, tmp_path):
 def test_standard_tables_hold_the_generated_rows(spark):
     apply_ddl(spark, standard_schema("parquet"))
     try:
-        runner._insert(spark, 1000, DAY)
+        runner._insert(spark, runner.generated(1000, DAY))
         users, orders = spark.table("benchmark_users"), spark.table("benchmark_orders")
         assert users.where("created_at is null").count() == 0
         work = runner._work("parquet", None, None)
