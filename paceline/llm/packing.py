@@ -13,10 +13,11 @@ from __future__ import annotations
 import heapq
 import zlib
 from collections.abc import Iterator
-from itertools import chain, compress, filterfalse
+from itertools import compress, filterfalse
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -102,23 +103,35 @@ class WordEncoder:
         for w, core in marked.items():
             known[w] = known[core] + known[w[len(core) :]]
 
-    def encode(self, texts: list[bytes]) -> Iterator[bytes]:
-        """Little-endian unsigned 32-bit ids of each text."""
+    def encode(self, texts: list[bytes]) -> Iterator[memoryview]:
+        """Little-endian unsigned 32-bit ids of each text.
+
+        Words are told apart by Arrow, so each distinct one of these texts is looked up once, and ids are put in order in arrays.
+        """
         if len(self.known) > self.remembered:
             self.known.clear()
         # The names of special tokens count in lower case alone, so a text that may hold one keeps its case.
-        lists = [(t if b"<|" in t else t.lower()).split() for t in texts]
-        words = list(chain.from_iterable(lists))
+        given = pa.array([t if b"<|" in t else t.lower() for t in texts], pa.large_binary()).view(pa.large_string())
+        # This parts at the same six bytes as ``bytes.split``, and may leave an empty word at an end.
+        lists = pc.ascii_split_whitespace(given)
+        coded = lists.flatten().dictionary_encode()
+        words = coded.dictionary.view(pa.large_binary()).to_numpy(zero_copy_only=False).tolist()
+        self.known[b""] = b""
         found = list(map(self.known.get, words))
-        unknown = [i for i, ids in enumerate(found) if ids is None]
-        if unknown:
+        if None in found:
+            unknown = [i for i, ids in enumerate(found) if ids is None]
             self._learn({words[i] for i in unknown})
             for i in unknown:
                 found[i] = self.known[words[i]]
-        at = 0
-        for ws in lists:
-            yield b"".join(found[at : at + len(ws)])
-            at += len(ws)
+        at = coded.indices.to_numpy(zero_copy_only=False)
+        sizes = np.fromiter(map(len, found), np.int64, len(found)) // 4
+        starts, counts = (np.cumsum(sizes) - sizes)[at], sizes[at]
+        ends = np.append(0, np.cumsum(counts))
+        place = np.repeat(starts - ends[:-1], counts)
+        place += np.arange(len(place))
+        data = memoryview(np.frombuffer(b"".join(found), "<u4")[place].tobytes())
+        bounds = (ends[lists.offsets.to_numpy()] * 4).tolist()
+        yield from (data[a:b] for a, b in zip(bounds[:-1], bounds[1:], strict=True))
 
 
 def piece_lengths(n: int, length: int = LENGTH, grain: int = GRAIN) -> list[int]:
@@ -137,7 +150,7 @@ def encode(docs: DataFrame, definition: str, length: int = LENGTH, grain: int =
         for batch in chunks(batches):
             sizes, crcs = [], []
             for ids in encoder.encode(raw(batch.column("text"))):
-                data = memoryview(ids + end)
+                data = memoryview(bytes(ids) + end)
                 at, own = 0, []
                 for p in piece_lengths(len(data) // 4, length, grain):
                     own.append(zlib.crc32(data[at * 4 : (at + p) * 4]))

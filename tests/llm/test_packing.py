@@ -71,6 +71,24 @@ def test_any_text_encodes_alike(encoder, tokenizer, text):
     assert np.frombuffer(ids, "<u4").tolist() == tokenizer.encode(text, add_special_tokens=False).ids
 
 
+def test_each_distinct_word_is_looked_up_once_a_call(encoder):
+    class Counting(dict):
+        looked_up = 0
+
+        def get(self, key, default=None):
+            self.looked_up += 1
+            return super().get(key, default)
+
+    one = packing.WordEncoder(encoder.tokenizer.to_str())
+    one.known = Counting()
+    texts = [b"  some words\x0b\x1cand\r\nsome more, more. "] * 50 + [b"", b" \t"]
+    out = [bytes(ids) for ids in one.encode(texts)]
+    assert one.known.looked_up <= 10
+    (ids,) = encoder.encode(texts[:1])
+    assert out == [bytes(ids)] * 50 + [b"", b""]
+    assert np.frombuffer(ids, "<u4").tolist() == encoder.tokenizer.encode(texts[0].decode(), add_special_tokens=False).ids
+
+
 @settings(deadline=None)
 @given(st.lists(st.integers(1, 2048), max_size=60))
 def test_windows_hold_every_piece_once(sizes):
