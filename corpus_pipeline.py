@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from paceline.llm import mixing, ngram_join, packing, quality, secrets
-from paceline.llm.common import corpus, keep
+from paceline.llm.common import corpus, keep, small_batches
 
 Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
 
@@ -71,8 +71,10 @@ ORACLE_SQL = None
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All stages in order, starting from the documents table.
 
-    What a stage leaves is written, its own scratch data deleted, and then that of the stage before it.
+    What a stage leaves is written, its own scratch data deleted, and then that of the stage before it. All stages share one set of
+    Python workers, so texts go to them in small batches.
     """
+    spark = small_batches(spark)
     docs, last = corpus(spark, sf_dir), None
     for name, step in STAGES[:-1]:
         kept = keep(spark, name, lambda docs=docs, step=step: step(spark, docs, sf_dir))

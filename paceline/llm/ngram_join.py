@@ -349,24 +349,33 @@ def _near(rows: DataFrame, percent: int, forest: bool) -> DataFrame:
     return _candidates(dealt, percent, forest)
 
 
+def bit_of(rows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Byte and bit of each row's hash in the filter."""
+    at = rows & (NEEDED - 1)
+    return at >> 3, np.left_shift(1, at & 7).astype(np.uint8)
+
+
 def _picked(named: DataFrame, texts: DataFrame) -> DataFrame:
     """(row_hash, packed, as_a, as_b) of the rows at the ends of pairs (and of a few others), the text compressed."""
 
     def mark(batches: Iterator[pa.RecordBatch]) -> np.ndarray:
-        bits = np.zeros((2, NEEDED), np.uint8)
+        # Eight bits a byte from the start: a byte each would be 32 MB a task.
+        bits = np.zeros((2, NEEDED // 8), np.uint8)
         for batch in batches:
             for end in (0, 1):
-                bits[end, batch.column(end).to_numpy(zero_copy_only=False) & (NEEDED - 1)] = 1
-        return np.packbits(bits, axis=1)
+                byte, bit = bit_of(batch.column(end).to_numpy(zero_copy_only=False))
+                np.bitwise_or.at(bits[end], byte, bit)
+        return bits
 
     marks = tree_sum(named.select("row_a", "row_b"), mark, (2, NEEDED // 8), np.uint8, np.bitwise_or)
     shared = texts.sparkSession.sparkContext.broadcast(marks)
 
     def pick(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        marked, met = np.unpackbits(shared.value, axis=1).astype(bool), set()
+        marked, met = shared.value, set()
         for batch in chunks(batches):
             row = batch.column("row_hash").to_numpy(zero_copy_only=False)
-            ends = marked[:, row & (NEEDED - 1)]
+            byte, bit = bit_of(row)
+            ends = (marked[:, byte] & bit) != 0
             for i in np.flatnonzero(ends.any(axis=0)).tolist():
                 # A row that the task has met before goes nowhere.
                 if row[i] in met:

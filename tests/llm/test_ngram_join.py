@@ -123,3 +123,14 @@ def test_components_of_chains_and_stars(spark):
     found = {r.node: r.root for r in components.components(spark.createDataFrame(edges, "a long, b long")).collect()}
     assert found == {**dict.fromkeys(range(41), 0), **dict.fromkeys(range(100, 160), 100), 199: 199, 200: 199}
     assert components.components(spark.createDataFrame([], "a long, b long")).collect() == []
+
+
+def test_filter_bits_take_an_eighth_of_a_byte():
+    rows = np.random.default_rng(3).integers(-(1 << 63), 1 << 63, 5000)
+    byte, bit = ngram_join.bit_of(rows)
+    packed = np.zeros(ngram_join.NEEDED // 8, np.uint8)
+    np.bitwise_or.at(packed, byte, bit)
+    assert int(np.bitwise_count(packed).sum()) == len(np.unique(rows & (ngram_join.NEEDED - 1)))
+    others = np.arange(200_000)
+    byte, bit = ngram_join.bit_of(others)
+    assert np.array_equal((packed[byte] & bit) != 0, np.isin(others, rows & (ngram_join.NEEDED - 1)))

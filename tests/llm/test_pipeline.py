@@ -5,11 +5,13 @@ from __future__ import annotations
 import ast
 from collections import Counter
 
+import pyarrow as pa
 import pytest
 from tokenizers import Tokenizer
 
 import corpus_pipeline
 from paceline.llm import mixing, ngram_join, packing, quality, secrets
+from paceline.llm.common import BATCH_ROWS, BATCH_SETTING
 from tests.llm.test_mixing import targets
 from tests.llm.test_ngram_join import brute as near_components
 from tests.llm.test_quality import brute as base_measures
@@ -175,3 +177,15 @@ def test_odd_rows_and_clashing_columns(spark, odd, sf_dir, name):
 def test_no_rows(spark, odd, sf_dir, name):
     given, _ = odd_table(spark, odd)
     assert STEPS[name](spark, given.limit(0), sf_dir).count() == 0
+
+
+def test_texts_go_to_python_in_small_batches(spark, sf_dir):
+    def size(batches):
+        for batch in batches:
+            yield pa.RecordBatch.from_pydict({"n": [batch.num_rows]})
+
+    before = spark.conf.get(BATCH_SETTING)
+    own = corpus_pipeline.run(spark, sf_dir).sparkSession
+    assert max(r.n for r in own.range(0, 5000, 1, 1).mapInArrow(size, "n long").collect()) == BATCH_ROWS
+    assert spark.conf.get(BATCH_SETTING) == before
+    assert own.conf.get("spark.sql.shuffle.partitions") == spark.conf.get("spark.sql.shuffle.partitions")
