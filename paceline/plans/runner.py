@@ -338,9 +338,9 @@ def _check_files(spark: SparkSession, tables: DataFrame, files: dict[str, str])
 
 
 def _load(
-    place: _Place, label: str, connection, table, path: str, dialect: str, threshold: int, trials: int, multiline: bool
+    place: _Place, label: str, connection, table, path: str, dialect: str, threshold: int, trials: int, multiline: bool, counted: dict
 ):
-    """Create one table and load it; its LOAD row."""
+    """Create one table and load it; its LOAD row. ``counted`` remembers rows of files for the connections that read them alike."""
     session, name = place.session, table["table_name"]
     ddl = pick(table["schemas"], connection["db_type"])
     if not ddl:
@@ -353,12 +353,18 @@ def _load(
     def read() -> DataFrame:
         return read_csv(session, path, session.table(name).schema, dialect, multiline)
 
+    def count() -> int:
+        key = (path, dialect, session.table(name).schema.json())
+        if key not in counted:
+            counted[key] = read().count()
+        return counted[key]
+
     labels = dict(csv_file=table["csv_file_name"], connection=label, position=table["position"])
     create()
     if threshold == 0:
         load = trial_load(session, read, name, name, trials=trials, prepare=create, **labels)
     else:
-        load = load_to_threshold(session, read, name, name, threshold, **labels)
+        load = load_to_threshold(session, read, name, name, threshold, count=count, **labels)
     return tuple(load.first())
 
 
@@ -383,7 +389,7 @@ def custom_run(
     runs = runs or (READ_RUNS if threshold == 0 else THRESHOLD_RUNS)
     tables = config.tables.orderBy("position").collect()
     no_queries = config.queries.isEmpty()
-    results, loads, timings, stats = [], [], [], []
+    results, loads, timings, stats, counted = [], [], [], [], {}
     connections = config.connections.orderBy("position").collect()
     for name, connection in zip(_labels([c["name"] for c in connections]), connections, strict=True):
         db_type, place, error = connection["db_type"], None, None
@@ -393,7 +399,7 @@ def custom_run(
             dialect = csv_dialect_of(db_type)
             place = _open(spark, db_type)
             loaded = [
-                _load(place, name, connection, t, files[t["csv_file_name"]], dialect, threshold, trials, multiline)
+                _load(place, name, connection, t, files[t["csv_file_name"]], dialect, threshold, trials, multiline, counted)
                 for t in tables
             ]
             timed = run_queries(place.session, config.queries, db_type, runs, name).collect()

@@ -220,15 +220,16 @@ def load_to_threshold(
     position: int = 0,
     fmt: str = "parquet",
     keep_copy_no: bool = False,
+    count: Callable[[], int] | None = None,
 ) -> DataFrame:
     """Fill a target with whole copies of a table until it holds ``threshold`` rows, as one LOAD row.
 
-    One job writes all copies, so the time is that of the whole load; the rows are counted before it starts. An
-    empty or unreadable input gives an error row. ``keep_copy_no`` adds the copy number as last column, which keeps
-    repeated primary keys apart.
+    One job writes all copies, so the time is that of the whole load; the rows are counted before it starts, by ``count``
+    if that is given. An empty or unreadable input gives an error row. ``keep_copy_no`` adds the copy number as last
+    column, which keeps repeated primary keys apart.
     """
     try:
-        rows = read().count()
+        rows = count() if count else read().count()
     except Exception as error:  # a failed load is a result row
         return load_refused(spark, table, csv_file, error_text(error), connection, position)
 

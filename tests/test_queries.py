@@ -181,6 +181,19 @@ def workload(tmp_path, connections):
     return str(path)
 
 
+def test_connections_share_the_count_of_a_file(spark, tmp_path, monkeypatch):
+    from paceline.plans import runner
+
+    reads, plain = [], runner.read_csv
+    monkeypatch.setattr(runner, "read_csv", lambda session, path, *rest: reads.append(path) or plain(session, path, *rest))
+    (tmp_path / "employee.csv").write_text("id,name,salary\n1,b,60000.50\n2,c,\n")
+    config = read_config(spark, workload(tmp_path, [("p", "parquet"), ("o", "orc"), ("q", "parquet")]))
+    run = custom_run(spark, config, {"employee.csv": str(tmp_path / "employee.csv")}, threshold=5, runs=1)
+    assert {(r.connection_name, r.rows_loaded, r.success) for r in run.loads.collect()} == {(c, 6, True) for c in "poq"}
+    # Once to count, and once for each load.
+    assert len(reads) == 4
+
+
 @pytest.mark.parametrize("threshold,rows", [(0, 3), (100, 102)])
 def test_custom_run(spark, tmp_path, threshold, rows):
     (tmp_path / "employee.csv").write_text('id,name,salary\n1,"b, a",60000.50\n2,c,\n3,d,1000\n')
