@@ -16,6 +16,7 @@ few megabytes are its occurrences gathered by two independent 64-bit hashes.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from itertools import islice
 
 import numpy as np
 import pyarrow as pa
@@ -37,6 +38,8 @@ MOST = 256
 GATHERED = 4_000_000
 PART_HASHES = 2_000_000
 PART_PHRASES = 200_000
+# Rows of a batch of counted phrases.
+ROWS_OUT = 20_000
 # Bytes of chunks that are counted at a time, and bytes that are hashed at a time.
 TEXT_BYTES = 8 << 20
 SEGMENT = 1 << 20
@@ -345,6 +348,24 @@ def _phrases(found: Parsed, passed: list[Filter], other: np.ndarray, parts: int)
             yield int(part[a]), found.langs[lang[a]], b"\n".join(spelled[a:b]), total[a:b].astype("<i8").tobytes()
 
 
+def _added(batches: Iterator[pa.RecordBatch], least: int) -> Iterator[pa.RecordBatch]:
+    """The phrases of a part with the sums of their counts, if these reach the least: lang, phrase, words, times.
+
+    A phrase comes once from every few megabytes of chunks, so a part's rows grow with the corpus and are never held together.
+    """
+    total: dict[str, dict[bytes, int]] = {}
+    for batch in batches:
+        for i in range(batch.num_rows):
+            lang, phrases, times = (batch.column(c)[i].as_py() for c in ("lang", "phrases", "times"))
+            sums = total.setdefault(lang, {})
+            for phrase, n in zip(phrases.split(b"\n"), np.frombuffer(times, "<i8").tolist(), strict=True):
+                sums[phrase] = sums.get(phrase, 0) + n
+    kinds = {"lang": pa.string(), "phrase": pa.binary(), "words": pa.int32(), "times": pa.int64()}
+    often = ((lang, p, p.count(b" ") + 1, n) for lang, sums in total.items() for p, n in sums.items() if n >= least)
+    while rows := list(islice(often, ROWS_OUT)):
+        yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], k) for i, k in enumerate(kinds.values())], names=list(kinds))
+
+
 def count_phrases(chunked: DataFrame, longest: int = LONGEST, least: int = LEAST) -> DataFrame:
     """Phrases of up to ``longest`` words that occur ``least`` times or more: lang, phrase, words, times."""
     overlap = longest - 1
@@ -366,15 +387,8 @@ def count_phrases(chunked: DataFrame, longest: int = LONGEST, least: int = LEAST
             columns = [pa.array([r[i] for r in rows], kind) for i, kind in enumerate(kinds.values())]
             yield pa.RecordBatch.from_arrays(columns, names=list(kinds))
 
-    def add(key: tuple, table: pa.Table) -> pa.Table:
-        total: dict[str, dict[bytes, int]] = {}
-        for lang, phrases, times in zip(*(table.column(c).to_pylist() for c in ("lang", "phrases", "times")), strict=True):
-            sums = total.setdefault(lang, {})
-            for phrase, n in zip(phrases.split(b"\n"), np.frombuffer(times, "<i8").tolist(), strict=True):
-                sums[phrase] = sums.get(phrase, 0) + n
-        rows = [(lang, p, p.count(b" ") + 1, n) for lang, sums in total.items() for p, n in sums.items() if n >= least]
-        kinds = {"lang": pa.string(), "phrase": pa.binary(), "words": pa.int32(), "times": pa.int64()}
-        return pa.table({name: pa.array([r[i] for r in rows], kind) for i, (name, kind) in enumerate(kinds.items())})
+    def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        yield from _added(batches, least)
 
     rows = chunked.select("lang", "text", "copies").mapInArrow(gather, "part long, lang string, phrases binary, times binary")
     exact = rows.groupBy("part").applyInArrow(add, "lang string, phrase binary, words int, times long")

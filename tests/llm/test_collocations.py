@@ -142,6 +142,22 @@ def test_against_plain_counts(spark, monkeypatch, longest, least, kept):
     assert found(c.collocations(df, longest, least, kept)) == plain(docs, longest, least, kept)
 
 
+def test_a_part_is_never_held_whole():
+    """Counts of the same phrases from many places, 50 MB of them, are added up in the memory of a few."""
+    spelled = b"\n".join(b"some words %d" % i for i in range(2000))
+    held = []
+
+    def batches():
+        for _ in range(1000):
+            times = pa.array([np.ones(2000, "<i8").tobytes()], pa.binary())
+            yield pa.RecordBatch.from_arrays([pa.array([0]), pa.array(["en"]), pa.array([spelled], pa.binary()), times], ["part", "lang", "phrases", "times"])
+            held.append(pa.total_allocated_bytes())
+
+    rows = [r for b in c._added(batches(), 10) for r in b.to_pylist()]
+    assert len(rows) == 2000 and rows[7] == {"lang": "en", "phrase": b"some words 7", "words": 3, "times": 1000}
+    assert max(held) - held[0] < 5_000_000
+
+
 def test_full_filter_loses_nothing(spark, monkeypatch):
     monkeypatch.setattr(c, "MOST_BITS", 8)
     docs = corpus(9)
