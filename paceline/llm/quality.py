@@ -295,23 +295,26 @@ def quality(docs: DataFrame, references: list | None = None, **limits) -> DataFr
     references = language_references(docs) if references is None else references
     fields = T.StructType.fromDDL(MEASURES)
     kept = [c for c in docs.columns if c not in fields.names]
-    # The text is handed over apart, under a name of its own place, so any column may be called anything.
-    text = F.coalesce(F.col("text").cast("binary"), F.lit(b"")).alias("text")
+    # The texts travel once; the other columns go apart, under names of their own places, so any may be called anything.
+    others = {c: f"c{i}" for i, c in enumerate(kept) if c != "text"}
     lang = F.col("lang") if "lang" in docs.columns else F.lit(None).cast("string")
-    given = docs.select(F.struct(*[F.col(f"`{c}`") for c in kept]).alias("row"), lang.alias("lang"), text)
+    row = F.struct(F.lit(0).alias("none"), *[F.col(f"`{c}`").alias(at) for c, at in others.items()])
+    given = docs.select(row.alias("row"), lang.alias("lang"), "text")
 
     def apply(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in chunks(batches):
-            found = judge(raw(batch.column("text")), batch.column("lang").to_pylist(), references, **limits)
+            found = judge(raw(batch.column("text").cast(pa.binary())), batch.column("lang").to_pylist(), references, **limits)
             yield pa.RecordBatch.from_arrays(
                 [
                     batch.column("row"),
+                    batch.column("text"),
                     *[pa.array(found[f]) for f in fields.names[:-2]],
                     pa.array(found["nearest"], pa.string()),
                     pa.array(found["kept"]),
                 ],
-                names=["row", *fields.names],
+                names=["row", "text", *fields.names],
             )
 
-    schema = T.StructType([given.schema["row"], *fields.fields])
-    return given.mapInArrow(apply, schema).select("row.*", *fields.names)
+    schema = T.StructType([given.schema["row"], given.schema["text"], *fields.fields])
+    columns = [F.col("text") if c == "text" else F.col(f"row.{others[c]}").alias(c) for c in kept]
+    return given.mapInArrow(apply, schema).select(*columns, *fields.names)

@@ -36,6 +36,15 @@ def test_base_measures(spark, sf_dir, documents):
         assert not (r.kept and r.base_failed)
 
 
+def test_texts_travel_once(spark, odd):
+    """The rows that go to Python hold each text in one column, and no copy of it among the others."""
+    given = odd.select("doc_id", "text", "lang")
+    found = quality.quality(given, references=[])
+    plan = found._jdf.queryExecution().optimizedPlan().toString()
+    assert len(re.findall(r"\btext#\d+", next(x for x in plan.split("\n") if "struct" in x and "Project" in x))) == 1
+    assert sorted(map(repr, found.select(*given.columns).collect())) == sorted(map(repr, given.collect()))
+
+
 def js(p, q):
     p, q = p / max(p.sum(), 1), np.asarray(q)
     m = (p + q) / 2
