@@ -2,8 +2,13 @@
 
 Tokens are words (A-Z in lower case) and one end per text. The ``CLASSES * WIDTH`` most frequent training tokens are modelled
 words, ordered by count and cut into classes; all other tokens form one more class. A token's probability is that of its class
-given the two tokens before it, times that of the word given the class and the same history; inside the last class it is
-the smoothed share (c + 1) / (N' + V' + 1) of the N' tokens and V' distinct ones there, which leaves room for unknown ones.
+given the two tokens before it, times that of the word given the class and the same history.
+
+The words of the last class, all that are left of the vocabulary, are the leaves of a tree with ``BRANCH`` ways at each node, which
+the bits of a word's hash lead through; its levels follow the number of words. Each node is a softmax over its ways given the
+words before, whichever they are: the ways' smoothed counts, times the hashed features of the word before and of both, with
+weights from one step of iterative scaling over all training tokens of that class. In a leaf a word has the smoothed share
+(c + 1) / (n + v + 1) of the n tokens and v distinct ones there, which leaves room for unknown ones.
 
 Both softmax layers sum the weights of hashed features: the token before (2-gram), both tokens (3-gram), the one before
 the last alone (skip), and a bias that starts at the log counts. Training sees every training token: equal (history,
@@ -25,7 +30,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from paceline.llm.common import chunks, mix, raw, segment_sum, stage, tree_sum, words
+from paceline.llm.common import chunks, give_back, mix, raw, segment_sum, stage, tree_sum, words
 
 CLASSES = 16
 WIDTH = 32
@@ -38,8 +43,20 @@ SMOOTH = 4.0
 BLOCK_BYTES = 6 << 20
 EVENTS_PER_TASK = 600_000
 BATCH = 1 << 15
+REST_BATCH = 1 << 18
+# Ways of a node of the tree of all other words, words of a leaf that are enough, most levels, and most weight slots of the tree.
+BRANCH = 32
+LEAF_WORDS = 64
+MOST_LEVELS = 4
+REST_SLOTS = 1 << 15
+# Blocks that a task counts features of the tree in; each task hands on 256 bytes a slot.
+REST_BLOCKS = 8
+# Counts that a feature of the tree needs to tell something, and the share of a step that it takes.
+REST_SMOOTH = 3.0
+REST_RATE = 0.7
 END = b"\n"
 _BITS = 11
+_START = 0x9E3779B97F4A7C15
 
 BLOCKS = "block long, doc_id array<long>, held array<boolean>, sizes array<long>, hashes binary, trained binary, codes binary"
 
@@ -322,17 +339,138 @@ def fit(corpus: Corpus, classes: int = CLASSES, width: int = WIDTH, slots: int =
     return train(model, counted, rounds)
 
 
+@dataclass
+class Rest:
+    """The tree of all words that are not modelled by themselves: counts, words and one unknown word of each leaf; weights (slots, BRANCH)."""
+
+    leaves: np.ndarray
+    weights: np.ndarray
+
+    @property
+    def levels(self) -> int:
+        return (len(self.leaves).bit_length() - 1) // (BRANCH.bit_length() - 1)
+
+    def shares(self, level: int) -> np.ndarray:
+        """The ways' smoothed shares of each node of a level."""
+        ways = self.leaves.reshape(BRANCH**level, BRANCH, -1).sum(axis=2, dtype=np.float64)
+        return (ways / ways.sum(axis=1, keepdims=True)).astype(np.float32)
+
+    def leaf(self, words: np.ndarray) -> np.ndarray:
+        """Number of each word's leaf; its digits are the way to it."""
+        return (mix(words.view(np.uint64)) & np.uint64(len(self.leaves) - 1)).astype(np.int64)
+
+    def steps(self, leaf: np.ndarray, level: int) -> tuple[np.ndarray, np.ndarray]:
+        """The node of a level on the way to a leaf, and the way that is taken there."""
+        node, way = np.divmod(leaf // BRANCH ** (self.levels - 1 - level), BRANCH)
+        return node, way
+
+
+def _rest_slots(two: np.ndarray, one: np.ndarray, node: np.ndarray, level: int, slots: int) -> np.ndarray:
+    """(features, tokens) slots of the word before and of both words, at a node."""
+    place = mix((node + BRANCH**level).astype(np.uint64) * np.uint64(_START))
+    keys = np.stack([mix(one ^ place), mix(mix(two + place) ^ one)])
+    return (keys & np.uint64(slots - 1)).astype(np.int64)
+
+
+def _rest_events(model: Model, block: dict) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Where a block's tokens of the last class are, their words, and the two words before each, by hash."""
+    hashes, codes, sizes = np.frombuffer(block["hashes"], np.int64), _codes(block), np.array(block["sizes"], np.int64)
+    at = np.flatnonzero((_numbers(model, hashes) == model.rest)[codes])
+    first = np.repeat(np.cumsum(sizes) - sizes, sizes)[at]
+
+    def before(n: int) -> np.ndarray:
+        found = hashes[codes[np.maximum(at - n, 0)]].view(np.uint64)
+        return np.where(at - n >= first, found, np.uint64(_START))
+
+    return at, hashes[codes[at]], before(1), before(2)
+
+
+def rest_logs(rest: Rest, words: np.ndarray, one: np.ndarray, two: np.ndarray) -> np.ndarray:
+    """log10 of the probability of each word's leaf after the two words before it."""
+    out = np.zeros(len(words))
+    for level in range(rest.levels):
+        with np.errstate(divide="ignore"):
+            bias = np.log(rest.shares(level))
+        for i in range(0, len(words), BATCH):
+            own = slice(i, i + BATCH)
+            node, way = rest.steps(rest.leaf(words[own]), level)
+            at = _rest_slots(two[own], one[own], node, level, len(rest.weights))
+            z = bias[node] + rest.weights[at[0]] + rest.weights[at[1]]
+            out[own] += (z[np.arange(len(way)), way] - np.log(np.exp(z).sum(axis=1, dtype=np.float64))) / np.log(10)
+    return out
+
+
+def _rest_counts(rest: Rest, words: np.ndarray, one: np.ndarray, two: np.ndarray, seen: np.ndarray, expected: np.ndarray) -> None:
+    """Add, for every way and slot, the observed counts, and those that the ways' smoothed shares give."""
+    slots = seen.shape[1]
+    for level in range(rest.levels):
+        shares = np.ascontiguousarray(rest.shares(level).T)
+        for i in range(0, len(words), REST_BATCH):
+            own = slice(i, i + REST_BATCH)
+            node, way = rest.steps(rest.leaf(words[own]), level)
+            for at in _rest_slots(two[own], one[own], node, level, slots):
+                np.add.at(seen.reshape(-1), way * slots + at, np.float32(1))
+                if not level:
+                    expected += shares * np.bincount(at, minlength=slots).astype(np.float32)
+                    continue
+                for w in range(BRANCH):
+                    expected[w] += np.bincount(at, shares[w][node], slots)
+
+
+def fit_rest(corpus: Corpus, model: Model, slots: int = REST_SLOTS) -> Rest:
+    """The tree of all training words that ``model`` leaves to its last class. Its levels and slots follow their number."""
+    number = model.distinct - len(model.top)
+    levels = next((d for d in range(MOST_LEVELS) if LEAF_WORDS * BRANCH**d >= number), MOST_LEVELS)
+    top, leaves = model.top, BRANCH**levels
+    rest = Rest(np.ones(leaves, np.int64), np.zeros((1, BRANCH), np.float32))
+
+    def fill(batches: Iterator[pa.RecordBatch]) -> np.ndarray:
+        out = np.zeros(leaves, np.int64)
+        for batch in batches:
+            words, total = (batch.column(c).to_numpy(zero_copy_only=False) for c in ("word", "total"))
+            own = ~np.isin(words, top)
+            np.add.at(out, rest.leaf(words[own]), total[own] + 1)
+        return out
+
+    once = corpus.counts.where(F.col("first") & (F.col("total") > 0)).select("word", "total")
+    rest.leaves = rest.leaves + tree_sum(once, fill, (leaves,), np.int64)
+    if not levels:
+        return rest
+    size = min(slots, 1 << (number // 4).bit_length())
+    shared = corpus.blocks.sparkSession.sparkContext.broadcast((vars(model), rest.leaves))
+
+    def count(batches: Iterator[pa.RecordBatch]) -> np.ndarray:
+        own, leaves = shared.value
+        model, rest = Model(**own), Rest(leaves, np.zeros((size, BRANCH), np.float32))
+        out = np.zeros((2, BRANCH, size), np.float32)
+        for block in _one_by_one(batches):
+            at, words, one, two = _rest_events(model, block)
+            learns = np.repeat(~np.array(block["held"], bool), block["sizes"])[at]
+            _rest_counts(rest, words[learns], one[learns], two[learns], out[0], out[1])
+        return out
+
+    dealt = corpus.blocks.select("held", "sizes", "hashes", "codes").coalesce(max(1, -(-corpus.blocks.count() // REST_BLOCKS)))
+    seen, expected = tree_sum(dealt, count, (2, BRANCH, size), np.float32)
+    shared.destroy()
+    rest.weights = np.float32(REST_RATE) * np.log((seen + REST_SMOOTH) / (expected + REST_SMOOTH)).T.copy()
+    return rest
+
+
 SCORED = (
     "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double"
 )
 
 
-def score(corpus: Corpus, model: Model) -> DataFrame:
-    """Every document with its size, known tokens, and log10 probabilities by smoothed counts and by the model."""
-    shared = corpus.blocks.sparkSession.sparkContext.broadcast(vars(model))
+def score(corpus: Corpus, model: Model, rest: Rest | None = None) -> DataFrame:
+    """Every document with its size, known tokens, and log10 probabilities by smoothed counts and by the model.
+
+    Without a tree all words of the last class have their smoothed shares, whatever comes before them.
+    """
+    rest = rest or Rest(np.array([model.rest_total]), np.zeros((1, BRANCH), np.float32))
+    shared = corpus.blocks.sparkSession.sparkContext.broadcast((vars(model), vars(rest)))
 
     def apply(blocks: pa.Table, counts: pa.Table) -> pa.Table:
-        model = Model(**shared.value)
+        model, rest = Model(**shared.value[0]), Rest(**shared.value[1])
         out = []
         totals = counts.column("total").to_numpy()
         position = counts.column("pos").to_numpy()
@@ -345,9 +483,11 @@ def score(corpus: Corpus, model: Model) -> DataFrame:
             c[position] = totals
             numbers = _numbers(model, hashes)
             base = np.log10((c + 1.0) / (model.tokens + model.distinct + 1))
-            inside = np.where(numbers == model.rest, np.log10((c + 1.0) / model.rest_total), 0.0)
+            inside = np.where(numbers == model.rest, np.log10((c + 1.0) / rest.leaves[rest.leaf(hashes)]), 0.0)
             unique, back = np.unique(_events(model, numbers[codes], sizes), return_inverse=True)
             logs = event_logs(model, unique)[back] + inside[codes]
+            at, *own = _rest_events(model, block)
+            logs[at] += rest_logs(rest, *own)
             n = len(sizes)
             out.append(
                 pa.table(
@@ -377,4 +517,8 @@ def score_documents(docs: DataFrame, **options) -> DataFrame:
     train on: every token has probability 1, as the smoothed counts say. Words are told apart by a 64-bit hash.
     """
     corpus = read_corpus(docs)
-    return score(corpus, fit(corpus, **options))
+    model = fit(corpus, **options)
+    rest = fit_rest(corpus, model)
+    # Scoring shuffles the blocks; what counting and training have shuffled is done with.
+    give_back(docs.sparkSession)
+    return score(corpus, model, rest)

@@ -96,6 +96,34 @@ def test_gradient_is_that_of_the_likelihood(small):
         assert (up - down) / 0.02 == pytest.approx(gap[i, j], abs=0.02)
 
 
+@pytest.fixture(scope="module")
+def pairs(spark):
+    """400 rare words, each of which always follows another one of its own; no word but the commonest is modelled by itself."""
+    rows = [(i, i % 7 == 2, f"it a{i % 200} b{i % 200} it") for i in range(2000)]
+    corpus = lm.read_corpus(spark.createDataFrame(rows, "doc_id long, held boolean, text string"))
+    model = lm.fit(corpus, classes=1, width=2, slots=256)
+    return corpus, model, lm.fit_rest(corpus, model)
+
+
+def test_rest_sums_to_one(pairs):
+    _, model, rest = pairs
+    assert rest.levels == 1 and rest.leaves.sum() == model.rest_total - 1 + len(rest.leaves)
+    one, two = (lm._hash([w]).view(np.uint64).repeat(5000) for w in (b"a7", b"it"))
+    words = np.random.default_rng(0).integers(-(1 << 62), 1 << 62, 5000)
+    by_leaf = dict(zip(rest.leaf(words).tolist(), 10 ** lm.rest_logs(rest, words, one, two), strict=True))
+    assert len(by_leaf) == len(rest.leaves) and sum(by_leaf.values()) == pytest.approx(1, abs=1e-5)
+
+
+def test_words_beyond_the_modelled_ones_depend_on_what_comes_before(spark, pairs):
+    corpus, model, rest = pairs
+    total = lambda frame: frame.where("held_out").agg(F.sum("score")).first()[0]
+    flat = lm.Rest(rest.leaves, np.zeros_like(rest.weights))
+    # Each of the some 570 rare words in held-out texts is told far better by the one before it.
+    assert total(lm.score(corpus, model, rest)) > total(lm.score(corpus, model, flat)) + 100
+    told = lm.rest_logs(rest, lm._hash([b"b7"] * 2), *(lm._hash(w).view(np.uint64) for w in ([b"a7", b"a8"], [b"it", b"it"])))
+    assert told[0] > told[1] + 0.5
+
+
 def test_odd_rows(odd, empty):
     rows = lm.score_documents(odd.withColumn("held", F.lit(False))).collect()
     assert len(rows) == odd.count()
