@@ -64,6 +64,8 @@ AT_ONCE = 50_000
 WIDTHS = (1, 5, 7, 9, 11, 14, 18, LONGEST + 1)
 # The product of similarity and share held is multiplied by this, so that a word with one letter put in comes near 1.
 NEARLY = 4.0
+# Strings whose kernel values are computed at a time.
+TOGETHER = 2048
 # Similarities below this count as none, so that what a window's letters rule out need not be computed.
 FLOOR = 0.1
 # Neighbouring words are also read as one if they have at most this many letters more than a marking landmark, and letters in common
@@ -92,26 +94,25 @@ def sentences(text: str) -> list[list[str]]:
     return [found for part in SENTENCE.split(text.lower()) if (found := windows(part))]
 
 
-def _spread(n: int, decay: float) -> np.ndarray:
-    """Weights by which an earlier place counts at a later one, one power for each place between them."""
-    gap = np.arange(n)[None, :] - np.arange(n)[:, None] - 1
-    return np.where(gap >= 0, float(decay) ** np.maximum(gap, 0), 0.0).astype(np.float32)
+def _kernel(match: np.ndarray, decay: float, length: int) -> np.ndarray:
+    """Kernel values from ``match[j, i]`` (strings): where place i of a string has the character at place j of the other string.
 
-
-def _kernel(match: list[np.ndarray], decay: float, length: int) -> np.ndarray:
-    """Kernel values from ``match[j]`` (strings, places): where place j of the other string has the same character."""
-    n, places = match[0].shape
-    spread = _spread(places, decay)
-    ends = [m * np.float32(decay * decay) for m in match]
+    A string's value is the same whatever strings it comes with.
+    """
+    fade, step = np.float32(decay), np.float32(decay * decay)
+    ends = match * step
     for _ in range(length - 1):
-        before = np.zeros((n, places), np.float32)
-        later = []
-        for j, m in enumerate(match):
-            later.append(m * before * np.float32(decay * decay))
-            before *= np.float32(decay)
-            before += ends[j] @ spread
-        ends = later
-    return sum(e.sum(axis=1) for e in ends)
+        # What ends in front of a place of the string, by the place of the other, and then in front of that one too.
+        before = np.zeros_like(match)
+        for i in range(1, match.shape[1]):
+            np.multiply(before[:, i - 1], fade, out=before[:, i])
+            before[:, i] += ends[:, i - 1]
+        for j in range(1, len(match)):
+            before[j] += before[j - 1] * fade
+        ends[0] = 0
+        np.multiply(before[:-1], match[1:], out=ends[1:])
+        ends *= step
+    return ends.sum(axis=(0, 1))
 
 
 class Landmark:
@@ -122,7 +123,7 @@ class Landmark:
     """
 
     def __init__(self, text: str, decay: float, length: int) -> None:
-        x = _characters([text], len(text))
+        x = _characters([text], len(text)).T
         self.text, self.codes = text, _spelled(text)
         self.own = float(_kernel(_match_self(x), decay, length)[0])
         self.letters = sorted({c for c in self.codes if c < 0x110000})[:MOST_LETTERS]
@@ -130,8 +131,8 @@ class Landmark:
         bit = {c: 1 << i for i, c in enumerate(self.letters)}
         masks = np.arange(1 << count)
         # A letter beyond the listed ones counts as shared.
-        shown = np.array([[True if c not in bit else bool(m & bit[c]) for c in x[0].tolist()] for m in masks])
-        parts = np.where(shown, x, 0).astype(np.uint32)
+        shown = np.array([[True if c not in bit else bool(m & bit[c]) for c in x[:, 0].tolist()] for m in masks])
+        parts = np.where(shown.T, x, 0).astype(np.uint32)
         norms = _kernel(_match_self(parts), decay, length) if len(text) >= length else np.zeros(len(masks))
         self.bound = (np.sqrt(np.maximum(norms, 0) / max(self.own, 1e-30)) ** POWER * 1.0001).astype(np.float32)
 
@@ -155,31 +156,51 @@ def compare(strings: list[str], landmarks: list[Landmark], decay: float = DECAY,
     """
     out, held = (np.zeros((len(strings), len(landmarks)), np.float32) for _ in range(2))
     known = [(j, k) for j, k in enumerate(landmarks) if k.own > 0]
-    wanted_letters = sorted({c for _, k in known for c in k.letters})
-    sizes = np.array([len(s) for s in strings])
+    if not known:
+        return out, held
+    letters = sorted({c for _, k in known for c in k.letters})
+    # A landmark's letters as bits, added up by a product with what a string has of all letters.
+    bits = np.zeros((len(letters), len(known)), np.float32)
+    for column, (_, k) in enumerate(known):
+        for i, c in enumerate(k.letters):
+            bits[letters.index(c), column] = 1 << i
+    # Landmarks of one length are compared together.
+    by_size: dict[int, list[int]] = {}
+    for column, (_, k) in enumerate(known):
+        by_size.setdefault(len(k.codes), []).append(column)
+    codes = {n: np.array([known[c][1].codes for c in columns], np.uint32) for n, columns in by_size.items()}
+    place, own = np.array([j for j, _ in known]), np.array([k.own for _, k in known])
+    sizes = np.fromiter(map(len, strings), np.int64, len(strings))
     for low, high in zip(WIDTHS[:-1], WIDTHS[1:], strict=True):
         at = np.flatnonzero((sizes >= max(low, length)) & (sizes < high))
         for i in range(0, len(at), 8192):
             some = at[i : i + 8192]
             # Blanks at the end match nothing.
-            x = _characters([strings[k].ljust(high - 1) for k in some], high - 1)
-            has = {c: (x == c).any(axis=1) for c in wanted_letters}
-            like = [k.bound[k.shared(has)] >= FLOOR for _, k in known]
-            wanted = np.flatnonzero(np.any(like, axis=0)) if known else np.zeros(0, np.int64)
+            x = np.ascontiguousarray(_characters([strings[k].ljust(high - 1) for k in some], high - 1).T)
+            shared = (np.array([(x == c).any(axis=0) for c in letters], np.float32).T @ bits).astype(np.int64)
+            like = np.array([k.bound[shared[:, column]] >= FLOOR for column, (_, k) in enumerate(known)])
+            wanted = np.flatnonzero(like.any(axis=0))
             norm = np.zeros(len(some), np.float32)
-            norm[wanted] = _kernel(_match_self(x[wanted]), decay, length) if len(wanted) else 0
-            for (j, k), hit in zip(known, like, strict=True):
-                near = np.flatnonzero(hit & (norm > 0))
-                if len(near):
-                    values = _kernel([(x[near] == c).astype(np.float32) for c in k.codes], decay, length)
-                    similar = (values / np.sqrt(norm[near] * k.own)) ** POWER
+            for part in _parts(wanted):
+                norm[part] = _kernel(_match_self(x[:, part]), decay, length)
+            for n, columns in by_size.items():
+                which, near = np.nonzero(like[columns] & (norm > 0))
+                for pairs in _parts(np.arange(len(which))):
+                    column, row = np.array(columns)[which[pairs]], near[pairs]
+                    spelled = codes[n][which[pairs]].T
+                    values = _kernel((x[:, row] == spelled[:, None]).astype(np.float32), decay, length)
+                    similar = (values / np.sqrt(norm[row] * own[column])) ** POWER
                     keep = similar >= FLOOR
-                    out[some[near[keep]], j] = similar[keep]
-                    whole = np.minimum(values[keep] / k.own, 1) ** POWER
-                    held[some[near[keep]], j] = np.minimum(NEARLY * similar[keep] ** 1.5 * whole, 1)
+                    out[some[row[keep]], place[column[keep]]] = similar[keep]
+                    whole = np.minimum(values[keep] / own[column[keep]], 1) ** POWER
+                    held[some[row[keep]], place[column[keep]]] = np.minimum(NEARLY * similar[keep] ** 1.5 * whole, 1)
     return out, held
 
 
+def _parts(at: np.ndarray) -> list[np.ndarray]:
+    return [at[i : i + TOGETHER] for i in range(0, len(at), TOGETHER)]
+
+
 def _spelled(landmark: str) -> list[int]:
     """Code points of a landmark; one that no text has where it has no letter."""
     return [ord(c) if c.isalpha() else 0x110000 for c in landmark]
@@ -193,8 +214,9 @@ def _characters(strings: list[str], size: int) -> np.ndarray:
     return letters[back].reshape(x.shape)
 
 
-def _match_self(x: np.ndarray) -> list[np.ndarray]:
-    return [((x == x[:, j : j + 1]) & (x > 0)).astype(np.float32) for j in range(x.shape[1])]
+def _match_self(x: np.ndarray) -> np.ndarray:
+    """Which places of a string, one a column, have equal letters."""
+    return ((x == x[:, None]) & (x > 0)).astype(np.float32)
 
 
 @dataclass

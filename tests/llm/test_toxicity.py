@@ -36,6 +36,18 @@ def test_kernel(s):
         assert (one[0, 0], two[0, 0]) == (pytest.approx(similar, abs=1e-4), pytest.approx(held, abs=2e-3))
 
 
+def test_landmarks_of_one_length_are_compared_together(monkeypatch):
+    strings = [a + b + c + d for a, b, c, d in itertools.product("abc", repeat=4)]
+    landmarks = [tx.Landmark(t, tx.DECAY, tx.LENGTH) for t in ("abca", "bcab", "cabc", "aabb", "bbcc")]
+    alone = [tx.compare([s], [k]) for s in strings for k in landmarks]
+    calls = []
+    monkeypatch.setattr(tx, "_kernel", lambda *a, f=tx._kernel: calls.append(1) or f(*a))
+    similar, held = tx.compare(strings, landmarks)
+    assert len(calls) == 2
+    assert similar.ravel().tolist() == [float(one[0, 0]) for one, _ in alone]
+    assert held.ravel().tolist() == [float(two[0, 0]) for _, two in alone]
+
+
 def test_shared_letters_bound_the_similarity():
     rng = random.Random(3)
     for t in ("idiot", "moron", "disgusting", "aabbc", "häßlich", "abcdefghijklmno"):
