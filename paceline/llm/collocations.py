@@ -24,7 +24,7 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from paceline.llm.common import chunks, mix, raw, stage, tree_sum, word_hashes
+from paceline.llm.common import chunks, forget_unused, mix, raw, stage, tree_sum, word_hashes
 
 LONGEST = 3
 LEAST = 10
@@ -37,7 +37,7 @@ MOST = 256
 # Hashes that a task gathers before it counts them, and that a part holds, and phrases that a part holds.
 GATHERED = 4_000_000
 PART_HASHES = 2_000_000
-PART_PHRASES = 200_000
+PART_PHRASES = 25_000
 # Rows of a batch of counted phrases.
 ROWS_OUT = 20_000
 # Bytes of chunks that are counted at a time, and bytes that are hashed at a time.
@@ -279,7 +279,7 @@ def _frequent(chunked: DataFrame, filters: list[Filter], total: int, overlap: in
                 found.extend(f)
             begins = np.flatnonzero(found.valid[-1])
             keys.append(part_names(found.hashes[-1][begins], parts))
-            weights.append(found.times(begins))
+            weights.append(np.minimum(found.times(begins), least).astype(kind))
             held += len(keys[-1])
             if held > GATHERED:
                 yield packed(keys, weights)
@@ -288,6 +288,7 @@ def _frequent(chunked: DataFrame, filters: list[Filter], total: int, overlap: in
             yield packed(keys, weights)
 
     def reach(key: tuple, table: pa.Table) -> pa.Table:
+        forget_unused()
         low = np.concatenate([np.frombuffer(x, "<u4") for x in table.column("hashes").to_pylist()])
         counts = np.concatenate([np.frombuffer(x, kind) for x in table.column("counts").to_pylist()]).astype(np.int64)
         by = np.argsort(low, kind="stable")
@@ -353,6 +354,7 @@ def _added(batches: Iterator[pa.RecordBatch], least: int) -> Iterator[pa.RecordB
 
     A phrase comes once from every few megabytes of chunks, so a part's rows grow with the corpus and are never held together.
     """
+    forget_unused()
     total: dict[str, dict[bytes, int]] = {}
     for batch in batches:
         for i in range(batch.num_rows):
@@ -366,6 +368,11 @@ def _added(batches: Iterator[pa.RecordBatch], least: int) -> Iterator[pa.RecordB
         yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], k) for i, k in enumerate(kinds.values())], names=list(kinds))
 
 
+def phrase_parts(total: int) -> int:
+    """Parts for so many phrases. A part's rows come to Python in batches of 10,000 rows, so these must be short."""
+    return max(1, -(-total // PART_PHRASES))
+
+
 def count_phrases(chunked: DataFrame, longest: int = LONGEST, least: int = LEAST) -> DataFrame:
     """Phrases of up to ``longest`` words that occur ``least`` times or more: lang, phrase, words, times."""
     overlap = longest - 1
@@ -373,7 +380,7 @@ def count_phrases(chunked: DataFrame, longest: int = LONGEST, least: int = LEAST
     filters: list[Filter] = []
     for _ in range(longest):
         filters.append(_frequent(chunked, filters, total, overlap, least))
-    parts = max(1, -(-sum(f.size for f in filters) // PART_PHRASES))
+    parts = phrase_parts(sum(f.size for f in filters))
     shared = chunked.sparkSession.sparkContext.broadcast([(f.parts, f.bits) for f in filters])
 
     def gather(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

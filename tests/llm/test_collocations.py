@@ -158,6 +158,23 @@ def test_a_part_is_never_held_whole():
     assert max(held) - held[0] < 5_000_000
 
 
+def test_parts_of_phrases_are_short():
+    # As many phrases as half a GB of text has; each part's rows are gathered by one task.
+    assert c.phrase_parts(0) == 1
+    assert 1_700_000 / c.phrase_parts(1_700_000) <= 30_000
+
+
+def test_adding_up_gives_memory_back_first():
+    def resident():
+        return int(open("/proc/self/statm").read().split()[1]) * 4096
+
+    held = [np.ones(8_000) for _ in range(4_000)]
+    del held[:-1]
+    before = resident()
+    assert list(c._added(iter([]), 10)) == []
+    assert before - resident() > 150_000_000
+
+
 def test_full_filter_loses_nothing(spark, monkeypatch):
     monkeypatch.setattr(c, "MOST_BITS", 8)
     docs = corpus(9)
