@@ -194,6 +194,29 @@ def test_connections_share_the_count_of_a_file(spark, tmp_path, monkeypatch):
     assert len(reads) == 4
 
 
+@pytest.mark.parametrize("threshold,join", [(1, "BroadcastHashJoin"), (2_000, "BroadcastHashJoin"), (800_000, "SortMergeJoin")])
+def test_copies_are_broadcast_by_their_rows_not_by_their_files(spark, tmp_path, monkeypatch, threshold, join):
+    plans = []
+
+    def timed(df, runs):
+        df.collect()
+        plans.append(df._jdf.queryExecution().executedPlan().toString().partition("== Initial Plan ==")[0])
+        return 1.0
+
+    monkeypatch.setattr(runner, "time_df", timed)
+    (tmp_path / "employee.csv").write_text("id,name,salary\n" + "".join(f"{i},n{i},1\n" for i in range(1, 1001)))
+    path = workload(tmp_path, [("p", "parquet"), ("o", "orc")])
+    config = json.loads((tmp_path / "config.json").read_text())
+    text = "SELECT a.name, b.salary FROM employee a JOIN employee b ON a.id = -b.id"
+    config["queries"] = [{"name": "None", "queriesByDb": {"parquet": text, "orc": text}}]
+    (tmp_path / "config.json").write_text(json.dumps(config))
+    run = custom_run(spark, read_config(spark, path), {"employee.csv": str(tmp_path / "employee.csv")}, threshold=threshold, runs=1)
+    assert {(r.rows_loaded, r.success) for r in run.loads.collect()} == {(max(threshold, 1000), True)}
+    # All copies take less than a broadcast may in files.
+    assert all(0 < r.total_size_bytes < 10 << 20 for r in run.stats.collect())
+    assert len(plans) == 2 and all(join in plan for plan in plans)
+
+
 @pytest.mark.parametrize("threshold,rows", [(0, 3), (100, 102)])
 def test_custom_run(spark, tmp_path, threshold, rows):
     (tmp_path / "employee.csv").write_text('id,name,salary\n1,"b, a",60000.50\n2,c,\n3,d,1000\n')
